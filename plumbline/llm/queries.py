@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .op01_language_masks import op1_language_masks
 from .op02_token_counts import op2_digest_cache
 from .op03_mpeg_media import op3_mpeg_audio
 from .op05_feistel_shards import op5_feistel_shards
+from .op07_simhash import op7_multi_index
 from .op08_token_records import op8_token_records
 from .op09_linear_grouping import op9_linear_grouping
 from .op10_chat_format import OP10_SQL, op10_grammar_round_trip
@@ -14,9 +16,11 @@ def queries():
     return {
         f.__name__: f
         for f in (
+            op1_language_masks,
             op2_digest_cache,
             op3_mpeg_audio,
             op5_feistel_shards,
+            op7_multi_index,
             op8_token_records,
             op9_linear_grouping,
             op10_grammar_round_trip,
