@@ -6,6 +6,7 @@ from .op01_language_masks import op1_language_masks
 from .op02_token_counts import op2_digest_cache
 from .op03_mpeg_media import op3_mpeg_audio
 from .op05_feistel_shards import op5_feistel_shards
+from .op06_benchmark_leaks import op6_block_max_wand
 from .op07_simhash import op7_multi_index
 from .op08_token_records import op8_token_records
 from .op09_linear_grouping import op9_linear_grouping
@@ -20,6 +21,7 @@ def queries():
             op2_digest_cache,
             op3_mpeg_audio,
             op5_feistel_shards,
+            op6_block_max_wand,
             op7_multi_index,
             op8_token_records,
             op9_linear_grouping,
