@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op01_language_masks import op1_language_masks
 from .op02_token_counts import op2_digest_cache
 from .op03_mpeg_media import op3_mpeg_audio
+from .op04_multi_bwt import op4_multi_bwt
 from .op05_feistel_shards import op5_feistel_shards
 from .op06_benchmark_leaks import op6_block_max_wand
 from .op07_simhash import op7_multi_index
@@ -20,6 +21,7 @@ def queries():
             op1_language_masks,
             op2_digest_cache,
             op3_mpeg_audio,
+            op4_multi_bwt,
             op5_feistel_shards,
             op6_block_max_wand,
             op7_multi_index,
