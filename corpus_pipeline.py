@@ -1,3 +1,70 @@
-STAGES = []
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; ``run`` writes
+each result as Parquet to the shared folder and reads it again.  All stages but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import cut, load
+from plumbline.llm.op01_language_masks import identify, train
+from plumbline.llm.op04_multi_bwt import removed_ranges, without_ranges
+from plumbline.llm.op06_benchmark_leaks import retrieve
+from plumbline.llm.op07_simhash import near_duplicates
+from plumbline.llm.op09_linear_grouping import pack_documents
+
+#: Share of a text's n-grams that its language must contain; prose of a learned language is far above.
+LEAST_COVERAGE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are written in a language of the corpus; letterless and unreadable ones go."""
+    found = identify(docs, train(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id."""
+    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds; what is left of a cut character goes, too."""
+    return without_ranges(docs, removed_ranges(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    hits = retrieve(docs, load(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("decontamination", decontaminate),
+    ("best_fit_packing", packing),
+]
+
+#: SQL cannot express the learned and the fingerprint stages; tests compare them with brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs
