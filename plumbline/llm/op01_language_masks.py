@@ -141,18 +141,18 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS
     return build(counts, sizes)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with text) and lang_pred, score, coverage."""
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """``docs`` (with text) and language, score, coverage under ``names``; columns of those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def predict(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 lang, score, coverage = shared.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())], [*part.schema.names, "lang_pred", "score", "coverage"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())], [*part.schema.names, *names])
 
-    docs = docs.drop("lang_pred", "score", "coverage")
-    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in (("lang_pred", StringType()), ("score", DoubleType()), ("coverage", DoubleType())))])
+    docs = docs.drop(*names)
+    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, (StringType(), DoubleType(), DoubleType())))])
     return docs.mapInArrow(predict, schema)
 
 

@@ -6,8 +6,8 @@ CRC-16, a zero side information block (decodes as silence) and bytes of the payl
 frames run at 320 kbit/s; the last takes the lowest rate that holds the rest.
 
 Reading: tags at either end are parsed and left out, then headers are searched: a header counts if its fields
-are valid, its checksum holds and the next frame begins where it says (or the stream ends there); otherwise the
-search goes on one byte later, so junk and damaged frames are stepped over and counted.  Durations are exact
+are valid and its checksum holds; where it has none, or follows no other frame, the next frame must also begin where it says
+(or the stream end there).  Otherwise the search goes on one byte later, so junk and damaged frames are stepped over and counted.  Durations are exact
 (frames x 1152 / 48000) and ``offsets`` are the byte positions of all frames that sound.
 
 Nulls: a null text is empty; its payload is 64 zero bytes.  Repeated rows give repeated results, equal texts equal
@@ -183,8 +183,9 @@ def scan(data: bytes) -> Stream:
         head = _header(data, at)
         nxt = at + head[0] if head else 0
         good = bool(head) and nxt <= end and _whole(data, at, head)
-        if good and not synced:  # a lone header may be chance: another, or the end, must follow
-            good = nxt == end or nxt + 4 <= end and _header(data, nxt) is not None
+        if good and not (synced and head[4]):  # without a checksum, or on its own, a header may be chance: another one, or the end, must follow
+            after = _header(data, nxt) if nxt + 4 <= end else None
+            good = nxt == end or after is not None and after[2:] == head[2:]
         if not good:
             synced = False
             found = data.find(b"\xff", at + 1, end)
