@@ -23,8 +23,8 @@ LEAST_COVERAGE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are written in a language of the corpus; letterless and unreadable ones go."""
-    found = identify(docs, train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+    found = identify(docs, train(docs), ("_lang_pred", "_score", "_coverage"))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_coverage") >= LEAST_COVERAGE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
