@@ -37,7 +37,7 @@ def evaluate(rings, neighbours, east: float, north: float, turn: float, cell: fl
     if not others or not group:
         return (None, None, None, None, len(others))
     area = sum(map(P._area, group))
-    pivot = P._centroid(np.concatenate(group)) if len(group) > 1 else P._centroid(group[0])
+    pivot = P._middle(group)
     moved = [P._rotate(r, turn, pivot) + (east, north) for r in group]
     lo = np.concatenate(moved).min(0) - 2
     size = np.concatenate(moved).max(0) - lo + 4

@@ -32,13 +32,13 @@ def sanitize_roster(items: DataFrame) -> DataFrame:
     i = i.withColumn("_k", F.array_join(T.label_tokens("label"), " "))
     i = i.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE, "_k").orderBy("pos"))).filter("_r = 1")
     i = i.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("pos"))).filter(F.col("_n") <= MOST_PARCELS)
-    return drop_non_parcels(i.withColumn("printed_id", T.printed_id("printed_id"))).drop("_k", "_r", "_n")
+    return drop_non_parcels(i.withColumn("printed_id", T.printed_id("printed_id")).drop("_k", "_r", "_n"))
 
 
 def drop_non_parcels(entities: DataFrame) -> DataFrame:
     w = Window.partitionBy(*PAGE)
-    e = entities.withColumn("_real", ~T.is_encumbrance("label"))
-    e = e.filter(F.col("_real") | ~F.max("_real").over(w)).withColumn("_n", F.count_if("_real").over(w))
+    e = entities.withColumn("_real", ~T.is_encumbrance("label")).withColumn("_n", F.count_if("_real").over(w))
+    e = e.filter(F.col("_real") | (F.col("_n") == 0))
     empty = F.upper("label").contains("REMAINDER") & F.col("stated_area").isNull() & F.col("printed_id").isNull()
     return e.filter(~(empty & (F.col("_n") > 1))).drop("_real", "_n")
 
