@@ -41,7 +41,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Row ranges of ``batch`` whose ``column`` holds about ``most_bytes`` bytes (one row at least)."""
     index = batch.schema.get_field_index(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(index)), 0), dtype=np.int64)

@@ -30,6 +30,7 @@ from .common import load, slices
 
 DOCS_PER_LANG, GRAMS, SHARE, LEAST = 3000, 60_000, 0.3, 3
 SLOTS, HASHES = 1 << 20, 3
+GRAIN = 1 << 20  # bytes of text whose n-grams are held at once: some 60 bytes for each
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 #: ASCII letters stay (capitals become small), other ASCII becomes a blank, the bytes of other characters stay.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -123,7 +124,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS
 
     def count(batches):
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", GRAIN):
                 names, langs = np.unique(np.array(piece.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
                 values, owner = grams(piece.column("text").to_pylist())
                 keys, n = np.unique(langs[owner].astype(np.int64) << 32 | values, return_counts=True)
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang
 
     def predict(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", GRAIN):
                 lang, score, coverage = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())], [*part.schema.names, *names])
 

@@ -38,7 +38,7 @@ def _stored(spark, cache: str, tokenizer: str) -> DataFrame:
     return rows.filter(F.col("tokenizer_digest") == tokenizer).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, cache: str, vocabulary: str, most_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, cache: str, vocabulary: str, most_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, content_digest, n_bytes, n_tokens of every row of ``docs`` (doc_id, text).  Appends to ``cache``."""
     spark, version = docs.sparkSession, tokenizer_digest(vocabulary)
     text = F.coalesce(F.col("text"), F.lit(""))
