@@ -219,7 +219,10 @@ def anchor_score(line: Column | str) -> Column:
     hit = lambda p, n: F.when(line.rlike("(?i)" + p), n).otherwise(0)
     base = hit(P.ADDRESS_LABEL, 5) + F.when(line.rlike(P.ZIP), 2).otherwise(0) + hit(P.STATE_HINT, 1)
     office = line.rlike("(?i)" + P.OFFICE_HINT) | line.rlike(P.PHONE)
-    return F.when(office, base - 3).when((base >= 3) & line.rlike("(?i)" + P.STREET_ADDRESS), base + 1).otherwise(base)
+    # bound once: each pattern is tried once a line, however often its result is used
+    seen = F.array(F.struct(base.alias("base"), office.alias("office")))
+    score = F.transform(seen, lambda s: F.when(s["office"], s["base"] - 3).when((s["base"] >= 3) & line.rlike("(?i)" + P.STREET_ADDRESS), s["base"] + 1).otherwise(s["base"]))
+    return F.get(score, 0)
 
 
 def anchor_class(query: Column | str) -> Column:

@@ -144,24 +144,46 @@ def outlier_calls(vectors: DataFrame, keys: list[str], order: list[str]) -> Data
     return best.select(*keys, F.col("b.call_index").alias("call_index"), F.col("b.baseline").alias("baseline_closure_ft"), F.col("b.without").alias("closure_without_ft"), F.round(gain, 3).alias("improvement")).filter(gain >= 0.5)
 
 
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-def segments_touch(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Whether segments a-b and c-d have a point in common."""
-    within = lambda p, q, r: r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-    t1, t2, t3, t4 = _turn(a, b, c), _turn(a, b, d), _turn(c, d, a), _turn(c, d, b)
-    return ((t1 != t2) & (t3 != t4)) | ((t1 == 0) & within(a, b, c)) | ((t2 == 0) & within(a, b, d)) | ((t3 == 0) & within(c, d, a)) | ((t4 == 0) & within(c, d, b))
+def _side(e: Column, x: Column, y: Column) -> Column:
+    return F.signum((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"]))
+
+
+def _within(e: Column, x: Column, y: Column) -> Column:
+    return x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+
+
+def segments_touch(e: Column, f: Column) -> Column:
+    """Whether segments (ax, ay, bx, by) have a point in common: boxes first, then sides."""
+    boxes = (F.greatest(e["ax"], e["bx"]) >= F.least(f["ax"], f["bx"])) & (F.greatest(f["ax"], f["bx"]) >= F.least(e["ax"], e["bx"])) & (F.greatest(e["ay"], e["by"]) >= F.least(f["ay"], f["by"])) & (F.greatest(f["ay"], f["by"]) >= F.least(e["ay"], e["by"]))
+    t = F.struct(_side(e, f["ax"], f["ay"]).alias("a"), _side(e, f["bx"], f["by"]).alias("b"), _side(f, e["ax"], e["ay"]).alias("c"), _side(f, e["bx"], e["by"]).alias("d"))
+
+    def sides(t: Column) -> Column:
+        on = ((t["a"] == 0) & _within(e, f["ax"], f["ay"])) | ((t["b"] == 0) & _within(e, f["bx"], f["by"])) | ((t["c"] == 0) & _within(f, e["ax"], e["ay"])) | ((t["d"] == 0) & _within(f, e["bx"], e["by"]))
+        return ((t["a"] != t["b"]) & (t["c"] != t["d"])) | on
+
+    return F.when(boxes, _bound(t, sides)).otherwise(False)
 
 
 def crossing_edges(corners: Column) -> Column:
     """(i, j) of the first two edges, not neighbours, that touch; null if there are none or under four corners."""
-    n = F.size(corners)
-    at = lambda i: F.get(corners, F.pmod(i, n).cast("int"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.transform(F.sequence(i + 2, F.greatest(n - 1, i + 2)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    hit = lambda p: (p["j"] < n) & ~((p["i"] == 0) & (p["j"] == n - 1)) & segments_touch(at(p["i"]), at(p["i"] + 1), at(p["j"]), at(p["j"] + 1))
-    return F.when(n >= 4, F.get(F.filter(pairs, hit), 0))
+    nxt = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+    edges = F.zip_with(corners, nxt, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+    def search(es: Column) -> Column:
+        n = F.size(es)
+
+        def first(e: Column, i: Column) -> Column:
+            hits = F.filter(F.transform(F.slice(es, i + 3, n), lambda f, k: F.when(segments_touch(e, f) & ~((i == 0) & (k == n - 3)), i + 2 + k)), lambda j: j.isNotNull())
+            return F.struct(i.alias("i"), F.get(hits, 0).alias("j"))
+
+        return F.get(F.filter(F.transform(es, first), lambda s: s["j"].isNotNull()), 0)
+
+    return F.when(F.size(corners) >= 4, _bound(edges, search))
 
 
 def validate(walks: DataFrame, stated_acres: str = "stated_area_acres", region_text: str = "region_text") -> DataFrame:

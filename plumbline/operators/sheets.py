@@ -73,12 +73,17 @@ def group_candidates(refs: DataFrame) -> DataFrame:
 
 
 def contained_sets(members: DataFrame, group: str, item: str) -> DataFrame:
-    """Pairs (inner, outer) of groups where every item of the inner one is in the outer: relational division by counting matches."""
+    """Pairs (inner, outer) of groups where every item of the inner one is in the outer: relational division.
+
+    An inner group meets outer groups only through its rarest item, so a frequent item does not pair its groups; the sets
+    are then compared whole.
+    """
     m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    n = m.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    a, b = m.select(F.col("g").alias("inner_group"), "i"), m.select(F.col("g").alias("outer_group"), "i")
-    hits = a.join(b, "i").filter("inner_group <> outer_group").groupBy("inner_group", "outer_group").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(n.withColumnRenamed("g", "inner_group"), "inner_group").filter("hits = n").select("inner_group", "outer_group")
+    rare = m.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    sets = m.join(rare, "i").groupBy("g").agg(F.collect_set("i").alias("items"), F.min(F.struct("n", "i"))["i"].alias("i"))
+    outer = m.join(sets.select("g", F.col("items").alias("outer_items")), "g").withColumnRenamed("g", "outer_group")
+    pairs = sets.withColumnRenamed("g", "inner_group").join(outer, "i").filter("inner_group <> outer_group and size(items) <= size(outer_items)")
+    return pairs.filter(F.size(F.array_except("items", "outer_items")) == 0).select("inner_group", "outer_group")
 
 
 def collapse_duplicate_sheets(groups: DataFrame, contained: DataFrame) -> DataFrame:
