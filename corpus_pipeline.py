@@ -28,7 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id."""
+    """Of each group of near-duplicates the document of the smallest id.
+
+    doc_id is a key: rows that repeat one id are one document and stay together; documents without an id stay.
+    """
     found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))
