@@ -249,20 +249,22 @@ def _rows(key, seg, doc, start, size) -> pa.RecordBatch:
 
 def _whole_keys(batches, weight: int):
     """Regroup batches sorted by ``key`` into tables of at least ``weight`` rows that end with a key."""
-    held, rows = [], 0
+    held, rows, need = [], 0, weight
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= weight:
+        if rows >= need:
             table = pa.Table.from_batches(held).combine_chunks()
             key = np.asarray(table.column("key"))
             cut_at = int(np.searchsorted(key, key[-1]))
             if cut_at:
                 yield table.slice(0, cut_at)
                 held = table.slice(cut_at).to_batches()
-                rows -= cut_at
+                rows, need = rows - cut_at, weight
+            else:  # one key so far: look again when there is twice as much
+                held, need = table.to_batches(), 2 * rows
     if held:
         yield pa.Table.from_batches(held)
 

@@ -27,6 +27,7 @@ from .common import cut, load, partitions, slices, texts_of
 from .components import components, local_components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
+FETCH = 200_000  # entries whose buckets are verified at once, unless one bucket has more
 #: (lowest bit, width, radius) of each segment.
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 
@@ -122,16 +123,20 @@ def links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(fp[s]), pa.array(home[s])], ["bucket", "fp", "home"])
 
     def fetch(batches):
-        held = None
+        held, rows, need = [], 0, FETCH
         for batch in batches:
-            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            cut_at = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
-            if cut_at >= 200_000:
-                yield _links(*(x[:cut_at] for x in held))
-                held = [x[cut_at:] for x in held]
-        if held and len(held[0]):
-            yield _links(*held)
+            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)])
+            rows += batch.num_rows
+            if rows < need:
+                continue
+            now = [np.concatenate(x) for x in zip(*held)]
+            cut_at = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
+            if cut_at:
+                yield _links(*(x[:cut_at] for x in now))
+            held, rows = [[x[cut_at:] for x in now]], rows - cut_at
+            need = FETCH if cut_at else 2 * rows
+        if rows:
+            yield _links(*(np.concatenate(x) for x in zip(*held)))
 
     filed = fps.select("fp").mapInArrow(file, "bucket long, fp long, home boolean")
     ranged = filed.repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket")
