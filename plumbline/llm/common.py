@@ -11,7 +11,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes that Spark hands to a Python worker at once; whole texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and the JVM hold of the rows that pass between them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import load, slices
+from .common import load, slices, small_batches
 
 DOCS_PER_LANG, GRAMS, SHARE, LEAST = 3000, 60_000, 0.3, 3
 SLOTS, HASHES = 1 << 20, 3
@@ -115,6 +115,7 @@ def build(counts: dict[str, dict[int, int]], docs: dict[str, int]) -> Model:
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS) -> Model:
     """Fit on labelled rows of ``docs`` (doc_id, text, lang): about ``docs_per_lang`` documents of each language.  Eager."""
+    small_batches(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
