@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, load
+from plumbline.llm.near_copies import near_copies
 from plumbline.llm.op01_language_masks import identify, train
 from plumbline.llm.op04_multi_bwt import removed_ranges, without_ranges
 from plumbline.llm.op06_benchmark_leaks import retrieve
-from plumbline.llm.op07_simhash import near_duplicates
 from plumbline.llm.op09_linear_grouping import pack_documents
 
 #: Share of a text's n-grams that its language must contain; prose of a learned language is far above.
@@ -28,11 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id.
+    """Of each group of near-duplicates the document of the smallest id: five-word shingles, Jaccard 0.8 or more.
 
     doc_id is a key: rows that repeat one id are one document and stay together; documents without an id stay.
     """
-    found = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    found = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))
 
