@@ -11,6 +11,10 @@ skipped; this is computed for all passages of a batch at once.  Each passage lef
 cursors over postings sorted by item, a pivot from the terms' maxima, then the maxima of the blocks at the pivot, and only
 then scores; every item at or above the threshold is retrieved, without a limit of results.
 
+A document may hold the question without its answer, and that is less than the threshold where the answer weighs more.  So
+the items' shingles are looked up as well: every item of whose whole or question a document holds ``OVERLAP`` of the
+shingles, wherever they stand, is retrieved whatever its score, with its best passage.
+
 Verification: retrieved items are compared with the document by their 5-word shingles: overlap of the question (all
 but the last sentence), of the answer (the last sentence) and of the whole item.  A pair stands if the whole or the
 question overlaps by 0.8 or more.
@@ -68,6 +72,41 @@ class Index:
     stride: int
     flat: tuple[np.ndarray, np.ndarray]  # items and contributions of all terms after each other
     parts: list[tuple[set, set, set]]  # shingles of each item, its question and its answer
+    grams: Grams  # shingles of all items and questions
+    weights: list[dict[int, float]]  # of each item: normalised contribution of its terms
+
+
+@dataclass
+class Grams:
+    levels: list[np.ndarray]  # of each further word of a shingle: what starts there, as place in the level before * terms + term
+    short: dict[tuple, int]  # shingles of fewer words; their numbers follow those of the last level
+    owners: tuple[np.ndarray, np.ndarray]  # of each shingle, where its parts start and end in ``part``
+    part: np.ndarray  # 2 * item, and 1 more for its question
+    least: np.ndarray  # of each part, shingles that a document must hold
+
+
+def grams(parts: list[tuple[set, set, set]], terms: dict[bytes, int]) -> Grams:
+    wanted: dict[tuple, list[int]] = {}
+    least = np.zeros(2 * len(parts), np.int64)
+    for i, p in enumerate(parts):
+        for k in (0, 1):
+            least[2 * i + k] = max(1, int(np.ceil(OVERLAP * len(p[k]) - 1e-9)))
+            for g in p[k]:
+                wanted.setdefault(g, []).append(2 * i + k)
+    width = max(1, len(terms))
+    full = [g for g in wanted if len(g) == SHINGLE]
+    rows = np.array([[terms[x] for x in g] for g in full], np.int64).reshape(-1, SHINGLE)
+    at, levels = rows[:, 0], []
+    for k in range(1, SHINGLE):
+        level, at = np.unique(at * width + rows[:, k], return_inverse=True)
+        levels.append(level)
+    short = {g: len(full) + i for i, g in enumerate(g for g in wanted if len(g) < SHINGLE)}
+    listed = [[] for _ in wanted]
+    for g, number in chain(zip(full, at.tolist()), short.items()):
+        listed[number] = wanted[g]
+    n = np.fromiter(map(len, listed), np.int64, len(listed))
+    part = np.array(list(chain.from_iterable(listed)), np.int64)
+    return Grams(levels, short, (np.cumsum(n) - n, np.cumsum(n)), part, least)
 
 
 def build(rows: list[tuple[int | None, str | None]]) -> Index:
@@ -87,9 +126,11 @@ def build(rows: list[tuple[int | None, str | None]]) -> Index:
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     mean = sum(len(w) for _, _, w in rows) / n if n else 1.0
     posts: list[list[tuple[int, float]]] = [[] for _ in terms]
+    weights: list[dict[int, float]] = []
     for i, (own, (_, _, w)) in enumerate(zip(counts, rows)):
         gain = {k: idf[k] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for k, c in own.items()}
         total = sum(gain.values())
+        weights.append({k: float(g / total) for k, g in gain.items()})
         for k, g in gain.items():
             posts[k].append((i, g / total))
     items = [np.array([i for i, _ in p], np.int64) for p in posts]
@@ -106,7 +147,7 @@ def build(rows: list[tuple[int | None, str | None]]) -> Index:
         common[items[k]] += gains[k]
     flat = (np.concatenate(items), np.concatenate(gains)) if items else (np.zeros(0, np.int64), np.zeros(0))
     parts = [(shingles(w), *(shingles(words(p)) for p in question_answer(t))) for _, t, w in rows]
-    return Index([i for i, _, _ in rows], terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, max([STRIDE, *(len(w) for _, _, w in rows)]), flat, parts)
+    return Index([i for i, _, _ in rows], terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, max([STRIDE, *(len(w) for _, _, w in rows)]), flat, parts, grams(parts, terms), weights)
 
 
 def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -155,13 +196,60 @@ def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[t
     return found
 
 
-def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, float]]:
+def read(index: Index, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and the terms (or -1) of all words after each other."""
+    pieces = [words(t) for t in texts]
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return lens, np.fromiter(map(index.terms.get, chain.from_iterable(pieces), repeat(-1)), np.int64, int(lens.sum()))
+
+
+def overlapping(index: Index, lens: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
+    """(text, item) wherever a text holds ``OVERLAP`` of the shingles of the item or its question."""
+    own, starts = index.grams, np.cumsum(lens) - lens
+    width = max(1, len(index.terms))
+    text = np.repeat(np.arange(len(lens)), lens)
+    # the first words of shingles that lie within one text, then word by word those that go on as some shingle of an item
+    first = np.flatnonzero((tokens >= 0) & (np.arange(len(tokens)) + SHINGLE <= (starts + lens)[text]))
+    at = tokens[first]
+    for k, level in enumerate(own.levels, 1):
+        nxt = tokens[first + k]
+        key = at * width + nxt
+        place = np.minimum(np.searchsorted(level, key), max(len(level) - 1, 0))
+        ok = (nxt >= 0) & (level[place] == key) if len(level) else np.zeros(len(first), bool)
+        first, at = first[ok], place[ok]
+    found_text, found_gram = [text[first]], [at]
+    if own.short:
+        name = {g: n for g, n in ((tuple(index.terms[x] for x in g), n) for g, n in own.short.items())}
+        for t in np.flatnonzero((lens > 0) & (lens < SHINGLE)).tolist():
+            n = name.get(tuple(tokens[starts[t] : starts[t] + lens[t]].tolist()))
+            if n is not None:
+                found_text.append(np.array([t]))
+                found_gram.append(np.array([n]))
+    t, g = np.concatenate(found_text), np.concatenate(found_gram)
+    if not len(t):
+        return []
+    t, g = np.unique(np.stack([t, g]), axis=1)
+    a, b = own.owners[0][g], own.owners[1][g]
+    n = b - a
+    part = own.part[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    key, count = np.unique(np.repeat(t, n) * len(own.least) + part, return_counts=True)
+    key = key[count >= own.least[key % len(own.least)]]
+    return sorted({(k // len(own.least), k % len(own.least) // 2) for k in key.tolist()})
+
+
+def best_passage(index: Index, tokens: np.ndarray, item: int) -> tuple[float, int]:
+    """Largest score of the item in the passages of one text, and the first such passage."""
+    s, weight = index.stride, index.weights[item]
+    scores = [sum(weight.get(x, 0.0) for x in set(tokens[p * s : (p + 2) * s].tolist())) for p in range(max(1, -(-len(tokens) // s)))]
+    best = max(scores)
+    return best, scores.index(best)
+
+
+def search(index: Index, texts: list[str | None], known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, float]]:
     """(text, item, passage, score) of every passage and item at or above the threshold."""
     if not index.ids:
         return []
-    pieces = [words(t) for t in texts]
-    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    tokens = np.fromiter(map(index.terms.get, chain.from_iterable(pieces), repeat(-1)), np.int64, int(lens.sum()))
+    lens, tokens = known or read(index, texts)
     s, starts = index.stride, np.cumsum(lens) - lens
     # stretches of `stride` words, numbered over all texts; passage p is stretches p and p + 1 of one text
     stretches = np.maximum(1, -(-lens // s))
@@ -226,11 +314,16 @@ def _finder(shared):
             for part in slices(batch, "text"):
                 texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
                 best: dict[tuple[int, int], tuple[float, int]] = {}
-                for t, item, passage, score in search(index, texts):
+                lens, tokens = read(index, texts)
+                for t, item, passage, score in search(index, texts, (lens, tokens)):
                     if (t, item) not in best or score > best[t, item][0]:
                         best[t, item] = (score, passage)
+                starts = np.cumsum(lens) - lens
+                for t, item in overlapping(index, lens, tokens):
+                    if (t, item) not in best:
+                        best[t, item] = best_passage(index, tokens[starts[t] : starts[t] + lens[t]], item)
                 rows, has = [], {}
-                for (t, item), (score, passage) in best.items():
+                for (t, item), (score, passage) in sorted(best.items()):
                     if t not in has:
                         has = {t: shingles(words(texts[t]))}
                     whole, question, answer = verify(index, item, has[t])

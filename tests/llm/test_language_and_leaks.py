@@ -137,6 +137,33 @@ def test_leaks_are_found_and_clean_documents_left(spark, shard):
     assert op6.retrieve(docs, table.filter("false")).count() == 0 and op6.retrieve(docs.filter("false"), table).count() == 0
 
 
+def test_questions_without_answers_are_found(spark):
+    rng = random.Random(13)
+    bench = [(i, prose(rng, EN, rng.randint(6, 14)) + ". " + prose(rng, EN, rng.randint(12, 40)) + ".") for i in range(30)] + [(30, "why so. because " + prose(rng, EN, 9) + ".")]
+    questions = {i: op6.question_answer(t)[0] for i, t in bench}
+    rows = [[i, prose(rng, EN, 100) + " " + questions[i].upper() + " " + prose(rng, EN, 150)] for i in range(30)]
+    rows += [[40, "Why so?"], [41, "why so then"], [42, None]]
+    for k in range(30):  # halves of a question far apart, and questions with a few other words
+        w = questions[k].split()
+        rows.append([50 + k, " ".join([*w[: len(w) // 2 + 4], prose(rng, EN, 200), *w[len(w) // 2 :]])])
+        rows.append([100 + k, " ".join([*w[:-1], "other", prose(rng, EN, 20)])])
+    index = op6.build(bench)
+    want = set()
+    for d, t in rows:
+        has = op6.shingles(op6.words(t))
+        want |= {(d, i) for i in range(len(index.ids)) if max(op6.verify(index, i, has)[:2]) >= op6.OVERLAP}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    got = op6.retrieve(docs, table).filter("contaminated").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want >= {(i, i) for i in range(30)} | {(40, 30)}
+    assert sum(r["score"] < op6.THRESHOLD for r in got) > 20 and len(got) == len(want)
+    text = dict(rows)
+    for r in got:
+        w, gains = op6.words(text[r["doc_id"]]), index.weights[r["item_id"]]
+        near = [sum(gains.get(index.terms.get(x), 0) for x in set(w[p * index.stride : (p + 2) * index.stride])) for p in range(max(1, -(-len(w) // index.stride)))]
+        assert r["score"] == pytest.approx(max(near)) and near[r["passage"]] == pytest.approx(max(near))
+
+
 def test_question_and_answer():
     assert op6.question_answer("One two. Three four? Five.") == ("One two. Three four?", " Five.")
     assert op6.question_answer("Only one sentence") == ("Only one sentence", "")
