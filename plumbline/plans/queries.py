@@ -420,6 +420,12 @@ def sheet_division(spark, d):
     return sheets.contained_sets(li, "l_orderkey", "l_suppkey")
 
 
+@query("sheet_containment")
+def sheet_containment(spark, d):
+    """Containment between the supplier sets of all orders; ``sheet_division`` has a fifth of them."""
+    return sheets.contained_sets(load(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
+
+
 @query("chunk_budget", """WITH RECURSIVE i AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
 c AS (SELECT o_custkey, o_orderkey, r, tokens AS used, 0 AS chunk FROM i WHERE r = 1 UNION ALL SELECT i.o_custkey, i.o_orderkey, i.r, CASE WHEN c.used > 0 AND c.used + i.tokens > 500000 THEN i.tokens ELSE c.used + i.tokens END, CASE WHEN c.used > 0 AND c.used + i.tokens > 500000 THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN i ON i.o_custkey = c.o_custkey AND i.r = c.r + 1)
 SELECT o_orderkey, CAST(chunk AS INTEGER) AS chunk FROM c""")
