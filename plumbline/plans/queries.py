@@ -392,7 +392,7 @@ def point_in_polygon(spark, d):
 def greedy_match(spark, d):
     s, c = load(spark, d, "supplier"), load(spark, d, "customer")
     e = s.select(F.lit("doc").alias("document_id"), F.col("s_nationkey").alias("page_number"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("PARCEL "), F.col("s_suppkey") % 7).alias("label"), F.lit(None).cast("string").alias("printed_id"), F.format_string("%.2f AC", F.abs("s_acctbal")).alias("stated_area"))
-    k = c.filter("c_custkey % 10 = c_nationkey % 10").select(F.lit("doc").alias("document_id"), F.col("c_nationkey").alias("page_number"), F.col("c_custkey").alias("pos"), F.concat(F.lit("PARCEL "), F.col("c_custkey") % 7).alias("label"), F.abs("c_acctbal").alias("acres"))
+    k = c.select(F.lit("doc").alias("document_id"), F.col("c_nationkey").alias("page_number"), F.col("c_custkey").alias("pos"), F.concat(F.lit("PARCEL "), F.col("c_custkey") % 7).alias("label"), F.abs("c_acctbal").alias("acres"))
     return matching.match_evidence(e, k)
 
 

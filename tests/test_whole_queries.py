@@ -7,13 +7,13 @@ import pytest
 
 from plumbline.plans.queries import QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
 
-def table(name, *columns):
-    t = pq.read_table(f"{DATA}/{name}.parquet", columns=list(columns)).to_pydict()
+def table(name, *columns, data=DATA):
+    t = pq.read_table(f"{data}/{name}.parquet", columns=list(columns)).to_pydict()
     return list(zip(*(t[c] for c in columns)))
 
 
@@ -26,3 +26,30 @@ def test_sheet_containment_has_all_orders(spark):
     got = [tuple(r) for r in QUERIES["sheet_containment"](spark, DATA).select("inner_group", "outer_group").collect()]
     assert len(got) == len(want) and set(got) == want
     assert any(a % 5 and b % 5 for a, b in want)
+
+
+@needs_tables
+def test_greedy_match_has_all_customers(spark):
+    want = set()
+    suppliers = table("supplier", "s_suppkey", "s_nationkey", "s_acctbal", data=MORE)
+    customers = table("customer", "c_custkey", "c_nationkey", "c_acctbal", data=MORE)
+    for page in {n for _, n, _ in suppliers}:
+        scored = []
+        for s, n, a in suppliers:
+            for c, m, b in customers:
+                if n != page or m != page:
+                    continue
+                label = 4 if s % 7 == c % 7 else 0
+                x, y = float(f"{abs(a):.2f}"), abs(b)
+                off = abs(x - y) / max(x, y) if x and y else 0.05
+                area = 2 if off <= 0.03 else -3 if off > 0.10 else 0
+                if (label or area > 0) and label + area >= 2:
+                    scored.append((-label - area, s, c))
+        used = set()
+        for k, s, c in sorted(scored):
+            if ("s", s) not in used and ("c", c) not in used:
+                used |= {("s", s), ("c", c)}
+                want.add((page, s, c, -k))
+    got = QUERIES["greedy_match"](spark, MORE).select("page_number", "entity_pos", "candidate_pos", "score").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(c % 10 != page % 10 for page, _, c, _ in want)
