@@ -261,6 +261,13 @@ def score_lines(spark, d):
     return c.select(F.col("document_id").alias("doc_id"), "line_no", "score")
 
 
+@query("anchor_candidates")
+def anchor_candidates(spark, d):
+    """Best address lines and parts of every document and its county; ``score_lines`` has whole lines of score 1 and 2."""
+    t = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("pos"), "text")
+    return evidence.anchor_candidates(t).withColumnRenamed("document_id", "doc_id")
+
+
 @query("coarsen_query", """WITH q AS (SELECT s_suppkey, list_transform(string_split(s_name || ', ' || n_name || ', ' || r_name || ', Earth', ','), lambda x: trim(x)) AS parts FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT s_suppkey, CAST(i AS BIGINT) AS step, array_to_string(list_slice(parts, i + 1, len(parts)), ', ') AS query FROM q, unnest(generate_series(1, len(parts) - 2)) AS u(i)""")
 def coarsen_query(spark, d):

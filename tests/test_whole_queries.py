@@ -1,10 +1,12 @@
 """Queries without SQL that take whole tables, against brute force."""
 
 import os
+import re
 
 import pyarrow.parquet as pq
 import pytest
 
+from plumbline.functions import patterns as P
 from plumbline.plans.queries import QUERIES
 
 DATA, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -53,3 +55,53 @@ def test_greedy_match_has_all_customers(spark):
     got = QUERIES["greedy_match"](spark, MORE).select("page_number", "entity_pos", "candidate_pos", "score").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert any(c % 10 != page % 10 for page, _, c, _ in want)
+
+
+def brute_anchors(text):
+    """(query, score) of the best three lines, then the county."""
+    has = lambda p, s: re.search("(?i)" + p, s) is not None
+    scored, states = [], []
+    for n, raw in enumerate(re.split(r"\r\n|\n|\r", text)):
+        raw = raw.strip(" ")
+        if len(raw) < 6:
+            continue
+        parts = [p.strip(" ") for p in re.split("[~|]", raw)] if re.search("[~|]", raw) else []
+        for k, line in enumerate([raw] + [p for p in parts if len(p) >= 6]):
+            score = 5 * has(P.ADDRESS_LABEL, line) + 2 * (re.search(P.ZIP, line) is not None) + has(P.STATE_HINT, line)
+            if has(P.OFFICE_HINT, line) or re.search(P.PHONE, line):
+                score -= 3
+            elif score >= 3 and has(P.STREET_ADDRESS, line):
+                score += 1
+            if score < 3:
+                continue
+            m = re.search(r"(?i),\s*([A-Z]{2})\b", line)
+            states += [m[1].upper()] if m else []
+            query = re.sub("(?i)" + P.ADDRESS_LABEL, "", line).strip(" ")
+            query = re.sub("(?i)" + P.MUNICIPAL_PREFIX, "", re.sub("^[: ]+", "", query).strip(" ")).strip(" ")
+            scored.append((-score, m and m[1].upper(), n, k, query))
+    major = min(sorted(set(states)), key=lambda x: -states.count(x), default=None)
+    ranked = sorted((s, state is not None and state != major, n, k, q) for s, state, n, k, q in scored if q)
+    out = {}
+    for s, _, _, _, q in ranked:
+        out.setdefault(q.lower(), (q, -s))
+    top = [(r, q, s) for r, (q, s) in enumerate(list(out.values())[:3], 1)]
+    counties = [f"{a.title()} County, {b.title()}" for a, b in re.findall(r"([A-Z][a-z]+) County, (Idaho|Arizona)", text)]
+    best = max(dict.fromkeys(counties), key=counties.count, default=None)
+    return top + ([(4, best, None)] if best and best.lower() not in {q.lower() for _, q, _ in top} else [])
+
+
+def test_anchor_candidates_takes_lines_and_parts_of_every_document(spark, tmp_path):
+    texts = {
+        1: "Site address: 700 Center Ave, Payette, ID 83661\nprose that names nothing",
+        2: "City of Payette ~ 700 Center Ave ~ Payette, ID 83661\nOwner, Queen Creek, AZ 85142\nBoise, ID 83702",
+        3: "nothing here\nat all",
+        4: "Pima County, Arizona; Ada County, Idaho; Pima County, Arizona\n1 Main Street, Mesa, AZ 85201 | 2 Oak Road, Mesa, AZ 85202 | 3 Elm Lane, Mesa, AZ 85203 | 4 Ash Way, Mesa, AZ 85204",
+        5: "Acme Surveying LLC, Boise, ID 83702\nProperty address 12 Hill Road, Eagle, ID 83616\nproperty address 12 hill road, eagle, ID 83616",
+        6: "",
+    }
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()] + [(7, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["anchor_candidates"](spark, str(tmp_path)).select("doc_id", "rank", "query", "score").collect()}
+    want = {(d, *c) for d, t in texts.items() for c in brute_anchors(t)}
+    assert got == want
+    assert {d for d, *_ in want} == {1, 2, 4, 5} and any(s is None for *_, s in want)
