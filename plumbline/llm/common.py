@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,15 +31,31 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) a folder of this machine is set.
+    Where the session names none, a folder of this machine is set if the session runs in one process (as in tests);
+    on a cluster executors would each write to a disk of their own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder below ``scratch``, for code that runs on executors."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among ``columns``."""
+    name = f"_{name}"
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

@@ -1,13 +1,23 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, then verification.
-
-A fingerprint of 64 bits does not serve here: texts of similarity 0.8 differ in 8 to 10 bits on the average, and a radius
-that misses none of them has balls as large as the tables.  Instead all shingles have one order, rare ones first.  Two
-texts of similarity s or more share one of the first n - ceil(s * n) + 1 of their n shingles, so only these are filed; of
-the texts that meet there, pairs that sizes and positions rule out are left, and the others are compared whole.
-
-Which order it is matters for speed only: shingles that a sample of texts holds often come last, the others lie as
-their hashes do.  Shingles are 64-bit hashes (XXH64).  Texts of equal sets are one node.  A text of fewer words is one shingle;
-texts without words are alike.
+"""Operator 7 for near copies by word shingles: multi-index hashing first, complete similarities verified, and what balls miss.
+
+Texts are alike if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more; a group is what links
+connect, and one row of each group stays.  Shingles are 64-bit hashes (XXH64); texts of equal sets are one node.
+
+1. Fingerprints of the shingles go through the multi-index of ``op07_simhash``; links within its radius are verified by
+   exact similarity.  That joins the closest copies of large groups, but a radius that misses no similarity of 0.8
+   (8 to 10 of 64 bits on the average) has balls as large as the tables.
+2. So the rest is found exactly.  All shingles have one order, rare ones first.  Of two texts of similarity s or more that have
+   n shingles, both hold one of the first n - ceil(s n) + 1 of each other, so only these are filed, in a bucket for each
+   shingle.  Texts that meet there and that sizes and positions do not rule out are verified.  In a bucket of over ``CROWD`` texts
+   all are compared with a few pivots only.
+3. Texts of a crowded bucket that pivots and fingerprints have not brought into one group meet again there: with all texts of the
+   bucket's other groups.  So pairs of one large group are never written out, and no link between two groups is lost.
+
+Which shingles come last, which buckets are dealt in pieces and which texts are pivots matters for speed only.
+
+Nulls: a null text has no shingles, like all texts without words; these are alike.  Texts of up to five words are one
+shingle.  Rows with a null doc_id are rows like others, and come last when a group's row is chosen: the smallest doc_id, then
+the text's hash, then the row's.  Of rows that are equal in all columns one stays.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,44 +30,85 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices, texts_of
+from .common import cut, fresh, partitions, slices, texts_of
 from .components import components
+from .op07_simhash import folded, links, shingle_hashes
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, OFTEN = 20_000, 5  # texts whose shingles are counted, and the count from which one comes last
+CROWD, PIVOTS, PIECE = 48, 6, 100_000  # texts that meet pair by pair; pivots of larger buckets; texts of a bucket's piece, about
+SIEVE_BITS, MAP_BITS = 26, 1024
 _EPS = 1e-9
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of UTF-8 bytes; words as in ``op07_simhash.fingerprint``."""
-    parts = text.lower().split()
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if parts else [], np.uint64).view(np.int64)
-    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    starts = np.cumsum(lens + 1) - lens - 1
-    ends = (starts + lens)[words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends)], np.uint64).view(np.int64))
+    """Sorted hashes of the distinct shingles of UTF-8 bytes; words as in ``op07_simhash.shingle_hashes``."""
+    return np.unique(shingle_hashes(text, words, SEED).view(np.int64))
 
 
 def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _EPS) + 1
 
 
-def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text and node (digest of the shingle set) of every row."""
+# rows
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """lacks (an id), doc, tie, pick and text: what tells rows apart, in the order of preference."""
+    columns = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    return docs.select(
+        F.col("doc_id").isNull().alias("lacks"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.xxhash64(*columns).alias("pick"), "text",
+    )
+
+
+KEY = ["lacks", "doc", "tie", "pick"]
+
+
+def _marked(rows: DataFrame, words: int) -> DataFrame:
+    """KEY, node (digest of the shingle set) and fp of every row."""
 
     def write(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes = [xxhash.xxh64_intdigest(shingle_set(t, words).tobytes(), SEED) for t in texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(np.array(nodes, np.uint64).view(np.int64))], ["doc_id", "text", "node"])
+                nodes, fps = [], []
+                for t in texts_of(part.column("text")):
+                    h = shingle_hashes(t, words, SEED)
+                    nodes.append(xxhash.xxh64_intdigest(np.unique(h.view(np.int64)).tobytes(), SEED))
+                    fps.append(folded(h) if len(h) else 0)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))], [*KEY, "node", "fp"])
+
+    return rows.mapInArrow(write, "lacks boolean, doc long, tie long, pick long, node long, fp long")
+
+
+# a sieve: rows that may be among many keys, without a shuffle of the others
 
-    return docs.select("doc_id", "text").mapInArrow(write, "doc_id long, text string, node long")
 
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash for ``keys`` (h), of fixed size: 8 MB however many they are."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    out[np.asarray(words.column("w"), dtype=np.int64)] = np.asarray(words.column("b"), dtype=np.int64).view(np.uint64)
+    return out
 
-def _common(marked: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+
+def sifted(rows: DataFrame, column: str, bits, through: bool) -> DataFrame:
+    """Rows whose hash ``column`` may be in the sieve (a broadcast), or those that surely are not."""
+
+    def sift(batches):
+        for batch in batches:
+            h = np.asarray(batch.column(batch.schema.get_field_index(column)), dtype=np.int64) & ((1 << SIEVE_BITS) - 1)
+            held = (bits.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(held if through else ~held))
+
+    return rows.mapInArrow(sift, rows.schema)
+
+
+# buckets
+
+
+def _common(rows: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that the sample holds OFTEN or more, ascending, with their counts."""
 
     def write(batches):
@@ -67,110 +118,281 @@ def _common(marked: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    every = max(1, marked.count() // SAMPLE)
-    counts = marked.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(write, "token long, n long")
+    counts = rows.filter(F.pmod(F.xxhash64("tie"), F.lit(every)) == 0).select("text").mapInArrow(write, "token long, n long")
     found = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN).toArrow()
-    token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
+    token, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("token", "n"))
     order = np.argsort(token)
     return token[order], n[order]
 
 
-def _prefixes(marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """token, node, n (size of the set) and pos (place of the token in the order) of every filed shingle."""
-    shared = marked.sparkSession.sparkContext.broadcast(_common(marked, words))
+_FILED = "token long, piece int, node long, n int, pos int"
+
+
+def _prefixes(rows: DataFrame, words: int, similarity: float, total: int) -> DataFrame:
+    """token, piece, node, n (size of the set) and pos (place of the token in the order) of every filed shingle.
+
+    A bucket that the sample shows to be hot is dealt in pieces; of others piece is -1.  A node is filed once a batch.
+    """
+    every = max(1, total // SAMPLE)
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, words, every))
 
     def write(batches):
         common, count = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for text, node in zip(texts_of(part.column("text")), part.column("node").to_pylist()):
+                out, seen = [], set()
+                for text in texts_of(part.column("text")):
                     s = shingle_set(text, words)
-                    if not len(s):
+                    node = xxhash.xxh64_intdigest(s.tobytes(), SEED)
+                    if not len(s) or node in seen:
                         continue
+                    seen.add(node)
                     rank = np.zeros(len(s), np.int64)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         rank = np.where(common[at] == s, count[at], 0)
                     k = prefix_size(len(s), similarity)
-                    token = s[np.lexsort((s, rank))[:k]]
-                    out.append((token, np.full(k, node), np.full(k, len(s)), np.arange(k)))
+                    first = np.lexsort((s, rank))[:k]
+                    pieces = -(-rank[first] * every // PIECE)
+                    out.append((s[first], np.where(pieces > 1, (np.uint64(node) % np.maximum(pieces, 1).astype(np.uint64)).astype(np.int64), -1), np.full(k, node, np.uint64).view(np.int64), np.full(k, len(s)), np.arange(k)))
                 if out:
-                    columns = [np.concatenate(c) for c in zip(*out)]
-                    for a in range(0, len(columns[0]), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32))], ["token", "node", "n", "pos"])
-
-    return marked.select("text", "node").mapInArrow(write, "token long, node long, n int, pos int")
-
-
-def meets(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float):
-    """Pairs of nodes, by blocks, that share a filed shingle and may be alike.  Rows are sorted by token, n and node."""
-    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
-    token, node, n, pos = token[new], node[new], n[new].astype(np.int64), pos[new].astype(np.int64)
-    at, step = np.arange(len(token)), 1
-    while len(at := at[at + step < len(token)]):
-        # sets of one token grow: where the next is too large, all later ones are
-        at = at[(token[at] == token[at + step]) & (n[at] >= similarity * n[at + step] - _EPS)]
-        a, b = at, at + step
-        most = np.minimum(n[a] - pos[a], n[b] - pos[b])  # that a pair can share, if this is the first it shares
-        ok = most * (1 + similarity) >= similarity * (n[a] + n[b]) - _EPS
-        x, y = node[a[ok]], node[b[ok]]
-        yield np.minimum(x, y), np.maximum(x, y)
+                    yield from _batches([np.concatenate(c) for c in zip(*out)], _FILED)
+
+    return rows.select("text").mapInArrow(write, _FILED)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _batches(columns, schema: str):
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    for a in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000] if isinstance(c, np.ndarray) else c.slice(a, 100_000), _KINDS[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+def _possible(n, pos, a, b, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that first share a shingle at these places can be alike."""
+    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    most = np.minimum(n[a] - pos[a], n[b] - pos[b])
+    return (small >= similarity * large - _EPS) & (most * (1 + similarity) >= similarity * (n[a] + n[b]) - _EPS)
+
+
+def meets(bucket: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float):
+    """Places (a, b) of rows of one bucket that may be alike, by blocks.  Rows are sorted by bucket and n."""
+    at, step = np.arange(len(bucket)), 1
+    while len(at := at[at + step < len(bucket)]):
+        # sets of one bucket grow: where the next is too large, all later ones are
+        at = at[(bucket[at] == bucket[at + step]) & (n[at] >= similarity * n[at + step] - _EPS)]
+        ok = _possible(n, pos, at, at + step, similarity)
+        yield at[ok], at[ok] + step
         step += 1
 
 
-def _candidates(filed: DataFrame, similarity: float) -> DataFrame:
+def _whole(batches, keys: int, rows: int = 200_000):
+    """Columns of batches that are sorted by the first ``keys`` columns, regrouped so that none is cut within a key."""
+    held, have, need = [], 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
+        have += batch.num_rows
+        if have < need:
+            continue
+        now = [np.concatenate(x) for x in zip(*held)]
+        last = np.logical_and.reduce([c == c[-1] for c in now[:keys]])
+        end = len(last) if not last[:-1].any() and not last.any() else int(np.argmax(last))
+        if end:
+            yield [c[:end] for c in now]
+        held, have = [[c[end:] for c in now]], have - end
+        need = rows if end else 2 * have
+    if have:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+_MET = "a long, b long, token long, n int, pos int"
+
+
+def _first_meeting(filed: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Pairs (a, b) that may be alike, and rows of crowded buckets (node as a, b null)."""
+
     def fetch(batches):
-        held, rows, need = [], 0, 200_000
+        for token, piece, node, n, pos in _whole(batches, 2):
+            new = np.r_[True, (token[1:] != token[:-1]) | (piece[1:] != piece[:-1]) | (node[1:] != node[:-1])]
+            token, piece, node, n, pos = (c[new] for c in (token, piece, node, n, pos))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            head = np.r_[True, (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])]
+            start, bucket = np.flatnonzero(head), np.cumsum(head) - 1
+            size = np.diff(np.r_[start, len(token)])
+            crowded = (size > crowd)[bucket]
+            calm = np.flatnonzero(~crowded)
+            for a, b in meets(bucket[calm], n[calm], pos[calm], similarity):
+                yield from _pairs(node[calm[a]], node[calm[b]])
+            big = np.flatnonzero(size > crowd)
+            for k in range(PIVOTS):
+                pivot = start[big] + ((2 * k + 1) * size[big]) // (2 * PIVOTS)
+                a = np.flatnonzero(crowded)
+                b = np.repeat(pivot, size[big])
+                ok = (a != b) & _possible(n, pos, a, b, similarity)
+                yield from _pairs(node[a[ok]], node[b[ok]])
+            open_ = np.flatnonzero(crowded | (piece >= 0))
+            if len(open_):
+                yield from _batches([node[open_], pa.nulls(len(open_), pa.int64()), token[open_], n[open_], pos[open_]], _MET)
+
+    n = partitions(filed.sparkSession)
+    ranged = filed.repartition(n, "token", "piece").sortWithinPartitions("token", "piece", "n", "node")
+    return ranged.mapInArrow(fetch, _MET)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray):
+    none = lambda k: pa.nulls(len(x), k)
+    if len(x):
+        yield from _batches([np.minimum(x, y), np.maximum(x, y), none(pa.int64()), none(pa.int32()), none(pa.int32())], _MET)
+
+
+def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of crowded buckets (token, node, n, pos) whose texts may be alike and lie in different groups (node, root).
+
+    Rows of a bucket's largest group are dealt to pieces of bounded size, the others are copied to each piece.  Maps of sets
+    (``sets``) rule out pairs whose sets surely differ in too many shingles.
+    """
+    at = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = cut(at.dropDuplicates(["token", "node"]), "open")
+    sizes = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = cut(sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).filter("groups > 1"), "largest")
+    pieces, main = F.ceil(F.col("rows") / PIECE).cast("int"), F.col("root") == F.col("largest")
+    at = at.join(largest.select("token", "largest", pieces.alias("pieces")), "token").join(sets.select("node", "map"), "node")
+    at = at.select("token", "n", "node", "pos", "root", "map", main.alias("main"), "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("own"))
+    at = at.withColumn("piece", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))))
+    at = at.select("token", "piece", "n", "node", "pos", "root", "main", (F.col("piece") == F.col("own")).alias("home"), "map")
 
-        def pairs(columns):
-            for a, b in meets(*columns, similarity):
-                for k in range(0, len(a), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["a", "b"])
+    def fetch(batches):
+        for token, piece, n, node, pos, root, main, home, maps in _whole(batches, 2):
+            head = np.r_[True, (token[1:] != token[:-1]) | (piece[1:] != piece[:-1])]
+            n, pos, maps = n.astype(np.int64), pos.astype(np.int64), np.frombuffer(b"".join(maps), np.uint64).reshape(len(n), -1)
+            place = (np.cumsum(head) - 1) * np.int64(1 << 40)  # rows in the order of buckets and sizes
+            other = np.flatnonzero(~main)
+            low = np.searchsorted(place + n, place[other] + np.ceil(similarity * n[other] - _EPS).astype(np.int64))
+            high = np.searchsorted(place + n, place[other] + np.floor(n[other] / similarity + _EPS).astype(np.int64), "right")
+            ends = np.cumsum(high - low)
+            k = 0
+            while k < len(other):  # blocks of about a million meetings
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 1_000_000, "right")))
+                m = (high - low)[k:stop]
+                a = np.repeat(other[k:stop], m)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[k:stop], m)
+                ok = (root[a] != root[b]) & (home[a] | home[b]) & (main[b] | (b > a)) & _possible(n, pos, a, b, similarity)
+                a, b = a[ok], b[ok]
+                apart = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
+                ok = apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + _EPS
+                yield from _pairs(node[a[ok]], node[b[ok]])
+                k = stop
+
+    n = partitions(rows.sparkSession)
+    met = at.repartition(n, "token", "piece").sortWithinPartitions("token", "piece", "n", "node").mapInArrow(fetch, _MET)
+    return met.select("a", "b").distinct()
+
+
+# verification
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """48 bits of each hash, ascending."""
+    return np.sort(s.view(np.uint64) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _map(s: np.ndarray) -> bytes:
+    """A bit for each shingle: two sets differ in at least as many shingles as their maps differ in bits."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[s.view(np.uint64) >> np.uint64(64 - MAP_BITS.bit_length() + 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, packed set and map of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``)."""
+    spark = rows.sparkSession
+    key = F.xxhash64("doc", "tie")
+    of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted")
+    bits = spark.sparkContext.broadcast(sieve(of.select(F.xxhash64("doc", "tie").alias("h"))))
+    texts = sifted(rows.select("doc", "tie", "text", key.alias("h")), "h", bits, True).dropDuplicates(["doc", "tie"])
 
-        for batch in batches:
-            held.append([np.asarray(batch.column(k)) for k in range(4)])
-            rows += batch.num_rows
-            if rows < need:
-                continue
-            now = [np.concatenate(x) for x in zip(*held)]
-            cut_at = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
-            if cut_at:
-                yield from pairs([x[:cut_at] for x in now])
-            held, rows = [[x[cut_at:] for x in now]], rows - cut_at
-            need = 200_000 if cut_at else 2 * rows
-        if rows:
-            yield from pairs([np.concatenate(x) for x in zip(*held)])
-
-    ranged = filed.repartition(partitions(filed.sparkSession), "token").sortWithinPartitions("token", "n", "node")
-    return ranged.mapInArrow(fetch, "a long, b long").distinct()
-
-
-def _sets(texts: DataFrame, words: int) -> DataFrame:
     def write(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingle_set(t, words) for t in texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+                found = [shingle_set(t, words) for t in texts_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(map(f, found), pa.binary()) for f in (_packed, _map))], ["node", "s", "map"])
 
-    return texts.select("node", "text").mapInArrow(write, "node long, s array<long>")
+    return texts.join(of.select("node", "doc", "tie"), ["doc", "tie"]).select("node", "text").mapInArrow(write, "node long, s binary, map binary")
 
 
-def alike(marked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of all nodes whose sets have Jaccard similarity ``similarity`` or more."""
-    pairs = cut(_candidates(_prefixes(marked, words, similarity), similarity), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(marked.join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), words), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return both.filter(F.col("shared") >= similarity * (F.col("n") - F.col("shared")) - _EPS).select("a", "b")
-
-
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node and component_id (smallest doc_id of the component) of every row of ``docs`` (doc_id, text)."""
-    marked = cut(_marked(docs, words), "marked")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first"))
-    roots = components(alike(marked, words, similarity)).withColumnRenamed("node", "_node")
-    nodes = nodes.join(roots, nodes["node"] == roots["_node"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "node").join(nodes.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("sa", "sb"))
+            keep = []
+            for x, y in zip(a, b):
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared) - _EPS)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+# groups
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """KEY, node and stays (whether it is its group's) of every row of ``docs`` (doc_id, text and others).  Eager."""
+    rows, total = keyed(docs), docs.count()
+    marked = cut(_marked(rows, words), "marked")
+    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(*KEY)).alias("first"), F.min("fp").alias("fp")), "nodes")
+
+    met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met")
+    of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "of_fp")
+    close = cut(links(of_fp), "close").join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    close = close.select("na", "nb").unionByName(nodes.join(of_fp.select("fp", F.col("node").alias("na")), "fp").filter("node <> na").select("na", F.col("node").alias("nb")))
+    pairs = close.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).unionByName(met.filter("b is not null").select("a", "b")).distinct()
+    pairs = cut(pairs, "pairs")
+
+    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
+    open_ = met.filter("b is null").select(F.col("a").alias("node"), "token", "n", "pos")
+    sets = cut(_sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words), "sets")
+    found = cut(_verified(pairs, sets, similarity), "alike")
+    roots = cut(components(found), "roots")
+    late = cut(_second_meeting(open_, roots, sets, similarity), "late")
+    found = found.unionByName(cut(_verified(late, sets, similarity), "alike_late"))
+    roots = cut(nodes.join(components(found), "node"), "roots")
+
+    least = cut(roots.groupBy("root").agg(F.min("first").alias("stays")), "least")
+    grouped = roots.join(least, "root").select("node", "stays")
+    of = cut(grouped.unionByName(nodes.join(roots.select("node"), "node", "left_anti").select("node", F.col("first").alias("stays"))), "of")
+    return marked.join(of, "node").select(*KEY, "node", "stays")
+
+
+def without_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group.
+
+    Only rows that go, or that repeat a key, are joined with what is decided about them; all others pass where they are.
+    """
+    spark = docs.sparkSession
+    found = near_copies(docs, words, similarity)
+    kept = found.groupBy(*KEY).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    decided = cut(kept.select(*KEY, (F.struct(*KEY) == F.col("stays")).alias("keep"), "rows").filter("not keep or rows > 1"), "decided")
+    h, keys = fresh(docs.columns, "h"), {c: fresh(docs.columns, c) for c in KEY}
+    bits = spark.sparkContext.broadcast(sieve(decided.select(F.xxhash64("tie", "pick").alias("h"))))
+    marks = {keys["lacks"]: F.col("doc_id").isNull(), keys["doc"]: F.coalesce("doc_id", F.lit(0)).cast("long"), keys["tie"]: F.xxhash64(F.coalesce("text", F.lit("")))}
+    columns = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    marked = docs.withColumns(marks | {keys["pick"]: F.xxhash64(*columns)}).withColumn(h, F.xxhash64(keys["tie"], keys["pick"]))
+    sure = sifted(marked, h, bits, False).select(*docs.columns)
+    held = sifted(marked, h, bits, True).dropDuplicates(list(keys.values()))
+    gone = decided.filter("not keep").select(*(F.col(c).alias(keys[c]) for c in KEY))
+    return sure.unionByName(held.join(gone, list(keys.values()), "left_anti").select(*docs.columns))

@@ -13,35 +13,41 @@ unique and done.
 The others are fetched and built into a multi-document suffix order, one collection for some thousands of segments
 with whole anchors: a round inserts one symbol of each segment, from its end to its start.  The positions of the new
 suffixes are ranks in the Burrows-Wheeler transform so far; their common prefixes with both neighbours are one more than the
-smallest common prefix between the two occurrences of their symbol, and both columns are written out merged to a
-sequential file, which the next round reads (in memory up to ``SPOOL`` bytes, then an unnamed scratch file of the
-task, gone with it).  Neighbours with LENGTH common bytes are equal windows; the earliest of each class stays.
+smallest common prefix between the two occurrences of their symbol.  Transform and prefixes are sequential files: a
+round reads both from front to end in blocks, with the counts, the smallest prefixes and the open neighbours of each symbol
+carried from block to block, and writes them merged.  Files lie in memory up to ``SPOOL`` bytes, then below the shared
+folder under names of their own.  Neighbours with LENGTH common bytes are equal windows; the earliest of each class stays.
 
-Memory of one collection is a few dozen bytes for each byte of its segments; an anchor shared by very many *distinct*
-segments makes its collection larger than the others.
+Hot anchors: around a passage that very many documents hold, the same anchor has a segment of other bytes in each of
+them.  Segments of an anchor that a sample of ``SAMPLE`` documents shows ``OFTEN`` times, or that has over ``CROWD``
+distinct ones, are cut into their single windows, each dealt by its own hash; equal windows then meet as equal segments do.
+Which anchors these are matters for speed only, and no task holds more than ``CROWD`` segments of one anchor.
 
-Nulls: a null text is empty; a null doc_id sorts before all others.  Texts under LENGTH bytes lose nothing.  doc_id is
-a key: repeated rows with one doc_id and text are one document and get equal results.  An empty table gives an
-empty result.
+Equal bytes mean equal 64-bit hashes of anchor and of segment (for single windows two hashes of all their bytes).
+
+Nulls: a null text is empty; a null doc_id sorts before all others.  Texts under LENGTH bytes lose nothing.  A document is
+a doc_id and a text: rows that repeat both are one document and get equal results; rows that share a doc_id, or have
+none, with other texts are documents of their own, earlier ones first by the text's hash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, load, partitions, slices, texts_of
+from .common import cut, fresh, load, partitions, scratch, shared_files, slices, texts_of
 
 LENGTH, GRAM = 100, 40
 BLOCK = 1 << 20  # windows of a document that are anchored at once
-COLLECTION = 3000  # segments of one collection, unless one anchor has more
-SPOOL = 32 << 20
+COLLECTION = 3000  # segments of one collection; with whole anchors up to CROWD more
+CROWD = 500  # distinct segments of one anchor that are ordered together
+SAMPLE, OFTEN = 10_000, 25
+SPOOL, PIECE = 32 << 20, 1 << 18  # bytes of a file in memory, and of a block
 END = 255  # no byte of UTF-8: what precedes a whole segment
 NONE = -(2**63)
 
@@ -105,62 +111,143 @@ def ranges(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 
 class Column:
-    """One sequential file of bytes: written whole in order, read whole in order."""
-
-    def __init__(self, values: np.ndarray):
-        self.file = tempfile.SpooledTemporaryFile(SPOOL)
-        self.file.write(values.tobytes())
-
-    def read(self) -> np.ndarray:
-        self.file.seek(0)
-        data = np.frombuffer(self.file.read(), np.uint8)
-        self.file.close()
-        return data
-
-
-def build(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One sequential file of bytes: appended in blocks, then read in blocks of the same sizes from front to end."""
+
+    def __init__(self, folder: str | None = None):
+        self.folder, self.held, self.path, self.sizes, self.out = folder, [], None, [], None
+
+    def append(self, values: np.ndarray) -> None:
+        for part in np.array_split(values, max(1, len(values) // PIECE)):
+            if self.sizes and self.sizes[-1] < PIECE and self.out is None and len(part) < PIECE:
+                self.held[-1] = np.concatenate([self.held[-1], part])
+                self.sizes[-1] += len(part)
+            else:
+                self.sizes.append(len(part))
+                if self.out is None:
+                    self.held.append(part)
+                else:
+                    self.out.write(part.tobytes())
+        if self.out is None and self.folder and sum(self.sizes) > SPOOL:
+            self._to_file()
+
+    def _to_file(self) -> None:
+        self.fs, root = shared_files(self.folder)
+        self.fs.create_dir(root, recursive=True)
+        self.path = f"{root}/{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.path)
+        for part in self.held:
+            self.out.write(part.tobytes())
+        self.held = []
+
+    def blocks(self):
+        if self.out is None:
+            yield from self.held
+            return
+        self.out.close()
+        with self.fs.open_input_stream(self.path) as f:
+            for n in self.sizes:
+                yield np.frombuffer(f.read(n), np.uint8)
+
+    def drop(self) -> None:
+        if self.path:
+            self.fs.delete_file(self.path)
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate(list(self.blocks()))
+
+
+def _ranks(bwt: Column, lcp: Column, at: np.ndarray):
+    """For the entries ``at`` (ascending) of the transform, by one pass over both files:
+
+    symbol, how many of it come before, and the smallest common prefix up to its occurrence before (or -1) and after (or -1).
+    """
+    n = len(at)
+    symbol, rank, own, follow = np.empty(n, np.int64), np.empty(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    seen = np.zeros(256, np.int64)  # of each symbol, how many so far,
+    since = np.full(256, 255, np.uint8)  # the smallest prefix after the last,
+    waits = np.full(256, -1, np.int64)  # and which of the entries that is
+    base = q = 0
+    for block, prefix in zip(bwt.blocks(), lcp.blocks()):
+        order = np.argsort(block, kind="stable")
+        count = np.bincount(block, minlength=256)
+        edge = np.r_[0, np.cumsum(count)]
+        place = np.empty(len(block), np.int64)
+        place[order] = np.arange(len(block))
+        to = q + int(np.searchsorted(at[q:], base + len(block)))
+        here = at[q:to] - base
+        c, j = block[here].astype(np.int64), place[here]
+        symbol[q:to], rank[q:to] = c, seen[c] + j - edge[c]
+        has, goes = j > edge[c], j + 1 < edge[c + 1]
+        before, after = order[j[has] - 1], order[j[goes] + 1]
+        least = _Least(prefix, int(max(np.max(here[has] - before, initial=1), np.max(after - here[goes], initial=1))))
+        head, tail = np.minimum.accumulate(prefix), np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255)]
+        mine = own[q:to]
+        mine[has] = least(before + 1, here[has])
+        far = ~has & (seen[c] > 0)
+        mine[far] = np.minimum(since[c[far]], head[here[far]])
+        follow[q:to][goes] = least(here[goes] + 1, after)
+        present = np.flatnonzero(count)
+        open_ = present[waits[present] >= 0]
+        follow[waits[open_]] = np.minimum(since[open_], head[order[edge[open_]]])
+        since = np.minimum(since, head[-1])
+        since[present] = tail[order[edge[present + 1] - 1] + 1]
+        waits[present] = -1
+        waits[c[~goes]] = np.arange(q, to)[~goes]
+        seen += count
+        base, q = base + len(block), to
+    return symbol, rank, own, follow
+
+
+def _merged(old: Column, places: np.ndarray, values: np.ndarray, changed: np.ndarray | None = None, to: np.ndarray | None = None) -> Column:
+    """A file with ``values`` inserted before the old entries ``places`` (ascending), and the old entries ``changed`` set ``to``."""
+    new, base, a, x = Column(old.folder), 0, 0, 0
+    blocks = len(old.sizes)
+    for i, block in enumerate(old.blocks(), 1):
+        end = base + len(block)
+        b = len(places) if i == blocks else a + int(np.searchsorted(places[a:], end))
+        if changed is not None:
+            y = x + int(np.searchsorted(changed[x:], end))
+            block = block.copy()
+            block[changed[x:y] - base] = to[x:y]
+            x = y
+        new.append(np.insert(block, places[a:b] - base, values[a:b]))
+        base, a = end, b
+    old.drop()
+    return new
+
+
+def build(texts: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform and common prefixes of the suffixes of ``texts`` (each under 255 bytes, not empty)."""
     n, lens = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
     most = int(lens.max())
     symbols = np.full((most + 1, n), END, np.uint8)  # row t: the symbol t places before the end
     for i, t in enumerate(texts):
         symbols[: len(t), i] = np.frombuffer(t, np.uint8)[::-1]
-    live, at = np.arange(n), np.arange(n)
-    bwt, lcp = Column(symbols[0]), Column(np.zeros(n, np.uint8))
+    bwt, lcp = Column(folder), Column(folder)
+    bwt.append(symbols[0])
+    lcp.append(np.zeros(n, np.uint8))
+    live, at, totals = np.arange(n), np.arange(n), np.bincount(symbols[0], minlength=256)
     for t in range(1, most + 1):
-        old, prefix = bwt.read(), lcp.read()
-        order = np.argsort(old, kind="stable")  # the k-th suffix after the empty ones extends entry order[k]
-        rank = np.empty(len(old), np.int64)
-        rank[order] = np.arange(len(old))
-        k = np.sort(rank[at])
-        here = order[k]
-        symbol = old[here]
-        before = order[np.maximum(k - 1, 0)]
-        after = order[np.minimum(k + 1, len(old) - 1)]
-        joins = (k > 0) & (old[before] == symbol)
-        leads = (k + 1 < len(old)) & (old[after] == symbol)
-        table = _Least(prefix, int(max(np.max((here - before)[joins], initial=1), np.max((after - here)[leads], initial=1))))
-        own = np.zeros(len(k), np.uint8)
-        own[joins] = 1 + table(before[joins] + 1, here[joins])
-        follow = 1 + table(here[leads] + 1, after[leads])
-        where = n + k
-        # `at` in the order of the new positions: whose symbol comes next
-        by = np.argsort(rank[at], kind="stable")
-        live, at = live[by], where
-        fresh = symbols[t, live]
-        total = len(old) + len(k)
-        kept = np.ones(total, bool)
-        kept[where] = False
-        new_bwt, new_lcp = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        new_bwt[kept], new_lcp[kept] = old, prefix
-        new_bwt[where], new_lcp[where] = fresh, own
-        new_lcp[where[leads] + 1] = follow
-        bwt, lcp = Column(new_bwt), Column(new_lcp)
-        more = fresh != END
-        live, at = live[more], at[more]
+        symbol, rank, own, follow = _ranks(bwt, lcp, at)
+        # suffixes stand in the order of what they extend: smaller symbols, then earlier entries, after the n empty ones
+        where = n + (np.cumsum(totals) - totals)[symbol] + rank
+        order = np.argsort(where, kind="stable")
+        live, where, own, follow = live[order], where[order], own[order], follow[order]
+        added = symbols[t, live]
+        places = where - np.arange(len(where))
+        # the entry behind a new one: if it is new as well its own prefix says the same
+        ahead = (follow >= 0) & np.r_[where[1:] != where[:-1] + 1, True]
+        bwt = _merged(bwt, places, added)
+        lcp = _merged(lcp, places, (own + 1).astype(np.uint8), places[ahead], (follow[ahead] + 1).astype(np.uint8))
+        totals = totals + np.bincount(added, minlength=256)
+        more = added != END
+        live, at = live[more], where[more]
         if not len(live):
             break
-    return bwt.read(), lcp.read()
+    out = bwt.whole(), lcp.whole()
+    bwt.drop()
+    lcp.drop()
+    return out
 
 
 class _Least:
@@ -180,11 +267,11 @@ class _Least:
         return np.minimum(self.t[j, low], self.t[j, high - (1 << j) + 1])
 
 
-def repeated(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def repeated(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int = LENGTH, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """doc and start of every window of ``texts`` that equals an earlier one."""
     n = len(texts)
     lens = np.fromiter(map(len, texts), np.int64, n)
-    bwt, lcp = build(texts)
+    bwt, lcp = build(texts, folder)
     rank = np.empty(len(bwt), np.int64)
     rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
     group = np.cumsum(lcp < length)
@@ -205,12 +292,28 @@ def repeated(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     return docs[later], starts[later]
 
 
-_ROWS = ["key", "seg", "doc_id", "start", "size"]
-_FOUND = "doc_id long, key long, start long, size int"
+_ROWS = ["key", "seg", "doc", "tie", "start", "size"]
+_FOUND = "doc long, tie long, key long, start long, size int, many boolean"
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc, tie (what tells documents apart, in their order) and text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
 
+def _long(column) -> np.ndarray:
+    return np.asarray(column, dtype=np.int64)
 
-def _ids(column) -> np.ndarray:
-    return np.asarray(pc.fill_null(column, NONE), dtype=np.int64)
+
+def _numbered(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each row's document, ascending in their order, and doc and tie of each number."""
+    order = np.lexsort((tie, doc))
+    d, t = doc[order], tie[order]
+    new = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])] if len(d) else np.zeros(0, bool)
+    number = np.empty(len(d), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, d[new], t[new]
 
 
 def _first_of_equal(key, seg, doc, start):
@@ -222,29 +325,51 @@ def _first_of_equal(key, seg, doc, start):
     return order, first, ~first & ((d != d[head]) | (a != a[head]))
 
 
-def _anchored(batches):
-    """Rows (key, seg, doc_id, start, size); a covered range has seg null and a key that only spreads it."""
+def _windows(text: bytes, start: int, size: int) -> tuple[list[int], list[int], range]:
+    """Two hashes and the start of every window of one segment."""
+    at = range(start, start + size - LENGTH + 1)
+    wide = [xxhash.xxh3_128_intdigest(text[a : a + LENGTH]) for a in at]
+    return [w >> 64 for w in wide], [w & 0xFFFFFFFFFFFFFFFF for w in wide], at
+
+
+def _anchored(batches, hot: np.ndarray):
+    """Rows (key, seg, doc, tie, start, size); a covered range has seg null and a key that only spreads it."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for part in slices(batch, "text"):
-            docs, texts = _ids(part.column("doc_id")), texts_of(part.column("text"))
-            found = [segments(t) for t in texts]
-            counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
-            if not counts.sum():
+            number, docs, ties = _numbered(_long(part.column("doc")), _long(part.column("tie")))
+            keys, segs, owner, starts, sizes = [], [], [], [], []
+            for own, text in zip(number.tolist(), texts_of(part.column("text"))):
+                key, start, size = segments(text)
+                if not len(key):
+                    continue
+                crowd = np.isin(key.view(np.int64), hot) if len(hot) else np.zeros(len(key), bool)
+                for a, m in zip(start[crowd].tolist(), size[crowd].tolist()):
+                    k, g, at = _windows(text, a, m)
+                    keys.append(np.array(k, np.uint64))
+                    segs.append(np.array(g, np.uint64))
+                    starts.append(np.array(at, np.int64))
+                    sizes.append(np.full(len(at), LENGTH, np.int64))
+                key, start, size = key[~crowd], start[~crowd], size[~crowd]
+                keys.append(key)
+                segs.append(np.array([digest(text[a : a + m]) for a, m in zip(start.tolist(), size.tolist())], np.uint64))
+                starts.append(start)
+                sizes.append(size)
+                owner.append((own, sum(map(len, keys))))
+            if not keys:
                 continue
-            key, start, size = (np.concatenate(x) for x in zip(*found))
-            key, doc = key.view(np.int64), np.repeat(docs, counts)
-            digest = xxhash.xxh3_64_intdigest
-            seg = np.array([digest(t[a : a + n]) for t, f in zip(texts, found) for a, n in zip(f[1].tolist(), f[2].tolist())], np.uint64).view(np.int64)
+            key, seg, start, size = np.concatenate(keys).view(np.int64), np.concatenate(segs).view(np.int64), np.concatenate(starts), np.concatenate(sizes)
+            doc = np.repeat([o for o, _ in owner], np.diff([0, *(n for _, n in owner)]))
             order, first, later = _first_of_equal(key, seg, doc, start)
             one, more = order[first], order[later]
-            yield _rows(key[one], seg[one], doc[one], start[one], size[one])
+            yield _rows(key[one], seg[one], docs[doc[one]], ties[doc[one]], start[one], size[one])
             d, a, n = ranges(doc[more], start[more], size[more])
             if len(d):
-                yield _rows(d * np.int64(0x1E3779B97F4A7C15) + a, None, d, a, n)
+                yield _rows(ties[d] * np.int64(0x1E3779B97F4A7C15) + a, None, docs[d], ties[d], a, n)
 
 
-def _rows(key, seg, doc, start, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()) if seg is None else pa.array(seg), pa.array(doc), pa.array(start), pa.array(size, pa.int32())], _ROWS)
+def _rows(key, seg, doc, tie, start, size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()) if seg is None else pa.array(seg), pa.array(doc), pa.array(tie), pa.array(start), pa.array(size, pa.int32())], _ROWS)
 
 
 def _whole_keys(batches, weight: int):
@@ -269,61 +394,93 @@ def _whole_keys(batches, weight: int):
         yield pa.Table.from_batches(held)
 
 
-def _resolved(batches):
+def _resolved(batches, crowd: int):
     """Covered ranges (key null), and the first segment of each content of anchors that have several."""
     for table in _whole_keys(batches, 200_000):
         table = table.combine_chunks()
         done = np.asarray(table.column("seg").is_null())
-        key, doc, start, size = (np.asarray(table.column(c)) for c in ("key", "doc_id", "start", "size"))
+        doc, docs, ties = _numbered(_long(table.column("doc")), _long(table.column("tie")))
+        key, start, size = (np.asarray(table.column(c)) for c in ("key", "start", "size"))
         at = np.flatnonzero(~done)
         seg = np.asarray(table.column("seg").filter(pa.array(~done)), dtype=np.int64)
         order, first, later = _first_of_equal(key[at], seg, doc[at], start[at])
         more = np.r_[np.flatnonzero(done), at[order[later]]]
         one = at[order[first]]
-        k = key[one]
-        several = np.r_[False, k[1:] == k[:-1]] | np.r_[k[1:] == k[:-1], False] if len(k) else np.zeros(0, bool)
-        one = one[several]
+        _, inverse, count = np.unique(key[one], return_inverse=True, return_counts=True)
+        several, many = count[inverse] > 1, count[inverse] > crowd
+        one, many = one[several], many[several]
         d, a, n = ranges(doc[more], start[more], size[more].astype(np.int64))
-        yield _found(d, None, a, n)
-        yield _found(doc[one], key[one], start[one], size[one])
+        yield _found(docs[d], ties[d], a, n)
+        yield _found(docs[doc[one]], ties[doc[one]], start[one], size[one], key[one], many)
+
 
+def _found(doc, tie, start, size, key=None, many=None) -> pa.RecordBatch:
+    n = len(doc)
+    key, many = (pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())) if key is None else (pa.array(key), pa.array(many))
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), key, pa.array(start, pa.int64()), pa.array(size, pa.int32()), many], ["doc", "tie", "key", "start", "size", "many"])
 
-def _found(doc, key, start, size) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key), pa.array(start, pa.int64()), pa.array(size, pa.int32())], ["doc_id", "key", "start", "size"])
+
+_BODIES = "key long, seg long, doc long, tie long, start long, body binary"
 
 
 def _fetched(batches):
-    """The bytes of the segments that a document is asked for."""
+    """The bytes of the segments that a document is asked for; of a crowded anchor its windows' hashes (seg) instead."""
     for batch in batches:
         for part in slices(batch, "text"):
-            keys, docs, starts, bodies = [], [], [], []
-            for doc, text, wanted in zip(_ids(part.column("doc_id")).tolist(), texts_of(part.column("text")), part.column("wanted").to_pylist()):
+            rows = []
+            for doc, tie, text, wanted in zip(part.column("doc").to_pylist(), part.column("tie").to_pylist(), texts_of(part.column("text")), part.column("wanted").to_pylist()):
                 for w in wanted:
-                    keys.append(w["key"])
-                    docs.append(doc)
-                    starts.append(w["start"])
-                    bodies.append(text[w["start"] : w["start"] + w["size"]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(bodies, pa.binary())], ["key", "doc_id", "start", "body"])
+                    if w["many"]:
+                        k, g, at = _windows(text, w["start"], w["size"])
+                        rows += [(x, y, doc, tie, a, None) for x, y, a in zip(np.array(k, np.uint64).view(np.int64).tolist(), np.array(g, np.uint64).view(np.int64).tolist(), at)]
+                    else:
+                        rows.append((w["key"], None, doc, tie, w["start"], text[w["start"] : w["start"] + w["size"]]))
+            for k in range(0, len(rows), 50_000):
+                kinds = (pa.int64(),) * 5 + (pa.binary(),)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000]), kinds)], [x.split()[0] for x in _BODIES.split(", ")])
 
 
-def _collections(batches):
+def _collections(batches, folder: str):
     for table in _whole_keys(batches, COLLECTION):
-        doc, start = np.asarray(table.column("doc_id")), np.asarray(table.column("start"))
-        d, a = repeated(table.column("body").to_pylist(), doc, start)
+        table = table.combine_chunks()
+        doc, docs, ties = _numbered(_long(table.column("doc")), _long(table.column("tie")))
+        start, whole = np.asarray(table.column("start")), np.asarray(table.column("seg").is_null())
+        at, d, a = np.flatnonzero(~whole), [], []
+        if len(at):
+            seg = np.asarray(table.column("seg").filter(pa.array(~whole)), dtype=np.int64)
+            order, _, later = _first_of_equal(np.asarray(table.column("key"))[at], seg, doc[at], start[at])
+            d.append(doc[at[order[later]]])
+            a.append(start[at[order[later]]])
+        at = np.flatnonzero(whole)
+        if len(at):
+            x, y = repeated(table.column("body").filter(pa.array(whole)).to_pylist(), doc[at], start[at], folder=folder)
+            d.append(x)
+            a.append(y)
+        d, a = np.concatenate(d), np.concatenate(a)
         d, a, n = ranges(d, a, np.full(len(d), LENGTH, np.int64))
-        yield _found(d, None, a, n)
+        yield _found(docs[d], ties[d], a, n)
+
+
+def hot_anchors(docs: DataFrame, total: int, often: int = OFTEN) -> np.ndarray:
+    """Anchors that ``often`` distinct segments of a sample have: at most a fixed share of the sample's segments."""
+    part = docs.filter(F.pmod("tie", F.lit(max(1, total // SAMPLE))) == 0)
+    none = np.zeros(0, np.int64)
+    rows = part.mapInArrow(lambda batches: _anchored(batches, none), "key long, seg long, doc long, tie long, start long, size int")
+    counts = rows.filter("seg is not null").groupBy("key").agg(F.approx_count_distinct("seg").alias("n"))
+    return np.sort(np.asarray(counts.filter(F.col("n") >= often).select("key").toArrow().column("key"), dtype=np.int64))
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id and the byte ranges (start, size) of ``docs`` (doc_id, text) that repeat an earlier string.  Eager."""
-    n = partitions(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), "text")
-    anchors = docs.mapInArrow(_anchored, "key long, seg long, doc_id long, start long, size int")
-    found = cut(anchors.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_resolved, _FOUND), "anchors")
-    wanted = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "size")).alias("wanted"))
-    bodies = docs.join(wanted, "doc_id").mapInArrow(_fetched, "key long, doc_id long, start long, body binary")
-    searched = bodies.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_collections, _FOUND)
-    return found.filter("key is null").unionByName(searched).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
+def removed_ranges(docs: DataFrame, crowd: int = CROWD, often: int = OFTEN) -> DataFrame:
+    """doc, tie (as in ``documents``) and the byte ranges (start, size) of ``docs`` (doc_id, text) that repeat an earlier string.  Eager."""
+    spark = docs.sparkSession
+    n, own, folder = partitions(spark), documents(docs), scratch(spark, "columns")
+    hot = spark.sparkContext.broadcast(hot_anchors(own, docs.count(), often))
+    anchors = own.mapInArrow(lambda batches: _anchored(batches, hot.value), "key long, seg long, doc long, tie long, start long, size int")
+    found = cut(anchors.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: _resolved(batches, crowd), _FOUND), "anchors")
+    wanted = found.filter("key is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "size", "many")).alias("wanted"))
+    bodies = own.join(wanted, ["doc", "tie"]).mapInArrow(_fetched, _BODIES)
+    searched = bodies.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: _collections(batches, folder), _FOUND)
+    return found.filter("key is null").unionByName(searched).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
 
 
 def _mask(n: int, gone: list[dict] | None) -> np.ndarray:
@@ -334,11 +491,10 @@ def _mask(n: int, gone: list[dict] | None) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, text, and of the bytes that stay: kept (binary), n_bytes, n_removed, n_spans.  Eager up to the last join."""
-    key = F.coalesce("doc_id", F.lit(NONE))
-    gone = removed_ranges(docs).withColumnRenamed("doc_id", "_key")
-    joined = docs.select("doc_id", "text", key.alias("_key")).join(gone, "_key", "left").drop("_key")
+    own = documents(docs.select("doc_id", "text"))
+    joined = own.join(removed_ranges(docs, **bounds), ["doc", "tie"], "left").select(F.nullif("doc", F.lit(NONE)).alias("doc_id"), "text", "gone")
 
     def apply(batches):
         for batch in batches:
@@ -356,21 +512,23 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def without_ranges(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with texts that lack the byte ranges ``gone`` (doc_id, gone), ``n_chars`` renewed if there is one.
+    """``docs`` with texts that lack the byte ranges ``gone`` (doc, tie, gone), ``n_chars`` renewed if there is one.
 
     Parts of characters that a range cuts through go with it.
     """
-    held = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NONE))).join(gone.select(F.col("doc_id").alias("_key"), F.col("gone").alias("_gone")), "_key", "left").drop("_key")
+    doc, tie, ranges_ = (fresh(docs.columns, c) for c in ("doc", "tie", "gone"))
+    marked = docs.withColumns({doc: F.coalesce("doc_id", F.lit(NONE)), tie: F.xxhash64(F.coalesce("text", F.lit("")))})
+    held = marked.join(gone.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("gone").alias(ranges_)), [doc, tie], "left").select(*docs.columns, ranges_)
 
     def apply(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts, at = part.column("text").to_pylist(), part.schema.get_field_index("text")
-                for i, own in enumerate(part.column("_gone").to_pylist()):
+                for i, own in enumerate(part.column(ranges_).to_pylist()):
                     if own:
                         data = np.frombuffer(texts[i].encode(), np.uint8)
                         texts[i] = data[~_mask(len(data), own)].tobytes().decode("utf-8", "ignore")
-                yield part.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_gone"])
+                yield part.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([ranges_])
 
     out = held.mapInArrow(apply, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -9,6 +9,7 @@ the side that has the bit set looks up the other.  Complete distances are then v
 
 Equal fingerprints are one node.  A bucket's links are not written pair by pair: the task that verifies them keeps
 one link from every member to the smallest of its group, so that what leaves a bucket is no larger than the bucket.
+Buckets of over ``BUCKET`` entries are dealt in pieces: an entry at home is at home in one piece and looks up the others.
 
 Nulls: a null or wordless text has fingerprint zero and links like any other.  A null doc_id gets a fingerprint and
 the component of its links; a component of null doc_ids only has a null component_id.  Repeated rows stay.  An
@@ -28,28 +29,34 @@ from .components import components, local_components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 FETCH = 200_000  # entries whose buckets are verified at once, unless one bucket has more
+BUCKET, SAMPLE = 50_000, 1_000_000  # entries of a bucket's piece, about; fingerprints whose buckets are counted before
 #: (lowest bit, width, radius) of each segment.
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """Of UTF-8 bytes: only A-Z are lower-cased, words end at ASCII white space."""
+def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of UTF-8 bytes, repeats included: only A-Z are lower-cased, words end at ASCII white space."""
     parts = text.lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if parts else [], np.uint64)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.cumsum(lens + 1) - lens - 1
     ends = (starts + lens)[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, np.int64), len(ends)
-    for k in range(0, n, 50_000):
-        spans = zip(starts[k : k + 50_000].tolist(), ends[k : k + 50_000])
-        h = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits that over half of them have."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 50_000):
+        votes += np.unpackbits(hashes[k : k + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    return folded(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -112,8 +119,34 @@ def forest(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = 2_0
     return nodes[moved], nodes[label[moved]]
 
 
+def _pieces(entries: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that a sample shows to be hot, ascending, and into how many pieces each is dealt; a fixed share of the sample at most.
+
+    Which ones these are matters for speed only.
+    """
+    every = max(1, total // SAMPLE)
+    found = entries.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).groupBy("bucket").count().filter(F.col("count") >= max(8, BUCKET // every)).toArrow()
+    bucket, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("bucket", "count"))
+    order = np.argsort(bucket)
+    return bucket[order], np.maximum(2, -(-n[order] * every // BUCKET))
+
+
+def _dealt(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, hot: np.ndarray, pieces: np.ndarray):
+    """Rows with a piece: of a hot bucket each row is at home in one piece at most, and a visitor in all others."""
+    piece = np.zeros(len(bucket), np.int32)
+    if not len(hot):
+        return bucket, piece, fp, home
+    at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
+    n = np.where(hot[at] == bucket, pieces[at], 1)
+    row = np.repeat(np.arange(len(bucket)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    own = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % n
+    return bucket[row], piece.astype(np.int32), fp[row], home[row] & (own[row] == piece)
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints of ``fps`` (fp) wherever four bits or fewer differ."""
+    spark = fps.sparkSession
 
     def file(batches):
         for batch in batches:
@@ -122,10 +155,20 @@ def links(fps: DataFrame) -> DataFrame:
                 s = slice(k, k + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(fp[s]), pa.array(home[s])], ["bucket", "fp", "home"])
 
+    entries = fps.select("fp").mapInArrow(file, "bucket long, fp long, home boolean")
+    hot = spark.sparkContext.broadcast(_pieces(entries, fps.count()))
+
+    def deal(batches):
+        for batch in batches:
+            bucket, piece, fp, home = _dealt(*_entries(np.asarray(batch.column("fp"), dtype=np.int64)), *hot.value)
+            for k in range(0, len(bucket), 100_000):
+                s = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(piece[s]), pa.array(fp[s]), pa.array(home[s])], ["bucket", "piece", "fp", "home"])
+
     def fetch(batches):
         held, rows, need = [], 0, FETCH
         for batch in batches:
-            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)])
+            held.append([np.asarray(batch.column(0)) << 20 | np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)])
             rows += batch.num_rows
             if rows < need:
                 continue
@@ -138,8 +181,8 @@ def links(fps: DataFrame) -> DataFrame:
         if rows:
             yield _links(*(np.concatenate(x) for x in zip(*held)))
 
-    filed = fps.select("fp").mapInArrow(file, "bucket long, fp long, home boolean")
-    ranged = filed.repartition(partitions(fps.sparkSession), "bucket").sortWithinPartitions("bucket")
+    filed = fps.select("fp").mapInArrow(deal, "bucket long, piece int, fp long, home boolean")
+    ranged = filed.repartition(partitions(spark), "bucket", "piece").sortWithinPartitions("bucket", "piece")
     return ranged.mapInArrow(fetch, "a long, b long")
 
 
@@ -151,11 +194,13 @@ def _links(bucket, fp, home) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
     marked = cut(fingerprints(docs), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(nodes.join(least, "root").select("fp", "component_id"), "fp")
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    linked = cut(nodes.join(components(links(nodes)).withColumnRenamed("node", "fp"), "fp"), "linked")
+    # both sides of the joins below are tables as written, so that a large component or group of copies can be split
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    of = linked.join(least, "root").select("fp", "component_id")
+    of = cut(of.unionByName(nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))), "of")
+    return marked.join(of, "fp")
 
 
 def op7_multi_index(spark, sf_dir: str) -> DataFrame:

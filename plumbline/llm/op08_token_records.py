@@ -20,12 +20,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, load, partitions, scratch, slices
+from .common import cut, load, partitions, scratch, shared_files, slices
 from .vocab import coder, vocabulary_path
 
 NONE = -(2**63)
@@ -55,17 +54,13 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``path``; returns a row for each file: part, records, ids.  Eager."""
     spark = docs.sparkSession
 
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        fs, root = _fs(path)
+        fs, root = shared_files(path)
         fs.create_dir(root, recursive=True)
         code, index, at, count = coder(vocabulary), [], 0, 0
         width = np.uint16 if code.tok.get_vocab_size() <= 65_536 else np.uint32
@@ -93,14 +88,14 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
 
 
 def read_index(path: str, part: int) -> np.ndarray:
-    fs, root = _fs(path)
+    fs, root = shared_files(path)
     with fs.open_input_stream(f"{root}/part-{part:06d}.idx") as f:
         return np.frombuffer(f.read(), INDEX)
 
 
 def fetch(path: str, part: int, entry) -> tuple[int | None, np.ndarray]:
     """doc_id and ids of one indexed record, by a seek."""
-    fs, root = _fs(path)
+    fs, root = shared_files(path)
     with fs.open_input_file(f"{root}/part-{part:06d}.rec") as f:
         return _parse(unframe(f.read_at(int(entry["length"]), int(entry["offset"]))))
 
@@ -121,7 +116,7 @@ def read_records(parts: DataFrame, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for part in batch.column("part").to_pylist():
-                fs, root = _fs(path)
+                fs, root = shared_files(path)
                 index = read_index(path, part)
                 with fs.open_input_stream(f"{root}/part-{part:06d}.rec") as f:
                     for k in range(0, len(index), 1000):
@@ -140,7 +135,7 @@ def digests(parts: DataFrame, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for part in batch.column("part").to_pylist():
-                fs, root = _fs(path)
+                fs, root = shared_files(path)
                 index = read_index(path, part)
                 docs, crcs = [], []
                 with fs.open_input_stream(f"{root}/part-{part:06d}.rec", buffer_size=1 << 20) as f:

@@ -32,13 +32,16 @@ def test_collection_order_and_common_prefixes(sample):
     assert lcp.tolist() == want
 
 
-def test_columns_spill_to_files(monkeypatch):
-    monkeypatch.setattr(op4, "SPOOL", 16)
+@pytest.mark.parametrize(("spool", "piece"), [(1 << 20, 7), (16, 7), (200, 50), (1 << 20, 1 << 18)])
+def test_columns_in_blocks_and_files(monkeypatch, tmp_path, spool, piece):
     rng = random.Random(5)
-    sample = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(20)]
-    small = op4.build(sample)
-    monkeypatch.undo()
-    assert all((a == b).all() for a, b in zip(small, op4.build(sample)))
+    sample = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(20)] + [b"c", b"abc" * 9]
+    whole = op4.build(sample)
+    monkeypatch.setattr(op4, "SPOOL", spool)
+    monkeypatch.setattr(op4, "PIECE", piece)
+    files = op4.build(sample, str(tmp_path))
+    assert all((a == b).all() for a, b in zip(whole, files))
+    assert not [p for p in tmp_path.iterdir()]  # gone when read
 
 
 @settings(max_examples=40, deadline=None)
@@ -99,6 +102,36 @@ def test_periodic_and_shifted_passages(spark):
         assert r["n_removed"] == int(want[r["doc_id"]].sum()), r["doc_id"]
 
 
+def test_ids_that_repeat_or_lack(spark):
+    """Rows of one doc_id, or of none, with different texts are documents of their own; equal rows are one."""
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]
+    rows = [(7, base[0]), (7, base[0] + base[1]), (7, "short"), (None, base[2]), (None, base[2][:150] + base[3]), (None, None), (None, base[2]), (8, base[1] + base[3]), (8, base[1] + base[3]), (9, base[0])]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars int").repartition(3)
+    ties = {(r["doc"], r["text"]): r["tie"] for r in op4.documents(docs).collect()}
+    distinct = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, ties[op4.NONE if x[0] is None else x[0], x[1]]))
+    want = dict(zip(distinct, brute_removed(dict(enumerate(t for _, t in distinct))).values()))
+    got = op4.cleaned(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == sorted((str(d), len(t or ""), int(want[d, t or ""].sum())) for d, t in rows)
+    left = op4.without_ranges(docs, op4.removed_ranges(docs)).collect()
+    kept = lambda d, t: None if t is None else "".join(c for c, gone in zip(t, want[d, t]) if not gone)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in left) == sorted((str(d), kept(d, t) or "") for d, t in rows)
+    assert sum(m.sum() for m in want.values()) > 900
+
+
+def test_crowded_anchors(spark):
+    """A passage in other surroundings each time: its anchors at the edges have as many segments as documents."""
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(230)
+    rows = {i: text(80) + passage[: 230 - i % 5] + text(90) for i in range(60)} | {90: passage, 91: text(400)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    want = {d: int(m.sum()) for d, m in brute_removed(rows).items()}
+    for crowd, often in ((500, 25), (4, 10_000), (500, 10_000), (4, 2)):
+        assert (len(op4.hot_anchors(op4.documents(df), len(rows), often)) > 0) == (often < 100)
+        assert {r["doc_id"]: r["n_removed"] for r in op4.cleaned(df, crowd=crowd, often=often).collect()} == want
+
+
 def test_texts_without_ranges_stay_valid(spark):
     rows = {1: "é" * 200, 2: "a" + "é" * 199 + "end"}
     df = spark.createDataFrame([(d, t, 5) for d, t in rows.items()], "doc_id long, text string, n_chars int")
@@ -158,6 +191,26 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_buckets_in_pieces():
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 2**63))
+    near = [base ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), False)) for _ in range(300)]
+    fps = np.unique(np.array(near + rng.integers(0, 2**62, 50).tolist(), np.uint64).view(np.int64))
+    bucket, fp, home = op7._entries(fps)
+    kinds, n = np.unique(bucket, return_counts=True)
+    hot = kinds[n > 5]
+    b, piece, f, h = op7._dealt(bucket, fp, home, hot, np.full(len(hot), 3))
+    assert h.sum() == home.sum() and len(b) > len(bucket)
+
+    def groups(links):
+        node = {v: i for i, v in enumerate(fps.tolist())}
+        return local_components(len(fps), *(np.array([node[x] for x in v.tolist()], int) for v in links))
+
+    order = np.lexsort((piece, b))
+    whole, split = op7.forest(bucket, fp, home), op7.forest((b << 20 | piece)[order], f[order], h[order])
+    assert groups(split).tolist() == groups(whole).tolist() and len(set(groups(whole).tolist())) < len(fps) - 200
+
+
 @pytest.mark.parametrize("copies", [1, 3])
 def test_near_duplicates_against_brute_force(spark, copies):
     rng = random.Random(9)

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from plumbline.llm import near_copies as near
 
@@ -37,19 +40,62 @@ def corpus():
     return rows | {300: "", 301: " \n", 302: "tiny", 303: "Tiny"}
 
 
-def test_near_copies_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("often", "crowd", "piece"), [(5, 48, 100_000), (2, 3, 4), (2, 0, 7)])
+def test_near_copies_against_brute_force(spark, monkeypatch, often, crowd, piece):
     rows = corpus()
     label, links = brute_components(rows)
+    monkeypatch.setattr(near, "OFTEN", often)  # the order of shingles, crowds and pieces do not matter
+    monkeypatch.setattr(near, "PIECE", piece)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
-    for often in (near.OFTEN, 2):  # the order does not matter
-        monkeypatch.setattr(near, "OFTEN", often)
-        assert {r["doc_id"]: r["component_id"] for r in near.near_copies(df).collect()} == label
-    assert len(links) > 12 and near.near_copies(df.filter("false")).count() == 0
+    found = near.near_copies(df, crowd=crowd).collect()
+    assert {r["doc"]: r["stays"]["doc"] for r in found} == label
+    assert len(links) > 12
+
+
+def test_large_groups_of_near_copies(spark):
+    """Chains and heavily changed copies in one bucket, too many to meet pair by pair."""
+    rng = random.Random(3)
+    base = prose(rng, EN, 60).split()
+    rows = {}
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+        rows[i] = " ".join(w[: rng.randint(50, 60)])
+    label, links = brute_components(rows)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    found = near.near_copies(df, crowd=10).collect()
+    assert {r["doc"]: r["stays"]["doc"] for r in found} == label
+    assert len(links) > 500 and 5 < len(set(label.values())) < 140
+
+
+def test_maps_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a = rng.integers(-(2**63), 2**63 - 1, rng.integers(0, 400))
+        b = np.r_[a[: rng.integers(0, len(a) + 1)], rng.integers(-(2**63), 2**63 - 1, 20)]
+        x, y = (np.frombuffer(near._map(np.unique(s)), np.uint8) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert near._unpacked(near._packed(np.unique(a))).tolist() == sorted(v >> 16 for v in {int(v) for v in a.view(np.uint64)})
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, tie string, _h int").repartition(3)
 
 
 def test_stage_drops_near_copies_that_differ_in_many_bits(spark):
     rows = corpus()
     label, _ = brute_components(rows)
-    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
-    assert kept == {d for d in rows if label[d] == d}
+    docs = frame_of(spark, [(d, t, "en", None, len(t), "x", 3) for d, t in rows.items()])
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {r["doc_id"] for r in left.collect()} == {d for d in rows if label[d] == d} and left.columns == docs.columns
+    assert corpus_pipeline.near_dedup(spark, docs.filter("false"), "").count() == 0
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids: rows with an id are preferred, equal rows leave one."""
+    rng = random.Random(1)
+    one, two, three = (prose(rng, EN, 50) for _ in range(3))
+    rows = [(None, one, "en"), (None, one, "en"), (None, one, None), (4, two, "en"), (4, three, "en"), (4, two, "en"), (None, two, "fr"), (9, two + " tail", "en"), (None, None, None), (None, "", "en"), (11, " \n", None)]
+    left = corpus_pipeline.near_dedup(spark, frame_of(spark, [(*r, None, 1, "x", 2) for r in rows]), "").collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in left) == sorted([("None", one[:9]), ("4", two[:9]), ("4", three[:9]), ("11", " \n")])
