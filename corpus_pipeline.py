@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, load
-from plumbline.llm.near_copies import near_copies
+from plumbline.llm.near_copies import without_near_copies
 from plumbline.llm.op01_language_masks import identify, train
 from plumbline.llm.op04_multi_bwt import removed_ranges, without_ranges
 from plumbline.llm.op06_benchmark_leaks import retrieve
@@ -28,13 +28,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id: five-word shingles, Jaccard 0.8 or more.
+    """One row of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more.
 
-    doc_id is a key: rows that repeat one id are one document and stay together; documents without an id stay.
+    Of a group the row of the smallest doc_id stays (rows without one come last, then the text's hash decides); rows that
+    are equal in all columns leave one.
     """
-    found = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return without_near_copies(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
