@@ -1,34 +1,35 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
 Items are few against the corpus, so the index holds the items and every passage of every training document is a
-query.  Scores are normalised by the item's own score, so that 1 means "all of the item's words" and one threshold
-serves all items.  A passage is ``2 * stride`` words, a new one every ``stride`` words, where ``stride`` is the longest
-item (``STRIDE`` words at least): any item lies whole within some passage.
+query.  An item has two entries, the whole and its question (all but the last sentence).  Scores are normalised by the
+entry's own score, so that 1 means "all of its words".  A passage is ``2 * stride`` words, a new one every ``stride`` words, where
+``stride`` is the longest item (``STRIDE`` words at least): any item lies whole within some passage.
 
-Search: a bound first.  Terms found in few items are *rare*; what all other terms can add to item i is a constant
-``s_i`` of the index.  A passage whose rare terms reach ``THRESHOLD - s_i`` for no item cannot hold a result and is
+Search: a bound first.  Terms found in few entries are *rare*; what all other terms can add to entry i is a constant
+``s_i`` of the index.  A passage whose rare terms reach ``threshold - s_i`` for no entry cannot hold a result and is
 skipped; this is computed for all passages of a batch at once.  Each passage left is searched by block-max WAND:
-cursors over postings sorted by item, a pivot from the terms' maxima, then the maxima of the blocks at the pivot, and only
-then scores; every item at or above the threshold is retrieved, without a limit of results.
+cursors over postings sorted by entry, a pivot from the terms' maxima, then the maxima of the blocks at the pivot, and only
+then scores; every entry at or above the threshold is retrieved, without a limit of results.
 
-A document may hold the question without its answer, and that is less than the threshold where the answer weighs more.  So
-the items' shingles are looked up as well: every item of whose whole or question a document holds ``OVERLAP`` of the
-shingles, wherever they stand, is retrieved whatever its score, with its best passage.
+The threshold of an entry is ``THRESHOLD``, or less where a passage that verification accepts can score less: with a fifth
+of the shingles missing, at most so many words are, and the heaviest of them are taken off.  So all pairs that stand are retrieved.
 
-Verification: retrieved items are compared with the document by their 5-word shingles: overlap of the question (all
-but the last sentence), of the answer (the last sentence) and of the whole item.  A pair stands if the whole or the
-question overlaps by 0.8 or more.
+Verification, in the passage: overlap of the question, of the answer (the last sentence) and of the whole item, by 5-word
+shingles; a part of fewer words is one shingle of its length.  A pair stands if the whole overlaps by 0.8 or more, or the
+question does and either has five words or the answer does as well.  Of the passages of a pair the best is reported.
+
+Statistics (document frequencies, mean length, stride) are those of all items, so results do not depend on the shards: the index
+is broadcast in shards of ``SHARD_BYTES`` bytes of items, and every shard is searched.
 
 Nulls: null texts (documents or items) and items without words match nothing; a null doc_id or item_id is carried.
-Items under five words count as one shingle.  Repeated documents or items give repeated pairs.  Empty tables give
-an empty result.  Items are indexed in shards of ``ITEMS`` (a bound of what is broadcast at once); with more, every
-shard is searched.
+Repeated documents or items give repeated pairs.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, slices
+from .common import cut, load, slices
 
-K1, B, THRESHOLD, OVERLAP, SHINGLE, STRIDE, BLOCK, ITEMS = 1.2, 0.75, 0.6, 0.8, 5, 32, 64, 20_000
+K1, B, THRESHOLD, OVERLAP, SHINGLE, STRIDE, BLOCK, SHARD_BYTES = 1.2, 0.75, 0.6, 0.8, 5, 32, 64, 4 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
@@ -48,8 +49,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_WORDS).split()
 
 
-def shingles(parts: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(parts[i : i + SHINGLE]) for i in range(max(1, len(parts) - SHINGLE + 1))} if parts else set()
+def shingles(parts: list[bytes], size: int = SHINGLE) -> Counter:
+    """Runs of ``size`` words, and how often each stands."""
+    return Counter(zip(*(parts[k:] for k in range(size))))
+
+
+def part(text: str) -> tuple[int, Counter]:
+    """Size and shingles of an item's part: of fewer words than a shingle has, all of them."""
+    w = words(text)
+    size = min(SHINGLE, len(w))
+    return size, shingles(w, size) if w else Counter()
 
 
 def question_answer(text: str) -> tuple[str, str]:
@@ -59,99 +68,94 @@ def question_answer(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
+@dataclass
+class Stats:
+    """Of all items, whatever shard they are in."""
+
+    n: int
+    mean: float  # words
+    longest: int
+    df: dict[bytes, int]  # items that hold a term
+
+
 @dataclass
 class Index:
     ids: list  # item_id of each item
+    entries: list[tuple[int, bool]]  # item of each entry, and whether it is its question
     terms: dict[bytes, int]
-    items: list[list[int]]  # of each term: items, ascending
-    gains: list[list[float]]  # of each term: normalised contribution to each of those items
+    items: list[list[int]]  # of each term: entries, ascending
+    gains: list[list[float]]  # of each term: contribution to each of those entries; 1 is an entry's threshold
     top: list[float]  # of each term: largest contribution
-    blocks: list[tuple[list[int], list[float]]]  # of each term: last item and largest contribution of each block
+    blocks: list[tuple[list[int], list[float]]]  # of each term: last entry and largest contribution of each block
     rare: np.ndarray
-    common: np.ndarray  # of each item: what its terms that aren't rare add up to
+    common: np.ndarray  # of each entry: what its terms that aren't rare add up to
     stride: int
-    flat: tuple[np.ndarray, np.ndarray]  # items and contributions of all terms after each other
-    parts: list[tuple[set, set, set]]  # shingles of each item, its question and its answer
-    grams: Grams  # shingles of all items and questions
+    flat: tuple[np.ndarray, np.ndarray]  # entries and contributions of all terms after each other
+    parts: list[tuple]  # of each item: its whole, question and answer
     weights: list[dict[int, float]]  # of each item: normalised contribution of its terms
 
 
-@dataclass
-class Grams:
-    levels: list[np.ndarray]  # of each further word of a shingle: what starts there, as place in the level before * terms + term
-    short: dict[tuple, int]  # shingles of fewer words; their numbers follow those of the last level
-    owners: tuple[np.ndarray, np.ndarray]  # of each shingle, where its parts start and end in ``part``
-    part: np.ndarray  # 2 * item, and 1 more for its question
-    least: np.ndarray  # of each part, shingles that a document must hold
-
-
-def grams(parts: list[tuple[set, set, set]], terms: dict[bytes, int]) -> Grams:
-    wanted: dict[tuple, list[int]] = {}
-    least = np.zeros(2 * len(parts), np.int64)
-    for i, p in enumerate(parts):
-        for k in (0, 1):
-            least[2 * i + k] = max(1, int(np.ceil(OVERLAP * len(p[k]) - 1e-9)))
-            for g in p[k]:
-                wanted.setdefault(g, []).append(2 * i + k)
-    width = max(1, len(terms))
-    full = [g for g in wanted if len(g) == SHINGLE]
-    rows = np.array([[terms[x] for x in g] for g in full], np.int64).reshape(-1, SHINGLE)
-    at, levels = rows[:, 0], []
-    for k in range(1, SHINGLE):
-        level, at = np.unique(at * width + rows[:, k], return_inverse=True)
-        levels.append(level)
-    short = {g: len(full) + i for i, g in enumerate(g for g in wanted if len(g) < SHINGLE)}
-    listed = [[] for _ in wanted]
-    for g, number in chain(zip(full, at.tolist()), short.items()):
-        listed[number] = wanted[g]
-    n = np.fromiter(map(len, listed), np.int64, len(listed))
-    part = np.array(list(chain.from_iterable(listed)), np.int64)
-    return Grams(levels, short, (np.cumsum(n) - n, np.cumsum(n)), part, least)
-
-
-def build(rows: list[tuple[int | None, str | None]]) -> Index:
-    rows = [(i, t, w) for i, t in rows if (w := words(t))]
-    n = len(rows)
+def statistics(rows: list[tuple[int | None, str | None]]) -> Stats:
+    lists = [w for _, t in rows if (w := words(t))]
+    return Stats(len(lists), sum(map(len, lists)) / len(lists) if lists else 1.0, max(map(len, lists), default=0), Counter(chain.from_iterable(map(set, lists))))
+
+
+def lowest(weights: dict[int, float], size_and_shingles: tuple[int, Counter]) -> float:
+    """The least score of a passage that holds ``OVERLAP`` of an entry's shingles, or ``THRESHOLD``.
+
+    Words that no shingle covers are at most as many as the places of the shingles that are missing.
+    """
+    places = sorted(size_and_shingles[1].values(), reverse=True)
+    missing = sum(places[: int(len(places) * (1 - OVERLAP) + 1e-9)])
+    return min(THRESHOLD, 1 - sum(sorted(weights.values(), reverse=True)[:missing]) - 1e-9)
+
+
+def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None) -> Index:
+    stats = stats or statistics(rows)
+    rows = [(i, t) for i, t in rows if words(t)]
     terms: dict[bytes, int] = {}
-    counts = []
-    for _, _, w in rows:
-        own: dict[int, int] = {}
+    entries, entry_words, parts = [], [], []
+    for i, (_, text) in enumerate(rows):
+        question, answer = question_answer(text)
+        parts.append((part(text), part(question), part(answer)))
+        for kind, own in ((False, words(text)), (True, words(question))):
+            if own and not (kind and len(own) == len(entry_words[-1])):
+                entries.append((i, kind))
+                entry_words.append(own)
+    for w in entry_words:
         for x in w:
-            k = terms.setdefault(x, len(terms))
-            own[k] = own.get(k, 0) + 1
-        counts.append(own)
-    df = np.zeros(len(terms), np.int64)
-    for own in counts:
-        df[list(own)] += 1
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    mean = sum(len(w) for _, _, w in rows) / n if n else 1.0
+            terms.setdefault(x, len(terms))
+    df = np.fromiter((stats.df[x] for x in terms), np.int64, len(terms))
+    idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     posts: list[list[tuple[int, float]]] = [[] for _ in terms]
     weights: list[dict[int, float]] = []
-    for i, (own, (_, _, w)) in enumerate(zip(counts, rows)):
-        gain = {k: idf[k] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for k, c in own.items()}
+    for e, ((i, question), w) in enumerate(zip(entries, entry_words)):
+        gain = {terms[x]: idf[terms[x]] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / stats.mean)) for x, c in Counter(w).items()}
         total = sum(gain.values())
-        weights.append({k: float(g / total) for k, g in gain.items()})
-        for k, g in gain.items():
-            posts[k].append((i, g / total))
-    items = [np.array([i for i, _ in p], np.int64) for p in posts]
+        own = {k: float(g / total) for k, g in gain.items()}
+        least = max(1e-6, lowest(own, parts[i][question]))
+        if not question:
+            weights.append(own)
+        for k, g in own.items():
+            posts[k].append((e, g / least))
+    items = [np.array([e for e, _ in p], np.int64) for p in posts]
     gains = [np.array([g for _, g in p]) for p in posts]
     top = [float(g.max()) for g in gains]
     blocks = [(i[np.minimum(np.arange(BLOCK - 1, len(i) + BLOCK - 1, BLOCK), len(i) - 1)], np.maximum.reduceat(g, np.arange(0, len(g), BLOCK))) for i, g in zip(items, gains)]
     blocks = [(last.tolist(), most.tolist()) for last, most in blocks]
-    # the most frequent terms are not rare as long as, together, they leave every item well below the threshold
-    rare, common = np.ones(len(terms), bool), np.zeros(n)
-    for k in np.argsort(-df, kind="stable"):
-        if df[k] < 2 or (common[items[k]] + gains[k]).max() > 0.5 * THRESHOLD:
+    # the most frequent terms are not rare as long as, together, they leave every entry well below the threshold
+    rare, common = np.ones(len(terms), bool), np.zeros(len(entries))
+    for k in np.argsort(-np.fromiter(map(len, items), np.int64, len(items)), kind="stable"):
+        if len(items[k]) < 2 or (common[items[k]] + gains[k]).max() > 0.5:
             continue
         rare[k] = False
         common[items[k]] += gains[k]
     flat = (np.concatenate(items), np.concatenate(gains)) if items else (np.zeros(0, np.int64), np.zeros(0))
-    parts = [(shingles(w), *(shingles(words(p)) for p in question_answer(t))) for _, t, w in rows]
-    return Index([i for i, _, _ in rows], terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, max([STRIDE, *(len(w) for _, _, w in rows)]), flat, parts, grams(parts, terms), weights)
+    return Index([i for i, _ in rows], entries, terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, max(STRIDE, stats.longest), flat, parts, weights)
 
 
-def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-    """Every item whose score for the distinct terms of ``query`` reaches ``threshold``, by block-max WAND."""
+def wand(index: Index, query: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
+    """Every entry whose score for the distinct terms of ``query`` reaches ``threshold``, by block-max WAND."""
     live = [[index.items[t], index.gains[t], 0, t] for t in query]  # postings, contributions, cursor, term
     found, eps = [], 1e-9
     while live:
@@ -196,60 +200,16 @@ def wand(index: Index, query: list[int], threshold: float = THRESHOLD) -> list[t
     return found
 
 
-def read(index: Index, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def read(index: Index, pieces: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of each text, and the terms (or -1) of all words after each other."""
-    pieces = [words(t) for t in texts]
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     return lens, np.fromiter(map(index.terms.get, chain.from_iterable(pieces), repeat(-1)), np.int64, int(lens.sum()))
 
 
-def overlapping(index: Index, lens: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
-    """(text, item) wherever a text holds ``OVERLAP`` of the shingles of the item or its question."""
-    own, starts = index.grams, np.cumsum(lens) - lens
-    width = max(1, len(index.terms))
-    text = np.repeat(np.arange(len(lens)), lens)
-    # the first words of shingles that lie within one text, then word by word those that go on as some shingle of an item
-    first = np.flatnonzero((tokens >= 0) & (np.arange(len(tokens)) + SHINGLE <= (starts + lens)[text]))
-    at = tokens[first]
-    for k, level in enumerate(own.levels, 1):
-        nxt = tokens[first + k]
-        key = at * width + nxt
-        place = np.minimum(np.searchsorted(level, key), max(len(level) - 1, 0))
-        ok = (nxt >= 0) & (level[place] == key) if len(level) else np.zeros(len(first), bool)
-        first, at = first[ok], place[ok]
-    found_text, found_gram = [text[first]], [at]
-    if own.short:
-        name = {g: n for g, n in ((tuple(index.terms[x] for x in g), n) for g, n in own.short.items())}
-        for t in np.flatnonzero((lens > 0) & (lens < SHINGLE)).tolist():
-            n = name.get(tuple(tokens[starts[t] : starts[t] + lens[t]].tolist()))
-            if n is not None:
-                found_text.append(np.array([t]))
-                found_gram.append(np.array([n]))
-    t, g = np.concatenate(found_text), np.concatenate(found_gram)
-    if not len(t):
-        return []
-    t, g = np.unique(np.stack([t, g]), axis=1)
-    a, b = own.owners[0][g], own.owners[1][g]
-    n = b - a
-    part = own.part[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    key, count = np.unique(np.repeat(t, n) * len(own.least) + part, return_counts=True)
-    key = key[count >= own.least[key % len(own.least)]]
-    return sorted({(k // len(own.least), k % len(own.least) // 2) for k in key.tolist()})
-
-
-def best_passage(index: Index, tokens: np.ndarray, item: int) -> tuple[float, int]:
-    """Largest score of the item in the passages of one text, and the first such passage."""
-    s, weight = index.stride, index.weights[item]
-    scores = [sum(weight.get(x, 0.0) for x in set(tokens[p * s : (p + 2) * s].tolist())) for p in range(max(1, -(-len(tokens) // s)))]
-    best = max(scores)
-    return best, scores.index(best)
-
-
-def search(index: Index, texts: list[str | None], known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, float]]:
-    """(text, item, passage, score) of every passage and item at or above the threshold."""
+def search(index: Index, lens: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(text, entry, passage, score) of every passage and entry at or above the threshold."""
     if not index.ids:
         return []
-    lens, tokens = known or read(index, texts)
     s, starts = index.stride, np.cumsum(lens) - lens
     # stretches of `stride` words, numbered over all texts; passage p is stretches p and p + 1 of one text
     stretches = np.maximum(1, -(-lens // s))
@@ -264,7 +224,7 @@ def search(index: Index, texts: list[str | None], known: tuple[np.ndarray, np.nd
     base = np.cumsum(df) - df
     all_items, all_gains = index.flat
     at = np.repeat(base[tokens[hit]], n) + flat
-    width = len(index.ids)
+    width = len(index.entries)
     keys, inverse = np.unique(where * width + all_items[at], return_inverse=True)
     sums = np.bincount(inverse, all_gains[at], len(keys))
     # a stretch and the next one of the same text make a passage
@@ -273,7 +233,7 @@ def search(index: Index, texts: list[str | None], known: tuple[np.ndarray, np.nd
     owner = np.searchsorted(first, keys // width, "right") - 1
     last = keys // width == first[owner] + stretches[owner] - 1
     both = sums + np.where(follows & ~last, sums[np.minimum(nxt, max(len(keys) - 1, 0))] if len(keys) else 0, 0)
-    need = THRESHOLD - index.common[keys % width] - 1e-9
+    need = 1 - index.common[keys % width] - 1e-9
     alone_next = np.flatnonzero((sums >= need) & (keys // width > first[owner]))  # reached in the second half of the passage before
     candidates = np.unique(np.r_[keys[both >= need] // width, keys[alone_next] // width - 1])
     out = []
@@ -285,53 +245,105 @@ def search(index: Index, texts: list[str | None], known: tuple[np.ndarray, np.nd
     return out
 
 
-def verify(index: Index, item: int, has: set) -> tuple[float, float, float]:
-    """Overlap of the item, its question and its answer with a document's shingles."""
-    return tuple(len(p & has) / len(p) if p else 0.0 for p in index.parts[item])
+def verify(index: Index, item: int, passage: list[bytes]) -> tuple[float, float, float]:
+    """Overlap of the item, its question and its answer with a passage."""
+    runs: dict[int, Counter] = {}
+    return tuple(len(own.keys() & runs.setdefault(size, shingles(passage, size)).keys()) / len(own) if own else 0.0 for size, own in index.parts[item])
+
+
+def stands(index: Index, item: int, whole: float, question: float, answer: float) -> bool:
+    return whole >= OVERLAP or question >= OVERLAP and (index.parts[item][1][0] == SHINGLE or answer >= OVERLAP)
+
+
+def find(index: Index, texts: list[str | None]) -> list[tuple]:
+    """(text, item, score, passage, overlaps, contaminated) of every pair retrieved, for its best passage."""
+    pieces = [words(t) for t in texts]
+    best: dict[tuple[int, int], tuple] = {}
+    seen = set()
+    for t, entry, passage, _ in search(index, *read(index, pieces)):
+        item = index.entries[entry][0]
+        if (t, item, passage) in seen:
+            continue
+        seen.add((t, item, passage))
+        own = pieces[t][passage * index.stride : (passage + 2) * index.stride]
+        score = sum(index.weights[item].get(index.terms.get(x), 0.0) for x in set(own))
+        overlaps = verify(index, item, own)
+        row = (stands(index, item, *overlaps), overlaps, score, -passage)
+        best[t, item] = max(best.get((t, item), row), row)
+    return [(t, item, score, -passage, *overlaps, stand) for (t, item), (stand, overlaps, score, passage) in sorted(best.items())]
 
 
 RESULT = "doc_id long, item_id long, score double, passage int, overlap double, question_overlap double, answer_overlap double, contaminated boolean"
 
 
-def retrieve(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """Best passage and overlaps of every (document, item) pair retrieved; ``contaminated`` if the pair stands."""
+def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
+    """The index of all items, shard by shard: at most about ``shard_bytes`` of texts are on the driver."""
+    own = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+
+    def split(batches):
+        for batch in batches:
+            lists = [words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, lists), pa.int32()), pa.array([list(set(w)) for w in lists], pa.list_(pa.binary()))], ["item_id", "text", "n", "terms"])
+
+    items = cut(own.mapInArrow(split, "item_id long, text string, n int, terms array<binary>").filter("n > 0"), "items")
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not total["n"]:
+        return
+    several = -(-total["bytes"] // shard_bytes)
+    df = cut(items.select(F.explode("terms").alias("term")).groupBy("term").count(), "df")
+    for k in range(several):
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(several)) == k)
+        rows = sorted(((r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()), key=lambda r: (r[0] is not None, r))
+        counts = df.join(mine.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").collect()
+        yield build(rows, Stats(total["n"], total["mean"], total["longest"], {bytes(r["term"]): r["count"] for r in counts}))
+
+
+def retrieve(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Best passage and overlaps of every (document, item) pair retrieved; ``contaminated`` if the pair stands.  Eager if there are several shards."""
     spark = docs.sparkSession
-    ordered = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    total, out = ordered.count(), None
-    shards = -(-total // items)
-    for k in range(max(1, shards)):
-        part = ordered if shards <= 1 else ordered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        shared = spark.sparkContext.broadcast(build([(r["item_id"], r["text"]) for r in part.collect()]))
+    out = None
+    for index in shards(benchmark, shard_bytes):
+        if out is not None:  # the shard before goes when its pairs are written
+            out, shared = cut(out, "pairs"), shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
         found = docs.select("doc_id", "text").mapInArrow(_finder(shared), RESULT)
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], RESULT) if out is None else out
 
 
 def _finder(shared):
-    def find(batches):
+    def pairs(batches):
         index = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                lens, tokens = read(index, texts)
-                for t, item, passage, score in search(index, texts, (lens, tokens)):
-                    if (t, item) not in best or score > best[t, item][0]:
-                        best[t, item] = (score, passage)
-                starts = np.cumsum(lens) - lens
-                for t, item in overlapping(index, lens, tokens):
-                    if (t, item) not in best:
-                        best[t, item] = best_passage(index, tokens[starts[t] : starts[t] + lens[t]], item)
-                rows, has = [], {}
-                for (t, item), (score, passage) in sorted(best.items()):
-                    if t not in has:
-                        has = {t: shingles(words(texts[t]))}
-                    whole, question, answer = verify(index, item, has[t])
-                    rows.append((ids[t], index.ids[item], score, passage, whole, question, answer, whole >= OVERLAP or question >= OVERLAP))
+                ids = part.column("doc_id").to_pylist()
+                rows = [(ids[t], index.ids[item], *rest) for t, item, *rest in find(index, part.column("text").to_pylist())]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return find
+    return pairs
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Rows of ``docs`` (text and others) that hold no item.  Rows are judged where they are: no shuffle, no key."""
+    spark, before = docs.sparkSession, None
+    for index in shards(benchmark, shard_bytes):
+        if before is not None:
+            docs, _ = cut(docs, "clean"), before.unpersist()
+        before = spark.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(_cleaner(before), docs.schema)
+    return docs
+
+
+def _cleaner(shared):
+    def clean(batches):
+        index = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                gone = {t for t, *_, stand in find(index, part.column("text").to_pylist()) if stand}
+                yield part.filter(pa.array([t not in gone for t in range(part.num_rows)], pa.bool_()))
+
+    return clean
 
 
 def op6_block_max_wand(spark, sf_dir: str) -> DataFrame:
