@@ -14,7 +14,7 @@ from plumbline.llm.common import cut, load
 from plumbline.llm.near_copies import without_near_copies
 from plumbline.llm.op01_language_masks import identify, train
 from plumbline.llm.op04_multi_bwt import removed_ranges, without_ranges
-from plumbline.llm.op06_benchmark_leaks import retrieve
+from plumbline.llm.op06_benchmark_leaks import decontaminated
 from plumbline.llm.op09_linear_grouping import pack_documents
 
 #: Share of a text's n-grams that its language must contain; prose of a learned language is far above.
@@ -42,9 +42,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = retrieve(docs, load(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    """Documents that hold no benchmark item; every row is judged by its own text, with or without an id."""
+    return decontaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
