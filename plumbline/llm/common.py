@@ -64,10 +64,9 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of each value; null counts as empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    return column.cast(pa.binary()).to_pylist()
+    """Bytes (of a text in UTF-8) of each value; null counts as empty."""
+    column = column.cast(pa.binary())
+    return (column.fill_null(b"") if column.null_count else column).to_pylist()
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):

@@ -4,11 +4,11 @@ Text is lower-cased and every ASCII character that is no letter becomes a blank;
 UTF-8 bytes with one blank at most.  Training counts them for each language on labelled documents (about
 ``DOCS_PER_LANG`` of each, chosen by a hash of doc_id); a language *contains* an n-gram if its relative frequency there
 is at least ``SHARE`` of the highest of any language, and the ``GRAMS`` most frequent of each are stored.  The filter
-is one table of ``SLOTS`` bit masks, a bit for each language: an n-gram sets its languages' bits in ``HASHES`` slots,
+is one table of ``SLOTS`` bit masks, a bit for each language (64 to a word, as many words as it takes): an n-gram sets its languages' bits in ``HASHES`` slots,
 and the conjunction of those slots returns all languages that contain it at once.  A text's score for a language
 is its popcount over all n-grams, less what false positives add: (hits - n f) / (1 - f), f being that language's
 fill rate to the power of ``HASHES``.  The highest wins; ``score`` is its share of all corrected counts and
-``coverage`` its share of all n-grams.
+``coverage`` its share of all n-grams (1 for letters without any n-gram: nothing speaks against them).
 
 Nulls: a null or letterless text gives ``und`` with score 0; rows without lang are not learned from; a null doc_id
 is not held out.  Letters without any known n-gram give the commonest learned language with score 0.  Ties go to
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import load, slices, small_batches
+from .common import cut, load, slices, small_batches
 
 DOCS_PER_LANG, GRAMS, SHARE, LEAST = 3000, 60_000, 0.3, 3
 SLOTS, HASHES = 1 << 20, 3
@@ -68,7 +68,7 @@ class Model:
     hashes: int = HASHES
 
     def masks(self, values: np.ndarray) -> np.ndarray:
-        """For each n-gram the set of languages that contain it, as bits."""
+        """For each n-gram the set of languages that contain it, as bits: a row of words."""
         out = None
         for at in slots(values, self.hashes, len(self.table)):
             out = self.table[at] if out is None else out & self.table[at]
@@ -79,10 +79,10 @@ class Model:
         values, owner = grams(texts)
         masks, n, k = self.masks(values), len(texts), len(self.languages)
         if k <= 8:
-            table = np.bincount(owner << 8 | masks.astype(np.int64), minlength=n << 8).reshape(n, 256)
+            table = np.bincount(owner << 8 | masks[:, 0].astype(np.int64), minlength=n << 8).reshape(n, 256)
             bits = (np.arange(256)[:, None] >> np.arange(k)) & 1
             return table @ bits, table.sum(1)
-        hits = [np.bincount(owner[(masks >> np.uint64(i)) & np.uint64(1) == 1], minlength=n) for i in range(k)]
+        hits = [np.bincount(owner[masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) == 1], minlength=n) for i in range(k)]
         return np.stack(hits, axis=1), np.bincount(owner, minlength=n)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -96,20 +96,18 @@ class Model:
         best, total = true.argmax(1), true.sum(1)
         top = true[np.arange(len(texts)), best] * letters
         score = np.minimum(1, top / np.maximum(total, 1e-9))
-        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters)], score, np.minimum(1, top / np.maximum(n, 1))
+        return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters)], score, np.where(n > 0, np.minimum(1, top / np.maximum(n, 1)), letters)
 
 
 def build(counts: dict[str, dict[int, int]], docs: dict[str, int]) -> Model:
     """The filter for n-gram counts of each language."""
     languages = sorted(counts, key=lambda x: (-docs.get(x, 0), x))
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit a mask")
-    table = np.zeros(SLOTS, kind)
+    kind, width = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
+    table = np.zeros((SLOTS, max(1, -(-len(languages) // width))), kind)
     for i, lang in enumerate(languages):
         for at in slots(np.fromiter(counts[lang], np.uint32, len(counts[lang])), HASHES, SLOTS):
-            table[at] |= kind(1 << i)
-    fill = np.array([((table >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+            table[at, i // width] |= kind(1 << i % width)
+    fill = np.array([((table[:, i // width] >> kind(i % width)) & kind(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**HASHES)
 
 
@@ -132,14 +130,16 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(names[keys >> 32].tolist(), pa.string()), "gram": pa.array(keys & 0xFFFFFFFF), "n": pa.array(n, pa.int64())})
 
     counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counted.filter(F.col("n") >= LEAST).join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    counted = cut(counted, "grams")
+    totals = F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
+    rates = counted.filter(F.col("n") >= LEAST).join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     highest = rates.groupBy("gram").agg(F.max("rate").alias("highest"))
     held = rates.join(highest, "gram").filter(F.col("rate") >= SHARE * F.col("highest"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # limited to `most` before the shuffle already
+    found = held.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("lang", "gram", "n").toArrow()
     counts: dict[str, dict[int, int]] = {k: {} for k in sizes}
-    for lang in sizes:  # `most` n-grams of each language at most
-        for r in held.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(most).select("gram", "n").toArrow().to_pylist():
-            counts[lang][r["gram"]] = r["n"]
+    for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n"))):  # `most` n-grams of each language
+        counts[lang][gram] = n
     return build(counts, sizes)
 
 

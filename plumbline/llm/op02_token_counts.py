@@ -3,7 +3,8 @@
 The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens).  Content is normalised (null becomes
 empty; nothing else, as any other change could alter a count) and digested by SHA-256; the tokenizer version is
 the SHA-256 of its vocabulary file.  Texts whose pair of digests is not stored are reduced to distinct ones,
-encoded once each, and appended; the counts of all rows then come from the cache by a join.
+encoded once each, and appended; the counts of all rows then come from the cache by a join.  Digests that a ``1 /
+HOT`` share of all rows have (``HOT`` at most) are joined where their rows are, as the join would deal them to one task.
 
 Nulls: a null text is empty and counts 0.  Repeated rows stay repeated.  An empty table gives an empty result.
 """
@@ -17,10 +18,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, scratch, slices
+from .common import cut, load, scratch, slices
 from .vocab import coder, vocabulary_path
 
-VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
+VOCABULARY, LIMIT, HOT = "byte_bpe_50k.json", 1024, 1000
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -32,8 +33,10 @@ def tokenizer_digest(path: str) -> str:
 def _stored(spark, cache: str, tokenizer: str) -> DataFrame:
     try:
         rows = spark.read.schema(CACHE).parquet(cache)
-    except AnalysisException:  # nothing was ever appended
-        rows = spark.createDataFrame([], CACHE)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], CACHE)  # nothing was ever appended
     # a run that was repeated after a loss may have appended a count twice: counts of equal digests are equal
     return rows.filter(F.col("tokenizer_digest") == tokenizer).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -54,7 +57,13 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str, most_bytes: int =
     # copies inside a partition go before the shuffle, the rest after it: one hot text costs one row a task
     misses = seen.select("content_digest", "text").join(_stored(spark, cache, version), "content_digest", "left_anti").dropDuplicates(["content_digest"])
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    return seen.drop("text").join(_stored(spark, cache, version), "content_digest")
+
+    rows = cut(seen.drop("text"), "digests")
+    sizes = rows.groupBy("content_digest").count().filter(F.col("count") >= max(HOT, rows.count() // HOT)).select("content_digest")
+    hot = cut(_stored(spark, cache, version).join(F.broadcast(sizes), "content_digest"), "hot")  # HOT rows at most
+    there = rows.join(F.broadcast(hot), "content_digest")
+    others = rows.join(F.broadcast(hot.select("content_digest")), "content_digest", "left_anti")
+    return there.unionByName(others.join(_stored(spark, cache, version), "content_digest"))
 
 
 def op2_digest_cache(spark, sf_dir: str) -> DataFrame:

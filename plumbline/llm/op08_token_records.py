@@ -2,12 +2,12 @@
 
 A record is: payload length (u64), masked checksum of those 8 bytes (u32), payload, masked checksum of the
 payload (u32), all little-endian.  The payload is doc_id (i64), id width in bytes (u32: 2 where the vocabulary
-fits, else 4), number of ids (u32), ids.  Next to ``part-*.rec`` lies ``part-*.idx``: doc_id (i64), offset (u64),
+fits, else 4), number of ids (u32), ids.  Next to ``NAME.rec`` lies ``NAME.idx``: doc_id (i64), offset (u64),
 length of the whole record (u64), number of ids (u32) for each record, so that any record can be fetched alone.
-Files hold ascending ranges of doc_id.  The checksum is CRC-32 rotated right by 15 bits plus 0xA282EAD8.
+Files hold ascending ranges of doc_id, of equal ones by the text's hash; many rows of one doc_id may fill several files.  The checksum is CRC-32 rotated right by 15 bits plus 0xA282EAD8.
 
-Each file is written by one task under a name of its attempt and renamed when complete: a lost executor or a
-second attempt leaves no half file under the final name.
+Both files of a part bear the name of the task attempt that wrote them, and the table of parts, which only holds rows of
+attempts that Spark commits, names them.  A lost executor or a second attempt leaves files that nothing refers to.
 
 Nulls: a null text is empty (its record holds the end id only); a null doc_id is stored as the smallest 64-bit
 integer and read back as null.  Repeated rows give repeated records.  An empty table gives no records.
@@ -55,7 +55,7 @@ def unframe(record: bytes) -> bytes:
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) below ``path``; returns a row for each file: part, records, ids.  Eager."""
+    """Write ``docs`` (doc_id, text) below ``path``; returns a row for each pair of files: part, name, records, ids.  Eager."""
     spark = docs.sparkSession
 
     def write(batches):
@@ -64,8 +64,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
         fs.create_dir(root, recursive=True)
         code, index, at, count = coder(vocabulary), [], 0, 0
         width = np.uint16 if code.tok.get_vocab_size() <= 65_536 else np.uint32
-        temp, name = f"{root}/.{attempt}-{part:06d}", f"{root}/part-{part:06d}"
-        with fs.open_output_stream(f"{temp}.rec") as out:
+        name = f"part-{part:06d}-{attempt}"
+        with fs.open_output_stream(f"{root}/{name}.rec") as out:
             for batch in batches:
                 for piece in slices(batch, "text"):
                     ids, lens = code.ids(piece.column("text").fill_null("").to_pylist(), end_id)
@@ -77,26 +77,25 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
                         out.write(record)
                         index.append((doc, at, len(record), len(own)))
                         at, count = at + len(record), count + len(own)
-        with fs.open_output_stream(f"{temp}.idx") as out:
+        with fs.open_output_stream(f"{root}/{name}.idx") as out:
             out.write(np.array(index, INDEX).tobytes())
-        for kind in ("idx", "rec"):
-            fs.move(f"{temp}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "records": pa.array([len(index)], pa.int64()), "ids": pa.array([count], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": pa.array([name]), "records": pa.array([len(index)], pa.int64()), "ids": pa.array([count], pa.int64())})
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return cut(ranged.mapInArrow(write, "part int, records long, ids long"), "parts")
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    ranged = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return cut(ranged.mapInArrow(write, "part int, name string, records long, ids long"), "parts")
 
 
-def read_index(path: str, part: int) -> np.ndarray:
+def read_index(path: str, name: str) -> np.ndarray:
     fs, root = shared_files(path)
-    with fs.open_input_stream(f"{root}/part-{part:06d}.idx") as f:
+    with fs.open_input_stream(f"{root}/{name}.idx") as f:
         return np.frombuffer(f.read(), INDEX)
 
 
-def fetch(path: str, part: int, entry) -> tuple[int | None, np.ndarray]:
+def fetch(path: str, name: str, entry) -> tuple[int | None, np.ndarray]:
     """doc_id and ids of one indexed record, by a seek."""
     fs, root = shared_files(path)
-    with fs.open_input_file(f"{root}/part-{part:06d}.rec") as f:
+    with fs.open_input_file(f"{root}/{name}.rec") as f:
         return _parse(unframe(f.read_at(int(entry["length"]), int(entry["offset"]))))
 
 
@@ -115,17 +114,17 @@ def read_records(parts: DataFrame, path: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for part in batch.column("part").to_pylist():
+            for part, name in zip(batch.column("part").to_pylist(), batch.column("name").to_pylist()):
                 fs, root = shared_files(path)
-                index = read_index(path, part)
-                with fs.open_input_stream(f"{root}/part-{part:06d}.rec") as f:
+                index = read_index(path, name)
+                with fs.open_input_stream(f"{root}/{name}.rec") as f:
                     for k in range(0, len(index), 1000):
                         docs, ids = zip(*(_parse(unframe(f.read(int(e["length"])))) for e in index[k : k + 1000]))
                         lens = [len(i) for i in ids]
                         values = pa.array(np.concatenate(ids).astype(np.int32))
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "place": pa.array(range(k, k + len(docs)), pa.int64()), "n_tokens": pa.array(lens, pa.int64()), "ids": pa.ListArray.from_arrays(np.r_[0, np.cumsum(lens)].astype(np.int32), values)})
 
-    spread = parts.filter("records > 0").select("part").repartition(partitions(parts.sparkSession), "part")
+    spread = parts.filter("records > 0").select("part", "name").repartition(partitions(parts.sparkSession), "part")
     return spread.mapInArrow(read, "doc_id long, part int, place long, n_tokens long, ids array<int>")
 
 
@@ -134,11 +133,11 @@ def digests(parts: DataFrame, path: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for part in batch.column("part").to_pylist():
+            for part, name in zip(batch.column("part").to_pylist(), batch.column("name").to_pylist()):
                 fs, root = shared_files(path)
-                index = read_index(path, part)
+                index = read_index(path, name)
                 docs, crcs = [], []
-                with fs.open_input_stream(f"{root}/part-{part:06d}.rec", buffer_size=1 << 20) as f:
+                with fs.open_input_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as f:
                     for length in index["length"].tolist():
                         doc, ids = _parse(unframe(f.read(length)))
                         docs.append(doc)
@@ -146,7 +145,7 @@ def digests(parts: DataFrame, path: str) -> DataFrame:
                 n = index["n"].astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "start_in_part": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    spread = parts.filter("records > 0").select("part").repartition(partitions(parts.sparkSession), "part")
+    spread = parts.filter("records > 0").select("part", "name").repartition(partitions(parts.sparkSession), "part")
     return spread.mapInArrow(read, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
 
 

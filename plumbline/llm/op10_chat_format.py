@@ -3,8 +3,9 @@
 A turn is rendered as ``<|im_start|>role \\n body <|im_end|> \\n`` (without the blanks).  The grammar reserves ``<|``: a body
 must not contain it, so the text splits into turns in one way.  Every turn is rendered as it is and parsed
 again; where the parser does not give back role and text (the content holds ``<|``, or what unescaping would
-change), the content is escaped: each ``<``, k backslashes, ``|`` gets one backslash more, which the parser takes away.  The whole
-conversation is then parsed and compared to its source once more (``round_trip_ok``).
+change), the content is escaped: each ``<``, k backslashes, ``|`` gets one backslash more, which the parser takes away.  The
+escaped turn is parsed and compared as well, and the whole conversation once more (``round_trip_ok``); one escape is enough
+for any content, and should it ever not be, the query stops rather than write what cannot be read back.
 
 A loss mask covers assistant bodies.  Conversations are put together from blocks of ``BLOCK`` turn numbers, so
 that a very long one is first concatenated in many tasks.
@@ -67,7 +68,9 @@ def format_conversations(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     source = F.struct("role", "text")
     one = one.withColumn("plain", render(F.col("role"), F.col("text")))
     one = one.withColumn("ok", F.coalesce(parse(F.col("plain")) == F.array(source), F.lit(False)))
-    one = one.withColumn("rendered", F.when(F.col("ok"), F.col("plain")).otherwise(render(F.col("role"), escape(F.col("text")))))
+    one = one.withColumn("escaped", F.when(~F.col("ok"), render(F.col("role"), escape(F.col("text")))))
+    lost = F.raise_error(F.concat(F.lit("a turn does not come back from its own rendering: "), F.substring("escaped", 1, 200)))
+    one = one.withColumn("rendered", F.when(F.col("ok"), F.col("plain")).when(parse(F.col("escaped")) == F.array(source), F.col("escaped")).otherwise(lost.cast("string")))
     source_line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
     # the block's turns are sorted as (turn, role, text): what equal turns are ordered by, too
     items = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", source_line.alias("line"), (~F.col("ok")).cast("int").alias("escaped"))))
@@ -92,7 +95,7 @@ def format_conversations(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def with_probe(rows: DataFrame) -> DataFrame:
     """``rows`` and conversation -1, whose texts hold the template's own marks."""
-    probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    probe = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

@@ -62,6 +62,14 @@ def test_counts_from_the_digest_cache(spark, coders):
     assert op2.count_tokens(docs.limit(0), scratch(spark, "cache"), BYTE).count() == 0
 
 
+def test_hot_digests_are_joined_in_place(spark, coders, monkeypatch):
+    monkeypatch.setattr(op2, "HOT", 4)
+    rows = [(i, "one text that very many rows share" if i % 3 else f"text {i}") for i in range(60)] + [(None, None), (None, "one text that very many rows share")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in op2.count_tokens(docs, scratch(spark, "cache"), BYTE).collect())
+    assert got == sorted((str(d), len(library(coders[1], t or ""))) for d, t in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     out = op5.permute(np.arange(n), n)
@@ -96,9 +104,9 @@ def test_records_round_trip_and_seek(spark, coders):
     ordered = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["part"], r["place"]))]
     assert ordered == sorted(ordered, key=lambda d: (d is not None, d or 0))
     for p in parts.filter("records > 0").collect():
-        index = op8.read_index(path, p["part"])
+        index = op8.read_index(path, p["name"])
         entry = index[len(index) // 2]
-        doc, ids = op8.fetch(path, p["part"], entry)
+        doc, ids = op8.fetch(path, p["name"], entry)
         assert (ids == want[doc]).all()
     got = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in op8.digests(parts, path).collect()}
     assert got == {(d, len(i), zlib.crc32(i.tobytes())) for d, i in want.items()}
@@ -106,6 +114,17 @@ def test_records_round_trip_and_seek(spark, coders):
     assert op8.read_records(op8.write_records(frame(spark, []), empty, WORD, 2), empty).count() == 0
 
 
+def test_records_of_equal_and_missing_ids(spark, coders):
+    rows = [(None, f"text {k}") for k in range(40)] + [(5, f"more {k}") for k in range(40)] + [(5, None)]
+    path = scratch(spark, "records")
+    parts = op8.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, WORD, 2)
+    got = sorted(op8.read_records(parts, path).collect(), key=lambda r: (r["part"], r["place"]))
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(d), library(coders[0], t or "") + [2]) for d, t in rows)
+    assert [r["doc_id"] is None for r in got] == [True] * 40 + [False] * 41 and len({r["part"] for r in got}) > 1
+    again = op8.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), scratch(spark, "records"), WORD, 2)
+    assert again.agg({"ids": "sum"}).first()[0] == parts.agg({"ids": "sum"}).first()[0]
+
+
 def test_damaged_records_are_noticed():
     record = bytearray(op8.frame(b"payload"))
     assert op8.unframe(bytes(record)) == b"payload"
