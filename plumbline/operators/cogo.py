@@ -48,11 +48,8 @@ def read_call(has: set[str]) -> Column:
     )
 
 
-def walk_array(numbers: Column, curves: bool = True) -> Column:
-    """Struct (points, unparsed_calls, closure_error_ft, curves) of an ordered array of ``read_call`` structs.
-
-    ``curves`` false leaves the curve arithmetic out of the plan, for tables that have lines only.
-    """
+def walk_array(numbers: Column) -> Column:
+    """Struct (points, unparsed_calls, closure_error_ft, curves) of an ordered array of ``read_call`` structs."""
     start = F.struct(
         F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).cast(f"array<{_POINT}>").alias("points"),
         F.lit(None).cast("double").alias("tangent"),
@@ -98,7 +95,7 @@ def walk_array(numbers: Column, curves: bool = True) -> Column:
         )
 
     def step(s: Column, c: Column) -> Column:
-        return F.when(c["curve"], bend(s, c)).otherwise(line(s, c)) if curves else line(s, c)
+        return F.when(c["curve"], bend(s, c)).otherwise(line(s, c))
 
     def finish(s: Column) -> Column:
         last = F.element_at(s["points"], -1)
@@ -108,10 +105,25 @@ def walk_array(numbers: Column, curves: bool = True) -> Column:
 
 
 def walk_traverse(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """points, unparsed_calls, closure_error_ft, curves of each parcel."""
+    """points, unparsed_calls, closure_error_ft, curves of each parcel.
+
+    Tables of lines only need no fold: a window adds up the steps, and points are gathered as they are.
+    """
     read = calls.select(*keys, "seq", read_call(set(calls.columns)).alias("n"))
-    gathered = read.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "n"))), lambda x: x["n"]).alias("numbers"))
-    return gathered.withColumn("walk", walk_array(F.col("numbers"), "call_type" in calls.columns)).select(*keys, "walk.*")
+    if "call_type" in calls.columns:
+        gathered = read.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "n"))), lambda x: x["n"]).alias("numbers"))
+        return gathered.withColumn("walk", walk_array(F.col("numbers"))).select(*keys, "walk.*")
+    n = F.col("n")
+    good = n["azimuth"].isNotNull() & n["distance"].isNotNull() & ~n["blank"]
+    step = lambda f: F.when(F.col("good"), n["distance"] * f(F.radians(n["azimuth"]))).otherwise(0.0)
+    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    at = read.withColumn("good", good).withColumns({"x": F.sum(step(F.sin)).over(w), "y": F.sum(step(F.cos)).over(w)})
+    points = F.sort_array(F.collect_list(F.when(F.col("good"), F.struct("seq", F.struct("x", "y").alias("p")))))
+    walks = at.groupBy(*keys).agg(points.alias("p"), F.count_if(~F.col("good") & ~n["blank"]).cast("int").alias("unparsed_calls"))
+    start = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))).cast(f"array<{_POINT}>")
+    walks = walks.withColumn("points", F.concat(start, F.transform("p", lambda s: s["p"])))
+    last = F.element_at("points", -1)
+    return walks.select(*keys, "points", "unparsed_calls", F.round(F.hypot(last["x"], last["y"]), 2).alias("closure_error_ft"), F.array().cast(f"array<{_CURVE}>").alias("curves"))
 
 
 def walk_lines(vectors: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def document_coordinates(texts: DataFrame) -> DataFrame:
 def candidate_lines(texts: DataFrame) -> DataFrame:
     """Lines of six characters or more, and their parts between ``~`` or ``|``, in order, with ``score``.  texts: document_id, pos, text."""
     lines = texts.select(DOC, "pos", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).alias("line_no", "raw")).withColumn("raw", F.trim("raw")).filter(F.length("raw") >= 6)
-    parts = F.when(F.col("raw").rlike("[~|]"), F.filter(F.transform(F.split("raw", "[~|]"), F.trim), lambda p: F.length(p) >= 6)).otherwise(F.array().cast("array<string>"))
+    parts = F.when(F.col("raw").rlike("[~|]"), F.filter(F.transform(F.split("raw", "[~|]"), lambda p: F.trim(p)), lambda p: F.length(p) >= 6)).otherwise(F.array().cast("array<string>"))
     every = lines.select(DOC, "pos", "line_no", F.posexplode(F.concat(F.array("raw"), parts)).alias("part", "line"))
     return every.withColumn("score", T.anchor_score("line"))
 

@@ -21,15 +21,33 @@ PAGE = ["document_id", "page_number"]
 OCR_CLASSES = P.TEXT_CLASSES
 
 
+CELL = ["_level", "_gx", "_gy"]
+
+
+def box_cells(boxes: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Grid cells (``CELL``) on which boxes (PAGE, bbox) and the points (PAGE, cx, cy) that may lie in them meet.
+
+    A box has cells of about its own size, so it covers nine at most; a point is filed once for each size of box on its page.
+    """
+    side = F.greatest(F.col("bbox.w"), F.col("bbox.h"), F.lit(1e-6))
+    cell = F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda a, n: F.sequence(F.floor(F.col(f"bbox.{a}") / cell), F.floor((F.col(f"bbox.{a}") + F.col(f"bbox.{n}")) / cell))
+    b = boxes.filter("bbox.w >= 0 and bbox.h >= 0").withColumn("_level", F.ceil(F.log2(side)).cast("int"))
+    levels = b.groupBy(*PAGE).agg(F.collect_set("_level").alias("_levels"))
+    b = b.withColumn("_gx", F.explode(span("x", "w"))).withColumn("_gy", F.explode(span("y", "h")))
+    p = points.join(levels, PAGE).withColumn("_level", F.explode("_levels")).drop("_levels")
+    return b, p.withColumns({"_gx": F.floor(F.col("cx") / cell), "_gy": F.floor(F.col("cy") / cell)})
+
+
 def lines_to_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Regions with the lines whose centre they hold: the smallest of several, the first on a tie.
 
     Text is joined in line order, confidence averaged to three decimals.  Regions of other classes get no lines.
     """
     c = lines.select(*PAGE, "line_no", "text", "confidence", ((F.col("bbox.x1") + F.col("bbox.x2")) / 2).alias("cx"), ((F.col("bbox.y1") + F.col("bbox.y2")) / 2).alias("cy"))
-    r = regions.select(*PAGE, "region_index", "bbox")
+    r, c = box_cells(regions.select(*PAGE, "region_index", "bbox"), c)
     inside = F.col("cx").between(F.col("bbox.x"), F.col("bbox.x") + F.col("bbox.w")) & F.col("cy").between(F.col("bbox.y"), F.col("bbox.y") + F.col("bbox.h"))
-    best = c.join(r, PAGE).filter(inside).groupBy(*PAGE, "line_no", "text", "confidence").agg(F.min(F.struct((F.col("bbox.w") * F.col("bbox.h")).alias("area"), "region_index")).alias("b"))
+    best = c.join(r, [*PAGE, *CELL]).filter(inside).groupBy(*PAGE, "line_no", "text", "confidence").agg(F.min(F.struct((F.col("bbox.w") * F.col("bbox.h")).alias("area"), "region_index")).alias("b"))
     text = best.groupBy(*PAGE, F.col("b.region_index").alias("region_index")).agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"), F.round(F.avg("confidence"), 3).alias("_conf"))
     out = regions.drop("ocr_text", "ocr_confidence").join(text, [*PAGE, "region_index"], "left")
     ok = F.col("class").isin(*OCR_CLASSES)
@@ -121,10 +139,27 @@ def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str) -> Da
 
 
 def match_evidence(entities: DataFrame, candidates: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """entity_pos, candidate_pos, score of the greedy assignment of extracted parcels to a sheet's entities."""
+    """entity_pos, candidate_pos, score of the greedy assignment of extracted parcels to a sheet's entities.
+
+    Only pairs that can score meet: by equal label words, by a core word in common, by areas within 3 %, or (entities that
+    print an id) by page.
+    """
     e = entities.select(*keys, F.col("pos").alias("entity_pos"), F.struct("label", "printed_id", "stated_area").alias("e"))
     c = candidates.select(*keys, F.col("pos").alias("candidate_pos"), F.struct("label", "acres").alias("c"))
-    scored = e.join(c, keys).withColumn("score", match_score(F.col("e"), F.col("c"))).filter("score is not null")
+
+    def words(side: str) -> Column:
+        label = F.col(f"{side}.label")
+        whole = F.array_join(T.label_tokens(label), " ")
+        return F.array_distinct(F.concat(F.when(whole != "", F.array(F.concat(F.lit("="), whole))).otherwise(F.array().cast("array<string>")), T.core_tokens(label)))
+
+    by_word = e.withColumn("_w", F.explode(words("e"))).join(c.withColumn("_w", F.explode(words("c"))), [*keys, "_w"]).drop("_w")
+    # |a - b| <= 3 % of the larger is at most 3 / 97 of the smaller
+    acres = lambda df, col: df.withColumn("_a", col)
+    by_area = within_relative(acres(e, T.acres(F.col("e.stated_area"))), c.withColumn("_b", F.col("c.acres")), keys, "_a", "_b", 3 / 97 + 1e-9).drop("_a", "_b")
+    by_id = e.filter(F.regexp_replace(F.upper(F.coalesce("e.printed_id", F.lit(""))), "[^A-Z0-9]", "") != "").join(c, keys)
+    columns = [*keys, "entity_pos", "candidate_pos", "e", "c"]
+    pairs = by_word.select(columns).unionByName(by_area.select(columns)).unionByName(by_id.select(columns)).dropDuplicates([*keys, "entity_pos", "candidate_pos"])
+    scored = pairs.withColumn("score", match_score(F.col("e"), F.col("c"))).filter("score is not null")
     return greedy_match(scored.select(*keys, "entity_pos", "candidate_pos", "score"), keys, "entity_pos", "candidate_pos")
 
 

@@ -148,15 +148,15 @@ def curve_chord(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", F.round(c["azimuth"], 6).alias("azimuth"), F.round(c["distance"], 6).alias("chord"), F.round(c["tangent_out"], 6).alias("tangent_out"))
 
 
-@query("curve_walk", f"""WITH {CALLS}, l AS (SELECT * FROM calls WHERE seq <= 2), q AS (SELECT parcel_key, count(*) AS n, max(CASE WHEN seq = 1 THEN azimuth END) AS a1, max(CASE WHEN seq = 1 THEN distance END) AS d1, max(CASE WHEN seq = 2 THEN distance END) AS d2 FROM l GROUP BY 1)
-SELECT parcel_key, CAST(CASE WHEN n = 2 THEN 3 ELSE 2 END AS BIGINT) AS n_points,
- round(d1 * sin(radians(a1)) + coalesce(2 * (d2 * 10) * sin(radians(15.0)) * sin(radians((a1 + 15) % 360)), 0), 3) + 0.0 AS x,
- round(d1 * cos(radians(a1)) + coalesce(2 * (d2 * 10) * sin(radians(15.0)) * cos(radians((a1 + 15) % 360)), 0), 3) + 0.0 AS y FROM q""")
+@query("curve_walk", f"""WITH {CALLS}, q AS (SELECT parcel_key, count(*) AS n, sum(distance * sin(radians(azimuth))) AS x, sum(distance * cos(radians(azimuth))) AS y, max(CASE WHEN seq = 1 THEN azimuth END) AS a1, max(CASE WHEN seq = 2 THEN distance END) AS d2 FROM calls GROUP BY 1)
+SELECT parcel_key, CAST(n + 1 + CASE WHEN n >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_points,
+ round(x + coalesce(2 * (d2 * 10) * sin(radians(15.0)) * sin(radians((a1 + 15) % 360)), 0), 3) + 0.0 AS x,
+ round(y + coalesce(2 * (d2 * 10) * sin(radians(15.0)) * cos(radians((a1 + 15) % 360)), 0), 3) + 0.0 AS y FROM q""")
 def curve_walk(spark, d):
-    """The first line of each parcel, then a right-hand 30 degree curve that inherits its tangent."""
+    """All lines of each parcel and, after the first, a right-hand 30 degree curve that inherits its tangent."""
     t = text_calls(spark, d)
     radius = F.format_string("%.2f", calls_distance() * 10)
-    lines = t.filter("seq = 1").select("parcel_key", (F.col("seq") - 1).alias("seq"), "bearing", "distance")
+    lines = t.select("parcel_key", (F.col("seq") - 1).alias("seq"), "bearing", "distance")
     curves = t.filter("seq = 2").select("parcel_key", F.lit(0).alias("pos"), F.lit(0).alias("after_call_index"), F.lit("30°00'00\"").alias("delta"), radius.alias("radius"), F.lit(None).cast("string").alias("arc_length"), F.lit(None).cast("string").alias("turn"))
     w = cogo.walk_traverse(cogo.merge_curve_calls(lines, curves, ["parcel_key"]), ["parcel_key"])
     last = F.element_at("points", -1)
@@ -167,11 +167,11 @@ def calls_distance() -> Column:
     return T.distance("distance")
 
 
-@query("dominant_direction", """SELECT c_nationkey, count(*) AS n, round(degrees(atan2(sum(c_acctbal * sin(radians(2 * (c_custkey * 7 % 180)))), sum(c_acctbal * cos(radians(2 * (c_custkey * 7 % 180)))))) / 2, 4) AS direction FROM customer WHERE c_acctbal > 0 GROUP BY 1""")
+@query("dominant_direction", """SELECT c_nationkey, count(*) AS n, round(degrees(atan2(sum((c_acctbal + 1000) * sin(radians(2 * (c_custkey * 7 % 180)))), sum((c_acctbal + 1000) * cos(radians(2 * (c_custkey * 7 % 180)))))) / 2, 4) AS direction FROM customer GROUP BY 1""")
 def dominant_direction(spark, d):
     a = F.radians(2 * (F.col("c_custkey") * 7 % 180))
-    w = F.col("c_acctbal")
-    return load(spark, d, "customer").filter("c_acctbal > 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.degrees(F.atan2(F.sum(w * F.sin(a)), F.sum(w * F.cos(a)))) / 2, 4).alias("direction"))
+    w = F.col("c_acctbal") + 1000  # balances start at -999.99, lengths are positive
+    return load(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.degrees(F.atan2(F.sum(w * F.sin(a)), F.sum(w * F.cos(a)))) / 2, 4).alias("direction"))
 
 
 @query("circular_diff", """SELECT o_orderkey, least((o_orderkey * 37 % 360 - o_custkey * 11 % 360 + 360) % 360, 360 - (o_orderkey * 37 % 360 - o_custkey * 11 % 360 + 360) % 360) AS gap,
@@ -181,14 +181,14 @@ def circular_diff(spark, d):
     return load(spark, d, "orders").select("o_orderkey", G.circular_diff(a, b, 360.0).cast("long").alias("gap"), G.signed_diff(a, b).cast("long").alias("turn"))
 
 
-@query("shared_edge", f"""WITH {CALLS}, c AS (SELECT *, parcel_key % 500 AS region FROM calls WHERE distance > 0),
+@query("shared_edge", f"""WITH {CALLS}, c AS (SELECT *, parcel_key // 300 AS region FROM calls WHERE distance > 0),
 p AS (SELECT a.region, a.parcel_key AS parcel_a, b.parcel_key AS parcel_b, a.seq AS seq_a, b.seq AS seq_b, abs(a.distance - b.distance) AS dl,
  least(abs(a.azimuth + 180 - b.azimuth) % 360, 360 - abs(a.azimuth + 180 - b.azimuth) % 360) AS da, abs(a.distance - b.distance) / greatest(a.distance, b.distance) AS rel
  FROM c a JOIN c b ON a.region = b.region AND a.parcel_key < b.parcel_key),
 r AS (SELECT *, row_number() OVER (PARTITION BY region, parcel_a, parcel_b ORDER BY dl + da, seq_a, seq_b) AS k FROM p WHERE rel <= 0.02 AND da <= 3)
 SELECT region, parcel_a, parcel_b, seq_a, seq_b, round(dl + da, 6) AS score FROM r WHERE k = 1""")
 def shared_edge(spark, d):
-    e = calls(spark, d).select((F.col("parcel_key") % 500).alias("region"), "parcel_key", F.col("seq").cast("long").alias("seq"), "azimuth", F.col("distance").alias("length"))
+    e = calls(spark, d).select(F.floor(F.col("parcel_key") / 300).alias("region"), "parcel_key", F.col("seq").cast("long").alias("seq"), "azimuth", F.col("distance").alias("length"))
     s = cogo.shared_edges(e, ["region"], "parcel_key")
     return s.select("region", "parcel_a", "parcel_b", "seq_a", "seq_b", F.round("score", 6).alias("score"))
 
@@ -251,19 +251,26 @@ def target_mode(spark, d):
     return evidence.strict_mode(c, ["user_id"], "event_type", "n")
 
 
-@query("score_lines", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-s AS (SELECT *, (CASE WHEN regexp_matches(line, '(?i)\b(?:project|site|property|subject)\s+address\b') THEN 5 ELSE 0 END) + (CASE WHEN regexp_matches(line, '\b\d{5}(?:-\d{4})?\b') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(line, '(?i),\s*[A-Z]{2}(?:[^\pL\pN_]|$)|\bCounty\b') THEN 1 ELSE 0 END) AS base,
- regexp_matches(line, '(?i)\b(?:surveyor|surveying|engineer|p\.?l\.?s\.?|inc\.?|llc|planning\s+and\s+building|treasurer|development\s+application)\b') OR regexp_matches(line, '\(?\b\d{3}\)?[\s.-]*\d{3}[\s.-]\d{4}\b') AS office FROM l WHERE length(line) >= 6 AND NOT contains(line, '~') AND NOT contains(line, '|'))
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(CASE WHEN office THEN base - 3 ELSE base END AS INTEGER) AS score FROM s WHERE CASE WHEN office THEN base - 3 ELSE base END BETWEEN 1 AND 2""")
+OFFICE = r"\b(?:surveyor|surveying|engineer|p\.?l\.?s\.?|inc\.?|llc|planning\s+and\s+building|treasurer|development\s+application)\b"
+STREET = r"^\s*\d+[A-Za-z]?(?:\s*,\s*\d+)*\s+(?:[NSEW]\.?\s+)?[0-9A-Za-z_.'' -]+?\s+(?:road|rd|street|st|avenue|ave|boulevard|blvd|drive|dr|lane|ln|way|highway|hwy|court|ct|circle|cir|place|pl|trail)\b"
+SCORED = rf"""raw AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '\r\n|\n|\r'))) AS raw, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) - 1 AS line_no FROM documents),
+l AS (SELECT doc_id, line_no, unnest([raw] || CASE WHEN regexp_matches(raw, '[~|]') THEN list_filter(list_transform(regexp_split_to_array(raw, '[~|]'), lambda x: trim(x)), lambda x: length(x) >= 6) ELSE [] END) AS line,
+  generate_subscripts([raw] || CASE WHEN regexp_matches(raw, '[~|]') THEN list_filter(list_transform(regexp_split_to_array(raw, '[~|]'), lambda x: trim(x)), lambda x: length(x) >= 6) ELSE [] END, 1) - 1 AS part FROM raw WHERE length(raw) >= 6),
+b AS (SELECT *, (CASE WHEN regexp_matches(line, '(?i)\b(?:project|site|property|subject)\s+address\b') THEN 5 ELSE 0 END) + (CASE WHEN regexp_matches(line, '\b\d{{5}}(?:-\d{{4}})?\b') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(line, '(?i),\s*[A-Z]{{2}}(?:[^\pL\pN_]|$)|\bCounty\b') THEN 1 ELSE 0 END) AS base,
+  regexp_matches(line, '(?i){OFFICE}') OR regexp_matches(line, '\(?\b\d{{3}}\)?[\s.-]*\d{{3}}[\s.-]\d{{4}}\b') AS office FROM l),
+s AS (SELECT *, CASE WHEN office THEN base - 3 WHEN base >= 3 AND regexp_matches(line, '(?i){STREET}') THEN base + 1 ELSE base END AS score FROM b)"""
+
+
+@query("score_lines", f"WITH {SCORED} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(part AS INTEGER) AS part, CAST(score AS INTEGER) AS score FROM s")
 def score_lines(spark, d):
+    """Scores of all lines and of their parts between ``~`` or ``|``."""
     t = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("pos"), "text")
-    c = evidence.candidate_lines(t).filter((F.col("part") == 0) & ~F.col("line").rlike("[~|]") & F.col("score").between(1, 2))
-    return c.select(F.col("document_id").alias("doc_id"), "line_no", "score")
+    return evidence.candidate_lines(t).select(F.col("document_id").alias("doc_id"), "line_no", "part", "score")
 
 
 @query("anchor_candidates")
 def anchor_candidates(spark, d):
-    """Best address lines and parts of every document and its county; ``score_lines`` has whole lines of score 1 and 2."""
+    """Best address lines and parts of every document and its county."""
     t = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("pos"), "text")
     return evidence.anchor_candidates(t).withColumnRenamed("document_id", "doc_id")
 
@@ -420,16 +427,10 @@ def sheet_build(spark, d):
     return sheets.build_sheets(r).select(F.col("page_number").alias("l_orderkey"), F.col("main_region").cast("long").alias("main_region"), F.size("regions").cast("long").alias("drawings"), F.size("inset_regions").cast("long").alias("insets"))
 
 
-@query("sheet_division", """WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS i FROM lineitem WHERE l_orderkey % 5 = 0), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
+@query("sheet_division", """WITH m AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS i FROM lineitem), n AS (SELECT g, count(*) AS n FROM m GROUP BY 1)
 SELECT a.g AS inner_group, b.g AS outer_group FROM m a JOIN m b ON a.i = b.i AND a.g <> b.g JOIN n ON n.g = a.g GROUP BY 1, 2 HAVING count(*) = max(n)""")
 def sheet_division(spark, d):
-    li = load(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select("l_orderkey", "l_suppkey")
-    return sheets.contained_sets(li, "l_orderkey", "l_suppkey")
-
-
-@query("sheet_containment")
-def sheet_containment(spark, d):
-    """Containment between the supplier sets of all orders; ``sheet_division`` has a fifth of them."""
+    """Containment between the supplier sets of all orders."""
     return sheets.contained_sets(load(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")
 
 
@@ -493,12 +494,14 @@ def scale_median(spark, d):
 
 
 @query("haversine_pairs", """WITH n AS (SELECT n_nationkey, (n_nationkey * 37 % 360) - 180.0 AS lon, (n_nationkey * 53 % 160) - 80.0 AS lat FROM nation)
-SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))), 4) AS km FROM n a JOIN n b ON a.n_nationkey % 5 = b.n_nationkey % 5 AND a.n_nationkey < b.n_nationkey""")
+SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))), 4) AS km FROM n a JOIN n b ON a.n_nationkey < b.n_nationkey""")
 def haversine_pairs(spark, d):
+    """All pairs of the 25 nations: the list of all of them is one row, which each nation meets."""
     k = F.col("n_nationkey")
-    n = load(spark, d, "nation").select((k % 5).alias("g"), k.alias("k"), (k * 37 % 360 - 180.0).alias("lon"), (k * 53 % 160 - 80.0).alias("lat"))
-    a, b = n.select("g", F.col("k").alias("a"), F.col("lon").alias("alon"), F.col("lat").alias("alat")), n.select("g", F.col("k").alias("b"), "lon", "lat")
-    return a.join(b, "g").filter("a < b").select("a", "b", F.round(G.haversine(F.col("alon"), F.col("alat"), F.col("lon"), F.col("lat")), 4).alias("km"))
+    n = load(spark, d, "nation").select(k.alias("k"), (k * 37 % 360 - 180.0).alias("lon"), (k * 53 % 160 - 80.0).alias("lat"))
+    all_ = n.groupBy(F.lit(0).alias("g")).agg(F.collect_list(F.struct("k", "lon", "lat")).alias("n"))
+    pairs = all_.select(F.explode("n").alias("a"), "n").select("a", F.explode("n").alias("b")).filter("a.k < b.k")
+    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(G.haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")), 4).alias("km"))
 
 
 @query("mercator_px", """WITH e AS (SELECT event_id, (event_id * 7919 % 36000) / 100.0 - 180 AS lon, (event_id * 104729 % 16000) / 100.0 - 80 AS lat, event_id % 15 + 2 AS z FROM events)

@@ -23,16 +23,32 @@ def _seconds(ts: str) -> Column:
     return F.col(ts).cast("timestamp").cast("double")
 
 
+def _windowed(events: DataFrame, keys: list[str], ts: str, seconds: int, spans: int = 16) -> tuple[DataFrame, Window]:
+    """Events dealt by stretches of time, so that a key with many events fills many tasks, and a window over the last ``seconds``.
+
+    A stretch is ``spans`` windows long; events of its last window are copied to the next (``_own`` false), as history only.
+    """
+    long = F.lit(float(max(1, seconds) * spans))
+    at = events.withColumn("_t", _seconds(ts)).withColumn("_stretch", F.floor(F.col("_t") / long))
+    late = F.col("_t") + seconds >= (F.col("_stretch") + 1) * long
+    at = at.withColumn("_to", F.explode(F.when(late, F.array(F.col("_stretch"), F.col("_stretch") + 1)).otherwise(F.array("_stretch"))))
+    at = at.withColumn("_own", F.col("_stretch").eqNullSafe(F.col("_to")))
+    return at, Window.partitionBy(*keys, "_to").orderBy("_t").rangeBetween(-seconds, 0)
+
+
+_HELP = ("_t", "_stretch", "_to", "_own")
+
+
 def rate_window(events: DataFrame, keys: list[str], ts: str, seconds: int, limit: int) -> DataFrame:
     """Requests of the last ``seconds`` up to and with each event, and whether it is within the limit; the edge counts as inside."""
-    w = Window.partitionBy(*keys).orderBy(_seconds(ts)).rangeBetween(-seconds, 0)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("allowed", F.col("in_window") <= limit)
+    e, w = _windowed(events, keys, ts, seconds)
+    return e.withColumn("in_window", F.count(F.lit(1)).over(w)).filter("_own").drop(*_HELP).withColumn("allowed", F.col("in_window") <= limit)
 
 
 def token_window(events: DataFrame, keys: list[str], ts: str, tokens: str, seconds: int, budget: int) -> DataFrame:
     """Tokens of the last ``seconds``; one oversized call alone is admitted."""
-    w = Window.partitionBy(*keys).orderBy(_seconds(ts)).rangeBetween(-seconds, 0)
-    e = events.withColumns({"tokens_in_window": F.sum(tokens).over(w), "_n": F.count(F.lit(1)).over(w)})
+    e, w = _windowed(events, keys, ts, seconds)
+    e = e.withColumns({"tokens_in_window": F.sum(tokens).over(w), "_n": F.count(F.lit(1)).over(w)}).filter("_own").drop(*_HELP)
     return e.withColumn("allowed", (F.col("tokens_in_window") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
