@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.geodesy import RING
+from .outline import without_spikes
 
 INK, MOST, NUDGE = 150, 0.6, 15
 
@@ -99,32 +100,41 @@ def reduce_points(p: np.ndarray, tolerance: float) -> np.ndarray:
     return closed[:-1][keep[:-1]]
 
 
+def _seed(free: np.ndarray, x: int, y: int) -> tuple[int, int] | None:
+    """The free pixel nearest to a click, at most ``NUDGE`` away on either axis."""
+    rows, columns = np.ogrid[: free.shape[0], : free.shape[1]]
+    apart = np.where(free & (np.abs(rows - y) <= NUDGE) & (np.abs(columns - x) <= NUDGE), (rows - y) ** 2 + (columns - x) ** 2, np.inf)
+    at = np.unravel_index(int(apart.argmin()), free.shape)
+    return (int(at[1]), int(at[0])) if np.isfinite(apart[at]) else None
+
+
 def fill_region(grey: np.ndarray, x: float, y: float, gap: int = 5) -> tuple[np.ndarray | None, float, str | None]:
-    """(vertices, fraction, error) of the area around a click; small breaks in lines up to ``gap`` are bridged."""
-    h, w = grey.shape
-    x, y = int(round(x)), int(round(y))
-    if not (0 <= x < w and 0 <= y < h):
+    """(vertices, fraction, error) of the area around a click; small breaks in lines up to ``gap`` are bridged.
+
+    Spikes go from the simplified outline; one of under three corners is an error.
+    """
+    click = round(x), round(y)
+    if not (0 <= click[0] < grey.shape[1] and 0 <= click[1] < grey.shape[0]):
         return None, 0.0, "outside"
-    gap = max(0, min(int(gap), 25))
-    free = ~dilate(grey < INK, gap)
-    if not free[y, x]:
-        ys, xs = np.nonzero(free[max(0, y - NUDGE) : y + NUDGE + 1, max(0, x - NUDGE) : x + NUDGE + 1])
-        if not len(xs):
-            return None, 0.0, "on a line"
-        ys, xs = ys + max(0, y - NUDGE), xs + max(0, x - NUDGE)
-        k = int(((xs - x) ** 2 + (ys - y) ** 2).argmin())
-        x, y = int(xs[k]), int(ys[k])
-    area = dilate(flood(free, x, y), gap)
-    area = dilate(~dilate(~area, 9), 9)
-    area = dilate(area, 5)
+    bridge = int(np.clip(gap, 0, 25))
+    free = ~dilate(grey < INK, bridge)
+    if (seed := _seed(free, *click)) is None:
+        return None, 0.0, "on a line"
+    grown = dilate(flood(free, *seed), bridge)
+    opened = dilate(~dilate(~grown, 9), 9)  # what is narrower than 9 px is no part of a parcel
+    area = dilate(opened, 5)
     fraction = float(area.mean())
     if fraction > MOST:
         return None, round(fraction, 4), "leaked"
     if not area.any():
         return None, 0.0, "nothing"
     edge = outline(area)
-    length = float(np.hypot(*(np.roll(edge, -1, axis=0) - edge).T).sum())
-    return reduce_points(edge, 0.006 * length), round(fraction, 4), None
+    p = reduce_points(edge, 0.006 * float(np.hypot(*(np.roll(edge, -1, axis=0) - edge).T).sum()))
+    p = without_spikes(p, SPIKE_DEG)
+    return (p, round(fraction, 4), None) if len(p) >= 3 else (None, round(fraction, 4), "fewer than three corners")
+
+
+SPIKE_DEG = 25.0
 
 
 @F.pandas_udf(StructType([StructField("vertices", RING), StructField("fraction", DoubleType()), StructField("error", StringType())]))

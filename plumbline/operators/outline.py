@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as G
 from ..functions.geodesy import RING
@@ -57,17 +58,96 @@ def flatten_curves(ring: pd.Series, curves: pd.Series) -> pd.Series:
             return None
         p, out, bends = _ring(r), [], dict(c or {})
         for i in range(len(p)):
-            a, b = p[i], p[(i + 1) % len(p)]
-            ways = bends.get(i)
-            d = b - a
-            mid = [a + w["a"] * d + w["b"] * np.array([-d[1], d[0]]) for w in ways] if ways is not None and len(ways) else []
-            edge = spline(np.array([a, *mid, b])) if mid else np.array([a, b])
-            out.append(edge[:-1])
+            out.append(_edge(p[i], p[(i + 1) % len(p)], bends.get(i))[:-1])
         return _rows(np.concatenate(out))
 
     return pd.Series([one(*v) for v in zip(ring, curves)])
 
 
+def _edge(p0: Points, p1: Points, ways) -> Points:
+    """The drawn edge from p0 to p1 as a path."""
+    d = p1 - p0
+    mid = [p0 + w["a"] * d + w["b"] * np.array([-d[1], d[0]]) for w in (ways if ways is not None else [])]
+    return spline(np.array([p0, *mid, p1])) if mid else np.array([p0, p1])
+
+
+def _per_edge(f):
+    """A pandas UDF of ring, curves, edge number and a point that answers with a point."""
+
+    def run(ring: pd.Series, curves: pd.Series, edge: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, c, i, a, b in zip(ring, curves, edge, x, y):
+            p, i = _ring(r), int(i)
+            rows.append(f(_edge(p[i], p[(i + 1) % len(p)], dict(c or {}).get(i)), np.array([a, b], float)))
+        return pd.DataFrame(rows, columns=["x", "y"])
+
+    run.__doc__ = f.__doc__
+    return F.pandas_udf(run, StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+
+
+def _halfway(path: Points, _) -> Points:
+    """Halfway along a drawn edge (the point is not used)."""
+    at = np.r_[0, np.cumsum(np.hypot(*np.diff(path, axis=0).T))]
+    return np.array([np.interp(at[-1] / 2, at, path[:, k]) for k in (0, 1)])
+
+
+def _closest(path: Points, point: Points) -> Points:
+    """The point of a drawn edge that is nearest to a given one."""
+    a, d = path[:-1], np.diff(path, axis=0)
+    n = (d**2).sum(1)
+    t = np.clip(((point - a) * d).sum(1) / np.where(n > 0, n, 1), 0, 1)
+    q = a + t[:, None] * d
+    return q[((q - point) ** 2).sum(1).argmin()]
+
+
+edge_midpoint = _per_edge(_halfway)
+nearest_on_edge = _per_edge(_closest)
+
+_WAY = "struct<a:double,b:double>"
+STRAIGHT = 0.003  # a lone waypoint nearer than this to its chord, in chord lengths, bends nothing
+
+
+def _tidy(ways: Column) -> Column:
+    """Waypoints of an edge, or null for a straight one."""
+    flat = (F.size(ways) == 1) & (F.abs(F.get(ways, 0)["b"]) < STRAIGHT)
+    return F.when((F.size(ways) > 0) & ~flat, ways)
+
+
+def _renumbered(curves: Column, to) -> Column:
+    """Curves with edge numbers mapped by ``to``; edges that go to null are dropped."""
+    entries = F.transform(F.map_entries(curves), lambda e: F.struct(to(e["key"]).cast("int").alias("key"), e["value"].alias("value")))
+    return F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+
+
+def curves_after_insert(ring: Column, curves: Column, edge: Column, vertex: Column) -> Column:
+    """Curves when ``vertex``, a point on edge ``edge``, becomes a corner: its waypoints go to the half they lie on, in the new halves' frames."""
+    p0, p1 = F.get(ring, edge), F.get(ring, F.pmod(edge + 1, F.size(ring)).cast("int"))
+    split = to_chord(p0, p1, vertex)["a"]
+    ways = F.coalesce(F.try_element_at(curves, edge), F.array().cast(f"array<{_WAY}>"))
+    half = lambda keep, a, b: _tidy(F.transform(F.filter(ways, keep), lambda w: to_chord(a, b, from_chord(p0, p1, w["a"], w["b"]))))
+    both = F.array(F.struct(edge.cast("int").alias("key"), half(lambda w: w["a"] < split, p0, vertex).alias("value")), F.struct((edge + 1).cast("int").alias("key"), half(lambda w: w["a"] >= split, vertex, p1).alias("value")))
+    others = _renumbered(curves, lambda k: F.when(k < edge, k).when(k > edge, k + 1))
+    return F.map_from_entries(F.concat(others, F.filter(both, lambda e: e["value"].isNotNull())))
+
+
+def curves_after_delete(curves: Column, vertex: Column, corners: Column) -> Column:
+    """Curves when a corner goes: the two edges that met there become a straight one."""
+    before = F.pmod(vertex - 1, corners)
+    return F.map_from_entries(_renumbered(curves, lambda k: F.when((k != vertex) & (k != before), F.when(k > vertex, k - 1).otherwise(k))))
+
+
+def migrated_curves(text: Column) -> Column:
+    """Saved curves (JSON) as waypoints: an edge that has one quadratic control point [a, b] gets the apex of that curve instead."""
+    raw = F.map_entries(F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    point = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    read = F.transform(raw, lambda e: F.struct(e["key"].cast("int").alias("key"), F.from_json(e["value"], "array<double>").alias("one"), F.from_json(e["value"], "array<array<double>>").alias("ways")))
+    control = lambda e: F.coalesce((F.size(e["one"]) == 2) & F.forall(e["one"], lambda v: v.isNotNull()), F.lit(False))
+    whole = lambda e: F.coalesce((F.size(e["ways"]) > 0) & F.forall(e["ways"], lambda w: F.coalesce(F.size(w) == 2, F.lit(False))), F.lit(False))
+    apex = lambda e: F.array(point(0.5 * F.get(e["one"], 0) + 0.25, 0.5 * F.get(e["one"], 1)))
+    kept = F.transform(F.filter(read, lambda e: control(e) | whole(e)), lambda e: F.struct(e["key"].alias("key"), F.when(control(e), apex(e)).otherwise(F.transform(e["ways"], lambda w: point(F.get(w, 0), F.get(w, 1)))).alias("value")))
+    return F.map_from_entries(kept)
+
+
 def _drop_while(p: Points, bad) -> Points:
     """Drops the first vertex that ``bad`` names, again and again, three left at least."""
     while len(p) > 3:
@@ -78,19 +158,19 @@ def _drop_while(p: Points, bad) -> Points:
     return p
 
 
-@F.pandas_udf(RING)
-def drop_spikes(ring: pd.Series, least_angle: pd.Series) -> pd.Series:
-    """Without vertices whose inner angle is too sharp, or that repeat a neighbour."""
+def without_spikes(p: Points, least: float) -> Points:
+    def sharp(a, b, c):
+        u, v = a - b, c - b
+        n = np.hypot(*u) * np.hypot(*v)
+        return n == 0 or math.degrees(math.acos(max(-1.0, min(1.0, float(u @ v) / n)))) < least
 
-    def one(r, least):
-        def sharp(a, b, c):
-            u, v = a - b, c - b
-            n = np.hypot(*u) * np.hypot(*v)
-            return n == 0 or math.degrees(math.acos(max(-1.0, min(1.0, float(u @ v) / n)))) < least
+    return _drop_while(p, sharp)
 
-        return None if r is None else _rows(_drop_while(_ring(r), sharp))
 
-    return pd.Series([one(*v) for v in zip(ring, least_angle)])
+@F.pandas_udf(RING)
+def drop_spikes(ring: pd.Series, least_angle: pd.Series) -> pd.Series:
+    """Without vertices whose inner angle is too sharp, or that repeat a neighbour."""
+    return pd.Series([None if r is None else _rows(without_spikes(_ring(r), least)) for r, least in zip(ring, least_angle)])
 
 
 @F.pandas_udf(RING)
