@@ -639,3 +639,6 @@ def rates_null_div(spark, d):
 def issue_buckets(spark, d):
     text = F.when(F.col("o_orderstatus") == "F", "Weak closure: precision ratio").when(F.col("o_orderstatus") == "O", "Walked area differs").otherwise("Something else")
     return load(spark, d, "orders").groupBy(status.issue_bucket(text).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import planted  # noqa: E402, F401  registers its own

@@ -41,10 +41,8 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_queries_without_sql_run(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+def test_queries_without_sql_are_tested_otherwise():
+    assert set(QUERIES) - set(SQL) == {"self_intersection", "assemble_traverse", "nms", "greedy_match", "anchor_candidates", "tm_project", "bearing_between"}
 
 
 def test_entry_module(spark):
@@ -61,6 +59,6 @@ def test_projection_is_exact(spark):
 
 def test_joins_have_keys(spark):
     """No query falls back to comparing all rows with all."""
-    for name in ("region_match", "tolerance_join", "shared_edge", "nearest_edge", "radius_topk", "point_in_polygon", "sheet_division", "evidence_anti"):
+    for name in ("region_match", "tolerance_join", "shared_edge", "nearest_edge", "radius_topk", "point_in_polygon", "sheet_division", "evidence_anti", "word_subset_dedupe", "haversine_pairs"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name

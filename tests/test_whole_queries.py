@@ -1,5 +1,6 @@
 """Queries without SQL that take whole tables, against brute force."""
 
+import math
 import os
 import re
 
@@ -7,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from plumbline.functions import patterns as P
+from plumbline.operators import search
 from plumbline.plans.queries import QUERIES
 
 DATA, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -105,3 +107,92 @@ def test_anchor_candidates_takes_lines_and_parts_of_every_document(spark, tmp_pa
     want = {(d, *c) for d, t in texts.items() for c in brute_anchors(t)}
     assert got == want
     assert {d for d, *_ in want} == {1, 2, 4, 5} and any(s is None for *_, s in want)
+
+
+def printed_calls():
+    """Azimuth and distance of every call as the queries print them, by parcel and in order."""
+    out = {}
+    for g, n, p, s, q, e in sorted(table("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), key=lambda r: (r[0], r[1], r[2], r[3], r[5])):
+        az = float(p * 7 % 360)
+        q4 = az if az <= 90 else 180 - az if az <= 180 else az - 180 if az <= 270 else 360 - az
+        ns, ew = ("N" if az <= 90 or az > 270 else "S"), ("E" if az <= 180 else "W")
+        out.setdefault(g, []).append({"bearing": f"{ns} {int(q4):02d}°00'00\"{ew}", "distance": f"{float(q):.2f}'"})
+    return out
+
+
+def crossing(p):
+    """First pair of edges, not neighbours, that have a point in common."""
+    n = len(p)
+
+    def side(a, b, c):
+        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        return int(v > 0) - int(v < 0)
+
+    def on(a, b, c):
+        return side(a, b, c) == 0 and min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+
+    for i in range(n):
+        for j in range(i + 2, n):
+            if i == 0 and j == n - 1:
+                continue
+            a, b, c, d = p[i], p[(i + 1) % n], p[j], p[(j + 1) % n]
+            if side(a, b, c) != side(a, b, d) and side(c, d, a) != side(c, d, b) or on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b):
+                return (i, j)
+    return None
+
+
+@needs_tables
+def test_self_intersections(spark):
+    want = {}
+    for g, calls in printed_calls().items():
+        pts = [tuple(map(float, p)) for p in search.points(calls)]
+        length = sum(math.dist(a, b) for a, b in zip(pts, pts[1:]))
+        gap = round(math.dist(pts[0], pts[-1]), 2)
+        corners = pts[:-1] if len(pts) > 1 and gap <= max(1.0, 0.01 * round(length, 2)) else pts
+        want[g] = crossing(corners) if len(corners) >= 4 else None
+    got = {r["parcel_key"]: (r["edge_a"], r["edge_b"]) if r["self_intersects"] else None for r in QUERIES["self_intersection"](spark, DATA).collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 20
+
+
+@needs_tables
+def test_assembled_walks(spark):
+    want = {}
+    for g, calls in printed_calls().items():
+        kept, notes = search.assemble(search.drop_conflicting(calls))
+        want[g] = (len(kept), len(notes))
+    got = {r["parcel_key"]: (r["n_calls"], r["n_notes"]) for r in QUERIES["assemble_traverse"](spark, DATA).collect()}
+    assert got == want and any(n < len(printed_calls()[g]) for g, (n, _) in want.items())
+
+
+@needs_tables
+def test_suppressed_boxes(spark):
+    want = set()
+    by = {}
+    for k, brand, kind, price, size in table("part", "p_partkey", "p_brand", "p_type", "p_retailprice", "p_size"):
+        by.setdefault(brand, []).append((-(k % 97) / 97.0, k, kind, price % 100, float(k % 10), float(size), 10.0))
+    for boxes in by.values():
+        kept = []
+        for _, k, kind, x, y, w, h in sorted(boxes):
+            def iou(o):
+                i = max(0.0, min(x + w, o[1] + o[3]) - max(x, o[1])) * max(0.0, min(y + h, o[2] + o[4]) - max(y, o[2]))
+                return i / (w * h + o[3] * o[4] - i) if w * h + o[3] * o[4] - i > 0 else 0.0
+
+            if all(o[0] != kind or iou(o) < 0.6 for o in kept):
+                kept.append((kind, x, y, w, h))
+                want.add(k)
+    got = [r["pos"] for r in QUERIES["nms"](spark, DATA).collect()]
+    assert set(got) == want and len(got) == len(want) < sum(map(len, by.values()))
+
+
+@needs_tables
+def test_bearings_between_positions(spark):
+    for r in QUERIES["bearing_between"](spark, DATA).collect():
+        k = r["c_custkey"]
+        a, b = map(math.radians, (39.5, 39.5 + (k % 70 - 35) / 1000))
+        dl = math.radians((k % 100 - 50) / 1000)
+        az = math.degrees(math.atan2(math.sin(dl) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(dl))) % 360
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(dl / 2) ** 2
+        assert r["distance_ft"] == pytest.approx(2 * 20_925_646.3 * math.asin(math.sqrt(h)), abs=0.02)
+        if r["distance_ft"]:
+            turn = abs(search.azimuth(r["bearing"].replace("'60", "'59.9")) - az) % 360
+            assert min(turn, 360 - turn) < 0.0005
