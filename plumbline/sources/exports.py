@@ -90,3 +90,99 @@ def shapefile_zip(rows: list[dict], prj: str) -> bytes:
         for name, data in (("shp", head(at) + shapes.getvalue()), ("shx", head(50 + 4 * len(rows)) + index.getvalue()), ("dbf", dbf + b"\x1a"), ("prj", prj.encode()), ("cpg", b"UTF-8")):
             z.writestr(f"parcels.{name}", data)
     return out.getvalue()
+
+
+# whole documents
+
+#: What a report is exported as, with the ending of its file.
+FORMATS = {"geojson": "geojson", "kml": "kml", "attributes": "csv", "vertices": "csv", "calls": "csv", "metadata": "json", "shapefile": "zip", "package": "zip"}
+_BOM = "﻿"
+
+
+def file_stem(name):
+    """A document's name as a file name: 60 characters at most, none that a file system dislikes."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._-]+", "_"), 1, 60), F.lit("")), F.lit("report"))
+
+
+def csv_text(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One CSV text (header, byte order mark) for each ``key`` of ``rows``."""
+    columns = [c for c in rows.columns if c != key]
+    line = F.to_csv(F.struct(*columns))
+    text = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), line.alias("line")))).alias("l"))
+    return text.select(key, F.concat(F.lit(_BOM + ",".join(columns) + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def _kml_document(report: DataFrame) -> DataFrame:
+    marks = kml(report).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("id", "placemark"))).alias("p"))
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
+    return marks.select("document_id", F.concat(F.lit(head), F.array_join(F.transform("p", lambda x: x["placemark"]), ""), F.lit(tail)).alias("content"))
+
+
+def _shapefiles(report: DataFrame, prj: str) -> DataFrame:
+    rows = attribute_rows(report)
+    both = rows.join(report.select(F.col("id").alias("ParcelID"), "document_id", "ring"), "ParcelID")
+
+    def run(pdf):
+        import pandas as pd
+
+        own = pdf.sort_values("ParcelID")
+        records = [{k: (None if v is None or v != v else v) for k, v in r.items() if k not in ("document_id", "ring")} | {"ring": list(ring)} for r, ring in zip(own.drop(columns="ring").to_dict("records"), own["ring"])]
+        return pd.DataFrame({"document_id": own["document_id"].iloc[:1], "content": [shapefile_zip(records, prj)]})
+
+    kind = report.schema["document_id"].dataType.simpleString()
+    return both.groupBy("document_id").applyInPandas(run, f"document_id {kind}, content binary")
+
+
+def exported(report: DataFrame, parcels: DataFrame, kind: str, prj: str | None = None) -> DataFrame:
+    """document_id, name and content (bytes) of every document's report (document_id, id, ring ...) in one of ``FORMATS``.
+
+    ``parcels`` (document_id, id, calls) gives the courses; ``prj`` is the system of the shapefile, without which a package has
+    none.  Documents without parcels have no file.
+    """
+    text = lambda df, c: df.select("document_id", F.col(c).cast("binary").alias("content"))
+    if kind == "geojson":
+        out = text(geojson_collection(report), "collection")
+    elif kind == "kml":
+        out = text(_kml_document(report), "content")
+    elif kind == "attributes":
+        named = attribute_rows(report).join(report.select(F.col("id").alias("ParcelID"), "document_id"), "ParcelID")
+        out = text(csv_text(named, "document_id", ["ParcelID"]), "content")
+    elif kind == "vertices":
+        out = text(csv_text(vertex_rows(report), "document_id", ["id", "vertex"]), "content")
+    elif kind == "calls":
+        out = text(csv_text(call_rows(parcels), "document_id", ["id", "course"]), "content")
+    elif kind == "metadata":
+        out = text(metadata(report), "metadata")
+    elif kind == "shapefile":
+        out = _shapefiles(report, prj or "")
+    elif kind == "package":
+        return _packages(report, parcels, prj)
+    else:
+        raise ValueError(f"unknown format {kind!r}; known are {', '.join(FORMATS)}")
+    return out.select("document_id", F.concat(file_stem(F.col("document_id").cast("string")), F.lit(f"_{kind}.{FORMATS[kind]}")).alias("name"), "content")
+
+
+def _packages(report: DataFrame, parcels: DataFrame, prj: str | None) -> DataFrame:
+    """One archive a document that holds its other files."""
+    kinds = [k for k in FORMATS if k != "package" and (k != "shapefile" or prj)]
+    files = None
+    for k in kinds:
+        one = exported(report, parcels, k, prj)
+        files = one if files is None else files.unionByName(one)
+    files = files.join(report.select("document_id").distinct(), "document_id", "left_semi")
+
+    @F.pandas_udf("binary")
+    def bundle(listed):
+        import pandas as pd
+
+        def one(entries):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for e in entries:
+                    z.writestr(zipfile.ZipInfo(e["name"]), bytes(e["content"]))
+            return out.getvalue()
+
+        return pd.Series([one(e) for e in listed])
+
+    listed = files.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("name", "content"))).alias("files"))
+    return listed.select("document_id", F.concat(file_stem(F.col("document_id").cast("string")), F.lit("_package.zip")).alias("name"), bundle("files").alias("content"))

@@ -1,3 +1,4 @@
+import csv
 import io
 import json
 import struct
@@ -172,6 +173,24 @@ def test_edits(spark, reported):
     assert out == {"a": ("NEW", "approved"), "b": ("LOT <b>", "pending")}
 
 
+def test_documents_are_exported_whole(spark, reported):
+    calls = spark.createDataFrame([("d", "a", [("N1°E", "5, ft"), ("S1°W", 'say "6"')])], "document_id string, id string, calls array<struct<bearing:string,distance:string>>")
+    calls = calls.withColumn("calls", F.transform("calls", lambda c: F.struct(F.lit("line").alias("call_type"), c["bearing"].alias("bearing"), c["distance"].alias("distance"))))
+    files = {k: exports.exported(reported, calls, k, "PRJ").collect() for k in exports.FORMATS}
+    assert all(len(v) == 1 for v in files.values()) and files["kml"][0]["name"] == "d_kml.kml"
+    lines = bytes(files["calls"][0]["content"]).decode("utf-8-sig").splitlines()
+    assert len(lines) == 3 and "5, ft" in next(csv.reader([lines[1]])) and bytes(files["attributes"][0]["content"])[:3] == b"\xef\xbb\xbf"
+    z = zipfile.ZipFile(io.BytesIO(bytes(files["package"][0]["content"])))
+    assert sorted(z.namelist()) == sorted(f"d_{k}.{e}" for k, e in exports.FORMATS.items() if k != "package")
+    assert len(json.loads(z.read("d_geojson.geojson"))["features"]) == 2 and "parcels.dbf" in zipfile.ZipFile(io.BytesIO(z.read("d_shapefile.zip"))).namelist()
+    without = exports.exported(reported, calls, "package").first()
+    assert "d_shapefile.zip" not in zipfile.ZipFile(io.BytesIO(bytes(without["content"]))).namelist()
+    stem = spark.createDataFrame([(" a/b:c ",), ("",), ("x" * 90,)], "n string").select(exports.file_stem(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in stem] == ["a_b_c", "report", "x" * 60]
+    with pytest.raises(ValueError):
+        exports.exported(reported, calls, "poem")
+
+
 def test_exports(spark, reported, tmp_path):
     c = json.loads(exports.geojson_collection(reported).first()["collection"])
     assert len(c["features"]) == 2 and c["features"][0]["geometry"]["coordinates"][0][0] == [-119.8, 39.5]
