@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
 Items are few against the corpus, so the index holds the items and every passage of every training document is a
-query.  An item has two entries, the whole and its question (all but the last sentence).  Scores are normalised by the
+query.  An item has two entries, the whole and its question (all but the last sentence) if that has five words.  Scores are normalised by the
 entry's own score, so that 1 means "all of its words".  A passage is ``2 * stride`` words, a new one every ``stride`` words, where
 ``stride`` is the longest item (``STRIDE`` words at least): any item lies whole within some passage.
 
@@ -11,8 +11,8 @@ skipped; this is computed for all passages of a batch at once.  Each passage lef
 cursors over postings sorted by entry, a pivot from the terms' maxima, then the maxima of the blocks at the pivot, and only
 then scores; every entry at or above the threshold is retrieved, without a limit of results.
 
-The threshold of an entry is ``THRESHOLD``, or less where a passage that verification accepts can score less: with a fifth
-of the shingles missing, at most so many words are, and the heaviest of them are taken off.  So all pairs that stand are retrieved.
+The threshold of an entry is the least that a passage which verification accepts can score: with a fifth of the shingles
+missing, at most so many words are, and the heaviest of them are taken off.  So all pairs that stand are retrieved.
 
 Verification, in the passage: overlap of the question, of the answer (the last sentence) and of the whole item, by 5-word
 shingles; a part of fewer words is one shingle of its length.  A pair stands if the whole overlaps by 0.8 or more, or the
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, load, slices
 
-K1, B, THRESHOLD, OVERLAP, SHINGLE, STRIDE, BLOCK, SHARD_BYTES = 1.2, 0.75, 0.6, 0.8, 5, 32, 64, 4 << 20
+K1, B, OVERLAP, SHINGLE, STRIDE, BLOCK, SHARD_BYTES = 1.2, 0.75, 0.8, 5, 32, 64, 4 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
@@ -100,14 +100,16 @@ def statistics(rows: list[tuple[int | None, str | None]]) -> Stats:
     return Stats(len(lists), sum(map(len, lists)) / len(lists) if lists else 1.0, max(map(len, lists), default=0), Counter(chain.from_iterable(map(set, lists))))
 
 
-def lowest(weights: dict[int, float], size_and_shingles: tuple[int, Counter]) -> float:
-    """The least score of a passage that holds ``OVERLAP`` of an entry's shingles, or ``THRESHOLD``.
+def lowest(weights: dict[int, float], *parts: tuple[int, Counter]) -> float:
+    """The least score of a passage that holds ``OVERLAP`` of the shingles of one of ``parts`` and all other words.
 
     Words that no shingle covers are at most as many as the places of the shingles that are missing.
     """
-    places = sorted(size_and_shingles[1].values(), reverse=True)
-    missing = sum(places[: int(len(places) * (1 - OVERLAP) + 1e-9)])
-    return min(THRESHOLD, 1 - sum(sorted(weights.values(), reverse=True)[:missing]) - 1e-9)
+    missing = 0
+    for _, own in parts:
+        places = sorted(own.values(), reverse=True)
+        missing = max(missing, sum(places[: int(len(places) * (1 - OVERLAP) + 1e-9)]))
+    return 1 - sum(sorted(weights.values(), reverse=True)[:missing]) - 1e-9
 
 
 def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None) -> Index:
@@ -119,7 +121,8 @@ def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None)
         question, answer = question_answer(text)
         parts.append((part(text), part(question), part(answer)))
         for kind, own in ((False, words(text)), (True, words(question))):
-            if own and not (kind and len(own) == len(entry_words[-1])):
+            # a shorter question stands with its answer only, and then all words but some of the answer's are there
+            if not kind or SHINGLE <= len(own) < len(entry_words[-1]):
                 entries.append((i, kind))
                 entry_words.append(own)
     for w in entry_words:
@@ -133,7 +136,8 @@ def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None)
         gain = {terms[x]: idf[terms[x]] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / stats.mean)) for x, c in Counter(w).items()}
         total = sum(gain.values())
         own = {k: float(g / total) for k, g in gain.items()}
-        least = max(1e-6, lowest(own, parts[i][question]))
+        whole, asked, answer = parts[i]
+        least = max(1e-6, lowest(own, asked) if question else lowest(own, whole, *[answer] * (asked[0] < SHINGLE)))
         if not question:
             weights.append(own)
         for k, g in own.items():
