@@ -30,13 +30,16 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _stored(spark, cache: str, tokenizer: str) -> DataFrame:
+def _stored(spark, cache: str, tokenizer: str, only: DataFrame | None = None) -> DataFrame:
+    """Counts of the cache for one tokenizer, of all digests or of ``only`` a few (broadcast)."""
     try:
         rows = spark.read.schema(CACHE).parquet(cache)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], CACHE)  # nothing was ever appended
+    if only is not None:
+        rows = rows.join(F.broadcast(only), "content_digest", "left_semi")
     # a run that was repeated after a loss may have appended a count twice: counts of equal digests are equal
     return rows.filter(F.col("tokenizer_digest") == tokenizer).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -60,7 +63,7 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str, most_bytes: int =
 
     rows = cut(seen.drop("text"), "digests")
     sizes = rows.groupBy("content_digest").count().filter(F.col("count") >= max(HOT, rows.count() // HOT)).select("content_digest")
-    hot = cut(_stored(spark, cache, version).join(F.broadcast(sizes), "content_digest"), "hot")  # HOT rows at most
+    hot = cut(_stored(spark, cache, version, sizes), "hot")  # HOT rows at most
     there = rows.join(F.broadcast(hot), "content_digest")
     others = rows.join(F.broadcast(hot.select("content_digest")), "content_digest", "left_anti")
     return there.unionByName(others.join(_stored(spark, cache, version), "content_digest"))
