@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -13,8 +15,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
 #: Rows and bytes that Spark hands to a Python worker at once; whole texts can be long.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -56,10 +60,17 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
+def cut(df: DataFrame, name: str, free: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+
+    Executors drop the shuffle files of a finished step once the driver has collected what refers to them: ``free`` asks for that
+    after large ones.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +90,14 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(sizes)]):
         yield batch.slice(int(a), int(b - a))
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on and keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -256,7 +256,7 @@ def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similar
     (``sets``) rule out pairs whose sets surely differ in too many shingles.
     """
     at = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = cut(at.dropDuplicates(["token", "node"]), "open")
+    at = cut(at.dropDuplicates(["token", "node"]), "open", free=True)
     sizes = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = cut(sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).filter("groups > 1"), "largest")
     pieces, main = F.ceil(F.col("rows") / PIECE).cast("int"), F.col("root") == F.col("largest")
@@ -275,8 +275,8 @@ def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similar
             high = np.searchsorted(place + n, place[other] + np.floor(n[other] / similarity + _EPS).astype(np.int64), "right")
             ends = np.cumsum(high - low)
             k = 0
-            while k < len(other):  # blocks of about a million meetings
-                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 1_000_000, "right")))
+            while k < len(other):  # blocks of so many meetings: two maps are held for each
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 100_000, "right")))
                 m = (high - low)[k:stop]
                 a = np.repeat(other[k:stop], m)
                 b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[k:stop], m)
@@ -317,7 +317,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
     """node, packed set and map of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``)."""
     spark = rows.sparkSession
     key = F.xxhash64("doc", "tie")
-    of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted")
+    of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted", free=True)
     bits = spark.sparkContext.broadcast(sieve(of.select(F.xxhash64("doc", "tie").alias("h"))))
     texts = sifted(rows.select("doc", "tie", "text", key.alias("h")), "h", bits, True).dropDuplicates(["doc", "tie"])
 
@@ -332,6 +332,10 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are alike."""
+    node = F.xxhash64("node")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    bits = pairs.sparkSession.sparkContext.broadcast(sieve(ends.select(node.alias("h"))))
+    sets = sifted(sets.select("node", "s", node.alias("h")), "h", bits, True).select("node", "s")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def compare(batches):
@@ -356,25 +360,25 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     marked = cut(_marked(rows, words), "marked")
     nodes = cut(marked.groupBy("node").agg(F.min(F.struct(*KEY)).alias("first"), F.min("fp").alias("fp")), "nodes")
 
-    met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met")
+    met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met", free=True)
     of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "of_fp")
-    close = cut(links(of_fp), "close").join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    close = cut(links(of_fp), "close", free=True).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     close = close.select("na", "nb").unionByName(nodes.join(of_fp.select("fp", F.col("node").alias("na")), "fp").filter("node <> na").select("na", F.col("node").alias("nb")))
     pairs = close.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).unionByName(met.filter("b is not null").select("a", "b")).distinct()
-    pairs = cut(pairs, "pairs")
+    pairs = cut(pairs, "pairs", free=True)
 
     ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
     open_ = met.filter("b is null").select(F.col("a").alias("node"), "token", "n", "pos")
-    sets = cut(_sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words), "sets")
-    found = cut(_verified(pairs, sets, similarity), "alike")
+    sets = cut(_sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words), "sets", free=True)
+    found = cut(_verified(pairs, sets, similarity), "alike", free=True)
     roots = cut(components(found), "roots")
     late = cut(_second_meeting(open_, roots, sets, similarity), "late")
-    found = found.unionByName(cut(_verified(late, sets, similarity), "alike_late"))
+    found = found.unionByName(cut(_verified(late, sets, similarity), "alike_late", free=True))
     roots = cut(nodes.join(components(found), "node"), "roots")
 
     least = cut(roots.groupBy("root").agg(F.min("first").alias("stays")), "least")
     grouped = roots.join(least, "root").select("node", "stays")
-    of = cut(grouped.unionByName(nodes.join(roots.select("node"), "node", "left_anti").select("node", F.col("first").alias("stays"))), "of")
+    of = cut(grouped.unionByName(nodes.join(roots.select("node"), "node", "left_anti").select("node", F.col("first").alias("stays"))), "of", free=True)
     return marked.join(of, "node").select(*KEY, "node", "stays")
 
 
@@ -386,7 +390,7 @@ def without_near_copies(docs: DataFrame, words: int = WORDS, similarity: float =
     spark = docs.sparkSession
     found = near_copies(docs, words, similarity)
     kept = found.groupBy(*KEY).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    decided = cut(kept.select(*KEY, (F.struct(*KEY) == F.col("stays")).alias("keep"), "rows").filter("not keep or rows > 1"), "decided")
+    decided = cut(kept.select(*KEY, (F.struct(*KEY) == F.col("stays")).alias("keep"), "rows").filter("not keep or rows > 1"), "decided", free=True)
     h, keys = fresh(docs.columns, "h"), {c: fresh(docs.columns, c) for c in KEY}
     bits = spark.sparkContext.broadcast(sieve(decided.select(F.xxhash64("tie", "pick").alias("h"))))
     marks = {keys["lacks"]: F.col("doc_id").isNull(), keys["doc"]: F.coalesce("doc_id", F.lit(0)).cast("long"), keys["tie"]: F.xxhash64(F.coalesce("text", F.lit("")))}

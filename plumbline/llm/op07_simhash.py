@@ -91,7 +91,7 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= DISTANCE
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def forest(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the verified pairs of these whole buckets connect.  Rows are sorted by bucket."""
     nodes, node = np.unique(fp, return_inverse=True)
     order = np.lexsort((~home, bucket))
@@ -119,13 +119,14 @@ def forest(bucket: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = 2_0
     return nodes[moved], nodes[label[moved]]
 
 
-def _pieces(entries: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(fps: DataFrame, file) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that a sample shows to be hot, ascending, and into how many pieces each is dealt; a fixed share of the sample at most.
 
     Which ones these are matters for speed only.
     """
-    every = max(1, total // SAMPLE)
-    found = entries.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).groupBy("bucket").count().filter(F.col("count") >= max(8, BUCKET // every)).toArrow()
+    every = max(1, fps.count() // SAMPLE)
+    entries = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).mapInArrow(file, "bucket long, fp long, home boolean")
+    found = entries.groupBy("bucket").count().filter(F.col("count") >= max(8, BUCKET // every)).toArrow()
     bucket, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("bucket", "count"))
     order = np.argsort(bucket)
     return bucket[order], np.maximum(2, -(-n[order] * every // BUCKET))
@@ -155,8 +156,7 @@ def links(fps: DataFrame) -> DataFrame:
                 s = slice(k, k + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[s]), pa.array(fp[s]), pa.array(home[s])], ["bucket", "fp", "home"])
 
-    entries = fps.select("fp").mapInArrow(file, "bucket long, fp long, home boolean")
-    hot = spark.sparkContext.broadcast(_pieces(entries, fps.count()))
+    hot = spark.sparkContext.broadcast(_pieces(fps.select("fp"), file))
 
     def deal(batches):
         for batch in batches:
