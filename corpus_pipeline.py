@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; ``run`` writes
 each result as Parquet to the shared folder and reads it again.  All stages but the last return the columns of
-``documents``.
+``documents``, further ones included; private columns get names that those do not have.
+
+Nulls and odd rows: a null or letterless text goes in language ID; a null lang is not learned from; a null source or
+n_chars passes.  Rows are judged as rows: a null doc_id, or one that repeats, changes no decision.  Of equal rows one stays
+(near-duplicates).  Whole texts count, however long.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, load
+from plumbline.llm.common import cut, fresh, load
 from plumbline.llm.near_copies import without_near_copies
 from plumbline.llm.op01_language_masks import identify, train
 from plumbline.llm.op04_multi_bwt import removed_ranges, without_ranges
@@ -23,8 +27,9 @@ LEAST_COVERAGE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are written in a language of the corpus; letterless and unreadable ones go."""
-    found = identify(docs, train(docs), ("_lang_pred", "_score", "_coverage"))
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+    lang, score, coverage = (fresh(docs.columns, c) for c in ("lang_pred", "score", "coverage"))
+    found = identify(docs, train(docs), (lang, score, coverage))
+    return found.filter((F.col(lang) != "und") & (F.col(coverage) >= LEAST_COVERAGE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
