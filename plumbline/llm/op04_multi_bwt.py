@@ -167,7 +167,8 @@ def _ranks(bwt: Column, lcp: Column, at: np.ndarray):
     since = np.full(256, 255, np.uint8)  # the smallest prefix after the last,
     waits = np.full(256, -1, np.int64)  # and which of the entries that is
     base = q = 0
-    for block, prefix in zip(bwt.blocks(), lcp.blocks()):
+    last = len(bwt.sizes) - 1
+    for number, (block, prefix) in enumerate(zip(bwt.blocks(), lcp.blocks())):
         order = np.argsort(block, kind="stable")
         count = np.bincount(block, minlength=256)
         edge = np.r_[0, np.cumsum(count)]
@@ -180,19 +181,21 @@ def _ranks(bwt: Column, lcp: Column, at: np.ndarray):
         has, goes = j > edge[c], j + 1 < edge[c + 1]
         before, after = order[j[has] - 1], order[j[goes] + 1]
         least = _Least(prefix, int(max(np.max(here[has] - before, initial=1), np.max(after - here[goes], initial=1))))
-        head, tail = np.minimum.accumulate(prefix), np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255)]
-        mine = own[q:to]
-        mine[has] = least(before + 1, here[has])
-        far = ~has & (seen[c] > 0)
-        mine[far] = np.minimum(since[c[far]], head[here[far]])
+        own[q:to][has] = least(before + 1, here[has])
         follow[q:to][goes] = least(here[goes] + 1, after)
         present = np.flatnonzero(count)
-        open_ = present[waits[present] >= 0]
-        follow[waits[open_]] = np.minimum(since[open_], head[order[edge[open_]]])
-        since = np.minimum(since, head[-1])
-        since[present] = tail[order[edge[present + 1] - 1] + 1]
-        waits[present] = -1
-        waits[c[~goes]] = np.arange(q, to)[~goes]
+        if number:  # what the blocks before left open
+            head, mine = np.minimum.accumulate(prefix), own[q:to]
+            far = ~has & (seen[c] > 0)
+            mine[far] = np.minimum(since[c[far]], head[here[far]])
+            open_ = present[waits[present] >= 0]
+            follow[waits[open_]] = np.minimum(since[open_], head[order[edge[open_]]])
+        if number < last:
+            tail = np.r_[np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255)]
+            since = np.minimum(since, prefix.min())
+            since[present] = tail[order[edge[present + 1] - 1] + 1]
+            waits[present] = -1
+            waits[c[~goes]] = np.arange(q, to)[~goes]
         seen += count
         base, q = base + len(block), to
     return symbol, rank, own, follow
@@ -338,28 +341,22 @@ def _anchored(batches, hot: np.ndarray):
     for batch in batches:
         for part in slices(batch, "text"):
             number, docs, ties = _numbered(_long(part.column("doc")), _long(part.column("tie")))
-            keys, segs, owner, starts, sizes = [], [], [], [], []
-            for own, text in zip(number.tolist(), texts_of(part.column("text"))):
-                key, start, size = segments(text)
-                if not len(key):
-                    continue
-                crowd = np.isin(key.view(np.int64), hot) if len(hot) else np.zeros(len(key), bool)
-                for a, m in zip(start[crowd].tolist(), size[crowd].tolist()):
-                    k, g, at = _windows(text, a, m)
-                    keys.append(np.array(k, np.uint64))
-                    segs.append(np.array(g, np.uint64))
-                    starts.append(np.array(at, np.int64))
-                    sizes.append(np.full(len(at), LENGTH, np.int64))
-                key, start, size = key[~crowd], start[~crowd], size[~crowd]
-                keys.append(key)
-                segs.append(np.array([digest(text[a : a + m]) for a, m in zip(start.tolist(), size.tolist())], np.uint64))
-                starts.append(start)
-                sizes.append(size)
-                owner.append((own, sum(map(len, keys))))
-            if not keys:
+            texts = texts_of(part.column("text"))
+            found = [segments(t) for t in texts]
+            counts = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
+            if not counts.sum():
                 continue
-            key, seg, start, size = np.concatenate(keys).view(np.int64), np.concatenate(segs).view(np.int64), np.concatenate(starts), np.concatenate(sizes)
-            doc = np.repeat([o for o, _ in owner], np.diff([0, *(n for _, n in owner)]))
+            key, start, size = (np.concatenate(x) for x in zip(*found))
+            key, row = key.view(np.int64), np.repeat(np.arange(len(texts)), counts)
+            crowd = np.isin(key, hot) if len(hot) else np.zeros(len(key), bool)
+            calm = np.flatnonzero(~crowd)
+            seg = np.array([digest(texts[r][a : a + n]) for r, a, n in zip(row[calm].tolist(), start[calm].tolist(), size[calm].tolist())], np.uint64).view(np.int64)
+            columns = [(key[calm], seg, row[calm], start[calm], size[calm])]
+            for r, a, n in zip(row[crowd].tolist(), start[crowd].tolist(), size[crowd].tolist()):
+                k, g, at = _windows(texts[r], a, n)
+                columns.append((np.array(k, np.uint64).view(np.int64), np.array(g, np.uint64).view(np.int64), np.full(len(at), r), np.array(at, np.int64), np.full(len(at), LENGTH)))
+            key, seg, row, start, size = (np.concatenate(c) for c in zip(*columns))
+            doc = number[row]
             order, first, later = _first_of_equal(key, seg, doc, start)
             one, more = order[first], order[later]
             yield _rows(key[one], seg[one], docs[doc[one]], ties[doc[one]], start[one], size[one])
