@@ -53,13 +53,18 @@ def shared_files(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def fresh(columns: list[str], name: str) -> str:
-    """A column name that is not among ``columns``."""
-    name = f"_{name}"
-    while name in columns:
+    """A column name that is not among ``columns``, however their letters are cased."""
+    taken, name = {c.lower() for c in columns}, f"_{name}"
+    while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name`` itself where ``columns`` have nothing like it."""
+    return fresh(columns, name) if name.lower() in {c.lower() for c in columns} else name
+
+
 def cut(df: DataFrame, name: str, free: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
 

@@ -12,6 +12,9 @@ from .op07_simhash import op7_multi_index
 from .op08_token_records import op8_token_records
 from .op09_linear_grouping import op9_linear_grouping
 from .op10_chat_format import OP10_SQL, op10_grammar_round_trip
+from .op11_byte_bpe import op11_byte_bpe
+from .op12_golden_records import OP12_SQL, op12_golden_records
+from .op13_fill_in_middle import OP13_SQL, op13_fill_in_middle
 
 
 def queries():
@@ -28,9 +31,12 @@ def queries():
             op8_token_records,
             op9_linear_grouping,
             op10_grammar_round_trip,
+            op11_byte_bpe,
+            op12_golden_records,
+            op13_fill_in_middle,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_grammar_round_trip": OP10_SQL}
+    return {"op10_grammar_round_trip": OP10_SQL, "op12_golden_records": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
