@@ -2,8 +2,9 @@
 
 Items are few against the corpus, so the index holds the items and every passage of every training document is a
 query.  An item has two entries, the whole and its question (all but the last sentence) if that has five words.  Scores are normalised by the
-entry's own score, so that 1 means "all of its words".  A passage is ``2 * stride`` words, a new one every ``stride`` words, where
-``stride`` is the longest item (``STRIDE`` words at least): any item lies whole within some passage.
+entry's own score, so that 1 means "all of its words".  Items are searched by classes of lengths: a passage is ``2 * stride`` words, a new one
+every ``stride`` words, where ``stride`` is the power of two from the item's length on (``STRIDE`` at least): any item lies whole within some
+passage, and how long other items are changes nothing for it.
 
 Search: a bound first.  Terms found in few entries are *rare*; what all other terms can add to entry i is a constant
 ``s_i`` of the index.  A passage whose rare terms reach ``threshold - s_i`` for no entry cannot hold a result and is
@@ -18,19 +19,23 @@ Verification, in the passage: overlap of the question, of the answer (the last s
 shingles; a part of fewer words is one shingle of its length.  A pair stands if the whole overlaps by 0.8 or more, or the
 question does and either has five words or the answer does as well.  Of the passages of a pair the best is reported.
 
-Statistics (document frequencies, mean length, stride) are those of all items, so results do not depend on the shards: the index
-is broadcast in shards of ``SHARD_BYTES`` bytes of items, and every shard is searched.
+Statistics (document frequencies, mean length) are those of all distinct items, so results do not depend on the shards: the index is
+built in shards of ``SHARD_BYTES`` bytes of distinct items, which lie in the shared folder.  The corpus is read once: a task
+holds ``HELD`` bytes of texts and takes one shard after another through them (a single shard stays in the worker).
 
 Nulls: null texts (documents or items) and items without words match nothing; a null doc_id or item_id is carried.
-Repeated documents or items give repeated pairs.  Empty tables give an empty result.
+Repeated documents or items give repeated pairs; repeated items weigh as one.  ``passage`` counts strides of the item's own class.  Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -38,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, load, slices
+from .common import cut, load, scratch, shared_files, slices
 
-K1, B, OVERLAP, SHINGLE, STRIDE, BLOCK, SHARD_BYTES = 1.2, 0.75, 0.8, 5, 32, 64, 4 << 20
+K1, B, OVERLAP, SHINGLE, STRIDE, BLOCK, SHARD_BYTES, HELD = 1.2, 0.75, 0.8, 5, 32, 64, 4 << 20, 32 << 20
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
@@ -74,13 +79,14 @@ class Stats:
 
     n: int
     mean: float  # words
-    longest: int
     df: dict[bytes, int]  # items that hold a term
 
 
 @dataclass
 class Index:
-    ids: list  # item_id of each item
+    """Of items of one class of lengths."""
+
+    ids: list  # item_id (or key) of each item
     entries: list[tuple[int, bool]]  # item of each entry, and whether it is its question
     terms: dict[bytes, int]
     items: list[list[int]]  # of each term: entries, ascending
@@ -97,7 +103,12 @@ class Index:
 
 def statistics(rows: list[tuple[int | None, str | None]]) -> Stats:
     lists = [w for _, t in rows if (w := words(t))]
-    return Stats(len(lists), sum(map(len, lists)) / len(lists) if lists else 1.0, max(map(len, lists), default=0), Counter(chain.from_iterable(map(set, lists))))
+    return Stats(len(lists), sum(map(len, lists)) / len(lists) if lists else 1.0, Counter(chain.from_iterable(map(set, lists))))
+
+
+def stride_of(n: int) -> int:
+    """Words from one passage to the next for items of ``n`` words."""
+    return max(STRIDE, 1 << (n - 1).bit_length())
 
 
 def lowest(weights: dict[int, float], *parts: tuple[int, Counter]) -> float:
@@ -112,10 +123,22 @@ def lowest(weights: dict[int, float], *parts: tuple[int, Counter]) -> float:
     return 1 - sum(sorted(weights.values(), reverse=True)[:missing]) - 1e-9
 
 
-def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None) -> Index:
-    stats = stats or statistics(rows)
+def classes(rows: list[tuple], stats: Stats | None = None) -> list[Index]:
+    """An index for each class of lengths; all of them number terms alike."""
+    stats, own, terms = stats or statistics(rows), {}, {}
+    for i, t in rows:
+        if w := words(t):
+            own.setdefault(stride_of(len(w)), []).append((i, t))
+            for x in w:
+                terms.setdefault(x, len(terms))
+    return [build(own[s], stats, terms) for s in sorted(own)]
+
+
+def build(rows: list[tuple], stats: Stats | None = None, terms: dict[bytes, int] | None = None) -> Index:
+    """One index of ``rows``, with the stride of the longest."""
+    stats, terms = stats or statistics(rows), {} if terms is None else terms
     rows = [(i, t) for i, t in rows if words(t)]
-    terms: dict[bytes, int] = {}
+    stride = max((stride_of(len(words(t))) for _, t in rows), default=STRIDE)
     entries, entry_words, parts = [], [], []
     for i, (_, text) in enumerate(rows):
         question, answer = question_answer(text)
@@ -144,23 +167,23 @@ def build(rows: list[tuple[int | None, str | None]], stats: Stats | None = None)
             posts[k].append((e, g / least))
     items = [np.array([e for e, _ in p], np.int64) for p in posts]
     gains = [np.array([g for _, g in p]) for p in posts]
-    top = [float(g.max()) for g in gains]
-    blocks = [(i[np.minimum(np.arange(BLOCK - 1, len(i) + BLOCK - 1, BLOCK), len(i) - 1)], np.maximum.reduceat(g, np.arange(0, len(g), BLOCK))) for i, g in zip(items, gains)]
+    top = [float(g.max()) if len(g) else 0.0 for g in gains]
+    blocks = [(i[np.minimum(np.arange(BLOCK - 1, len(i) + BLOCK - 1, BLOCK), len(i) - 1)], np.maximum.reduceat(g, np.arange(0, len(g), BLOCK)) if len(g) else g) for i, g in zip(items, gains)]
     blocks = [(last.tolist(), most.tolist()) for last, most in blocks]
     # the most frequent terms are not rare as long as, together, they leave every entry well below the threshold
-    rare, common = np.ones(len(terms), bool), np.zeros(len(entries))
+    rare, common = np.fromiter(map(len, items), np.int64, len(items)) > 0, np.zeros(len(entries))
     for k in np.argsort(-np.fromiter(map(len, items), np.int64, len(items)), kind="stable"):
         if len(items[k]) < 2 or (common[items[k]] + gains[k]).max() > 0.5:
             continue
         rare[k] = False
         common[items[k]] += gains[k]
     flat = (np.concatenate(items), np.concatenate(gains)) if items else (np.zeros(0, np.int64), np.zeros(0))
-    return Index([i for i, _ in rows], entries, terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, max(STRIDE, stats.longest), flat, parts, weights)
+    return Index([i for i, _ in rows], entries, terms, [i.tolist() for i in items], [g.tolist() for g in gains], top, blocks, rare, common, stride, flat, parts, weights)
 
 
 def wand(index: Index, query: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
     """Every entry whose score for the distinct terms of ``query`` reaches ``threshold``, by block-max WAND."""
-    live = [[index.items[t], index.gains[t], 0, t] for t in query]  # postings, contributions, cursor, term
+    live = [[index.items[t], index.gains[t], 0, t] for t in query if index.items[t]]  # postings, contributions, cursor, term
     found, eps = [], 1e-9
     while live:
         live.sort(key=lambda c: c[0][c[2]])
@@ -259,12 +282,17 @@ def stands(index: Index, item: int, whole: float, question: float, answer: float
     return whole >= OVERLAP or question >= OVERLAP and (index.parts[item][1][0] == SHINGLE or answer >= OVERLAP)
 
 
-def find(index: Index, texts: list[str | None]) -> list[tuple]:
-    """(text, item, score, passage, overlaps, contaminated) of every pair retrieved, for its best passage."""
+def find(indexes: list[Index], texts: list[str | None]) -> list[tuple]:
+    """(text, id, score, passage, overlaps, contaminated) of every pair retrieved, for its best passage."""
     pieces = [words(t) for t in texts]
+    seen_terms = read(indexes[0], pieces) if indexes else ()
+    return [row for index in indexes for row in _found(index, pieces, *seen_terms)]
+
+
+def _found(index: Index, pieces: list[list[bytes]], lens: np.ndarray, tokens: np.ndarray) -> list[tuple]:
     best: dict[tuple[int, int], tuple] = {}
     seen = set()
-    for t, entry, passage, _ in search(index, *read(index, pieces)):
+    for t, entry, passage, _ in search(index, lens, tokens):
         item = index.entries[entry][0]
         if (t, item, passage) in seen:
             continue
@@ -274,80 +302,105 @@ def find(index: Index, texts: list[str | None]) -> list[tuple]:
         overlaps = verify(index, item, own)
         row = (stands(index, item, *overlaps), overlaps, score, -passage)
         best[t, item] = max(best.get((t, item), row), row)
-    return [(t, item, score, -passage, *overlaps, stand) for (t, item), (stand, overlaps, score, passage) in sorted(best.items())]
+    return [(t, index.ids[item], score, -passage, *overlaps, stand) for (t, item), (stand, overlaps, score, passage) in sorted(best.items())]
+
 
+RESULT = "doc_id long, key string, score double, passage int, overlap double, question_overlap double, answer_overlap double, contaminated boolean"
 
-RESULT = "doc_id long, item_id long, score double, passage int, overlap double, question_overlap double, answer_overlap double, contaminated boolean"
+
+def _keyed(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter(F.col("text").isNotNull()).select("item_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
 
 
 def shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES):
-    """The index of all items, shard by shard: at most about ``shard_bytes`` of texts are on the driver."""
-    own = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    """The classes of all items, shard by shard: about ``shard_bytes`` of distinct texts are on the driver at once."""
 
     def split(batches):
         for batch in batches:
             lists = [words(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, lists), pa.int32()), pa.array([list(set(w)) for w in lists], pa.list_(pa.binary()))], ["item_id", "text", "n", "terms"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, lists), pa.int32()), pa.array([list(set(w)) for w in lists], pa.list_(pa.binary()))], ["key", "text", "n", "terms"])
 
-    items = cut(own.mapInArrow(split, "item_id long, text string, n int, terms array<binary>").filter("n > 0"), "items")
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    own = _keyed(benchmark).groupBy("key").agg(F.min("text").alias("text"))
+    items = cut(own.mapInArrow(split, "key string, text string, n int, terms array<binary>").filter("n > 0"), "items")
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not total["n"]:
         return
     several = -(-total["bytes"] // shard_bytes)
     df = cut(items.select(F.explode("terms").alias("term")).groupBy("term").count(), "df")
     for k in range(several):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(several)) == k)
-        rows = sorted(((r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()), key=lambda r: (r[0] is not None, r))
+        mine = items.filter(F.pmod(F.xxhash64("key"), F.lit(several)) == k)
+        rows = sorted(map(tuple, mine.select("key", "text").collect()))
         counts = df.join(mine.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").collect()
-        yield build(rows, Stats(total["n"], total["mean"], total["longest"], {bytes(r["term"]): r["count"] for r in counts}))
-
-
-def retrieve(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Best passage and overlaps of every (document, item) pair retrieved; ``contaminated`` if the pair stands.  Eager if there are several shards."""
-    spark = docs.sparkSession
-    out = None
-    for index in shards(benchmark, shard_bytes):
-        if out is not None:  # the shard before goes when its pairs are written
-            out, shared = cut(out, "pairs"), shared.unpersist()
-        shared = spark.sparkContext.broadcast(index)
-        found = docs.select("doc_id", "text").mapInArrow(_finder(shared), RESULT)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], RESULT) if out is None else out
-
+        if rows:
+            yield classes(rows, Stats(total["n"], total["mean"], {bytes(r["term"]): r["count"] for r in counts}))
+
+
+def stored(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[str]:
+    """Files of the shards in the shared folder."""
+    paths = []
+    for k, indexes in enumerate(shards(benchmark, shard_bytes)):
+        fs, path = shared_files(uri := scratch(benchmark.sparkSession, f"index-{k}"))
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(path) as f:
+            pickle.dump(indexes, f, protocol=5)
+        paths.append(uri)
+    return paths
+
+
+@lru_cache(maxsize=1)
+def _loaded(uri: str) -> list[Index]:
+    fs, path = shared_files(uri)
+    with fs.open_input_stream(path) as f:
+        return pickle.load(f)
+
+
+def _judged(batches, paths: list[str], held: int):
+    """Parts of ``batches``, each with what all shards find in it; about ``held`` bytes at a time."""
+
+    def through(parts):
+        texts = [p.column(p.schema.get_field_index("text")).to_pylist() for p in parts]
+        found = [[] for _ in parts]
+        for path in paths:
+            for rows, t in zip(found, texts):
+                rows += find(_loaded(path), t)
+        return zip(parts, found)
+
+    parts, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            parts.append(part)
+            size += part.nbytes
+            if size >= held or len(paths) == 1:
+                yield from through(parts)
+                parts, size = [], 0
+    yield from through(parts)
+
+
+def retrieve(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, held: int = HELD) -> DataFrame:
+    """Best passage and overlaps of every (document, item) pair retrieved; ``contaminated`` if the pair stands."""
+    paths = stored(benchmark, shard_bytes)
 
-def _finder(shared):
     def pairs(batches):
-        index = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[t], index.ids[item], *rest) for t, item, *rest in find(index, part.column("text").to_pylist())]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], [x.split()[0] for x in RESULT.split(", ")])
-
-    return pairs
+        for part, found in _judged(batches, paths, held):
+            ids = part.column("doc_id").to_pylist()
+            rows = [(ids[t], *rest) for t, *rest in found]
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
+    found = docs.select("doc_id", "text").mapInArrow(pairs, RESULT)
+    return found.join(_keyed(benchmark).select("item_id", "key"), "key").select("doc_id", "item_id", *found.columns[2:])
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows of ``docs`` (text and others) that hold no item.  Rows are judged where they are: no shuffle, no key."""
-    spark, before = docs.sparkSession, None
-    for index in shards(benchmark, shard_bytes):
-        if before is not None:
-            docs, _ = cut(docs, "clean"), before.unpersist()
-        before = spark.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(_cleaner(before), docs.schema)
-    return docs
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, held: int = HELD) -> DataFrame:
+    """Rows of ``docs`` (text and others) that hold no item.  Rows are judged where they are: one scan, no shuffle, no key."""
+    paths = stored(benchmark, shard_bytes)
 
-def _cleaner(shared):
     def clean(batches):
-        index = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                gone = {t for t, *_, stand in find(index, part.column("text").to_pylist()) if stand}
-                yield part.filter(pa.array([t not in gone for t in range(part.num_rows)], pa.bool_()))
+        for part, found in _judged(batches, paths, held):
+            gone = {t for t, *_, stand in found if stand}
+            yield part.filter(pa.array([t not in gone for t in range(part.num_rows)], pa.bool_()))
 
-    return clean
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op6_block_max_wand(spark, sf_dir: str) -> DataFrame:

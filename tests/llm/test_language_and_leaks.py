@@ -123,7 +123,7 @@ def test_search_equals_scoring_every_passage():
 
 def brute_pairs(rows, bench):
     """Pairs that stand in some passage, by comparing every passage with every item."""
-    stride, out = max([op6.STRIDE, *(len(op6.words(t)) for _, t in bench)]), set()
+    out = set()
 
     def overlap(text, passage):
         w = op6.words(text)
@@ -135,6 +135,9 @@ def brute_pairs(rows, bench):
         w = op6.words(t)
         for i, item in bench:
             question, answer = op6.question_answer(item or "")
+            stride = op6.STRIDE  # of the item alone, whatever else the benchmark holds
+            while stride < len(op6.words(item)):
+                stride *= 2
             for p in range(max(1, -(-len(w) // stride))):
                 passage = w[p * stride : (p + 2) * stride]
                 q = overlap(question, passage) >= 0.8 and (len(op6.words(question)) >= 5 or overlap(answer, passage) >= 0.8)
@@ -202,6 +205,34 @@ def test_scores_do_not_depend_on_shards(spark):
     assert one == many and len(list(op6.shards(table, 300))) > 5
 
 
+@pytest.mark.parametrize("shard", [4 << 20, 700])
+def test_a_very_long_item_changes_no_other_pair(spark, shard):
+    """Pieces of an item far apart are no match, and stay none when another item is long; the long item is found itself."""
+    rng = random.Random(29)
+    item = prose(rng, EN, 30)
+    w = item.split()
+    apart = " ".join(x for k in range(6) for x in (*w[4 * k : 4 * k + 9], prose(rng, FR, 600)))
+    long = prose(rng, EN, 6000)
+    rows = [(1, apart), (2, prose(rng, EN, 50) + " " + item), (3, prose(rng, FR, 90) + " " + long + " " + prose(rng, FR, 20)), (4, long[: len(long) // 2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    pairs = lambda bench: {(r["doc_id"], r["item_id"]) for r in op6.retrieve(docs, spark.createDataFrame(bench, "item_id long, text string"), shard).filter("contaminated").collect()}
+    assert pairs([(1, item)]) == {(2, 1)} and pairs([(1, item), (2, long)]) == {(2, 1), (3, 2)}
+    assert pairs([(1, item), (2, long)]) == brute_pairs(rows, [(1, item), (2, long)])
+
+
+def test_repeated_items_and_one_scan(spark):
+    """Many rows of one item are searched as one and all reported; the corpus is scanned once, whatever the shards."""
+    bench, rows = leaks()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = spark.createDataFrame(bench, "item_id long, text string")
+    many = once.unionByName(spark.range(1000, 1300).select(F.col("id").alias("item_id"), F.lit(bench[3][1]).alias("text")))
+    plain, repeated = ([tuple(r) for r in op6.retrieve(docs, t, 700, held=2000).collect()] for t in (once, many))
+    assert len(repeated) == len(plain) + 300 * sum(r[1] == bench[3][0] for r in plain)
+    assert set(plain) == {r for r in repeated if r[1] is None or r[1] < 1000}
+    plan = op6.decontaminated(docs, many, 700)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_question_and_answer():
     assert op6.question_answer("One two. Three four? Five.") == ("One two. Three four?", " Five.")
     assert op6.question_answer("Only one sentence") == ("Only one sentence", "")
@@ -278,6 +309,6 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(oracle_sql()) <= set(names)
     assert op7.DISTANCE == 4 and op9.CAPACITY == 4096 and texts()[61] == ""
