@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -65,20 +64,30 @@ def free(columns: list[str], name: str) -> str:
     return fresh(columns, name) if name.lower() in {c.lower() for c in columns} else name
 
 
-def cut(df: DataFrame, name: str, free: bool = False, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+#: Has Spark remove an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Executors drop the shuffle files of a finished step once the driver has collected what refers to them: ``free`` asks for that
-    after large ones.
-    """
+
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files, and the shuffle files of the step go."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, after their last reader has run."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            fs, path = shared_files(folder)
+            fs.delete_dir(path)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Bytes (of a text in UTF-8) of each value; null counts as empty."""
     column = column.cast(pa.binary())

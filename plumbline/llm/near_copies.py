@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, slices, texts_of
+from .common import cut, drop, fresh, partitions, slices, texts_of
 from .components import components
 from .op07_simhash import folded, links, shingle_hashes
 
@@ -256,11 +256,11 @@ def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similar
     (``sets``) rule out pairs whose sets surely differ in too many shingles.
     """
     at = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = cut(at.dropDuplicates(["token", "node"]), "open", free=True)
-    sizes = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
+    open_ = cut(at.dropDuplicates(["token", "node"]), "open")
+    sizes = open_.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = cut(sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).filter("groups > 1"), "largest")
     pieces, main = F.ceil(F.col("rows") / PIECE).cast("int"), F.col("root") == F.col("largest")
-    at = at.join(largest.select("token", "largest", pieces.alias("pieces")), "token").join(sets.select("node", "map"), "node")
+    at = open_.join(largest.select("token", "largest", pieces.alias("pieces")), "token").join(sets.select("node", "map"), "node")
     at = at.select("token", "n", "node", "pos", "root", "map", main.alias("main"), "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("own"))
     at = at.withColumn("piece", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))))
     at = at.select("token", "piece", "n", "node", "pos", "root", "main", (F.col("piece") == F.col("own")).alias("home"), "map")
@@ -289,7 +289,9 @@ def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similar
 
     n = partitions(rows.sparkSession)
     met = at.repartition(n, "token", "piece").sortWithinPartitions("token", "piece", "n", "node").mapInArrow(fetch, _MET)
-    return met.select("a", "b").distinct()
+    out = cut(met.select("a", "b").distinct(), "late")
+    drop(open_, largest)
+    return out
 
 
 # verification
@@ -314,10 +316,10 @@ def _map(s: np.ndarray) -> bytes:
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, packed set and map of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``)."""
+    """node, packed set and map of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``).  Eager."""
     spark = rows.sparkSession
     key = F.xxhash64("doc", "tie")
-    of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted", free=True)
+    of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted")
     bits = spark.sparkContext.broadcast(sieve(of.select(F.xxhash64("doc", "tie").alias("h"))))
     texts = sifted(rows.select("doc", "tie", "text", key.alias("h")), "h", bits, True).dropDuplicates(["doc", "tie"])
 
@@ -327,11 +329,14 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
                 found = [shingle_set(t, words) for t in texts_of(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(map(f, found), pa.binary()) for f in (_packed, _map))], ["node", "s", "map"])
 
-    return texts.join(of.select("node", "doc", "tie"), ["doc", "tie"]).select("node", "text").mapInArrow(write, "node long, s binary, map binary")
+    out = cut(texts.join(of.select("node", "doc", "tie"), ["doc", "tie"]).select("node", "text").mapInArrow(write, "node long, s binary, map binary"), "sets")
+    drop(of)
+    bits.unpersist()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike."""
+    """Those of ``pairs`` (a, b) whose sets are alike.  Eager."""
     node = F.xxhash64("node")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     bits = pairs.sparkSession.sparkContext.broadcast(sieve(ends.select(node.alias("h"))))
@@ -348,7 +353,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(shared > 0 and shared >= similarity * (len(x) + len(y) - shared) - _EPS)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compare, "a long, b long")
+    out = cut(both.mapInArrow(compare, "a long, b long"), "alike")
+    bits.unpersist()
+    return out
 
 
 # groups
@@ -360,25 +367,32 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     marked = cut(_marked(rows, words), "marked")
     nodes = cut(marked.groupBy("node").agg(F.min(F.struct(*KEY)).alias("first"), F.min("fp").alias("fp")), "nodes")
 
-    met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met", free=True)
+    met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met")
     of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "of_fp")
-    close = cut(links(of_fp), "close", free=True).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
+    linked = cut(links(of_fp), "close")
+    close = linked.join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     close = close.select("na", "nb").unionByName(nodes.join(of_fp.select("fp", F.col("node").alias("na")), "fp").filter("node <> na").select("na", F.col("node").alias("nb")))
     pairs = close.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).unionByName(met.filter("b is not null").select("a", "b")).distinct()
-    pairs = cut(pairs, "pairs", free=True)
+    pairs = cut(pairs, "pairs")
+    drop(of_fp, linked)
 
     ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
     open_ = met.filter("b is null").select(F.col("a").alias("node"), "token", "n", "pos")
-    sets = cut(_sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words), "sets", free=True)
-    found = cut(_verified(pairs, sets, similarity), "alike", free=True)
+    sets = _sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words)
+    found = _verified(pairs, sets, similarity)
+    drop(pairs)
     roots = cut(components(found), "roots")
-    late = cut(_second_meeting(open_, roots, sets, similarity), "late")
-    found = found.unionByName(cut(_verified(late, sets, similarity), "alike_late", free=True))
-    roots = cut(nodes.join(components(found), "node"), "roots")
+    late = _second_meeting(open_, roots, sets, similarity)
+    drop(met, roots)
+    more = _verified(late, sets, similarity)
+    drop(late, sets)
+    roots = cut(nodes.join(components(found.unionByName(more)), "node"), "roots")
+    drop(found, more)
 
     least = cut(roots.groupBy("root").agg(F.min("first").alias("stays")), "least")
     grouped = roots.join(least, "root").select("node", "stays")
-    of = cut(grouped.unionByName(nodes.join(roots.select("node"), "node", "left_anti").select("node", F.col("first").alias("stays"))), "of", free=True)
+    of = cut(grouped.unionByName(nodes.join(roots.select("node"), "node", "left_anti").select("node", F.col("first").alias("stays"))), "of")
+    drop(least, roots, nodes)
     return marked.join(of, "node").select(*KEY, "node", "stays")
 
 
@@ -390,7 +404,8 @@ def without_near_copies(docs: DataFrame, words: int = WORDS, similarity: float =
     spark = docs.sparkSession
     found = near_copies(docs, words, similarity)
     kept = found.groupBy(*KEY).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    decided = cut(kept.select(*KEY, (F.struct(*KEY) == F.col("stays")).alias("keep"), "rows").filter("not keep or rows > 1"), "decided", free=True)
+    decided = cut(kept.select(*KEY, (F.struct(*KEY) == F.col("stays")).alias("keep"), "rows").filter("not keep or rows > 1"), "decided")
+    drop(found)
     h, keys = fresh(docs.columns, "h"), {c: fresh(docs.columns, c) for c in KEY}
     bits = spark.sparkContext.broadcast(sieve(decided.select(F.xxhash64("tie", "pick").alias("h"))))
     marks = {keys["lacks"]: F.col("doc_id").isNull(), keys["doc"]: F.coalesce("doc_id", F.lit(0)).cast("long"), keys["tie"]: F.xxhash64(F.coalesce("text", F.lit("")))}
