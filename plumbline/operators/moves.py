@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import overlay
 from . import placement as P
 
 EVALUATION = "overlap_pct double, hugging_pct double, mean_gap_m double, nearest_edge_m double, neighbour_count int"
@@ -30,22 +31,17 @@ def _local(rings, lon0: float, lat0: float) -> list[np.ndarray]:
     return [(np.array([(p["x"], p["y"]) for p in r], float) - (lon0, lat0)) * k for r in rings]
 
 
-def evaluate(rings, neighbours, east: float, north: float, turn: float, cell: float = 0.5) -> tuple:
+def evaluate(rings, neighbours, east: float, north: float, turn: float) -> tuple:
     pts = np.array([(p["x"], p["y"]) for r in rings for p in r], float)
     lon0, lat0 = pts.mean(0)
     group, others = _local(rings, lon0, lat0), _local([n for n in neighbours if len(n) >= 4], lon0, lat0)
     if not others or not group:
         return (None, None, None, None, len(others))
-    area = sum(map(P._area, group))
     pivot = P._middle(group)
     moved = [P._rotate(r, turn, pivot) + (east, north) for r in group]
-    lo = np.concatenate(moved).min(0) - 2
-    size = np.concatenate(moved).max(0) - lo + 4
-    cell = max(cell, float(size.max()) / 1500)
-    shape = (int(size[1] / cell) + 1, int(size[0] / cell) + 1)
-    inside = P._fill(moved, lo, shape, cell) & P._fill(others, lo, shape, cell)
+    share = P._share(overlay.Side(moved), overlay.Side(others))
     d = P._edge_distance(P._samples(moved), others, np.inf)
-    return (round(float(inside.sum()) * cell * cell / area * 100, 1), round(float((d <= P.HUG_M).mean()) * 100, 1), round(float(np.minimum(d, P.GAP_CAP_M).mean()), 2), round(float(d.min()), 1), len(others))
+    return (round(share * 100, 1), round(float((d <= P.HUG_M).mean()) * 100, 1), round(float(np.minimum(d, P.GAP_CAP_M).mean()), 2), round(float(d.min()), 1), len(others))
 
 
 def evaluate_positions(moves: DataFrame, keys: list[str]) -> DataFrame:

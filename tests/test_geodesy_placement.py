@@ -96,8 +96,8 @@ def test_target_parcel_decides_if_areas_agree():
 def test_turn_is_undone():
     quad = np.array([(0.0, 0.0), (140.0, 10.0), (120.0, 90.0), (10.0, 60.0)])
     turned = placement._rotate(quad, 60, placement._centroid(quad)) + (1000, 500)
-    fit = placement.onto_target([turned], quad, cell=0.5)
-    assert fit["rotation_deg"] == pytest.approx(-60, abs=0.5) and fit["overlap"] > 0.97
+    fit = placement.onto_target([turned], quad)
+    assert fit["rotation_deg"] == pytest.approx(-60, abs=0.5) and fit["overlap"] > 0.999
 
 
 def test_fits_and_evaluations_as_tables(spark):
