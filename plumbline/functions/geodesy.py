@@ -14,10 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from .zones import US_FOOT, parsed
+
 A, FLAT = 6_378_137.0, 1 / 298.257222101
 E2 = FLAT * (2 - FLAT)
 E = np.sqrt(E2)
-US_FOOT = 1200 / 3937
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ class Zone:
     epsg: int
     name: str
     state: str
-    kind: str  # 'tm' or 'lcc'
+    kind: str  # 'tm', 'lcc' or 'om' (oblique)
     lat0: float
     lon0: float
     k0: float
@@ -35,21 +36,12 @@ class Zone:
     false_north: float
     lat1: float = 0.0
     lat2: float = 0.0
+    azimuth: float = 0.0  # of the oblique kind's central line, and of its grid
     unit: float = US_FOOT
     bounds: tuple[float, float, float, float] = (-180.0, -90.0, 180.0, 90.0)  # west, south, east, north
 
 
-#: NAD83 state-plane zones in US survey feet (published definitions).
-ZONES = (
-    Zone(3421, "NAD83 / Nevada East (ftUS)", "Nevada", "tm", 34.75, -115.583333333333, 0.9999, 200_000.0, 8_000_000.0, bounds=(-117.01, 34.99, -114.03, 42.0)),
-    Zone(3422, "NAD83 / Nevada Central (ftUS)", "Nevada", "tm", 34.75, -116.666666666667, 0.9999, 500_000.0, 6_000_000.0, bounds=(-118.19, 36.0, -114.99, 41.0)),
-    Zone(3423, "NAD83 / Nevada West (ftUS)", "Nevada", "tm", 34.75, -118.583333333333, 0.9999, 800_000.0, 4_000_000.0, bounds=(-120.0, 36.95, -116.99, 42.0)),
-    Zone(3437, "NAD83 / New Hampshire (ftUS)", "New Hampshire", "tm", 42.5, -71.6666666666667, 0.999966667, 300_000.0, 0.0, bounds=(-72.56, 42.69, -70.63, 45.31)),
-    Zone(2241, "NAD83 / Idaho East (ftUS)", "Idaho", "tm", 41.6666666666667, -112.166666666667, 0.999947368, 200_000.0, 0.0, bounds=(-113.24, 41.99, -111.04, 44.75)),
-    Zone(2242, "NAD83 / Idaho Central (ftUS)", "Idaho", "tm", 41.6666666666667, -114.0, 0.999947368, 500_000.0, 0.0, bounds=(-115.3, 41.99, -112.68, 45.7)),
-    Zone(2243, "NAD83 / Idaho West (ftUS)", "Idaho", "tm", 41.6666666666667, -115.75, 0.999933333, 800_000.0, 0.0, bounds=(-117.24, 41.99, -114.32, 49.01)),
-    Zone(2230, "NAD83 / California zone 6 (ftUS)", "California", "lcc", 32.1666666666667, -116.25, 1.0, 2_000_000.0, 500_000.0, 33.8833333333333, 32.7833333333333, bounds=(-118.15, 32.53, -114.42, 34.08)),
-)
+ZONES = tuple(Zone(**row) for row in parsed())
 BY_EPSG = {z.epsg: z for z in ZONES}
 
 
@@ -123,6 +115,25 @@ def _cone(z: Zone) -> tuple[float, float, float]:
     return float(n), float(big), float(A * big * t(f0) ** n)
 
 
+def _tangent(f):
+    """What conformal cones and the oblique projection use in place of the latitude."""
+    return np.tan(np.pi / 4 - f / 2) / ((1 - E * np.sin(f)) / (1 + E * np.sin(f))) ** (E / 2)
+
+
+def _oblique(z: Zone) -> tuple[float, ...]:
+    """Constants of the oblique Mercator projection of one central line, its coordinates counted from where that line meets the aposphere's equator."""
+    f, a = np.radians(z.lat0), np.radians(z.azimuth)
+    root = np.sqrt(1 - E2 * np.sin(f) ** 2)
+    b = np.sqrt(1 + E2 * np.cos(f) ** 4 / (1 - E2))
+    size = A * b * z.k0 * np.sqrt(1 - E2) / root**2
+    d = max(1.0, b * np.sqrt(1 - E2) / (np.cos(f) * root))
+    big = d + np.sqrt(d * d - 1) * np.sign(f)
+    h = big * _tangent(f) ** b
+    gamma = np.arcsin(np.sin(a) / d)
+    lon0 = np.radians(z.lon0) - np.arcsin((big - 1 / big) / 2 * np.tan(gamma)) / b
+    return float(b), float(size), float(h), float(gamma), float(lon0), float(a)
+
+
 def forward(z: Zone, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Easting and northing in the zone's unit."""
     lon, lat = np.asarray(lon, float), np.asarray(lat, float)
@@ -133,6 +144,13 @@ def forward(z: Zone, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.n
         rho, theta = A * big * t**n, n * np.radians(lon - z.lon0)
         x, y = rho * np.sin(theta), rho0 - rho * np.cos(theta)
         return (x + z.false_east) / z.unit, (y + z.false_north) / z.unit
+    if z.kind == "om":
+        b, size, h, gamma, lon0, a = _oblique(z)
+        q, dl = h / _tangent(np.radians(lat)) ** b, b * (np.radians(lon) - lon0)
+        s, t = (q - 1 / q) / 2, (q + 1 / q) / 2
+        v = -size / b * np.arctanh((s * np.sin(gamma) - np.sin(dl) * np.cos(gamma)) / t)
+        u = size / b * np.arctan2(s * np.cos(gamma) + np.sin(dl) * np.sin(gamma), np.cos(dl))
+        return (v * np.cos(a) + u * np.sin(a) + z.false_east) / z.unit, (u * np.cos(a) - v * np.sin(a) + z.false_north) / z.unit
     dl, tau = np.radians(lon - z.lon0), _conformal(np.radians(lat))
     xi, eta = np.arctan2(tau, np.cos(dl)), np.arcsinh(np.sin(dl) / np.hypot(tau, np.cos(dl)))
     x, y = eta.copy(), xi.copy()
@@ -150,6 +168,13 @@ def inverse(z: Zone, east: np.ndarray, north: np.ndarray) -> tuple[np.ndarray, n
         rho, theta = np.sign(n) * np.hypot(x, rho0 - y), np.arctan2(x, rho0 - y)
         t = (rho / (A * big)) ** (1 / n)
         return np.degrees(theta / n) + z.lon0, np.degrees(_geographic(np.sinh(-np.log(t))))
+    if z.kind == "om":
+        b, size, h, gamma, lon0, a = _oblique(z)
+        v, u = (x * np.cos(a) - y * np.sin(a)) * b / size, (y * np.cos(a) + x * np.sin(a)) * b / size
+        s, t = np.sinh(-v), np.cosh(v)
+        t = (h / np.exp(np.arctanh((np.sin(u) * np.cos(gamma) + s * np.sin(gamma)) / t))) ** (1 / b)
+        lon = lon0 - np.arctan2(s * np.cos(gamma) - np.sin(u) * np.sin(gamma), np.cos(u)) / b
+        return np.degrees(lon), np.degrees(_geographic(np.sinh(-np.log(t))))
     xi0, eta0 = (y / z.k0 + _meridian(z.lat0)) / _RADIUS, x / (z.k0 * _RADIUS)
     xi, eta = np.array(xi0, float), np.array(eta0, float)
     for j, b in enumerate(_BETA, 1):

@@ -1,12 +1,15 @@
-"""Registered queries of exact overlay and of placements among county parcels, with closed forms in SQL."""
+"""Registered queries of exact overlay, placements among county parcels, zones, large areas and background reads, with closed forms in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import geodesy as E
 from ..functions import geometry as G
+from ..functions import zones as Z
 from ..operators import moves, overlay, placement
+from ..streaming import jobs
 from .planted import _xy
 from .queries import load, query
 
@@ -83,3 +86,85 @@ def apn_fit_cases(spark, d):
     f = placement.apn_fits(s, ["n_nationkey", "kind"])
     pinned = lambda c: F.when(F.col("kind") < 4, c)
     return f.select("n_nationkey", "mode", "corroborated", pinned(F.round("east_m").cast("long")).alias("east_m"), pinned(F.round("north_m").cast("long")).alias("north_m"), pinned(F.abs(F.round("rotation_deg", 1))).alias("turned"), pinned(F.round("overlap", 2)).alias("overlap"))
+
+
+_KIND = "CASE WHEN event_id % 5 < 3 THEN 'request' WHEN event_id % 5 = 3 THEN 'result' ELSE 'failure' END"
+_HOURS = 3600
+
+
+@query("job_attempts", f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS tm, CASE WHEN event_id % 5 < 3 THEN 3 WHEN event_id % 5 = 3 THEN 1 ELSE 2 END AS rank, CASE WHEN event_id % 5 < 3 THEN 0 ELSE event_id % 3 + 1 END AS attempt FROM events),
+ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, rank, attempt) AS k, max(tm) OVER () AS last FROM e),
+ s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS started, false AS running, CAST(NULL AS BIGINT) AS done, CAST(NULL AS BIGINT) AS stale_a, CAST(NULL AS BIGINT) AS stale_at, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS out_a, CAST(NULL AS BIGINT) AS out_started, CAST(NULL AS BIGINT) AS ended FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, k,
+   CASE WHEN rank = 3 AND NOT running2 AND done2 IS NULL THEN a2 + 1 ELSE a2 END, CASE WHEN rank = 3 AND NOT running2 AND done2 IS NULL THEN tm ELSE started END,
+   CASE WHEN rank = 3 AND done2 IS NULL THEN true WHEN rank < 3 AND mine THEN false ELSE running2 END, CASE WHEN rank = 1 AND mine AND done2 IS NULL THEN tm ELSE done2 END,
+   CASE WHEN running AND NOT running2 THEN a END, CASE WHEN running AND NOT running2 THEN started + {2 * _HOURS * 1000000} END,
+   CASE WHEN rank = 1 AND mine AND running2 THEN 'done' WHEN rank = 1 AND mine AND done2 IS NULL THEN 'done late' WHEN rank = 1 THEN 'ignored' WHEN rank = 2 AND mine AND running2 THEN 'failed' END,
+   attempt, CASE WHEN mine AND (running2 OR done2 IS NULL) THEN started END, tm
+  FROM (SELECT o.user_id, o.k, o.tm, o.rank, o.attempt, s.a, s.started, s.running, s.running AND o.tm < s.started + {2 * _HOURS * 1000000} AS running2,
+    CASE WHEN o.tm >= s.done + {24 * _HOURS * 1000000} THEN NULL ELSE s.done END AS done2, CASE WHEN o.tm >= s.done + {24 * _HOURS * 1000000} THEN 0 ELSE s.a END AS a2, o.attempt = (CASE WHEN o.tm >= s.done + {24 * _HOURS * 1000000} THEN 0 ELSE s.a END) AND o.attempt > 0 AS mine
+   FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1) j),
+ r AS (SELECT user_id, stale_a AS attempt, stale_at - {2 * _HOURS * 1000000} AS started, stale_at AS ended, 'stale' AS outcome FROM s WHERE stale_a IS NOT NULL
+  UNION ALL SELECT user_id, out_a, out_started, ended, outcome FROM s WHERE outcome IS NOT NULL
+  UNION ALL SELECT f.user_id, f.a, f.started, f.started + {2 * _HOURS * 1000000}, 'stale' FROM (SELECT s.*, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS z FROM s) f, (SELECT max(tm) AS last FROM o) WHERE z = 1 AND running AND last >= f.started + {2 * _HOURS * 1000000})
+SELECT user_id, attempt, started, ended, outcome FROM r""")
+def job_attempts(spark, d):
+    """Every user a job, events as requests, results and failures; attempts are lost after two hours, done jobs forgotten after a day."""
+    e = load(spark, d, "events")
+    given = F.when(F.col("event_id") % 5 >= 3, F.col("event_id") % 3 + 1)
+    # times without a zone are taken as they stand
+    rows = e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(_KIND).alias("kind"), given.cast("int").alias("attempt"))
+    last = rows.agg(F.max("ts")).first()[0]
+    out = jobs.attempts(rows, "user_id", F.lit(last), 2 * _HOURS, 24 * _HOURS)
+    micros = lambda c: F.unix_micros(F.col(c)).alias(c)
+    return out.select("user_id", F.col("attempt").cast("long").alias("attempt"), micros("started"), micros("ended"), "outcome")
+
+
+_ZONE_ROWS = ", ".join(f"({z.epsg}, '{z.name}', {z.bounds[0]}, {z.bounds[1]}, {z.bounds[2]}, {z.bounds[3]})" for z in E.ZONES)
+_POINT = "-160 + (c_custkey * 7919 % 9301) / 100.0", "18 + (c_custkey * 104729 % 5003) / 100.0"
+
+
+@query("state_plane_zone", f"""WITH p AS (SELECT c_custkey, {_POINT[0]} AS lon, {_POINT[1]} AS lat FROM customer), z AS (SELECT * FROM (VALUES {_ZONE_ROWS}) AS t(epsg, name, west, south, east, north)),
+ m AS (SELECT c_custkey, epsg, name, row_number() OVER (PARTITION BY c_custkey ORDER BY (east - west) * (north - south), epsg) AS k FROM p JOIN z ON lon BETWEEN west AND east AND lat BETWEEN south AND north)
+SELECT p.c_custkey, m.epsg, m.name AS zone_name FROM p LEFT JOIN m ON m.c_custkey = p.c_custkey AND k = 1""")
+def state_plane_zone(spark, d):
+    """Every customer a point in or around the United States, and the smallest zone that holds it."""
+    c = load(spark, d, "customer").select("c_custkey", F.expr(_POINT[0]).cast("double").alias("lon"), F.expr(_POINT[1]).cast("double").alias("lat"))
+    return Z.with_zone(c, Z.zone_index(spark, E.zones_frame(spark))).select("c_custkey", "epsg", "zone_name")
+
+
+_CODES = [z.epsg for z in E.ZONES]
+_NUMBERED = ", ".join(f"({k}, {z.epsg}, {(z.bounds[0] + z.bounds[2]) / 2}, {(z.bounds[1] + z.bounds[3]) / 2})" for k, z in enumerate(E.ZONES))
+
+
+@query("printed_pair_zone", f"""WITH z AS (SELECT * FROM (VALUES {_NUMBERED}) AS t(k, epsg, lon, lat)) SELECT c_custkey, CAST(epsg AS INTEGER) AS epsg, round(lon + (c_custkey % 40 - 20) / 100.0, 6) AS lon, round(lat + (c_custkey % 30 - 15) / 100.0, 6) AS lat FROM customer JOIN z ON k = c_custkey % {len(_CODES)}""")
+def printed_pair_zone(spark, d):
+    """Every customer a printed pair of some zone, on ground level: of all zones of its state the one that gives the place back is first."""
+    k = F.col("c_custkey")
+    zones = E.zones_frame(spark)
+    middle = zones.select("epsg", "state", ((F.col("west") + F.col("east")) / 2).alias("mlon"), ((F.col("south") + F.col("north")) / 2).alias("mlat"))
+    codes = F.array(*map(F.lit, _CODES))
+    c = load(spark, d, "customer").select("c_custkey", F.get(codes, (k % len(_CODES)).cast("int")).alias("epsg")).join(F.broadcast(middle), "epsg")
+    c = c.withColumns({"lon": F.col("mlon") + (k % 40 - 20) / 100.0, "lat": F.col("mlat") + (k % 30 - 15) / 100.0})
+    c = c.withColumn("g", E.lonlat_to_grid("epsg", "lon", "lat")).select("c_custkey", "state", (F.col("g.y") / 1.0002).alias("northing"), (F.col("g.x") / 1.0002).alias("easting"), F.lit(1.0002).alias("ground_to_grid"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
+    found = placement.convert_state_plane(c, zones, ["c_custkey"]).filter("place = 0")
+    return found.select("c_custkey", "epsg", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("area_km2", f"""WITH c AS (SELECT c_custkey, c_custkey % 3 AS kind, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon, (c_custkey * 53 % 1600) / 10.0 - 80 AS lat, c_custkey % 170 + 1 AS width, {float(E.E)!r} AS e, {float(E.E2)!r} AS e2, {float(E.A)!r} AS a, {float(E.AUTHALIC2)!r} AS c2 FROM customer),
+ b AS (SELECT *, sin(radians(lat - 0.05)) AS s1, sin(radians(lat + 0.05)) AS s2 FROM c)
+SELECT c_custkey, round(CASE kind WHEN 0 THEN c2 * radians(width) WHEN 1 THEN 2 * pi() * c2 ELSE a * a * (1 - e2) / 2 * radians(0.1) * (s2 / (1 - e2 * s2 * s2) + atanh(e * s2) / e - s1 / (1 - e2 * s1 * s1) - atanh(e * s1) / e) END / 1e6, 3) AS area_km2 FROM b""")
+def area_km2(spark, d):
+    """Every customer a ring: from the equator to a pole, all round the equator, or a small box between parallels, over the antimeridian too."""
+    k = F.col("c_custkey")
+    lon, lat = (k * 37 % 3600) / 10.0 - 180, (k * 53 % 1600) / 10.0 - 80
+    wrap = lambda x: (x + 540) % 360 - 180
+    point = lambda x, y: _xy(wrap(x), y if isinstance(y, Column) else F.lit(float(y)))
+    width = k % 170 + 1
+    wedge = F.array(point(lon, 0), point(lon + width / 2, 0), point(lon + width, 0), point(lon + width, 90), point(lon, 90))
+    round_ = F.array(*(point(lon + x, 0) for x in (0, 100, 170, 250)))
+    side = lambda y, xs: F.transform(F.array(*map(F.lit, xs)), lambda x: point(lon + x, y))
+    steps = [j / 160 - 0.05 for j in range(17)]
+    box = F.concat(side(lat - 0.05, steps), side(lat + 0.05, steps[::-1]))
+    ring = F.when(k % 3 == 0, wedge).when(k % 3 == 1, round_).otherwise(box)
+    return load(spark, d, "customer").select("c_custkey", F.round(E.area_km2(ring), 3).alias("area_km2"))

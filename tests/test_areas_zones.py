@@ -1,9 +1,13 @@
-"""Areas of large rings against closed forms on the ellipsoid."""
+"""Areas of large rings against closed forms on the ellipsoid; all state-plane zones."""
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.functions import geodesy as E
+from plumbline.functions import zones as Z
+from plumbline.operators import placement
 
 
 def band(lat1, lat2, width):
@@ -69,3 +73,77 @@ def test_rows_without_a_ring(spark):
     rows = [(1, None), (2, []), (3, [(0.0, 0.0), (1.0, 1.0)]), (4, [(0.0, 0.0), (90.0, 0.0), (0.0, 90.0)])]
     got = spark.createDataFrame(rows, "k int, r array<struct<x:double,y:double>>").coalesce(1).select("k", E.area_km2("r").alias("a")).collect()
     assert [r["a"] for r in got[:3]] == [None] * 3 and got[3]["a"] == pytest.approx(np.pi * E.AUTHALIC2 / 2e6)
+
+
+STATES = """Alabama,Alaska,Arizona,Arkansas,California,Colorado,Connecticut,Delaware,Florida,Georgia,Hawaii,Idaho,Illinois,Indiana,Iowa,Kansas,Kentucky,Louisiana,Maine,Maryland,
+Massachusetts,Michigan,Minnesota,Mississippi,Missouri,Montana,Nebraska,Nevada,New Hampshire,New Jersey,New Mexico,New York,North Carolina,North Dakota,Ohio,Oklahoma,Oregon,Pennsylvania,
+Rhode Island,South Carolina,South Dakota,Tennessee,Texas,Utah,Vermont,Virginia,Washington,West Virginia,Wisconsin,Wyoming""".replace("\n", "").split(",")
+
+
+def test_every_state_has_its_zones():
+    assert {z.state for z in E.ZONES} - {"Puerto Rico & Virgin Is."} == set(STATES) and len(STATES) == 50
+    assert len({z.epsg for z in E.ZONES}) == len(E.ZONES) > 110 and len(E.BY_EPSG) == len(E.ZONES)
+    counts = {s: sum(z.state == s for z in E.ZONES) for s in ("California", "Texas", "Alaska", "Nevada", "Montana", "New York")}
+    assert counts == {"California": 6, "Texas": 5, "Alaska": 10, "Nevada": 3, "Montana": 1, "New York": 4}
+
+
+@pytest.mark.parametrize("zone", E.ZONES, ids=lambda z: z.name)
+def test_zone(zone):
+    """Round trip under a millimetre over the area of use, the false origin, and the scale where the definition gives it."""
+    west, south, east, north = zone.bounds
+    lon, lat = (v.ravel() for v in np.meshgrid(np.linspace(west, east, 9), np.linspace(south, north, 9)))
+    x, y = E.forward(zone, lon, lat)
+    back = E.inverse(zone, x, y)
+    assert np.abs(back[0] - lon).max() * 111320 < 1e-3 and np.abs(back[1] - lat).max() * 111320 < 1e-3
+    assert 0 < west - -185 and south < north and west < east
+
+    def scale(lon, lat):
+        """Of the plane along a parallel, by small differences."""
+        d = 1e-5
+        (x0, x1), (y0, y1) = E.forward(zone, np.array([lon - d, lon + d]), np.full(2, lat))
+        radius = E.A / np.sqrt(1 - E.E2 * np.sin(np.radians(lat)) ** 2)
+        return np.hypot(x1 - x0, y1 - y0) * zone.unit / (radius * np.cos(np.radians(lat)) * np.radians(2 * d))
+
+    middle = (south + north) / 2
+    if zone.kind == "om":
+        assert scale(zone.lon0, zone.lat0) == pytest.approx(zone.k0, abs=1e-7)
+        return
+    origin = E.forward(zone, np.array([zone.lon0]), np.array([zone.lat0]))
+    assert origin[0][0] * zone.unit == pytest.approx(zone.false_east, abs=1e-6) and origin[1][0] * zone.unit == pytest.approx(zone.false_north, abs=1e-6)
+    if zone.kind == "tm":
+        assert scale(zone.lon0, middle) == pytest.approx(zone.k0, abs=1e-8)
+    else:
+        assert scale(zone.lon0, zone.lat1) == pytest.approx(1, abs=1e-8) == pytest.approx(scale(zone.lon0 + 1, zone.lat2), abs=1e-8)
+        assert zone.lat0 < zone.lat2 < zone.lat1 < north + 1 and south - 1 < zone.lat2
+    # definitions and areas belong together: the area's middle is near the origin's meridian, and scale is close to 1 there
+    assert abs((west + east) / 2 - zone.lon0) < 4 and abs(scale((west + east) / 2, middle) - 1) < 7e-4
+
+
+def test_oblique_zone_centre():
+    """The published grid position of the centre of the zone."""
+    z = E.BY_EPSG[26931]
+    x, y = E.forward(z, np.array([z.lon0]), np.array([z.lat0]))
+    assert (x[0], y[0]) == (pytest.approx(818676.7344, abs=0.01), pytest.approx(575097.6889, abs=0.01))
+
+
+def test_smallest_area_that_holds_a_point(spark):
+    points = [("reno", -119.8, 39.5, "Nevada"), ("border", -119.8, 39.5, None), ("nyc", -73.9, 40.7, "New York"), ("nyc2", -73.9, 40.7, None), ("sea", -40.0, 40.0, None), ("wrong", -119.8, 39.5, "Texas"), ("juneau", -134.4, 58.3, "alaska"), ("houston", -95.4, 29.8, "Texas"), (None, None, None, None)]
+    df = spark.createDataFrame(points, "k string, lon double, lat double, state string")
+    index = Z.zone_index(spark, E.zones_frame(spark))
+    got = {r["k"]: r["zone_name"] for r in Z.with_zone(df, index, F.col("state")).collect()}
+    want = {}
+    for k, lon, lat, state in points:
+        inside = [z for z in E.ZONES if lon is not None and z.bounds[0] <= lon <= z.bounds[2] and z.bounds[1] <= lat <= z.bounds[3] and (state or "").lower() in z.name.lower()]
+        want[k] = min(inside, key=lambda z: ((z.bounds[2] - z.bounds[0]) * (z.bounds[3] - z.bounds[1]), z.epsg)).name if inside else None
+    assert got == want and got["reno"] == "NAD83 / Nevada West (ftUS)" and got["nyc"] == "NAD83 / New York Long Island (ftUS)" and got["border"] == "NAD83 / California zone 2 (ftUS)" and got["sea"] is None is got["wrong"]
+
+
+def test_conversions_of_a_printed_pair(spark):
+    z = E.BY_EPSG[3423]
+    x, y = E.forward(z, np.array([-119.77]), np.array([39.59]))
+    rows = [("a", "Nevada", float(y[0]) / 1.0002, float(x[0]) / 1.0002, 1.0002, -119.777, 39.59), ("b", "Utah", 7e6, 1.5e6, None, None, None), ("c", "Atlantis", 1.0, 1.0, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, state string, northing double, easting double, ground_to_grid double, alon double, alat double")
+    got = placement.convert_state_plane(df, E.zones_frame(spark), ["k"]).orderBy("k", "place").collect()
+    assert [(r["k"], r["place"]) for r in got] == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1), ("b", 2)]
+    assert (got[0]["epsg"], got[0]["lon"], got[0]["lat"]) == (3423, -119.77, 39.59) and got[0]["from_anchor_m"] == pytest.approx(600, abs=5)
+    assert {r["zone_name"].split()[2] for r in got[3:]} == {"Utah"} and got[3]["from_anchor_m"] is None
