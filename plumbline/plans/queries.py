@@ -641,4 +641,4 @@ def issue_buckets(spark, d):
     return load(spark, d, "orders").groupBy(status.issue_bucket(text).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import parcels, planted  # noqa: E402, F401  they register their own
+from . import documents, parcels, planted  # noqa: E402, F401  they register their own
