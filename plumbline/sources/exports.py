@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.report import attribute_rows, call_rows, vertex_rows
+from . import shapes
 
 #: Line colours (alpha, blue, green, red) that placemarks cycle through.
 KML_COLOURS = ("ff0000ff", "ff00ff00", "ffff0000", "ff00ffff", "ffff00ff", "ffffff00", "ff0080ff", "ff8000ff")
@@ -63,31 +64,18 @@ def metadata(report: DataFrame) -> DataFrame:
 
 def shapefile_zip(rows: list[dict], prj: str) -> bytes:
     """One document's parcels (attributes and ``ring``) as a zipped shapefile: clockwise rings, numbers N(18,3), texts C(254)."""
-    shapes, index, boxes, at = io.BytesIO(), io.BytesIO(), [], 50
+    body, index, extent, at = io.BytesIO(), io.BytesIO(), None, 50
     for k, r in enumerate(rows, 1):
-        ring = [(p["x"], p["y"]) for p in r["ring"]]
-        ring += ring[:1] if ring[0] != ring[-1] else []
-        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) > 0:
-            ring.reverse()
-        xs, ys = zip(*ring)
-        box = (min(xs), min(ys), max(xs), max(ys))
-        body = struct.pack("<i4d3i", 5, *box, 1, len(ring), 0) + b"".join(struct.pack("<2d", *p) for p in ring)
-        shapes.write(struct.pack(">2i", k, len(body) // 2) + body)
-        index.write(struct.pack(">2i", at, len(body) // 2))
-        at += 4 + len(body) // 2
-        boxes.append(box)
-    extent = tuple(f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))) if boxes else (0.0,) * 4
-    head = lambda words: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 5, *extent, 0, 0, 0, 0)
+        record, box = shapes.polygon(k, [(p["x"], p["y"]) for p in r["ring"]])
+        body.write(record)
+        index.write(struct.pack(">2i", at, len(record) // 2 - 4))
+        at, extent = at + len(record) // 2, shapes.joined(extent, box)
     names = [c for c in (rows[0] if rows else {}) if c != "ring"]
-    numeric = {c for c in names if all(isinstance(r[c], (int, float)) or r[c] is None for r in rows)}
-    width = {c: 18 if c in numeric else 254 for c in names}
-    dbf = struct.pack("<B3BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(names), 1 + sum(width.values()))
-    dbf += b"".join(struct.pack("<11sc4xBB14x", c[:10].encode(), b"N" if c in numeric else b"C", width[c], 3 if c in numeric else 0) for c in names) + b"\r"
-    for r in rows:
-        dbf += b" " + b"".join((("" if r[c] is None else f"{r[c]:.3f}").rjust(18).encode() if c in numeric else str(r[c] or "").encode()[:254].ljust(254)) for c in names)
+    columns = [(c, all(isinstance(r[c], (int, float)) or r[c] is None for r in rows)) for c in names]
+    dbf = shapes.table_header(len(rows), columns) + b"".join(shapes.table_row([r[c] for c in names], columns) for r in rows)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in (("shp", head(at) + shapes.getvalue()), ("shx", head(50 + 4 * len(rows)) + index.getvalue()), ("dbf", dbf + b"\x1a"), ("prj", prj.encode()), ("cpg", b"UTF-8")):
+        for name, data in (("shp", shapes.header(at, extent) + body.getvalue()), ("shx", shapes.header(50 + 4 * len(rows), extent) + index.getvalue()), ("dbf", dbf + b"\x1a"), ("prj", prj.encode()), ("cpg", b"UTF-8")):
             z.writestr(f"parcels.{name}", data)
     return out.getvalue()
 
