@@ -2,9 +2,10 @@
 
 Text is lower-cased and every ASCII character that is no letter becomes a blank; the n-grams are runs of four
 UTF-8 bytes with one blank at most.  Training counts them for each language on labelled documents (about
-``DOCS_PER_LANG`` of each, chosen by a hash of doc_id); a language *contains* an n-gram if its relative frequency there
-is at least ``SHARE`` of the highest of any language, and the ``GRAMS`` most frequent of each are stored.  The filter
-is one table of ``SLOTS`` bit masks, a bit for each language (64 to a word, as many words as it takes): an n-gram sets its languages' bits in ``HASHES`` slots,
+``DOCS_PER_LANG`` of each, chosen by a hash of doc_id and text); a language *contains* an n-gram if its relative frequency there
+is at least ``SHARE`` of the highest of any language, and all that it contains are stored.  The filter
+is one table of bit masks, a bit for each language (64 to a word, as many words as it takes), with as many slots as keep the false
+positives of the fullest language below ``MISTAKEN``: an n-gram sets its languages' bits in ``HASHES`` slots,
 and the conjunction of those slots returns all languages that contain it at once.  A text's score for a language
 is its popcount over all n-grams, less what false positives add: (hits - n f) / (1 - f), f being that language's
 fill rate to the power of ``HASHES``.  The highest wins; ``score`` is its share of all corrected counts and
@@ -18,18 +19,19 @@ stay, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import cut, load, slices, small_batches
 
-DOCS_PER_LANG, GRAMS, SHARE, LEAST = 3000, 60_000, 0.3, 3
-SLOTS, HASHES = 1 << 20, 3
+DOCS_PER_LANG, SHARE = 3000, 0.3
+HASHES, MISTAKEN = 3, 0.01
 GRAIN = 1 << 20  # bytes of text whose n-grams are held at once: some 60 bytes for each
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 #: ASCII letters stay (capitals become small), other ASCII becomes a blank, the bytes of other characters stay.
@@ -99,27 +101,33 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters)], score, np.where(n > 0, np.minimum(1, top / np.maximum(n, 1)), letters)
 
 
-def build(counts: dict[str, dict[int, int]], docs: dict[str, int]) -> Model:
-    """The filter for n-gram counts of each language."""
-    languages = sorted(counts, key=lambda x: (-docs.get(x, 0), x))
+def slots_for(most: int) -> int:
+    """A power of two at which ``most`` n-grams of one language are mistaken for others in ``MISTAKEN`` of all cases, or less."""
+    return 1 << max(10, math.ceil(math.log2(max(1, HASHES * most / -math.log(1 - MISTAKEN ** (1 / HASHES))))))
+
+
+def build(held: dict[str, np.ndarray], docs: dict[str, int]) -> Model:
+    """The filter for the n-grams that each language contains."""
+    languages = sorted(held, key=lambda x: (-docs.get(x, 0), x))
     kind, width = (np.uint8, 8) if len(languages) <= 8 else (np.uint64, 64)
-    table = np.zeros((SLOTS, max(1, -(-len(languages) // width))), kind)
+    size = slots_for(max(map(len, held.values()), default=0))
+    table = np.zeros((size, max(1, -(-len(languages) // width))), kind)
     for i, lang in enumerate(languages):
-        for at in slots(np.fromiter(counts[lang], np.uint32, len(counts[lang])), HASHES, SLOTS):
+        for at in slots(np.asarray(held[lang], np.uint32), HASHES, size):
             table[at, i // width] |= kind(1 << i % width)
     fill = np.array([((table[:, i // width] >> kind(i % width)) & kind(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**HASHES)
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS) -> Model:
-    """Fit on labelled rows of ``docs`` (doc_id, text, lang): about ``docs_per_lang`` documents of each language.  Eager."""
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
+    """Fit on labelled rows of ``docs`` (doc_id, text, lang): about ``docs_per_lang`` documents of each language, all of a smaller one.  Eager."""
     small_batches(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return build({}, {})
     part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_per_lang / n))))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
 
     def count(batches):
         for batch in batches:
@@ -132,15 +140,14 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, most: int = GRAMS
     counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = cut(counted, "grams")
     totals = F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
-    rates = counted.filter(F.col("n") >= LEAST).join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rates = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     highest = rates.groupBy("gram").agg(F.max("rate").alias("highest"))
-    held = rates.join(highest, "gram").filter(F.col("rate") >= SHARE * F.col("highest"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")  # limited to `most` before the shuffle already
-    found = held.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("lang", "gram", "n").toArrow()
-    counts: dict[str, dict[int, int]] = {k: {} for k in sizes}
-    for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n"))):  # `most` n-grams of each language
-        counts[lang][gram] = n
-    return build(counts, sizes)
+    # what the sample of labelled rows holds, so bounded by its size
+    found = rates.join(highest, "gram").filter(F.col("rate") >= SHARE * F.col("highest")).select("lang", "gram").toArrow()
+    code = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    lang, gram = np.asarray(code.indices), np.asarray(found.column("gram")).astype(np.uint32)
+    held = {name: gram[lang == i] for i, name in enumerate(code.dictionary.to_pylist())}
+    return build({k: held.get(k, np.zeros(0, np.uint32)) for k in sizes}, sizes)
 
 
 def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:

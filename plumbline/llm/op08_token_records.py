@@ -4,7 +4,8 @@ A record is: payload length (u64), masked checksum of those 8 bytes (u32), paylo
 payload (u32), all little-endian.  The payload is doc_id (i64), id width in bytes (u32: 2 where the vocabulary
 fits, else 4), number of ids (u32), ids.  Next to ``NAME.rec`` lies ``NAME.idx``: doc_id (i64), offset (u64),
 length of the whole record (u64), number of ids (u32) for each record, so that any record can be fetched alone.
-Files hold ascending ranges of doc_id, of equal ones by the text's hash; many rows of one doc_id may fill several files.  The checksum is CRC-32 rotated right by 15 bits plus 0xA282EAD8.
+Files hold ascending ranges of doc_id, of equal ones by the text's hash and then the partition they come from; a file ends at ``ROLL`` bytes, so
+neither a file nor what a task holds of its index grows with the part.  The checksum is CRC-32 rotated right by 15 bits plus 0xA282EAD8.
 
 Both files of a part bear the name of the task attempt that wrote them, and the table of parts, which only holds rows of
 attempts that Spark commits, names them.  A lost executor or a second attempt leaves files that nothing refers to.
@@ -31,6 +32,7 @@ NONE = -(2**63)
 HEAD = struct.Struct("<qII")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n", "<u4")])
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+ROLL, AT_ONCE = 256 << 20, 2000  # bytes of a file's records; records whose digests are handed on together
 
 
 def masked(data: bytes) -> int:
@@ -54,36 +56,60 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> DataFrame:
-    """Write ``docs`` (doc_id, text) below ``path``; returns a row for each pair of files: part, name, records, ids.  Eager."""
+class _Files:
+    """The pair of files that a task is writing: records, and the index beside them as it grows."""
+
+    def __init__(self, fs, root: str, name: str):
+        self.name, self.at, self.records, self.ids, self.entries = name, 0, 0, 0, []
+        self.out, self.index = (fs.open_output_stream(f"{root}/{name}.{kind}") for kind in ("rec", "idx"))
+
+    def add(self, doc: int, own: np.ndarray) -> None:
+        record = frame(_payload(doc, own))
+        self.out.write(record)
+        self.entries.append((doc, self.at, len(record), len(own)))
+        self.at, self.records, self.ids = self.at + len(record), self.records + 1, self.ids + len(own)
+        if len(self.entries) == AT_ONCE:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.index.write(np.array(self.entries, INDEX).tobytes())
+        self.entries = []
+
+    def close(self, part: int, place: int) -> pa.RecordBatch:
+        self._flush()
+        self.out.close()
+        self.index.close()
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "place": pa.array([place], pa.int32()), "name": pa.array([self.name]), "records": pa.array([self.records], pa.int64()), "ids": pa.array([self.ids], pa.int64())})
+
+
+def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, roll: int = ROLL) -> DataFrame:
+    """Write ``docs`` (doc_id, text) below ``path``; returns a row for each pair of files: part, place (within it), name, records, ids.  Eager."""
     spark = docs.sparkSession
 
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, root = shared_files(path)
         fs.create_dir(root, recursive=True)
-        code, index, at, count = coder(vocabulary), [], 0, 0
+        code, files, place = coder(vocabulary), None, 0
         width = np.uint16 if code.tok.get_vocab_size() <= 65_536 else np.uint32
-        name = f"part-{part:06d}-{attempt}"
-        with fs.open_output_stream(f"{root}/{name}.rec") as out:
-            for batch in batches:
-                for piece in slices(batch, "text"):
-                    ids, lens = code.ids(piece.column("text").fill_null("").to_pylist(), end_id)
-                    ids, bounds = ids.astype(width), np.r_[0, np.cumsum(lens)].tolist()
-                    for k, doc in enumerate(piece.column("doc_id").to_pylist()):
-                        own = ids[bounds[k] : bounds[k + 1]]
-                        doc = NONE if doc is None else doc
-                        record = frame(_payload(doc, own))
-                        out.write(record)
-                        index.append((doc, at, len(record), len(own)))
-                        at, count = at + len(record), count + len(own)
-        with fs.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(np.array(index, INDEX).tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": pa.array([name]), "records": pa.array([len(index)], pa.int64()), "ids": pa.array([count], pa.int64())})
-
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    ranged = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return cut(ranged.mapInArrow(write, "part int, name string, records long, ids long"), "parts")
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                ids, lens = code.ids(piece.column("text").fill_null("").to_pylist(), end_id)
+                ids, bounds = ids.astype(width), np.r_[0, np.cumsum(lens)].tolist()
+                for k, doc in enumerate(piece.column("doc_id").to_pylist()):
+                    if files is None:
+                        files = _Files(fs, root, f"part-{part:06d}-{place:06d}-{attempt}")
+                    files.add(NONE if doc is None else doc, ids[bounds[k] : bounds[k + 1]])
+                    if files.at >= roll:
+                        yield files.close(part, place)
+                        files, place = None, place + 1
+        if files is not None:
+            yield files.close(part, place)
+
+    tie, dealt = F.xxhash64(F.coalesce("text", F.lit(""))), F.spark_partition_id()
+    keys = ["doc_id", "tie", "dealt"]  # the last one lets rows that are alike lie in several files
+    ranged = docs.select("doc_id", "text", tie.alias("tie"), dealt.alias("dealt")).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    return cut(ranged.mapInArrow(write, "part int, place int, name string, records long, ids long"), "parts")
 
 
 def read_index(path: str, name: str) -> np.ndarray:
@@ -110,7 +136,7 @@ def _parse(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def read_records(parts: DataFrame, path: str) -> DataFrame:
-    """doc_id, part, place, n_tokens, ids of every record, read back from the files by their index."""
+    """doc_id, part, name (of the file), place (in it), n_tokens, ids of every record, read back from the files by their index."""
 
     def read(batches):
         for batch in batches:
@@ -122,40 +148,42 @@ def read_records(parts: DataFrame, path: str) -> DataFrame:
                         docs, ids = zip(*(_parse(unframe(f.read(int(e["length"])))) for e in index[k : k + 1000]))
                         lens = [len(i) for i in ids]
                         values = pa.array(np.concatenate(ids).astype(np.int32))
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "place": pa.array(range(k, k + len(docs)), pa.int64()), "n_tokens": pa.array(lens, pa.int64()), "ids": pa.ListArray.from_arrays(np.r_[0, np.cumsum(lens)].astype(np.int32), values)})
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "name": pa.array([name] * len(docs)), "place": pa.array(range(k, k + len(docs)), pa.int64()), "n_tokens": pa.array(lens, pa.int64()), "ids": pa.ListArray.from_arrays(np.r_[0, np.cumsum(lens)].astype(np.int32), values)})
 
-    spread = parts.filter("records > 0").select("part", "name").repartition(partitions(parts.sparkSession), "part")
-    return spread.mapInArrow(read, "doc_id long, part int, place long, n_tokens long, ids array<int>")
+    spread = parts.select("part", "name").repartition(partitions(parts.sparkSession), "name")
+    return spread.mapInArrow(read, "doc_id long, part int, name string, place long, n_tokens long, ids array<int>")
 
 
 def digests(parts: DataFrame, path: str) -> DataFrame:
-    """doc_id, part, start_in_part, n_tokens, ids_crc32 of every record, read back from the files."""
+    """doc_id, name (of the file), start_in_file, n_tokens, ids_crc32 of every record, read back from the files."""
 
     def read(batches):
         for batch in batches:
-            for part, name in zip(batch.column("part").to_pylist(), batch.column("name").to_pylist()):
+            for name in batch.column("name").to_pylist():
                 fs, root = shared_files(path)
                 index = read_index(path, name)
-                docs, crcs = [], []
-                with fs.open_input_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as f:
-                    for length in index["length"].tolist():
-                        doc, ids = _parse(unframe(f.read(length)))
-                        docs.append(doc)
-                        crcs.append(zlib.crc32(ids.tobytes()))
                 n = index["n"].astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "part": pa.array([part] * len(docs), pa.int32()), "start_in_part": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array(crcs, pa.int64())})
+                start = np.cumsum(n) - n
+                with fs.open_input_stream(f"{root}/{name}.rec", buffer_size=1 << 20) as f:
+                    for k in range(0, len(index), AT_ONCE):
+                        docs, crcs = [], []
+                        for length in index["length"][k : k + AT_ONCE].tolist():
+                            doc, ids = _parse(unframe(f.read(length)))
+                            docs.append(doc)
+                            crcs.append(zlib.crc32(ids.tobytes()))
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "name": pa.array([name] * len(docs)), "start_in_file": pa.array(start[k : k + len(docs)]), "n_tokens": pa.array(n[k : k + len(docs)]), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    spread = parts.filter("records > 0").select("part", "name").repartition(partitions(parts.sparkSession), "part")
-    return spread.mapInArrow(read, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    spread = parts.select("name").repartition(partitions(parts.sparkSession), "name")
+    return spread.mapInArrow(read, "doc_id long, name string, start_in_file long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_records(spark, sf_dir: str) -> DataFrame:
     """Every document's ids as records in ascending doc_id order, read back from the files."""
     path = scratch(spark, "records")
     parts = write_records(load(spark, sf_dir, "documents"), path, vocabulary_path(VOCABULARY), END_ID)
-    # a row for each file: as many as there are shuffle partitions, whatever the input
-    sizes = sorted((r["part"], r["ids"]) for r in parts.collect())
-    starts = np.cumsum([0] + [n for _, n in sizes])[:-1].tolist()
-    before = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, before long")
-    out = digests(parts, path).join(F.broadcast(before), "part")
-    return out.select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    # a row for each file, and files are large: the records before each one
+    sizes = sorted((r["part"], r["place"], r["name"], r["ids"]) for r in parts.collect())
+    starts = np.cumsum([0] + [n for *_, n in sizes])[:-1].tolist()
+    before = spark.createDataFrame([(name, s) for (_, _, name, _), s in zip(sizes, starts)], "name string, before long")
+    out = digests(parts, path).join(F.broadcast(before), "name")
+    return out.select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

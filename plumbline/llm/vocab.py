@@ -51,6 +51,8 @@ class Chunked:
         if not (m := _TAILED.fullmatch(word)):
             return None
         base, tail = m.groups()
+        if self.by_word and not base.lower().isalpha():
+            return None  # a letter that becomes a letter and a mark, which joins what follows
         if self.by_word and max(base) < "\u0250":
             base = base.lower()
         return None if base == word else (base, tail)

@@ -22,7 +22,7 @@ def test_filter_returns_all_languages_of_a_gram():
     shared = {int(g): 5 for g in rng.integers(0, 2**32, 500)}
     for lang in ("l2", "l7"):
         counts[lang] |= shared
-    model = op1.build(counts, {k: 1 for k in counts})
+    model = op1.build({k: list(v) for k, v in counts.items()}, {k: 1 for k in counts})
     at = {name: i for i, name in enumerate(model.languages)}
     for lang, own in counts.items():
         assert ((model.masks(np.array(list(own), np.uint32))[:, 0] >> np.uint64(at[lang])) & np.uint64(1)).all()  # never a miss
@@ -32,7 +32,7 @@ def test_filter_returns_all_languages_of_a_gram():
 
 
 def test_popcounts_are_corrected_and_decide():
-    model = op1.build({"a": {int(g): 9 for g in op1.grams(["hello world again"])[0]}, "b": {int(g): 9 for g in op1.grams(["bonjour monde encore"])[0]}}, {"a": 2, "b": 1})
+    model = op1.build({"a": op1.grams(["hello world again"])[0], "b": op1.grams(["bonjour monde encore"])[0]}, {"a": 2, "b": 1})
     lang, score, coverage = model.predict(["hello world", "Bonjour, MONDE!", None, "", "12 ..", "zzzzqqq", "é"])
     assert lang == ["a", "b", "und", "und", "und", "a", "a"]
     assert score[0] == pytest.approx(1) and coverage[1] == pytest.approx(1) and not score[2:].any()
@@ -40,7 +40,7 @@ def test_popcounts_are_corrected_and_decide():
 
 def test_masks_of_many_languages_count_alike():
     counts = {f"l{k}": {int(g): 9 for g in op1.grams([f"word{chr(97 + k)} common"])[0]} for k in range(12)}
-    model = op1.build(counts, {})
+    model = op1.build({k: list(v) for k, v in counts.items()}, {})
     hits, n = model.popcounts(["wordc common", "wordd"])
     values, owner = op1.grams(["wordc common", "wordd"])
     for t in range(2):
@@ -65,6 +65,30 @@ def test_identify_learns_and_keeps_columns(spark):
     assert {r["lang_pred"] for r in op1.identify(docs, op1.train(docs.filter("false"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("rare", [1, 4, 40])
+def test_a_language_with_few_documents(spark, rare):
+    """Held-out accuracy stays high, also of the language that training saw little of; nothing it holds is left out."""
+    rng = random.Random(rare)
+    rows = [(i, prose(rng, EN, 120), "en") for i in range(400)] + [(1000 + i, prose(rng, FR, 120), "fr") for i in range(rare)]
+    docs = spark.createDataFrame(rows + [(None, *rows[0][1:])] * 3, "doc_id long, text string, lang string")
+    model = op1.train(docs)
+    fr = model.languages.index("fr")
+    own = op1.grams([t for d, t, lang in rows if lang == "fr"])[0]
+    assert model.languages == ["en", "fr"] and ((model.masks(np.unique(own))[:, 0] >> np.uint8(fr)) & 1).mean() > 0.9
+    asked = [prose(rng, FR, 60) for _ in range(100)] + [prose(rng, EN, 60) for _ in range(100)]
+    got = model.predict(asked)[0]
+    right = [sum(g == "fr" for g in got[:100]), sum(g == "en" for g in got[100:])]
+    assert right[1] >= 98 and right[0] >= (80 if rare == 1 else 98), right
+
+
+def test_the_filter_grows_with_what_it_holds():
+    rng = np.random.default_rng(5)
+    for n in (100, 50_000, 700_000):
+        model = op1.build({"a": np.unique(rng.integers(0, 2**32, n, dtype=np.uint32)), "b": np.zeros(0, np.uint32)}, {})
+        assert model.false_positive[0] <= op1.MISTAKEN * 1.05 and model.false_positive[1] == 0
+        assert (model.masks(rng.integers(0, 2**32, 200_000, dtype=np.uint32))[:, 0] & 1).mean() <= 2 * op1.MISTAKEN
+
+
 def test_training_ignores_held_out_documents(spark):
     import zlib
 
@@ -248,7 +272,7 @@ def test_more_languages_than_bits_of_a_word():
     for k in syllables:
         values, _ = op1.grams([write(k, 800)])
         counts[k] = {int(v): 5 for v in values}
-    model = op1.build(counts, {k: 9 for k in counts})
+    model = op1.build({k: list(v) for k, v in counts.items()}, {k: 9 for k in counts})
     assert model.table.shape[1] == 3
     names, score, coverage = model.predict([write(k, 60) for k in syllables] + ["12", "A. De"])
     assert sum(a == b for a, b in zip(names, syllables)) >= 148 and names[-2] == "und" and coverage[-1] == 1 and coverage[-2] == 0

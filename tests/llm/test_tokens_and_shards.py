@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import op02_token_counts as op2
 from plumbline.llm import op05_feistel_shards as op5
@@ -62,6 +63,48 @@ def test_counts_from_the_digest_cache(spark, coders):
     assert op2.count_tokens(docs.limit(0), scratch(spark, "cache"), BYTE).count() == 0
 
 
+def test_letters_that_lower_to_a_letter_and_a_mark(coders):
+    word, _ = coders
+    sample = ["İ<", "İ,", "aİ.", "İa.", "ŉ!", "ǰ.", "x İ< y"] * 2
+    flat, lens = word.ids(sample, 1)
+    ends = np.r_[0, np.cumsum(lens)]
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library(word, t) + [1] for t in sample]
+
+
+def test_hot_text_and_a_filled_cache(spark, coders):
+    """Copies go before texts are held against the cache: the plan drops them first, and only misses are encoded."""
+    cache = scratch(spark, "cache")
+    hot, old = "hot text " * 50, [f"old {k}" for k in range(30)]
+    op2.remember(spark.createDataFrame([(k, t) for k, t in enumerate(old)], "doc_id long, text string"), cache, BYTE)
+    rows = [(k, hot) for k in range(300)] + [(1000 + k, old[k % 30]) for k in range(90)] + [(2000 + k, f"new {k}") for k in range(20)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = op2._seen(docs).groupBy("content_digest").agg(F.first("text").alias("text"))
+    spark.conf.set(op2._EXCLUDED, op2._EARLY)
+    try:
+        plan = seen.join(op2._appended(spark, cache).select("content_digest"), "content_digest", "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(op2._EXCLUDED)
+    assert plan.index("LeftAnti") < plan.index("Aggregate")
+    got = {(r["doc_id"], r["n_tokens"]) for r in op2.count_tokens(docs, cache, BYTE).collect()}
+    assert got == {(d, len(library(coders[1], t or ""))) for d, t in rows}
+    assert spark.read.parquet(cache).count() == 30 + 1 + 20 + 1 and spark.conf.get(op2._EXCLUDED, None) is None
+
+
+def test_records_roll_into_small_files(spark):
+    """Many files a part, copies of one row in several, an index that is written as it grows."""
+    rows = [(k // 3, f"text {k} " * (k % 40)) for k in range(400)] + [(7, "same")] * 300 + [(None, None)] * 5
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), scratch(spark, "records")
+    parts = op8.write_records(docs, path, WORD, 2, roll=3000)
+    listed = parts.orderBy("part", "place").collect()
+    assert len(listed) > 15 and max(r["place"] for r in listed) > 2 and sum(r["records"] for r in listed) == len(rows)
+    assert all(len(op8.read_index(path, r["name"])) == r["records"] for r in listed)
+    back = op8.read_records(parts, path).collect()
+    got = op8.digests(parts, path).collect()
+    assert len(back) == len(got) == len(rows) and sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in back)
+    ids = [r["doc_id"] for f in listed for r in sorted((r for r in got if r["name"] == f["name"]), key=lambda r: r["start_in_file"])]
+    assert ids == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+
+
 def test_hot_digests_are_joined_in_place(spark, coders, monkeypatch):
     monkeypatch.setattr(op2, "HOT", 4)
     rows = [(i, "one text that very many rows share" if i % 3 else f"text {i}") for i in range(60)] + [(None, None), (None, "one text that very many rows share")]
