@@ -28,19 +28,26 @@ def _place(p: Column, scale: float, rotation: Column) -> Column:
 # placement
 
 
-@query("control_points", "SELECT c_custkey, 'validated' AS status, 0 AS vertex_of_first, 2 AS vertex_of_second, 1 AS readings FROM customer")
+@query("control_points", """SELECT c_custkey, CASE c_custkey % 4 WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'unverified' ELSE 'validated' END AS status, CASE WHEN c_custkey % 4 < 2 THEN 0 END AS vertex_of_first, CASE WHEN c_custkey % 4 < 2 THEN 2 END AS vertex_of_second,
+ CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS readings, CASE WHEN c_custkey % 4 < 2 THEN CAST(c_custkey * 7 % 360 AS DOUBLE) END AS rotation_deg, CASE WHEN c_custkey % 4 < 2 THEN CAST(floor(round(0.5 * sqrt((1000 + c_custkey % 500) ** 2 + (300 + c_custkey % 200) ** 2), 2)) AS BIGINT) END AS separation_ft FROM customer""")
 def control_points(spark, d):
-    """Every customer a sheet: a rectangle, the printed positions of two opposite corners, and the sheet's turn."""
+    """Every customer a sheet: a rectangle and the printed positions of two opposite corners.
+
+    Its turn is known; or up to half a turn, with labels at the corners or without any; or the printed distance is wrong.
+    """
     k = F.col("c_custkey")
     w, h = 1000 + k % 500, 300 + k % 200
     ring = F.array(_xy(F.lit(0), F.lit(0)), _xy(w, F.lit(0)), _xy(w, h), _xy(F.lit(0), h))
     turn = (k * 7 % 360).cast("double")
-    point = lambda i: F.struct(_place(F.get("vertices", i), 0.5, F.col("turn"))["x"].alias("easting"), _place(F.get("vertices", i), 0.5, F.col("turn"))["y"].alias("northing"), F.get("vertices", i).alias("label_px"))
+    # 5 % too far out in every fourth sheet
+    out = lambda v, o: F.when(k % 4 == 3, o + (v - o) * 1.05).otherwise(v)
+    place = lambda i: _place(F.get("vertices", i), 0.5, F.col("turn"))
+    point = lambda i: F.struct(out(place(i)["x"], F.lit(5000.0)).alias("easting"), out(place(i)["y"], F.lit(9000.0)).alias("northing"), F.when(k % 4 != 2, F.get("vertices", i)).alias("label_px"))
     c = load(spark, d, "customer").select("c_custkey", ring.alias("vertices"), turn.alias("turn"))
-    c = c.withColumn("points", F.array(point(0), point(2))).withColumns({"scale_ft_per_px": F.lit(0.5), "rotations": F.array("turn")})
+    c = c.withColumn("points", F.array(point(0), point(2))).withColumns({"scale_ft_per_px": F.lit(0.5), "rotations": F.when((k % 4).isin(1, 2), F.array((F.col("turn") + 180) % 360, "turn")).otherwise(F.array("turn"))})
     s = placement.control_solutions(c, ["c_custkey"])
     of = lambda p: F.when(F.col("anchor_point") == p, F.col("anchor_vertex")).otherwise(F.col("other_vertex"))
-    return s.select("c_custkey", "status", of(0).alias("vertex_of_first"), of(1).alias("vertex_of_second"), F.col("correspondences").alias("readings"))
+    return s.select("c_custkey", "status", of(0).alias("vertex_of_first"), of(1).alias("vertex_of_second"), F.col("correspondences").alias("readings"), F.round("rotation_deg", 6).alias("rotation_deg"), F.floor("separation_ft").alias("separation_ft"))
 
 
 @query("apn_fit", "SELECT n_nationkey, CAST(20 - n_nationkey % 5 * 10 AS BIGINT) AS east_m, CAST(25 - n_nationkey % 3 * 25 AS BIGINT) AS north_m, 0.0 AS rotation_deg, true AS corroborated FROM nation")

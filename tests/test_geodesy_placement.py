@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -164,6 +165,90 @@ def test_association(spark):
     assert {r["line_no"]: r["edge_index"] for r in placement.associate(c, edges, ["k"]).collect()} == {0: 0, 1: 1}
 
 
+def solve_control(points, vertices, scale, rotations):
+    """One sheet."""
+    label = np.array([(p["label_px"]["x"], p["label_px"]["y"]) if p.get("label_px") else (np.nan, np.nan) for p in points]).reshape(-1, 2)
+    en, px = np.array([(p["easting"], p["northing"]) for p in points], float).reshape(-1, 2), np.array([(v["x"], v["y"]) for v in vertices], float).reshape(-1, 2)
+    one = lambda x: np.array([len(x)])
+    out = placement.solve_controls((en, label, one(points)), (px, one(vertices)), np.array([np.nan if scale is None else scale], float), (np.array(rotations, float), one(rotations)))
+    return tuple(c[0] for c in out)
+
+
+def every_reading(points, vertices, scale, rotations):
+    """Status, readings and the winner's fit by trying all pairs of points on all pairs of corners, one after another."""
+    turn = lambda a, b: min(abs(a - b) % 360, 360 - abs(a - b) % 360)
+    fits = []
+    if len(points) >= 2 and scale and len(vertices) >= 3:
+        for a, b in ((a, b) for a in range(len(points)) for b in range(len(points)) if a != b):
+            de, dn = points[b]["easting"] - points[a]["easting"], points[b]["northing"] - points[a]["northing"]
+            far, az = math.hypot(de, dn), math.degrees(math.atan2(de, dn)) % 360
+            for i, j in ((i, j) for i in range(len(vertices)) for j in range(len(vertices)) if i != j):
+                dx, dy = vertices[j]["x"] - vertices[i]["x"], vertices[j]["y"] - vertices[i]["y"]
+                size, pix = math.hypot(dx, dy) * scale, math.degrees(math.atan2(dx, -dy)) % 360
+                if not far or abs(size - far) > 0.025 * far:
+                    continue
+                rot = (az - pix) % 360
+                if rotations:
+                    near = min(rotations, key=lambda r: turn(r, rot))
+                    if turn(near, rot) > 5:
+                        continue
+                    rot = near
+                t = math.radians(pix + rot)
+                off = math.hypot(points[a]["easting"] + size * math.sin(t) - points[b]["easting"], points[a]["northing"] + size * math.cos(t) - points[b]["northing"])
+                if off <= max(3, 0.02 * far):
+                    label = None if any(points[q]["label_px"] is None for q in (a, b)) else sum(math.dist((points[q]["label_px"]["x"], points[q]["label_px"]["y"]), (vertices[v]["x"], vertices[v]["y"])) for q, v in ((a, i), (b, j)))
+                    key = (a, b, i, j) if a < b else (b, a, j, i)
+                    fits.append((key, round(rot, 6), off, label))
+    readings = {}
+    for key, rot, off, label in fits:
+        readings.setdefault((key, rot), []).append((off, label))
+    best = [(min(v)[1], k) for k, v in readings.items()]
+    if not best:
+        return "unverified", 0, None
+    best.sort(key=lambda x: (x[0] is None, x[0] or 0))
+    if len(best) > 1 and (any(x[0] is None for x in best) or best[1][0] < 2 * max(best[0][0], 1)):
+        return "ambiguous", len(best), None
+    return "validated", len(best), best[0][1]
+
+
+def test_control_points_of_many_sheets_at_once(spark, monkeypatch):
+    """Random sheets against the loop, alone and in one batch, however few hypotheses are held at a time."""
+    rng = random.Random(12)
+    sheets = []
+    for k in range(120):
+        n = rng.choice([2, 3, 4, 5, 7])
+        vertices = [{"x": float(300 * c + rng.randint(0, 60)), "y": float(170 * (c * c % 5) + rng.randint(0, 60))} for c in range(n)]
+        if k % 3 == 0 and n >= 4:
+            vertices[:4] = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (800.0, 0.0), (800.0, 500.0), (0.0, 500.0))]
+        turn, scale = float(rng.randrange(0, 360, 15)), rng.choice([0.5, 0.25])
+        t = math.radians(turn)
+        points = []
+        for v in rng.sample(vertices, min(n, rng.choice([1, 2, 2, 3]))):
+            x, y = v["x"] * scale, -v["y"] * scale
+            blur = rng.choice([0, 0, 0, 1.0, 40.0])
+            points.append({"easting": 5000 + x * math.cos(t) + y * math.sin(t) + blur, "northing": 9000 - x * math.sin(t) + y * math.cos(t), "label_px": None if rng.random() < 0.3 else {"x": v["x"] + rng.uniform(-30, 30), "y": v["y"] + rng.uniform(-30, 30)}})
+        sheets.append((k, points, vertices, rng.choice([scale, scale, scale, None, 0.0]), rng.choice([[turn], [turn, (turn + 180) % 360], [turn, (turn + 90) % 360], [(turn + 40) % 360]])))
+    want = {k: every_reading(*rest) for k, *rest in sheets}
+    assert {w[0] for w in want.values()} == {"validated", "ambiguous", "unverified"}
+
+    def same(k, status, first, i, second, j, rotation, readings):
+        assert (status, readings) == want[k][:2], (k, want[k])
+        if status == "validated":
+            key, rot = want[k][2]
+            assert ((first, second, i, j) if first < second else (second, first, j, i)) == key and rotation == pytest.approx(rot, abs=1e-5)
+
+    for k, *rest in sheets:
+        g = solve_control(*rest)
+        same(k, *g[:6], g[9])
+    kind = "k int, points array<struct<easting:double,northing:double,label_px:struct<x:double,y:double>>>, vertices array<struct<x:double,y:double>>, scale_ft_per_px double, rotations array<double>"
+    df = spark.createDataFrame([*sheets, (999, None, None, None, None), (998, [], [], 1.0, [])], kind).repartition(2)
+    got = {r["k"]: r for r in placement.control_solutions(df, ["k"]).collect()}
+    for k, *_ in sheets:
+        r = got[k]
+        same(k, r["status"], r["anchor_point"], r["anchor_vertex"], r["other_point"], r["other_vertex"], r["rotation_deg"], r["correspondences"])
+    assert got[999]["status"] == got[998]["status"] == "unverified"
+
+
 def test_control_points():
     px = [(0, 0), (1000, 0), (1000, 600), (0, 800)]
     scale, rot = 0.5, 30.0
@@ -174,16 +259,16 @@ def test_control_points():
 
     vertices = xy(px)
     points = [{**ground(px[1]), "label_px": {"x": 1010.0, "y": 5.0}}, {**ground(px[3]), "label_px": {"x": -8.0, "y": 805.0}}]
-    solved = placement.solve_control(points, vertices, scale, [])
+    solved = solve_control(points, vertices, scale, [])
     assert solved[0] == "ambiguous" or (solved[2], solved[4]) in {(1, 3), (3, 1)}
-    sure = placement.solve_control(points, vertices, scale, [30.0])
+    sure = solve_control(points, vertices, scale, [30.0])
     assert sure[0] == "validated" and {sure[2], sure[4]} == {1, 3} and sure[6] < 0.1
-    assert placement.solve_control(points, vertices, scale, [120.0])[0] == "unverified"
-    assert placement.solve_control(points[:1], vertices, scale, [])[0] == "unverified"
-    both = placement.solve_control(points, vertices, scale, [30.0, 210.0])
+    assert solve_control(points, vertices, scale, [120.0])[0] == "unverified"
+    assert solve_control(points[:1], vertices, scale, [])[0] == "unverified"
+    both = solve_control(points, vertices, scale, [30.0, 210.0])
     assert both[0] == "validated" and {both[2], both[4]} == {1, 3}  # the labels decide
     blind = [{**p, "label_px": None} for p in points]
-    assert placement.solve_control(blind, vertices, scale, [30.0, 210.0])[0] == "ambiguous"
+    assert solve_control(blind, vertices, scale, [30.0, 210.0])[0] == "ambiguous"
 
 
 def test_aliquot_fit(spark):
