@@ -224,8 +224,11 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, kee
     return docs.select("doc_id", "text").mapInArrow(write, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """``pieces`` (with doc_id, piece, length) and the sequence_id and offset of each.  ``pieces`` must give the same rows each time it is read."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, salt: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+    """``pieces`` (with doc_id, piece, length) and the sequence_id and offset of each.  ``pieces`` must give the same rows each time it is read.
+
+    ``salt``: columns whose hash spreads pieces of one length; rows that are alike in all of them meet in one task.
+    """
     hist = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         hist[r["length"]] = r["count"]
@@ -238,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         return pd.DataFrame({"sequence_id": runs[at, 3] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 4]})
 
     # ranks of equal lengths, numbered in buckets so that a frequent length is spread over many tasks
-    salted = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(pieces.sparkSession))))
+    salted = pieces.withColumn("_b", F.pmod(F.xxhash64(*salt), F.lit(partitions(pieces.sparkSession))))
     before = salted.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("length", "_b", (F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_before"))
     ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")) - 1)
@@ -253,5 +256,6 @@ def op9_linear_grouping(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    pieces = cut(cut_pieces(docs, vocabulary_path(VOCABULARY), CAPACITY, END_ID), "pieces")
-    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # written beside the pieces, the partition they come from tells copies of one row, and rows without an id, apart
+    pieces = cut(cut_pieces(docs, vocabulary_path(VOCABULARY), CAPACITY, END_ID).withColumn("dealt", F.spark_partition_id()), "pieces")
+    return pack(pieces, salt=("doc_id", "piece", "ids_crc32", "dealt")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -51,10 +51,13 @@ class Chunked:
         if not (m := _TAILED.fullmatch(word)):
             return None
         base, tail = m.groups()
-        if self.by_word and not base.lower().isalpha():
-            return None  # a letter that becomes a letter and a mark, which joins what follows
-        if self.by_word and max(base) < "\u0250":
+        if self.by_word and base.isascii():
             base = base.lower()
+        elif self.by_word:
+            low = base.lower()
+            if not low.isalpha():
+                return None  # a letter that becomes a letter and a mark, which joins what follows
+            base = low if max(base) < "\u0250" else base
         return None if base == word else (base, tail)
 
     def _store(self, words: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
