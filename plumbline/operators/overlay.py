@@ -20,58 +20,62 @@ AREAS = ("area_a", "area_b", "area_union", "area_shared")
 
 
 def _edges(rings: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges from bottom to top (level ones bound no trapezoid), with the way the ring takes them."""
+    """Edges from bottom to top (level ones bound no trapezoid), with the way the ring takes them, and the extent and bands of their key."""
+    own = rings.filter(F.size("ring") >= 3)
+    ys = F.transform("ring", lambda p: p["y"])
+    extent = own.groupBy(*keys).agg(F.min(F.array_min(ys)).alias("bottom"), F.max(F.array_max(ys)).alias("top"), F.ceil(F.sqrt(F.sum(F.size("ring")))).alias("bands"))
     r = F.col("ring")
     ends = F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
-    named = rings.filter(F.size("ring") >= 3).select(*keys, "side", F.xxhash64("side", "part").alias("ring"), F.inline(F.transform(ends, lambda e: e)))
+    named = own.join(extent, keys).select(*keys, "bottom", "top", "bands", "side", F.xxhash64("side", "part").alias("ring"), F.inline(F.filter(ends, lambda e: e["y0"] != e["y1"])))
     up = F.col("y0") < F.col("y1")
     low = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
-    e = named.filter("y0 <> y1").select(*keys, "side", "ring", F.when(up, 1).otherwise(-1).alias("way"), low("x0", "x1").alias("xa"), low("y0", "y1").alias("ya"), low("x1", "x0").alias("xb"), low("y1", "y0").alias("yb"))
+    e = named.select(*keys, "bottom", "top", "bands", "side", "ring", F.when(up, 1).otherwise(-1).alias("way"), low("x0", "x1").alias("xa"), low("y0", "y1").alias("ya"), low("x1", "x0").alias("xb"), low("y1", "y0").alias("yb"))
     return e.withColumn("edge", F.xxhash64("ring", "way", "xa", "ya", "xb", "yb"))
 
 
-def _at(pre: str, y: Column) -> Column:
+def _at(e: Column, y: Column) -> Column:
     """x of an edge at a height within it."""
-    xa, ya, xb, yb = (F.col(f"{pre}{c}") for c in ("xa", "ya", "xb", "yb"))
-    return xa + (xb - xa) * ((y - ya) / (yb - ya))
+    return e["xa"] + (e["xb"] - e["xa"]) * ((y - e["ya"]) / (e["yb"] - e["ya"]))
+
+
+def _crossing(p: Column, q: Column) -> Column:
+    """Height at which two edges of a band cross, or null."""
+    low, high = F.greatest(p["lo"], q["lo"]), F.least(p["hi"], q["hi"])
+    gap0, gap1 = _at(p, low) - _at(q, low), _at(p, high) - _at(q, high)
+    return F.when((low < high) & (F.signum(gap0) * F.signum(gap1) < 0), low + (high - low) * (gap0 / (gap0 - gap1)))
 
 
 def overlay_areas(rings: DataFrame, keys: list[str]) -> DataFrame:
     """keys and AREAS for ``rings``: keys, side ('a' or 'b'), part (tells a side's rings apart), ring (array of x, y).
 
-    Keys are cut into level bands, about as many as the root of their edges, and every step after that is by key and band: crossings
-    are looked for within a band, and a key of very many edges is shared among tasks.  Keys without any area are missing.
+    Keys are cut into level bands, about as many as the root of their corners, and the edges of a band are one row: crossings are looked for
+    within it, and a key of very many edges is shared among tasks.  All later steps stay where the bands are.  Keys without any area are
+    missing.
     """
     band_keys = [*keys, "band"]
-    edges = _edges(rings, keys)
-    extent = edges.groupBy(*keys).agg(F.min("ya").alias("bottom"), F.max("yb").alias("top"), F.ceil(F.sqrt(F.count(F.lit(1)))).alias("bands"))
-    floor = lambda k: F.col("bottom") + (F.col("top") - F.col("bottom")) * (k / F.col("bands"))
-    band_of = lambda y: F.floor((y - F.col("bottom")) / (F.col("top") - F.col("bottom")) * F.col("bands"))
+    height = F.col("top") - F.col("bottom")
+    floor = lambda k: F.col("bottom") + height * (k / F.col("bands"))
+    band_of = lambda y: F.floor((y - F.col("bottom")) / height * F.col("bands"))
     first, last = F.greatest(band_of(F.col("ya")) - 1, F.lit(0)), F.least(band_of(F.col("yb")) + 1, F.col("bands") - 1)
-    banded = edges.join(extent, keys).withColumn("band", F.explode(F.sequence(first, last)))
-    banded = banded.withColumns({"lo": F.greatest("ya", floor(F.col("band"))), "hi": F.least("yb", F.when(F.col("band") == F.col("bands") - 1, F.col("top")).otherwise(floor(F.col("band") + 1)))})
-    banded = banded.filter("lo < hi").drop("bottom", "top", "bands").repartition(*band_keys)
-
-    columns = ["edge", "xa", "ya", "xb", "yb", "lo", "hi"]
-    one, two = (banded.select(*band_keys, *(F.col(c).alias(f"{pre}{c}") for c in columns)) for pre in ("p_", "q_"))
-    low, high = F.greatest("p_lo", "q_lo"), F.least("p_hi", "q_hi")
-    pairs = one.join(two, band_keys).filter((F.col("p_edge") < F.col("q_edge")) & (low < high))
-    gap0, gap1 = _at("p_", low) - _at("q_", low), _at("p_", high) - _at("q_", high)
-    crossings = pairs.filter(F.signum(gap0) * F.signum(gap1) < 0).select(*band_keys, (low + (high - low) * (gap0 / (gap0 - gap1))).alias("y"))
-
-    cuts = banded.select(*band_keys, F.explode(F.array("lo", "hi")).alias("y")).unionByName(crossings).distinct()
-    slabs = cuts.select(*band_keys, F.col("y").alias("y0"), F.lead("y").over(Window.partitionBy(*band_keys).orderBy("y")).alias("y1")).filter("y1 is not null")
-    through = banded.join(slabs, band_keys).filter((F.col("lo") <= F.col("y0")) & (F.col("hi") >= F.col("y1")))
-    x = _at("", (F.col("y0") + F.col("y1")) / 2)
-    rows = through.select(*band_keys, "y0", "y1", "side", "ring", "way", "edge", x.alias("x"))
+    banded = _edges(rings, keys).withColumn("band", F.explode(F.sequence(first, last)))
+    banded = banded.withColumns({"lo": F.greatest("ya", floor(F.col("band"))), "hi": F.least("yb", F.when(F.col("band") == F.col("bands") - 1, F.col("top")).otherwise(floor(F.col("band") + 1)))}).filter("lo < hi")
+    edge = F.struct("edge", "side", "ring", "way", "xa", "ya", "xb", "yb", "lo", "hi")
+    bands = banded.groupBy(*band_keys).agg(F.collect_list(edge).alias("edges"))
+
+    found = F.flatten(F.transform("edges", lambda p: F.transform(F.filter("edges", lambda q: (q["edge"] > p["edge"]) & (q["lo"] < p["hi"]) & (p["lo"] < q["hi"])), lambda q: _crossing(p, q))))
+    cuts = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform("edges", lambda e: e["lo"]), F.transform("edges", lambda e: e["hi"]), found))))
+    cut = bands.withColumn("cuts", cuts)
+    slabs = cut.select(*band_keys, "edges", F.inline(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda y, k: F.struct(y.alias("y0"), F.get("cuts", k + 1).alias("y1")))))
+    through = slabs.select(*band_keys, "y0", "y1", F.explode(F.filter("edges", lambda e: (e["lo"] <= F.col("y0")) & (e["hi"] >= F.col("y1")))).alias("e"))
+    rows = through.select(*band_keys, "y0", "y1", "e.side", "e.ring", "e.way", "e.edge", _at(F.col("e"), (F.col("y0") + F.col("y1")) / 2).alias("x"))
 
     slab = [*band_keys, "y0"]
     before = Window.partitionBy(*slab, "ring").orderBy("x", "edge", "way").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wound = F.sum("way").over(before)
     # whether the ring's inside begins (1), ends (-1) or goes on (0) at this edge
     turn = (wound != 0).cast("int") - (wound - F.col("way") != 0).cast("int")
-    so_far = Window.partitionBy(*slab).orderBy("x", "edge", "way").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     order = Window.partitionBy(*slab).orderBy("x", "edge", "way")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     covers = lambda s: F.sum(F.when(F.col("side") == s, F.col("turn")).otherwise(0)).over(so_far) > 0
     open_ = rows.withColumn("turn", turn).select(*band_keys, "y0", "y1", "x", covers("a").alias("a"), covers("b").alias("b"), F.lead("x").over(order).alias("next"))
     size = (F.col("next") - F.col("x")) * (F.col("y1") - F.col("y0"))

@@ -68,8 +68,8 @@ def plan_anchor(found: DataFrame) -> DataFrame:
     return f.groupBy("document_id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.sort_array(F.collect_list("appellation")).alias("parcels_found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("match")))).alias("title_matches"), F.count_if(F.abs(F.col("area_m2") - F.col("printed_m2")) <= 0.01 * F.col("printed_m2")).alias("areas_agree"))
 
 
-def best_name(pairs: DataFrame, keys: list[str], floor: float = 0.75) -> DataFrame:
-    """Best fuzzy match of ``name`` among ``option`` per key, by the longest-matching-blocks ratio; below the floor none."""
+def name_ratios(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (name, option and others) with ``score``, the longest-matching-blocks ratio without regard to case."""
 
     def run(batches):
         for pdf in batches:
@@ -77,7 +77,12 @@ def best_name(pairs: DataFrame, keys: list[str], floor: float = 0.75) -> DataFra
             yield pdf.assign(score=score)
 
     pairs = pairs.drop("score")
-    scored = pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("score", DoubleType())]))
+    return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("score", DoubleType())]))
+
+
+def best_name(pairs: DataFrame, keys: list[str], floor: float = 0.75) -> DataFrame:
+    """Best fuzzy match of ``name`` among ``option`` per key; below the floor none."""
+    scored = name_ratios(pairs)
     return scored.filter(F.col("score") >= floor).groupBy(*keys).agg(F.max_by(F.struct("option", "score"), F.struct("score", F.lit(0)))["option"].alias("option"), F.max("score").alias("score"))
 
 

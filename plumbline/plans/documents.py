@@ -1,10 +1,10 @@
-"""Registered queries of document state: geocoding cascades, merges of results with edits, roster states."""
+"""Registered queries of documents: geocoding cascades, merges of results with edits, names and codes, differences of runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import finalize, geocode
+from ..operators import finalize, geocode, names, replay
 from .queries import load, query
 
 
@@ -55,3 +55,39 @@ def finalize_merge(spark, d):
     ours = side(k % 4 == 1, "mine", k % 5 == 2, 1, k % 11 == 5, k % 17 == 4)
     theirs = side((k % 6).isin(1, 2), "read", k % 7 == 3, 2, k % 13 == 6, k % 17 == 5)
     return finalize.three_way(base, ours, theirs, ["o_orderkey"], ["label"], ["price"]).select("o_orderkey", "label", "price", "origin", F.size("refused").alias("refused"))
+
+
+@query("similar_names", """SELECT p_partkey, c_custkey, CAST(levenshtein(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 5), substr(md5(CAST(c_custkey AS VARCHAR)), 1, 5)) AS INTEGER) AS distance FROM part, customer WHERE levenshtein(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 5), substr(md5(CAST(c_custkey AS VARCHAR)), 1, 5)) <= 1""")
+def similar_names(spark, d):
+    """Short codes of parts and customers that differ in one letter at most."""
+    code = lambda c: F.substring(F.md5(F.col(c).cast("string").cast("binary")), 1, 5)
+    named = lambda t, c: load(spark, d, t).select(F.lit(0).alias("list"), F.col(c).alias("id"), code(c).alias("name"))
+    found = names.similar(named("part", "p_partkey"), named("customer", "c_custkey"), ["list"], 1)
+    return found.select(F.col("left_id").alias("p_partkey"), F.col("right_id").alias("c_custkey"), "distance")
+
+
+@query("resolve_codes", """SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN '' ELSE n_regionkey || ',' || CASE WHEN c_custkey % 7 = 5 THEN '' ELSE n_nationkey || ',' END END AS codes, CAST(CASE c_custkey % 7 WHEN 6 THEN 0 WHEN 5 THEN 1 END AS INTEGER) AS failed FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def resolve_codes(spark, d):
+    """Every customer a document that prints its region and nation, garbled: a letter short, a letter too many, or nothing like them."""
+    k, r, n = F.col("c_custkey"), load(spark, d, "region"), load(spark, d, "nation")
+    parent = F.concat(F.col("n_regionkey"), F.lit(","))
+    options = r.select(F.lit(0).alias("level"), F.lit("").alias("parent"), F.col("r_regionkey").alias("pos"), F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("value"))
+    options = options.unionByName(n.select(F.lit(1).alias("level"), parent.alias("parent"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("value")))
+    region = F.when(k % 7 == 6, "qqqq").otherwise(F.concat(F.lit("07 "), F.substring("r_name", 1, 3), F.lit("-"), F.substring("r_name", 4, 99)))
+    nation = F.when(k % 7 == 5, "zzzzzz").otherwise(F.concat("n_name", F.lit("E")))
+    c = load(spark, d, "customer").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(r), F.col("r_regionkey") == F.col("n_regionkey"))
+    found = names.resolve_codes(c.select(k.alias("document_id"), F.array(region, nation).alias("names")), options, 2)
+    return found.select(F.col("document_id").alias("c_custkey"), "codes", "failed")
+
+
+@query("run_difference", """WITH o AS (SELECT o_orderkey, o_orderkey % 31 = 3 AS priced, o_orderkey % 37 = 4 AS named, o_orderkey % 41 = 5 AS gone FROM orders)
+SELECT o_orderkey, CASE WHEN gone THEN 'missing' ELSE 'changed' END AS kind, CASE WHEN gone THEN '' ELSE concat_ws(',', CASE WHEN priced THEN 'o_totalprice' END, CASE WHEN named THEN 'o_orderstatus' END) END AS columns FROM o WHERE gone OR priced OR named
+UNION ALL SELECT -o_orderkey, 'added', '' FROM o WHERE o_orderkey % 43 = 6""")
+def run_difference(spark, d):
+    """Orders as a stored run and a second one in which some prices moved by more than the tolerance, all others by less."""
+    k = F.col("o_orderkey")
+    before = load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    after = before.filter(k % 41 != 5).withColumns({"o_totalprice": F.col("o_totalprice") + F.when(k % 31 == 3, 0.5).otherwise(1e-7), "o_orderstatus": F.when(k % 37 == 4, "?").otherwise(F.col("o_orderstatus"))})
+    after = after.unionByName(before.filter(k % 43 == 6).withColumn("o_orderkey", -k))
+    found = replay.difference(before, after, ["o_orderkey"], {"o_totalprice": 0.01})
+    return found.select("o_orderkey", "kind", F.array_join("columns", ",").alias("columns"))

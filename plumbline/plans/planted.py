@@ -129,12 +129,14 @@ def feature_offsets(spark, d):
     return views.feature_offsets(f, boxes, ["event_id"]).select("event_id", F.round("dx_px", 6).alias("dx_px"), F.round("dy_px", 6).alias("dy_px"))
 
 
-@query("curve_edits", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR (c_custkey % 4 + 3) % 4 = 0 THEN 0 ELSE 1 END + CASE WHEN c_custkey % 4 = 2 OR (c_custkey % 4 + 3) % 4 = 2 THEN 0 ELSE 1 END AS curves_left FROM customer""")
+@query("curve_edits", """SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN '1:0.4' ELSE '0:0.2' END AS curves_left FROM customer""")
 def curve_edits(spark, d):
     """Curves on edges 0 and 2 of a square, after corner c_custkey % 4 goes."""
-    way = F.array(F.struct(F.lit(0.5).alias("a"), F.lit(0.2).alias("b")))
-    curves = F.create_map(F.lit(0), way, F.lit(2), way)
-    return load(spark, d, "customer").select("c_custkey", F.size(outline.curves_after_delete(curves, (F.col("c_custkey") % 4).cast("int"), F.lit(4))).alias("curves_left"))
+    way = lambda b: F.array(F.struct(F.lit(0.5).alias("a"), F.lit(b).alias("b")))
+    curves = F.create_map(F.lit(0), way(0.2), F.lit(2), way(0.4))
+    left = F.map_entries(outline.curves_after_delete(curves, (F.col("c_custkey") % 4).cast("int"), F.lit(4)))
+    named = F.array_join(F.array_sort(F.transform(left, lambda e: F.concat_ws(":", e["key"], F.get(e["value"], 0)["b"]))), "|")
+    return load(spark, d, "customer").select("c_custkey", named.alias("curves_left"))
 
 
 # texts and payloads
@@ -269,15 +271,16 @@ def self_crossings(spark, d):
     return load(spark, d, "orders").select("o_orderkey", cogo.crossing_edges(ring).isNotNull().alias("crosses"))
 
 
-@query("drop_conflicts", """SELECT c_custkey, CAST(4 AS INTEGER) AS n_calls FROM customer""")
+@query("drop_conflicts", """SELECT c_custkey, concat_ws('|', 'N0°00''00"E ' || printf('%.2f', 100.0 + c_custkey % 300), 'N90°00''00"E ' || printf('%.2f', 100.0 + c_custkey % 300), 'S0°00''00"E ' || printf('%.2f', 100.0 + c_custkey % 300), 'S90°00''00"W ' || printf('%.2f', 100.0 + c_custkey % 300)) AS kept FROM customer""")
 def drop_conflicts(spark, d):
-    """Every customer a lot with one side read twice, 10 % apart: the reading that closes stays."""
+    """Every customer a lot with one side read twice, 10 % apart, the wrong reading first or second: the one that closes stays."""
     k = F.col("c_custkey")
     n = 100.0 + k % 300
     call = lambda b, f: F.struct(F.lit(b).alias("bearing"), F.format_string("%.2f", n * f).alias("distance"))
-    calls = F.array(call("N0°00'00\"E", 1), call("N0°00'00\"E", 1.1), call("N90°00'00\"E", 1), call("S0°00'00\"E", 1), call("S90°00'00\"W", 1))
+    first, second = (F.when(k % 2 == 0, x).otherwise(y) for x, y in ((1.0, 1.1), (1.1, 1.0)))
+    calls = F.array(call("N0°00'00\"E", first), call("N0°00'00\"E", second), call("N90°00'00\"E", 1), call("S0°00'00\"E", 1), call("S90°00'00\"W", 1))
     none = F.array().cast("array<struct<bearing:string,distance:string>>")
     p = load(spark, d, "customer").select("c_custkey", calls.alias("calls"), none.alias("alternates"), F.lit(None).cast("double").alias("stated_area_sqft"), F.array().cast("array<double>").alias("sibling_sqfts"))
-    return search.repair_frame(p, ["c_custkey"]).select("c_custkey", F.size("calls").alias("n_calls"))
+    return search.repair_frame(p, ["c_custkey"]).select("c_custkey", F.array_join(F.transform("calls", lambda c: F.concat_ws(" ", c["bearing"], c["distance"])), "|").alias("kept"))
 
 

@@ -496,11 +496,10 @@ def scale_median(spark, d):
 @query("haversine_pairs", """WITH n AS (SELECT n_nationkey, (n_nationkey * 37 % 360) - 180.0 AS lon, (n_nationkey * 53 % 160) - 80.0 AS lat FROM nation)
 SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))), 4) AS km FROM n a JOIN n b ON a.n_nationkey < b.n_nationkey""")
 def haversine_pairs(spark, d):
-    """All pairs of the 25 nations: the list of all of them is one row, which each nation meets."""
+    """All pairs of the nations, a fixed table of 25 rows."""
     k = F.col("n_nationkey")
     n = load(spark, d, "nation").select(k.alias("k"), (k * 37 % 360 - 180.0).alias("lon"), (k * 53 % 160 - 80.0).alias("lat"))
-    all_ = n.groupBy(F.lit(0).alias("g")).agg(F.collect_list(F.struct("k", "lon", "lat")).alias("n"))
-    pairs = all_.select(F.explode("n").alias("a"), "n").select("a", F.explode("n").alias("b")).filter("a.k < b.k")
+    pairs = n.alias("a").join(F.broadcast(n.alias("b")), F.col("a.k") < F.col("b.k"))
     return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(G.haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")), 4).alias("km"))
 
 
@@ -567,8 +566,7 @@ EDITS = "SELECT 'doc' AS document_id, 'parcel' AS scope, o_custkey AS id, CASE o
 @query("edits_overlay", f"""WITH e AS ({EDITS}), v AS (SELECT * FROM e WHERE field = 'label' OR (field = 'review_status' AND value = 'approved')), l AS (SELECT id, arg_max(value, edited) FILTER (field = 'label') AS label, arg_max(value, edited) FILTER (field = 'review_status') AS review FROM v GROUP BY 1)
 SELECT c_custkey, coalesce(label, c_name) AS label, coalesce(review, 'pending') AS review_status FROM customer LEFT JOIN l ON l.id = c_custkey""")
 def edits_overlay(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("plumbline_orders")
-    e = spark.sql(EDITS.replace("FROM orders", "FROM plumbline_orders")).withColumnRenamed("edited", "at")
+    e = spark.sql(EDITS.replace("FROM orders", "FROM {orders}"), orders=load(spark, d, "orders")).withColumnRenamed("edited", "at")
     r = load(spark, d, "customer").select(F.lit("doc").alias("document_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("pending").alias("review_status"))
     return report.overlay(r, e).select(F.col("id").alias("c_custkey"), "label", "review_status")
 
@@ -576,8 +574,7 @@ def edits_overlay(spark, d):
 @query("edit_log", f"""WITH e AS ({EDITS}), v AS (SELECT *, lag(value) OVER (PARTITION BY id, field ORDER BY edited) AS old, row_number() OVER (PARTITION BY id, field ORDER BY edited) AS r FROM e WHERE field = 'label' OR (field = 'review_status' AND value = 'approved'))
 SELECT id, field, value, edited FROM v WHERE r = 1 OR value <> old""")
 def edit_log(spark, d):
-    load(spark, d, "orders").createOrReplaceTempView("plumbline_orders")
-    return report.edit_log(spark.sql(EDITS.replace("FROM orders", "FROM plumbline_orders")).withColumnRenamed("edited", "at")).select("id", "field", "value", F.col("at").alias("edited"))
+    return report.edit_log(spark.sql(EDITS.replace("FROM orders", "FROM {orders}"), orders=load(spark, d, "orders")).withColumnRenamed("edited", "at")).select("id", "field", "value", F.col("at").alias("edited"))
 
 
 @query("latest_confirmation", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")

@@ -1,0 +1,106 @@
+"""Nearly equal names against all pairs, codes level by level, and differences of two runs."""
+
+import random
+from difflib import SequenceMatcher
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.operators import names, replay
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_similar_names_are_those_of_all_pairs(spark, edits):
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choice("abé🙂") for _ in range(rng.randint(0, 9)))
+    base = [word() for _ in range(60)]
+    left = [(k % 3, k, rng.choice(base) if rng.random() < 0.5 else word()) for k in range(120)] + [(0, 900, None), (1, 901, "")]
+    right = [(k % 3, k, b) for k, b in enumerate(base)] + [(0, 500, None), (1, 501, ""), (2, 502, base[2])]
+    kind = "g int, id int, name string"
+    got = {tuple(r) for r in names.similar(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), ["g"], edits).collect()}
+    want = {(g, i, j, d) for g, i, a in left for h, j, b in right if g == h and a is not None and b is not None and (d := distance(a, b)) <= edits}
+    assert got == want and want
+
+
+OPTIONS = [
+    (0, "", 0, "A", "01 Raipur"), (0, "", 1, "B", "Bilaspur"), (1, "A,", 0, "1", "Arang"), (1, "A,", 1, "2", "Abhanpur"), (1, "B,", 0, "9", "Kota"),
+    (2, "A,1,", 0, "x", "Circle one"), (2, "B,9,", 0, "y", "Ratanpur"), (2, "B,9,", 1, "z", "Belgahna"), (3, "A,1,x,", 0, "v1", "Adhchara"), (3, "A,1,x,", 1, "v2", "Adhchari"), (3, "B,9,y,", 0, "v3", "Lakhni"),
+]
+
+
+def by_loop(wanted):
+    norm = lambda s: "".join(c for c in (s or "").lstrip("0123456789").strip() if c not in " -.,:()")
+    codes, trail = "", []
+    for level, name in enumerate(wanted):
+        options = [o for o in OPTIONS if o[0] == level and o[1] == codes]
+        best, score = None, 0.0
+        for o in options if norm(name) else ():
+            s = 1.0 if norm(o[4]) == norm(name) else SequenceMatcher(None, norm(name).lower(), norm(o[4]).lower()).ratio()
+            if s > score:
+                best, score = o, s
+        if score < 0.75:
+            best = options[0] if len(options) == 1 else None
+        if best is None:
+            return codes, level, trail
+        codes += best[3] + ","
+        trail.append(best[4])
+    return codes, None, trail
+
+
+def test_codes_level_by_level(spark):
+    wanted = {
+        "exact": ["Raipur", "Arang", "Circle one", "Adhchara"], "garbled": ["Raipvr", "Arnag", "Circ1e one", "Adhchari."], "only option": ["Bilaspur", "Nothing like it", "Ratanpur", None],
+        "no district": ["Delhi", "Arang", "x", "y"], "no village": ["raipur", "ARANG", None, "Zzz"], "empty": [None, None, None, None], "no circle": ["Bilaspur", "Kota", "Qq", "Lakhni"],
+    }
+    docs = spark.createDataFrame(list(wanted.items()), "document_id string, names array<string>")
+    options = spark.createDataFrame(OPTIONS, "level int, parent string, pos int, code string, value string").repartition(3)
+    got = {r["document_id"]: (r["codes"], r["failed"], [t["matched"] for t in r["trail"]]) for r in names.resolve_codes(docs, options).collect()}
+    assert got == {k: by_loop(v) for k, v in wanted.items()}
+    assert got["garbled"][0] == "A,1,x,v2," and got["only option"][0] == "B,9,y,v3," and got["no district"][1] == 0
+
+
+STATE = "document_id string, k int, x double, label string, tags map<string,int>, ring array<double>"
+
+
+def table(spark, change=None):
+    rows = [[f"d{k % 4}", k, k / 7, f"lot {k}" if k % 5 else None, {"a": k, "b": 1}, [float(k), 2.0]] for k in range(40)]
+    for k, column, value in change or ():
+        rows[k][column] = value
+    return spark.createDataFrame([tuple(r) for r in rows], STATE).repartition(3)
+
+
+def test_differences_are_named(spark):
+    before = table(spark)
+    same = table(spark, [(3, 2, 3 / 7 + 1e-9), (4, 4, {"b": 1, "a": 4}), (0, 2, -0.0)])
+    assert replay.difference(before, same, ["k"], {"x": 1e-6}).count() == 0
+    assert {(r["k"], tuple(r["columns"])) for r in replay.difference(before, same, ["k"]).collect()} == {(3, ("x",))}
+    after = table(spark, [(5, 3, "named"), (6, 3, None), (7, 2, None), (8, 5, [8.0]), (9, 4, None), (9, 2, 5.0)]).filter("k <> 10").unionByName(table(spark).filter("k = 1").withColumn("k", F.lit(None).cast("int")))
+    got = {(r["k"], r["kind"], tuple(r["columns"])) for r in replay.difference(before, after, ["k"], {"x": 1e-6}).collect()}
+    assert got == {(5, "changed", ("label",)), (6, "changed", ("label",)), (7, "changed", ("x",)), (8, "changed", ("ring",)), (9, "changed", ("x", "tags")), (10, "missing", ()), (None, "added", ())}
+    wider = replay.difference(before, before.withColumn("more", F.lit(1)), ["k"]).collect()
+    assert len(wider) == 40 and all(r["columns"] == ["more"] for r in wider)
+    assert replay.difference(before.filter("false"), before.filter("false"), ["k"]).count() == 0
+
+
+def test_an_injected_change_is_found_in_its_stage(spark):
+    """Later stages are run over stored tables, so a change shows where it was made."""
+    calls = table(spark).select("document_id", "k", "x")
+    walk = lambda c: c.withColumn("y", F.col("x") * 2)
+    totals = lambda w: w.groupBy("document_id").agg(F.sum("y").alias("total"))
+    stored = {"calls": calls, "walks": walk(calls), "totals": totals(walk(calls))}
+    stages = lambda w, t: [replay.Stage("walks", ("calls",), w, ("document_id", "k"), {"y": 1e-9}), replay.Stage("totals", ("walks",), t, ("document_id",), {"total": 1e-6})]
+    assert replay.replay(stored, stages(walk, totals)).count() == 0
+    bent = lambda c: walk(c).withColumn("y", F.when((F.col("document_id") == "d2") & (F.col("k") > 20), F.col("y") + 1).otherwise(F.col("y")))
+    doubled = lambda w: totals(w).withColumn("total", F.when(F.col("document_id").isin("d1", "d2"), F.col("total") * 2).otherwise(F.col("total")))
+    found = replay.replay(stored, stages(bent, doubled))
+    first = {r["document_id"]: (r["stage"], r["rows"], r["columns"]) for r in replay.first_difference(found).collect()}
+    assert first == {"d2": ("walks", 5, ["y"]), "d1": ("totals", 1, ["total"])}

