@@ -330,10 +330,14 @@ def near_radius(centres: DataFrame, places: DataFrame, key: str, radius_m: float
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def label_words(label: Column) -> Column:
+    """Distinct words of a label in capitals: letters, digits and hyphens."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(label, F.lit(""))), r"[^A-Z0-9\s-]", " "), r"\s+"), lambda x: x != ""))
+
+
 def same_parcel(label_a: Column, label_b: Column, acres_a: Column, acres_b: Column) -> Column:
     """Label words contained in each other and, if both state one, areas within 8 %."""
-    w = lambda s: F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(s, F.lit(""))), r"[^A-Z0-9\s-]", " "), r"\s+"), lambda x: x != ""))
-    a, b = w(label_a), w(label_b)
+    a, b = label_words(label_a), label_words(label_b)
     subset = (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
     return subset & F.coalesce(F.abs(acres_a - acres_b) <= 0.08 * F.greatest(acres_a, acres_b), F.lit(True))
 

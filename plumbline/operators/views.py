@@ -6,14 +6,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import patterns as P
 from ..functions import text as T
 from .evidence import verify
-from .matching import PAGE, dedupe_copies, features_in_polygons, same_parcel
+from .matching import PAGE, dedupe_copies, features_in_polygons, label_words
 from .moves import max_spread, offset
 
 PLACE = ["document_id", "page_number", "region_index", "parcel_index"]
@@ -173,14 +173,35 @@ def boundary_refs(parcels: DataFrame, entities: DataFrame, sheets: DataFrame) ->
 
 def other_sheet_copies(refs: DataFrame) -> DataFrame:
     """Refs (document_id, page_number, id, label, acres, role) of sheets that are no target map and repeat a parcel of one that is."""
-    target = F.col("role") == "target_parcel_map"
-    t = refs.filter(target).select("document_id", F.col("label").alias("_label"), F.col("acres").alias("_acres"))
-    other = refs.filter(~F.coalesce(target, F.lit(False)))
-    # parcels that can be the same have a word of their labels in common
-    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(F.col(c), F.lit(""))), r"[^A-Z0-9\s-]", " "), r"\s+"), lambda x: x != ""))
-    met = other.withColumn("_w", F.explode(words("label"))).join(t.withColumn("_w", F.explode(words("_label"))), ["document_id", "_w"])
-    hits = met.filter(same_parcel(F.col("label"), F.col("_label"), F.col("acres"), F.col("_acres"))).select(*PAGE, "id").distinct()
-    return other.join(hits, [*PAGE, "id"], "left_semi")
+    role = F.coalesce(F.col("role") == "target_parcel_map", F.lit(False))
+    named = refs.select("*", role.alias("_target"), F.array_sort(label_words(F.col("label"))).alias("_words"), F.when(~F.isnan("acres"), F.col("acres").cast("double")).alias("_acres")).filter(F.size("_words") > 0)
+    # what decides are word sets and areas: each is taken once for all its copies
+    cases = named.groupBy("document_id", "_words", "_target", "_acres").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    sets = cases.select("document_id", "_words", "_target").distinct()
+    spelled = sets.select("document_id", "_words", "_target", F.explode("_words").alias("_w"))
+    often = spelled.groupBy("document_id", "_w").agg(F.count(F.lit(1)).alias("_often"))
+    # of two sets the smaller one's rarest word is in the larger one, too
+    rarest = spelled.join(often, ["document_id", "_w"]).groupBy("document_id", "_words", "_target").agg(F.min(F.struct("_often", "_w"))["_w"].alias("_w"))
+    of = lambda df, target, name: df.filter("_target" if target else "not _target").select("document_id", "_w", F.col("_words").alias(name))
+    within = lambda a, b: F.size(F.array_except(a, b)) == 0
+    up = of(rarest, False, "_words").join(of(spelled, True, "_theirs"), ["document_id", "_w"]).filter(within("_words", "_theirs"))
+    down = of(spelled, False, "_words").join(of(rarest, True, "_theirs"), ["document_id", "_w"]).filter(within("_theirs", "_words"))
+    met = up.unionByName(down).select("document_id", "_words", "_theirs").distinct()
+    # of a set's areas the next ones below and above are the nearest in their proportion, too
+    ours = cases.filter("not _target").join(met, ["document_id", "_words"]).select("document_id", "_theirs", "_words", "_acres", F.lit(False).alias("_target"))
+    theirs = cases.filter("_target").select("document_id", F.col("_words").alias("_theirs"), F.lit(None).cast("array<string>").alias("_words"), "_acres", F.lit(True).alias("_target"))
+    set_ = Window.partitionBy("document_id", "_theirs")
+    so_far = lambda order: F.last(F.when(F.col("_target"), F.col("_acres")), True).over(set_.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = so_far(F.col("_acres").asc()), so_far(F.col("_acres").desc())
+    unstated = F.bool_or(F.col("_target") & F.col("_acres").isNull()).over(set_)
+    any_ = F.bool_or("_target").over(set_)
+    near = lambda c: F.coalesce(F.abs(F.col("_acres") - F.col(c)) <= 0.08 * F.greatest("_acres", c), F.lit(False))
+    seen = ours.unionByName(theirs).select("*", before.alias("_before"), after.alias("_after"), unstated.alias("_unstated"), any_.alias("_any"))
+    hits = seen.filter(~F.col("_target") & F.col("_any") & (F.col("_unstated") | F.col("_acres").isNull() | near("_before") | near("_after"))).select("document_id", "_words", "_acres").distinct()
+    a, b = named.filter("not _target").alias("a"), hits.alias("b")
+    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a._words") == F.col("b._words")) & F.col("a._acres").eqNullSafe(F.col("b._acres"))
+    ids = a.join(b, same, "left_semi").select(*PAGE, "id").distinct()
+    return refs.filter(~role).join(ids, [*PAGE, "id"], "left_semi")
 
 
 def primary_refs(refs: DataFrame) -> DataFrame:

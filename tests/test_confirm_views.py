@@ -2,12 +2,13 @@
 
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators import confirm, outline, payloads, views
+from plumbline.operators import confirm, matching, outline, payloads, views
 
 RING = "array<struct<x:double,y:double>>"
 CALLS = "array<struct<bearing:string,distance:string>>"
@@ -184,3 +185,23 @@ def test_curve_edits(spark):
     assert {k: way(v) for k, v in saved[0]["c"].items()} == {3: [(0.5, 0.2)], 1: [(0.2, 0.1), (0.6, -0.1)]} and not saved[1]["c"] and not saved[2]["c"]
     m = df.select(outline.edge_midpoint("ring", "curves", F.lit(1), F.lit(0.0), F.lit(0.0)).alias("m"), outline.nearest_on_edge("ring", "curves", F.lit(1), F.lit(130.0), F.lit(40.0)).alias("n"), outline.nearest_on_edge("ring", "curves", F.lit(2), F.lit(50.0), F.lit(-500.0)).alias("c")).first()
     assert tuple(m["m"]) == (100.0, 50.0) and tuple(m["n"]) == (100.0, 40.0) and m["c"]["y"] < 100.0
+
+
+def test_other_sheet_copies_are_those_of_all_pairs_and_meet_as_sets(spark):
+    """Copies of a label are met once: pairs of rows grow with the square of the copies."""
+    import random
+
+    rng = random.Random(3)
+    words, nan = ["LOT", "TRACT", "A", "B", "7-1", ""], float("nan")
+    sides = [None, nan, 0.0, -1.0, 1.0, 1.05, 1.1, 2.0, 2.17, 2.2, 40.0]
+    rows = [("d%d" % rng.randint(0, 2), 1, i, rng.choice([None, " ".join(rng.sample(words, rng.randint(0, 3)))]), rng.choice(sides), rng.choice(["target_parcel_map", "other", None])) for i in range(200)]
+    refs = spark.createDataFrame(rows, "document_id string, page_number int, id int, label string, acres double, role string").cache()
+    a, b = refs.filter("not coalesce(role = 'target_parcel_map', false)").alias("a"), refs.filter("role = 'target_parcel_map'").alias("b")
+    c = F.col
+    want = a.join(b, c("a.document_id") == c("b.document_id")).filter(matching.same_parcel(c("a.label"), c("b.label"), c("a.acres"), c("b.acres"))).select("a.id").distinct()
+    assert sorted(r["id"] for r in views.other_sheet_copies(refs).collect()) == sorted(r["id"] for r in want.collect())
+    # 20,000 copies of one label on either side: 400 million pairs of rows
+    one = spark.range(40000).selectExpr("'d' as document_id", "1 as page_number", "id", "'LOT A' as label", "cast(id % 2 * 100 as double) as acres", "if(id % 4 < 2, 'target_parcel_map', 'other') as role")
+    start = time.time()
+    assert views.other_sheet_copies(one).count() == 20000
+    assert time.time() - start < 60
