@@ -76,20 +76,19 @@ def nms(boxes: DataFrame, keys: list[str], threshold: float = 0.6) -> DataFrame:
     """Greedy suppression: confidence descending, then ``pos``; a box goes if it overlaps a kept one of its class."""
 
     def keep(pdf: pd.DataFrame) -> np.ndarray:
-        order = np.lexsort((pdf["pos"], -pdf["confidence"]))
-        b, cls, out, kept = pdf[["x", "y", "w", "h"]].to_numpy(float), pdf["class"].to_numpy(), np.zeros(len(pdf), bool), []
-        for i in order:
-            k = np.array([j for j in kept if cls[j] == cls[i]], int)
-            w = np.minimum(b[k, 0] + b[k, 2], b[i, 0] + b[i, 2]) - np.maximum(b[k, 0], b[i, 0])
-            h = np.minimum(b[k, 1] + b[k, 3], b[i, 1] + b[i, 3]) - np.maximum(b[k, 1], b[i, 1])
+        b, out = pdf[["x", "y", "w", "h"]].to_numpy(float), np.zeros(len(pdf), bool)
+        kept, n = np.empty_like(b), 0
+        for i in np.lexsort((pdf["pos"], -pdf["confidence"])):
+            k = kept[:n]
+            w = np.minimum(k[:, 0] + k[:, 2], b[i, 0] + b[i, 2]) - np.maximum(k[:, 0], b[i, 0])
+            h = np.minimum(k[:, 1] + k[:, 3], b[i, 1] + b[i, 3]) - np.maximum(k[:, 1], b[i, 1])
             inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-            union = b[k, 2] * b[k, 3] + b[i, 2] * b[i, 3] - inter
-            if not len(k) or (inter / np.where(union > 0, union, 1)).max() < threshold:
-                kept.append(i)
-                out[i] = True
+            union = k[:, 2] * k[:, 3] + b[i, 2] * b[i, 3] - inter
+            if not n or (inter / np.where(union > 0, union, 1)).max() < threshold:
+                kept[n], n, out[i] = b[i], n + 1, True
         return out
 
-    return _per_group(boxes, keys, keep)
+    return _per_group(boxes, [*keys, "class"], keep)  # classes don't touch each other
 
 
 def dedupe_near(points: DataFrame, keys: list[str], columns: tuple[str, ...], tolerance: float, norm: str = "max") -> DataFrame:
@@ -235,10 +234,85 @@ def legal_to_parcels(descriptions: DataFrame, parcels: DataFrame) -> DataFrame:
     return descriptions.join(first, ["document_id", "desc_pos"], "left")
 
 
+_EDGES, _POINTS = 20_000, 20_000  # most edges and about the points of a key that meet in one group
+
+
+def _nearest(points: np.ndarray, edges: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and the index of the nearest edge (ax, ay, bx, by) of each point, the smallest on a tie.
+
+    Edges lie in blocks of about the root of their number, cut along x and then y.  A point looks into the block whose box is nearest, and
+    then into all whose boxes are no farther than what it found.
+    """
+    n = len(edges)
+    mid = edges[:, :2] + edges[:, 2:]
+    size = max(1, int(np.sqrt(n)))
+    strips = max(1, int(np.sqrt(n / size)))
+    strip = np.empty(n, int)
+    strip[np.lexsort((mid[:, 1], mid[:, 0]))] = np.arange(n) * strips // n
+    order = np.lexsort((mid[:, 0], mid[:, 1], strip))
+    edges, index = edges[order], index[order]
+    start = np.arange(0, n, size)
+    stop = np.append(start[1:], n)
+    lo = np.minimum.reduceat(np.minimum(edges[:, :2], edges[:, 2:]), start)
+    hi = np.maximum.reduceat(np.maximum(edges[:, :2], edges[:, 2:]), start)
+    best, first = np.full(len(points), np.inf), np.full(len(points), np.iinfo(np.int64).max)
+
+    def look(rows: np.ndarray, block: int) -> None:
+        e, p = edges[start[block] : stop[block]], points[rows][:, None]
+        d = e[:, 2:] - e[:, :2]
+        nn = (d * d).sum(1)
+        t = np.clip(np.where(nn == 0, 0.0, ((p[..., 0] - e[:, 0]) * d[:, 0] + (p[..., 1] - e[:, 1]) * d[:, 1]) / np.where(nn == 0, 1, nn)), 0, 1)
+        far = np.hypot(p[..., 0] - e[:, 0] - t * d[:, 0], p[..., 1] - e[:, 1] - t * d[:, 1])
+        near = far.min(1)
+        which = np.where(far == near[:, None], index[start[block] : stop[block]], np.iinfo(np.int64).max).min(1)
+        better = (near < best[rows]) | (near == best[rows]) & (which < first[rows])
+        best[rows[better]], first[rows[better]] = near[better], which[better]
+
+    for i in range(0, len(points), 4096):
+        rows = np.arange(i, min(i + 4096, len(points)))
+        p = points[rows][:, None]
+        gap = np.maximum(np.maximum(lo - p, p - hi), 0)
+        gap = np.hypot(gap[..., 0], gap[..., 1])
+        own = gap.argmin(1)
+        for block in np.unique(own):
+            look(rows[own == block], block)
+        more = gap <= best[rows, None] * (1 + 1e-9)
+        more[np.arange(len(rows)), own] = False
+        for block in np.flatnonzero(more.any(0)):
+            look(rows[more[:, block]], block)
+    return best, first
+
+
 def nearest_edge(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearest edge (ax, ay, bx, by) of the same key for each point (px, py), the first on a tie."""
-    d = G.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
-    return points.join(edges, keys).groupBy(*points.columns).agg(F.min(F.struct(d.alias("distance"), "edge_index")).alias("e")).select(*points.columns, "e.*")
+    """Nearest edge (ax, ay, bx, by) of the same key for each point (px, py), the first on a tie.
+
+    Points of a key are dealt out by their hash, and its edges too, so that a group holds a bounded number of either; repeated points are looked up
+    once.  Edges without a place are nearest to nothing; a point without one, or among such edges only, gets the first edge and no distance.
+    """
+    at, ends = ["px", "py"], ["ax", "ay", "bx", "by"]
+    placed = lambda df, cs: df.dropna(subset=[*keys, *cs])
+    p, e = placed(points, at).select(*keys, *(F.col(c).cast("double").alias(c) for c in at)).distinct(), placed(edges, [*ends, "edge_index"])
+    parts = lambda df, most, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    deal = p.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / _POINTS).cast("int").alias("_np")).join(parts(e, _EDGES, "_ne"), keys)
+    part = lambda n, *cs: F.pmod(F.xxhash64(*cs), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(deal, keys).withColumn("_p", part("_np", *at)).withColumn("_e", every("_ne")).select(*keys, "_p", "_e", *at)
+    e = e.join(deal, keys).withColumn("_e", part("_ne", *ends, "edge_index")).withColumn("_p", every("_np"))
+    e = e.select(*keys, "_p", "_e", *(F.col(c).cast("double").alias(c) for c in ends), F.col("edge_index").cast("long").alias("edge_index"))
+    group = [*keys, "_p", "_e"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*keys, *at, "distance", "edge_index"])
+        distance, index = _nearest(a[at].to_numpy(float), b[ends].to_numpy(float), b["edge_index"].to_numpy())
+        return a[[*keys, *at]].assign(distance=distance, edge_index=index)
+
+    named = ", ".join(f"{k} {p.schema[k].dataType.simpleString()}" for k in keys)
+    found = p.groupBy(*group).cogroup(e.groupBy(*group)).applyInPandas(run, f"{named}, px double, py double, distance double, edge_index long")
+    best = found.groupBy(*keys, *at).agg(F.min(F.struct("distance", "edge_index")).alias("e"))
+    any_ = edges.groupBy(*keys).agg(F.min("edge_index").alias("_any"))
+    out = points.distinct().join(best, [*keys, *at], "left").join(any_, keys)
+    return out.select(*points.columns, F.col("e.distance").alias("distance"), F.coalesce(F.col("e.edge_index").cast(edges.schema["edge_index"].dataType), "_any").alias("edge_index"))
 
 
 def pair_split_bearings(lines: DataFrame, keys: list[str], reach: float = 250.0) -> DataFrame:

@@ -2,8 +2,10 @@ import csv
 import io
 import json
 import struct
+import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +279,48 @@ def test_windows_over_time(spark):
     assert progress.sessions(df, ["k"], "ts", 100).count() == 2
     assert [r["event_id"] for r in progress.throttled_touches(df, ["k"], "ts", 30).orderBy("event_id").collect()] == [0, 3, 5]
     assert G.XY.startswith("array")
+
+
+def test_nearest_edges_are_those_of_all_pairs(spark, monkeypatch):
+    """Points and edges of a key are dealt out; neither is compared with all of the other."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(matching, "_EDGES", 7)
+    monkeypatch.setattr(matching, "_POINTS", 5)
+    p = [(k % 3, k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-20, 20, (60, 2)))] + [(1, 60, None, 2.0)]
+    e = [(k % 3, k, *map(float, v)) for k, v in enumerate(rng.integers(-20, 20, (50, 4)))] + [(2, 50, 1.0, 1.0, 1.0, 1.0), (2, 51, 1.0, None, 1.0, 1.0)]
+    points = spark.createDataFrame(p, "page int, point int, px double, py double")
+    edges = spark.createDataFrame(e, "page int, edge_index int, ax double, ay double, bx double, by double")
+    got = {r["point"]: (r["distance"], r["edge_index"]) for r in matching.nearest_edge(points, edges, ["page"]).collect()}
+    far = G.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
+    pairs = points.dropna().join(edges.dropna(), "page").select("point", "edge_index", far.alias("d")).toPandas()
+    least = pairs.groupby("point")["d"].min()
+    assert set(got) == set(range(61)) and got[60] == (None, 1)
+    for k, d in least.items():
+        assert got[k][0] == pytest.approx(d)
+        assert got[k][1] in set(pairs[(pairs["point"] == k) & (pairs["d"] < d + 1e-9)]["edge_index"])
+
+
+def test_a_point_looks_into_few_blocks():
+    n = 40_000
+    at = np.arange(n, dtype=float)
+    edges = np.column_stack([at, np.zeros(n), at, np.zeros(n)])
+    start = time.time()
+    distance, index = matching._nearest(np.column_stack([at + 0.25, np.ones(n)]), edges, np.arange(n))
+    assert (index == np.arange(n)).all() and time.time() - start < 30
+
+
+def test_nms_leaves_classes_apart(spark):
+    """Groups are one class of a page: they share the work, and a large page is no quadratic frame."""
+    rng = np.random.default_rng(6)
+    rows = [("p", int(k), rng.choice(["a", "b", None]), float(rng.integers(0, 30)), float(rng.integers(0, 30)), 10.0, 10.0, float(rng.random())) for k in range(150)]
+    boxes = spark.createDataFrame([(r[0], r[1], None if r[2] is None else str(r[2]), *r[3:]) for r in rows], "page string, pos long, class string, x double, y double, w double, h double, confidence double")
+    kept = {}
+    for r in sorted(rows, key=lambda r: (-r[7], r[1])):
+        def over(q):
+            i = max(0, min(q[3], r[3]) + 10 - max(q[3], r[3])) * max(0, min(q[4], r[4]) + 10 - max(q[4], r[4]))
+            return i / (200 - i) >= 0.6
+        if not any(q[2] == r[2] and over(q) for q in kept.values()):
+            kept[r[1]] = r
+    out = matching.nms(boxes, ["page"])
+    assert {r["pos"] for r in out.collect()} == set(kept)
+    assert "class" in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[1][:40]
