@@ -47,9 +47,11 @@ def similar(left: DataFrame, right: DataFrame, keys: list[str], edits: int) -> D
     first, last = F.greatest(at - edits, F.lit(0)), F.least(at + edits, m - size)
     places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     asked = asked.withColumn("segment", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring(F.col("a"), p + 1, size)))))
-    met = asked.join(filed, [*keys, "n", "k", "segment"]).select(*keys, "a", "b").distinct()
+    met = asked.join(filed.hint("merge"), [*keys, "n", "k", "segment"]).select(*keys, "a", "b").distinct()
     close = met.withColumn("distance", F.levenshtein("a", "b", edits)).filter("distance >= 0")
-    out = close.join(left.select(*keys, F.col("name").alias("a"), F.col("id").alias("left_id")), [*keys, "a"]).join(right.select(*keys, F.col("name").alias("b"), F.col("id").alias("right_id")), [*keys, "b"])
+    # lists of names look small in their files, so they would be sent through the driver to every task; sorted, they stay where they are
+    named = lambda df, name, id_: df.select(*keys, F.col("name").alias(name), F.col("id").alias(id_)).hint("merge")
+    out = close.join(named(left, "a", "left_id"), [*keys, "a"]).join(named(right, "b", "right_id"), [*keys, "b"])
     return out.select(*keys, "left_id", "right_id", "distance")
 
 

@@ -104,3 +104,10 @@ def test_an_injected_change_is_found_in_its_stage(spark):
     found = replay.replay(stored, stages(bent, doubled))
     first = {r["document_id"]: (r["stage"], r["rows"], r["columns"]) for r in replay.first_difference(found).collect()}
     assert first == {"d2": ("walks", 5, ["y"]), "d1": ("totals", 1, ["total"])}
+
+
+def test_lists_of_names_are_not_broadcast(spark):
+    """Their files look small; a broadcast takes them through the driver's memory."""
+    some = spark.range(100).selectExpr("0 as list", "id", "substring(md5(cast(id as string)), 1, 4) as name")
+    plan = names.similar(some, some, ["list"], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
