@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.session import spread
 from . import overlay
 from . import placement as P
 
@@ -54,7 +55,7 @@ def evaluate_positions(moves: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moves.schema.fields if f.name in keys) + ", " + EVALUATION
-    return moves.select(*keys, "rings", "neighbours", "east_m", "north_m", "rotation_deg").mapInPandas(run, schema)
+    return spread(moves.select(*keys, "rings", "neighbours", "east_m", "north_m", "rotation_deg"), *keys).mapInPandas(run, schema)
 
 
 def search_near(starts: DataFrame, keys: list[str]) -> DataFrame:
