@@ -21,22 +21,30 @@ PAGE = ["document_id", "page_number"]
 OCR_CLASSES = P.TEXT_CLASSES
 
 
-CELL = ["_level", "_gx", "_gy"]
+CELL = ["_lx", "_ly", "_gx", "_gy"]
 
 
 def box_cells(boxes: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Grid cells (``CELL``) on which boxes (PAGE, bbox) and the points (PAGE, cx, cy) that may lie in them meet.
+    """Grid cells (``CELL``) on which boxes (PAGE, region_index, bbox) and the points (PAGE, cx, cy) that may lie in them meet.
 
-    A box has cells of about its own size, so it covers nine at most; a point is filed once for each size of box on its page.
+    A box has cells of a quarter to a half of its width and height, so it covers 25 at most; a point is filed once for each size of box on its page.
+    Of the boxes of a cell only the smallest that covers all of it and smaller ones stay (the first of equals): no point of the cell can be
+    in a better one that is left out, and how many stay doesn't grow with the boxes that lie on each other.
     """
-    side = F.greatest(F.col("bbox.w"), F.col("bbox.h"), F.lit(1e-6))
-    cell = F.pow(F.lit(2.0), F.col("_level"))
-    span = lambda a, n: F.sequence(F.floor(F.col(f"bbox.{a}") / cell), F.floor((F.col(f"bbox.{a}") + F.col(f"bbox.{n}")) / cell))
-    b = boxes.filter("bbox.w >= 0 and bbox.h >= 0").withColumn("_level", F.ceil(F.log2(side)).cast("int"))
-    levels = b.groupBy(*PAGE).agg(F.collect_set("_level").alias("_levels"))
+    level = lambda n: F.ceil(F.log2(F.greatest(F.col(f"bbox.{n}").cast("double"), F.lit(1e-6)))).cast("int") - 2
+    cell = {n: F.pow(F.lit(2.0), F.col(f"_l{n}")) for n in "xy"}
+    span = lambda a, n: F.sequence(F.floor(F.col(f"bbox.{a}") / cell[a]), F.floor((F.col(f"bbox.{a}") + F.col(f"bbox.{n}")) / cell[a]))
+    b = boxes.filter("bbox.w >= 0 and bbox.h >= 0").withColumns({"_lx": level("w"), "_ly": level("h")})
+    levels = b.groupBy(*PAGE).agg(F.collect_set(F.struct("_lx", "_ly")).alias("_levels"))
     b = b.withColumn("_gx", F.explode(span("x", "w"))).withColumn("_gy", F.explode(span("y", "h")))
-    p = points.join(levels, PAGE).withColumn("_level", F.explode("_levels")).drop("_levels")
-    return b, p.withColumns({"_gx": F.floor(F.col("cx") / cell), "_gy": F.floor(F.col("cy") / cell)})
+    # a cell's upper ends are in the next one
+    reaches = lambda a, n: (F.col(f"bbox.{a}") <= F.col(f"_g{a}") * cell[a]) & (F.col(f"bbox.{a}") + F.col(f"bbox.{n}") >= (F.col(f"_g{a}") + 1) * cell[a])
+    rank = F.struct((F.col("bbox.w") * F.col("bbox.h")).alias("area"), "region_index")
+    b = b.withColumns({"_rank": rank, "_all": reaches("x", "w") & reaches("y", "h")})
+    least = b.filter("_all").groupBy(*PAGE, *CELL).agg(F.min("_rank").alias("_least"))
+    b = b.join(least, [*PAGE, *CELL], "left").filter("_least is null or _rank <= _least").drop("_least", "_rank", "_all")
+    p = points.join(levels, PAGE).withColumn("_level", F.explode("_levels")).withColumns({"_lx": F.col("_level._lx"), "_ly": F.col("_level._ly")}).drop("_levels", "_level")
+    return b, p.withColumns({"_gx": F.floor(F.col("cx") / cell["x"]), "_gy": F.floor(F.col("cy") / cell["y"])})
 
 
 def lines_to_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:

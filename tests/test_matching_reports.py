@@ -324,3 +324,22 @@ def test_nms_leaves_classes_apart(spark):
     out = matching.nms(boxes, ["page"])
     assert {r["pos"] for r in out.collect()} == set(kept)
     assert "class" in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[1][:40]
+
+
+def test_lines_meet_the_smallest_boxes_only(spark):
+    """Of boxes that lie on each other a cell keeps the smallest that covers it and those that cover a part; the smallest of all pairs is still found."""
+    rng = np.random.default_rng(8)
+    boxes = [("d", 1, k, "Text", {"x": float(x), "y": float(y), "w": float(w), "h": float(h)}) for k, (x, y, w, h) in enumerate(np.column_stack([rng.integers(0, 40, (400, 2)), rng.integers(0, 60, (400, 2))]))]
+    lines = [("d", 1, k, f"t{k}", 0.5, {"x1": float(x), "y1": float(y), "x2": float(x), "y2": float(y)}) for k, (x, y) in enumerate(rng.integers(-5, 110, (300, 2)) / 2)]
+    regions = spark.createDataFrame(boxes, f"document_id string, page_number int, region_index int, class string, bbox {BOX}").withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_confidence": F.lit(None).cast("double")})
+    df = spark.createDataFrame(lines, "document_id string, page_number int, line_no int, text string, confidence double, bbox struct<x1:double,y1:double,x2:double,y2:double>")
+    got = {t: r["region_index"] for r in matching.lines_to_regions(df, regions).collect() for t in (r["ocr_text"] or "").split("\n") if t}
+    want = {}
+    for _, _, k, t, _, p in lines:
+        held = [(b["w"] * b["h"], i) for _, _, i, _, b in boxes if b["x"] <= p["x1"] <= b["x"] + b["w"] and b["y"] <= p["y1"] <= b["y"] + b["h"]]
+        if held:
+            want[t] = min(held)[1]
+    assert got == want
+    stacked = spark.range(2000).selectExpr("'d' as document_id", "1 as page_number", "id as region_index", "named_struct('x', 0D, 'y', 0D, 'w', 33D + id % 7, 'h', 33D + id % 7) as bbox")
+    filed, _ = matching.box_cells(stacked, df.selectExpr("document_id", "page_number", "1D as cx", "1D as cy"))
+    assert filed.filter("_gx = 0 and _gy = 0").count() == 1
