@@ -6,6 +6,7 @@ sequential and run per page over an explicit total order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -129,45 +130,126 @@ def match_score(entity: Column, candidate: Column) -> Column:
     return F.when(((label > 0) | (area > 0)) & (label + area >= 2), label + area)
 
 
-def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """One-to-one pairs by score descending, then left, then right position."""
-
-    def keep(pdf: pd.DataFrame) -> np.ndarray:
-        out, a, b = np.zeros(len(pdf), bool), set(), set()
-        for i in np.lexsort((pdf[right], pdf[left], -pdf["score"])):
-            x, y = pdf[left].iat[i], pdf[right].iat[i]
-            if x not in a and y not in b:
-                a.add(x)
-                b.add(y)
-                out[i] = True
-        return out
-
-    return _per_group(pairs, keys, keep)
+class _Free:
+    """Candidates by ascending value, those without one first: the least rank of a range, and taking it away."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, rank: np.ndarray, value: np.ndarray):
+        order = np.lexsort((rank, value, ~np.isnan(value)))
+        self.blank, self.n = int(np.isnan(value).sum()), len(rank)
+        self.value = value[order[self.blank :]]
+        self.size = 1 << max(self.n - 1, 0).bit_length()
+        rows = [np.full(self.size, self.NONE)]
+        rows[0][: self.n] = rank[order]
+        while len(rows[-1]) > 1:
+            rows.append(np.minimum(rows[-1][::2], rows[-1][1::2]))
+        self.least = [self.NONE, *np.concatenate(rows[::-1]).tolist()]  # node k has the children 2k and 2k + 1
+        self.leaf = dict(zip(rank[order].tolist(), range(self.size, self.size + self.n)))
+
+    def within(self, a: float, limit: float) -> tuple[int, int]:
+        """The range of values that are off ``a`` by at most ``limit`` of the larger: being off grows to both sides, so ends are bisected."""
+        off = lambda k: abs(a - self.value[k]) / max(a, self.value[k]) <= limit
+        mid = int(np.searchsorted(self.value, a))
+        lo, hi = bisect_left(range(mid), True, key=off), mid + bisect_left(range(mid, len(self.value)), True, key=lambda k: not off(k))
+        return self.blank + lo, self.blank + hi
+
+    def first(self, lo: int, hi: int, used: bytearray, item: list[int]) -> int | None:
+        """Least rank of a range whose item is not used."""
+        while True:
+            best, i, j = self.NONE, lo + self.size, hi + self.size
+            while i < j:
+                if i & 1:
+                    best, i = min(best, self.least[i]), i + 1
+                if j & 1:
+                    j -= 1
+                    best = min(best, self.least[j])
+                i, j = i >> 1, j >> 1
+            if best == self.NONE or not used[item[best]]:
+                return None if best == self.NONE else best
+            k = self.leaf[best]
+            self.least[k] = self.NONE
+            while k > 1:
+                k >>= 1
+                self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
+
+
+def _assign(entities: pd.DataFrame, candidates: pd.DataFrame, links: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """entity, candidate and score of a page, best scores first, then entities and candidates by position.
+
+    Labels that match (``links``: kind, other, pos their score) are few beside pairs, and areas that agree are ranges of the sorted areas, so a choice is the
+    least position of a few ranges; an entity that is still free at 4 or 3 has nothing free left within 3 %.
+    """
+    candidates = candidates.sort_values("pos", kind="stable")
+    position, item = np.unique(candidates["pos"].to_numpy(np.int64), return_inverse=True)
+    rank, value = np.arange(len(candidates)), candidates["value"].to_numpy(float)
+    free = {k: _Free(rank[rows], value[rows]) for k, rows in candidates.groupby("other", sort=False).indices.items()}
+    page = _Free(rank, value)
+    met = {k: list(zip(g["other"], g["pos"])) for k, g in links.groupby("kind", sort=False)}
+    options: dict[int, dict[int, list[tuple[_Free, int, int]]]] = {}
+    for pos, kind, a in zip(entities["pos"].tolist(), entities["kind"], entities["value"].tolist()):
+        own = options.setdefault(pos, {s: [] for s in (6, 5, 4, 3, 2)})
+        for other, label in met.get(kind, ()):
+            f = free[other]
+            if a != a:
+                own[label].append((f, 0, f.n))
+            else:
+                own[label + 2].append((f, *f.within(a, 0.03)))
+                own[label] += [(f, *f.within(a, 0.10)), (f, 0, f.blank)]
+        if a == a:
+            own[2].append((page, *page.within(a, 0.03)))
+    used, item, out, waiting = bytearray(len(position)), item.tolist(), [], sorted(options)
+    for score in (6, 5, 4, 3, 2):
+        left = []
+        for pos in waiting:
+            found = [r for f, lo, hi in options[pos][score] if lo < hi and (r := f.first(lo, hi, used, item)) is not None]
+            if found:
+                used[item[min(found)]] = 1
+                out.append((pos, int(position[item[min(found)]]), score))
+            else:
+                left.append(pos)
+        waiting = left
+    return out
 
 
 def match_evidence(entities: DataFrame, candidates: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """entity_pos, candidate_pos, score of the greedy assignment of extracted parcels to a sheet's entities.
 
-    Only pairs that can score meet: by equal label words, by a core word in common, by areas within 3 %, or (entities that
-    print an id) by page.
+    One-to-one by ``match_score`` descending, then entity, then candidate position.  Pairs are never listed: distinct labels meet once for all their
+    rows (by equal label words, by a core word in common, or, for printed ids, by page), and each page then chooses over sorted areas.  A page is one
+    task, as a choice hangs on all before it; its work is its rows times the logarithm of their number, and a row is a position, a label and an area.
     """
-    e = entities.select(*keys, F.col("pos").alias("entity_pos"), F.struct("label", "printed_id", "stated_area").alias("e"))
-    c = candidates.select(*keys, F.col("pos").alias("candidate_pos"), F.struct("label", "acres").alias("c"))
+    plain = lambda s: F.regexp_replace(F.upper(F.coalesce(s, F.lit(""))), "[^A-Z0-9]", "")
+    label = F.coalesce("label", F.lit("")).alias("label")
+    e = entities.select(*keys, F.col("pos").cast("long").alias("pos"), label, plain(F.col("printed_id")).alias("printed_id"), T.acres("stated_area").alias("value"))
+    c = candidates.select(*keys, F.col("pos").cast("long").alias("pos"), label, F.col("acres").alias("value"))
+    kind = F.concat_ws("|", "printed_id", "label")
 
-    def words(side: str) -> Column:
-        label = F.col(f"{side}.label")
+    def words(label: Column) -> Column:
         whole = F.array_join(T.label_tokens(label), " ")
         return F.array_distinct(F.concat(F.when(whole != "", F.array(F.concat(F.lit("="), whole))).otherwise(F.array().cast("array<string>")), T.core_tokens(label)))
 
-    by_word = e.withColumn("_w", F.explode(words("e"))).join(c.withColumn("_w", F.explode(words("c"))), [*keys, "_w"]).drop("_w")
-    # |a - b| <= 3 % of the larger is at most 3 / 97 of the smaller
-    acres = lambda df, col: df.withColumn("_a", col)
-    by_area = within_relative(acres(e, T.acres(F.col("e.stated_area"))), c.withColumn("_b", F.col("c.acres")), keys, "_a", "_b", 3 / 97 + 1e-9).drop("_a", "_b")
-    by_id = e.filter(F.regexp_replace(F.upper(F.coalesce("e.printed_id", F.lit(""))), "[^A-Z0-9]", "") != "").join(c, keys)
-    columns = [*keys, "entity_pos", "candidate_pos", "e", "c"]
-    pairs = by_word.select(columns).unionByName(by_area.select(columns)).unionByName(by_id.select(columns)).dropDuplicates([*keys, "entity_pos", "candidate_pos"])
-    scored = pairs.withColumn("score", match_score(F.col("e"), F.col("c"))).filter("score is not null")
-    return greedy_match(scored.select(*keys, "entity_pos", "candidate_pos", "score"), keys, "entity_pos", "candidate_pos")
+    none = F.lit(None).cast("string")
+    ek = e.select(*keys, kind.alias("kind"), F.struct("label", "printed_id", none.alias("stated_area")).alias("e")).distinct()
+    ck = c.select(*keys, F.col("label").alias("other"), F.struct("label", F.lit(None).cast("double").alias("acres")).alias("c")).distinct()
+    by_word = ek.withColumn("_w", F.explode(words(F.col("e.label")))).join(ck.withColumn("_w", F.explode(words(F.col("c.label")))), [*keys, "_w"]).drop("_w")
+    by_id = ek.filter("e.printed_id <> ''").join(ck, keys).filter(F.contains(plain(F.col("c.label")), F.col("e.printed_id")))
+    links = by_word.unionByName(by_id).dropDuplicates([*keys, "kind", "other"]).withColumn("pos", match_score(F.col("e"), F.col("c"))).filter("pos is not null")
+
+    known = F.when(F.col("value") != 0, F.when(F.isnan("value"), -1.0).otherwise(F.col("value"))).alias("value")  # no number agrees with no area
+    columns = lambda df, side, kind, other, value: df.select(*keys, F.lit(side).alias("side"), F.col("pos").cast("long").alias("pos"), kind.alias("kind"), other.alias("other"), value)
+    rows = columns(e, 0, kind, none, known).unionByName(columns(c, 1, none, F.col("label"), known)).unionByName(columns(links, 2, F.col("kind"), F.col("other"), F.lit(None).cast("double").alias("value")))
+    rows = rows.filter(" and ".join(f"{k} is not null" for k in keys))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _assign(*(pdf[pdf["side"] == s] for s in range(3)))
+        return pd.DataFrame([(*key, *f) for f in found], columns=[*keys, "entity_pos", "candidate_pos", "score"])
+
+    types = {f.name: f.dataType.simpleString() for f in e.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", entity_pos long, candidate_pos long, score int"
+    out = rows.groupBy(*keys).applyInPandas(run, schema)
+    of = lambda df: df.schema["pos"].dataType
+    return out.withColumns({"entity_pos": F.col("entity_pos").cast(of(entities)), "candidate_pos": F.col("candidate_pos").cast(of(candidates))})
 
 
 def join_evidence(entities: DataFrame, candidates: DataFrame) -> DataFrame:

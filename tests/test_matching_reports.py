@@ -1,6 +1,7 @@
 import csv
 import io
 import json
+import random
 import struct
 import time
 import zipfile
@@ -53,6 +54,40 @@ def test_evidence_join(spark):
     assert matching.match_evidence(far, clash.withColumn("label", F.lit("X"))).count() == 0
 
 
+def greedy(scored):
+    """Pairs (score, entity, candidate) taken in turn, by trying all."""
+    used, out = set(), set()
+    for score, e, c in sorted(scored, key=lambda t: (-t[0], t[1], t[2])):
+        if ("e", e) not in used and ("c", c) not in used:
+            used |= {("e", e), ("c", c)}
+            out.add((e, c, score))
+    return out
+
+
+def test_matches_are_those_of_all_pairs_in_turn(spark):
+    rng = random.Random(8)
+    label = lambda: rng.choice(["LOT 1", "PARCEL 1", "1 EAST", "LOT 2-A", "2-A WEST 1", "REMAINDER", "", None])
+    size = lambda: rng.choice([None, 0.0, 97.0, 100.0, 90.0, 103.0, 110.0, 2.0, round(rng.uniform(80, 130), 2)])
+    es = [(k, p, label(), rng.choice([None, None, "2-a", "1e"]), size()) for k in (1, 2, None) for p in range(25)]
+    cs = [(k, p, label(), rng.choice([size(), size(), -5.0, float("nan")])) for k in (1, 2, None) for p in range(40)]
+    e = spark.createDataFrame([(*r[:4], None if r[4] is None else f"{r[4]} AC") for r in es], "k int, pos int, label string, printed_id string, stated_area string")
+    c = spark.createDataFrame(cs, "k int, pos int, label string, acres double")
+    pairs = e.select("k", F.col("pos").alias("e"), F.struct("label", "printed_id", "stated_area").alias("x")).join(c.select("k", F.col("pos").alias("c"), F.struct("label", "acres").alias("y")), "k")
+    scored = pairs.select("k", matching.match_score(F.col("x"), F.col("y")).alias("s"), "e", "c").filter("s is not null").collect()
+    want = {(k, *m) for k in (1, 2) for m in greedy([tuple(r)[1:] for r in scored if r["k"] == k])}
+    got = [tuple(r) for r in matching.match_evidence(e, c, ["k"]).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {s for *_, s in want} == {2, 3, 4, 5, 6}
+
+
+def test_a_page_of_equal_labels_is_matched_without_its_pairs(spark):
+    n = 6000
+    e = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.lit("LOT 1").alias("label"), F.lit(None).cast("string").alias("printed_id"), F.lit("5 AC").alias("stated_area"))
+    c = spark.range(n).select(F.lit(1).alias("k"), (2 * F.col("id")).alias("pos"), F.lit("LOT 1").alias("label"), F.lit(5.0).alias("acres"))
+    got = matching.match_evidence(e, c, ["k"]).toPandas()
+    assert len(got) == n and (got["candidate_pos"] == 2 * got["entity_pos"]).all() and (got["score"] == 6).all()
+
+
 def test_rosters(spark):
     items = [(0, "PARCEL 1", "n/a", "1 ac"), (1, "parcel 1", "x", None), (2, " ", None, None), (3, "20' Access Easement", None, None), (4, "PARCEL 2", "38-1", None), (5, "REMAINDER", None, None)]
     df = spark.createDataFrame([("d", 1, *r) for r in items], "document_id string, page_number int, pos int, label string, printed_id string, stated_area string")
