@@ -308,19 +308,41 @@ def flag_duplicate_regions(regions: DataFrame) -> DataFrame:
     return regions.withColumn("likely_duplicate_region", F.coalesce((F.col("label") != "") & (area < 0.2 * F.max(area).over(w)), F.lit(False)))
 
 
-def within_relative(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tolerance: float) -> DataFrame:
-    """Pairs of one key whose values differ by at most ``tolerance`` of the left one, on logarithmic bins."""
-    step = np.log1p(tolerance)
-    bin_of = lambda c: F.floor(F.log(c) / F.lit(float(step)))
-    lo = left.filter(F.col(a) > 0).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(a)) - 2, bin_of(F.col(a)) + 2)))
-    ro = right.filter(F.col(b) > 0).withColumn("_bin", bin_of(F.col(b)))
-    return lo.join(ro, [*keys, "_bin"]).filter(F.abs(F.col(a) - F.col(b)) <= tolerance * F.col(a)).drop("_bin")
+def first_within(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tolerance: float, of: list[str], pos: str) -> DataFrame:
+    """``of`` (columns of ``left``) with the least ``pos`` of ``right`` among rows of one key whose ``b`` differs from ``a`` by at most ``tolerance`` (under a half) of ``a``.
+
+    Pairs are never listed.  Values lie in logarithmic bins narrower than any range: of the bin a range begins in it takes the rows from its beginning on, of the
+    one it ends in those up to its end (both as running minima along the sorted bin), of the bins between the least of all.  Values that are not positive
+    and finite, and null keys, meet nothing; ``of`` without a match are missing.
+    """
+    step = float(np.log1p(tolerance))
+    bin_of = lambda c: F.floor(F.log(c) / F.lit(step)).alias("_bin")
+    keyed = " and ".join(f"{k} is not null" for k in keys)
+    finite = lambda c: F.expr(keyed) & (F.col(c) > 0) & (F.col(c) < float("inf"))
+    carried = list(dict.fromkeys([*keys, *of]))
+    off = tolerance * F.col("_a")
+    l = left.filter(finite(a)).select(*carried, F.col(a).alias("_a")).withColumns({"_lo": F.col("_a") - off, "_hi": F.col("_a") + off})  # noqa: E741
+    r = right.filter(finite(b)).select(*keys, F.col(b).alias("_v"), F.col(pos).alias("_pos"), bin_of(F.col(b)))
+    blank = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in of if c not in keys]
+
+    def beyond(end: str, order: Column) -> DataFrame:
+        # an end's sum is rounded: whether a value that equals it is in, its difference says, which is exact
+        turn = F.when(F.abs(F.col("_a") - F.col(end)) <= off, 2).otherwise(0).alias("_turn")
+        asked = l.select(*carried, F.col(end).alias("_v"), F.lit(None).cast(right.schema[pos].dataType).alias("_pos"), bin_of(F.col(end)), turn)
+        rows = asked.unionByName(r.select("*", *blank, F.lit(1).alias("_turn")))
+        so_far = Window.partitionBy(*keys, "_bin").orderBy(order, "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("_first", F.min("_pos").over(so_far)).filter("_turn <> 1").select(*of, "_first")
+
+    lo, hi = bin_of(F.col("_lo")) + 1, bin_of(F.col("_hi")) - 1
+    whole = l.filter(lo <= hi).select(*carried, F.explode(F.sequence(lo, hi)).alias("_bin"))
+    between = whole.join(r.groupBy(*keys, "_bin").agg(F.min("_pos").alias("_first")), [*keys, "_bin"]).select(*of, "_first")
+    found = beyond("_lo", F.desc("_v")).unionByName(beyond("_hi", F.asc("_v"))).unionByName(between)
+    return found.filter(F.col("_first").isNotNull()).groupBy(*of).agg(F.min("_first").alias(pos))
 
 
 def legal_to_parcels(descriptions: DataFrame, parcels: DataFrame) -> DataFrame:
     """Each legal description (document_id, desc_pos, acres) with the first parcel (pos) whose stated acres agree within 5 %."""
-    pairs = within_relative(descriptions, parcels.select("document_id", "pos", "stated_acres"), ["document_id"], "acres", "stated_acres", 0.05)
-    first = pairs.groupBy("document_id", "desc_pos").agg(F.min("pos").alias("pos"))
+    first = first_within(descriptions, parcels, ["document_id"], "acres", "stated_acres", 0.05, ["document_id", "desc_pos"], "pos")
     return descriptions.join(first, ["document_id", "desc_pos"], "left")
 
 

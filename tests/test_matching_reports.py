@@ -88,6 +88,22 @@ def test_a_page_of_equal_labels_is_matched_without_its_pairs(spark):
     assert len(got) == n and (got["candidate_pos"] == 2 * got["entity_pos"]).all() and (got["score"] == 6).all()
 
 
+def test_first_within_is_the_least_of_all_pairs_at_any_end(spark):
+    rng = random.Random(18)
+    ends = [float(v) for a in (1.0, 7.3, 100.1, 2500.7) for x in (a - 0.05 * a, a + 0.05 * a, a) for v in (x, np.nextafter(x, 0), np.nextafter(x, 1e9))]
+    value = lambda: rng.choice([None, -3.0, 0.0, float("nan"), float("inf"), *ends, *(rng.uniform(0.9, 3000) for _ in range(30))])
+    left = [(k, i, a) for i in range(60) for k, a in [(rng.choice([1, 2, None]), rng.choice([1.0, 7.3, 100.1, 2500.7, value()]))]]
+    right = [(rng.choice([1, 2, None]), p, value()) for p in rng.sample(range(500), 300)]
+    fine = lambda v: v is not None and 0 < v < float("inf")
+    want = {}
+    for k, i, a in left:
+        near = [p for m, p, b in right if k is not None and m == k and fine(a) and fine(b) and abs(a - b) <= 0.05 * a]
+        want |= {i: min(near)} if near else {}
+    got = matching.first_within(spark.createDataFrame(left, "k int, i int, a double"), spark.createDataFrame(right, "k int, p long, b double"), ["k"], "a", "b", 0.05, ["i"], "p")
+    assert {tuple(r) for r in got.collect()} == set(want.items()) and len(want) > 20
+    assert "Window" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Join") == 1  # only least rows of whole bins are joined
+
+
 def test_rosters(spark):
     items = [(0, "PARCEL 1", "n/a", "1 ac"), (1, "parcel 1", "x", None), (2, " ", None, None), (3, "20' Access Easement", None, None), (4, "PARCEL 2", "38-1", None), (5, "REMAINDER", None, None)]
     df = spark.createDataFrame([("d", 1, *r) for r in items], "document_id string, page_number int, pos int, label string, printed_id string, stated_area string")
