@@ -12,6 +12,7 @@ from .matching import PAGE
 
 NON_TARGET = ("adjoiner", "reference", "easement", "vicinity")
 MOST_PARCELS = 12
+WIDE = 16  # items of a set that answers by pairs
 
 
 def build_sheets(regions: DataFrame) -> DataFrame:
@@ -75,15 +76,25 @@ def group_candidates(refs: DataFrame) -> DataFrame:
 def contained_sets(members: DataFrame, group: str, item: str) -> DataFrame:
     """Pairs (inner, outer) of groups where every item of the inner one is in the outer: relational division.
 
-    An inner group meets outer groups only through its rarest item, so a frequent item does not pair its groups; the sets
-    are then compared whole.
+    Items are ordered, rare ones first.  A group asks by its two first items (its only one twice), and answers by all pairs of
+    its items, each with the items after the pair; so a frequent item does not pair its groups, and what else an inner group
+    has is looked up there.  Groups over ``WIDE`` items would have too many pairs: those answer item by item, and are compared
+    whole.  A null item comes first and meets nothing, so its group is in no other; null groups don't count.
     """
-    m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g is not null")
     rare = m.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    sets = m.join(rare, "i").groupBy("g").agg(F.collect_set("i").alias("items"), F.min(F.struct("n", "i"))["i"].alias("i"))
-    outer = m.join(sets.select("g", F.col("items").alias("outer_items")), "g").withColumnRenamed("g", "outer_group")
-    pairs = sets.withColumnRenamed("g", "inner_group").join(outer, "i").filter("inner_group <> outer_group and size(items) <= size(outer_items)")
-    return pairs.filter(F.size(F.array_except("items", "outer_items")) == 0).select("inner_group", "outer_group")
+    s = m.join(rare, "i", "left").groupBy("g").agg(F.sort_array(F.collect_set(F.struct("n", "i")))["i"].alias("items"))
+    size, after = F.size("items"), lambda k: F.slice("items", k, F.size("items"))
+    asks = s.select(F.col("g").alias("inner_group"), "items", after(3).alias("rest"), F.get("items", F.lit(0)).alias("x"), F.get("items", F.least(size, F.lit(2)) - 1).alias("y"))
+    first = s.select(F.col("g").alias("outer_group"), "items", F.posexplode("items").alias("a", "x"))
+    pairs = first.select("outer_group", "items", "a", "x", F.posexplode(F.slice("items", F.col("a") + 1, F.when(size > WIDE, 1).otherwise(size))).alias("b", "y"))
+    answers = pairs.select("outer_group", "x", "y", F.when(F.col("b") > 0, after(F.col("a") + F.col("b") + 2)).otherwise(F.slice("items", 1, 0)).alias("later"))
+    other, lacks = F.col("inner_group") != F.col("outer_group"), lambda a, b: F.size(F.array_except(a, b)) > 0
+    met = asks.drop("items").join(answers.hint("merge"), ["x", "y"]).filter(other & ((F.size("rest") == 0) | ~lacks("rest", "later")))
+    wide = s.filter(size > WIDE).select(F.col("g").alias("outer_group"), F.explode("items").alias("x"))
+    wide = asks.filter(size > 1).select("inner_group", "items", "x").join(wide.hint("merge"), "x").filter(other)
+    wide = wide.join(s.select(F.col("g").alias("outer_group"), F.col("items").alias("outer_items")).hint("merge"), "outer_group").filter(~lacks("items", "outer_items"))
+    return met.select("inner_group", "outer_group").union(wide.select("inner_group", "outer_group"))
 
 
 def collapse_duplicate_sheets(groups: DataFrame, contained: DataFrame) -> DataFrame:
