@@ -8,10 +8,13 @@ connect, and one row of each group stays.  Shingles are 64-bit hashes (XXH64); t
    (8 to 10 of 64 bits on the average) has balls as large as the tables.
 2. So the rest is found exactly.  All shingles have one order, rare ones first.  Of two texts of similarity s or more that have
    n shingles, both hold one of the first n - ceil(s n) + 1 of each other, so only these are filed, in a bucket for each
-   shingle.  Texts that meet there and that sizes and positions do not rule out are verified.  In a bucket of over ``CROWD`` texts
-   all are compared with a few pivots only.
+   shingle.  In a bucket of over ``CROWD`` texts all are compared with a few pivots only.  Of texts that meet there, those are
+   verified that sizes, positions and maps do not rule out: a map has about a bit for each shingle, and two sets differ in at least
+   as many shingles as their maps in bits.  So most that only share a passage never have their sets written.
 3. Texts of a crowded bucket that pivots and fingerprints have not brought into one group meet again there: with all texts of the
    bucket's other groups.  So pairs of one large group are never written out, and no link between two groups is lost.
+4. To verify a pair is to bring two sets of six bytes a shingle together.  Each text is compared with one other first; of all other
+   pairs only those go on that lie in different groups then.  They are verified by parts of a bounded number of shingles.
 
 Which shingles come last, which buckets are dealt in pieces and which texts are pivots matters for speed only.
 
@@ -23,6 +26,7 @@ the text's hash, then the row's.  Of rows that are equal in all columns one stay
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,7 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, OFTEN = 20_000, 5  # texts whose shingles are counted, and the count from which one comes last
 CROWD, PIVOTS, PIECE = 48, 6, 100_000  # texts that meet pair by pair; pivots of larger buckets; texts of a bucket's piece, about
 SIEVE_BITS, MAP_BITS = 26, 1024
+PART = 2_000_000  # shingles that are brought together at once, at least; else a quarter of all
 _EPS = 1e-9
 
 
@@ -66,19 +71,24 @@ KEY = ["lacks", "doc", "tie", "pick"]
 
 
 def _marked(rows: DataFrame, words: int) -> DataFrame:
-    """KEY, node (digest of the shingle set) and fp of every row."""
+    """KEY, node (digest of the shingle set), fp, n (size of the set), map and wide (a wider map of a larger set) of every row."""
 
     def write(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, fps = [], []
+                nodes, fps, sizes, maps, wide = [], [], [], [], []
                 for t in texts_of(part.column("text")):
                     h = shingle_hashes(t, words, SEED)
-                    nodes.append(xxhash.xxh64_intdigest(np.unique(h.view(np.int64)).tobytes(), SEED))
+                    s = np.unique(h.view(np.int64))
+                    nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     fps.append(folded(h) if len(h) else 0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))], [*KEY, "node", "fp"])
+                    sizes.append(len(s))
+                    maps.append(_map(s))
+                    wide.append(_map(s, 1 << (len(s) - 1).bit_length()) if len(s) > MAP_BITS else None)
+                numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), *numbers, pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(wide, pa.binary())], [*KEY, "node", "fp", "n", "map", "wide"])
 
-    return rows.mapInArrow(write, "lacks boolean, doc long, tie long, pick long, node long, fp long")
+    return rows.mapInArrow(write, "lacks boolean, doc long, tie long, pick long, node long, fp long, n int, map binary, wide binary")
 
 
 # a sieve: rows that may be among many keys, without a shuffle of the others
@@ -249,18 +259,18 @@ def _pairs(x: np.ndarray, y: np.ndarray):
         yield from _batches([np.minimum(x, y), np.maximum(x, y), none(pa.int64()), none(pa.int32()), none(pa.int32())], _MET)
 
 
-def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _second_meeting(rows: DataFrame, groups: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of crowded buckets (token, node, n, pos) whose texts may be alike and lie in different groups (node, root).
 
-    Rows of a bucket's largest group are dealt to pieces of bounded size, the others are copied to each piece.  Maps of sets
-    (``sets``) rule out pairs whose sets surely differ in too many shingles.
+    Rows of a bucket's largest group are dealt to pieces of bounded size, the others are copied to each piece.  Maps (of ``nodes``)
+    rule out pairs whose sets surely differ in too many shingles.
     """
     at = rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = cut(at.dropDuplicates(["token", "node"]), "open")
     sizes = open_.groupBy("token", "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = cut(sizes.groupBy("token").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups")).filter("groups > 1"), "largest")
     pieces, main = F.ceil(F.col("rows") / PIECE).cast("int"), F.col("root") == F.col("largest")
-    at = open_.join(largest.select("token", "largest", pieces.alias("pieces")), "token").join(sets.select("node", "map"), "node")
+    at = open_.join(largest.select("token", "largest", pieces.alias("pieces")), "token").join(nodes.select("node", "map"), "node")
     at = at.select("token", "n", "node", "pos", "root", "map", main.alias("main"), "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("own"))
     at = at.withColumn("piece", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))))
     at = at.select("token", "piece", "n", "node", "pos", "root", "main", (F.col("piece") == F.col("own")).alias("home"), "map")
@@ -283,7 +293,7 @@ def _second_meeting(rows: DataFrame, groups: DataFrame, sets: DataFrame, similar
                 ok = (root[a] != root[b]) & (home[a] | home[b]) & (main[b] | (b > a)) & _possible(n, pos, a, b, similarity)
                 a, b = a[ok], b[ok]
                 apart = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
-                ok = apart <= (n[a] + n[b]) * (1 - similarity) / (1 + similarity) + _EPS
+                ok = apart <= _most_apart(n[a] + n[b], similarity)
                 yield from _pairs(node[a[ok]], node[b[ok]])
                 k = stop
 
@@ -308,15 +318,40 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _map(s: np.ndarray) -> bytes:
-    """A bit for each shingle: two sets differ in at least as many shingles as their maps differ in bits."""
-    bits = np.zeros(MAP_BITS, bool)
-    bits[s.view(np.uint64) >> np.uint64(64 - MAP_BITS.bit_length() + 1)] = True
-    return np.packbits(bits).tobytes()
+def _map(s: np.ndarray, width: int = MAP_BITS) -> bytes:
+    """For each lowest part of a hash whether an odd number of shingles has it: two sets differ in at least as many shingles as their maps differ in bits."""
+    return np.packbits(np.bincount((s.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 != 0).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which maps differ; of two widths the wider one is folded, as if it had been made of the other's width."""
+    a, b = (np.frombuffer(m, np.uint64) for m in (x, y))
+    if len(a) != len(b):
+        a, b = (np.bitwise_xor.reduce(m.reshape(-1, min(len(a), len(b))), 0) for m in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def _most_apart(both, similarity: float):
+    """In how many shingles sets that are alike may differ, by the sum of their sizes."""
+    return both * (1 - similarity) / (1 + similarity) + _EPS
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and maps of ``nodes`` do not rule out, with n, the size of a's set.  Eager."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "map").alias(f"m{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - _EPS)
+
+    def compare(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "nb", "ma", "mb"))
+            keep = [_apart(p, q) <= _most_apart(i + j, similarity) for i, j, p, q in zip(n, m, x, y)]
+            yield batch.select(["a", "b", "na"]).rename_columns(["a", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.mapInArrow(compare, "a long, b long, n int"), "likely")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, packed set and map of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``).  Eager."""
+    """node and packed set of the ``wanted`` nodes, from one row of each (``nodes`` has its key as ``first``).  Eager."""
     spark = rows.sparkSession
     key = F.xxhash64("doc", "tie")
     of = cut(nodes.join(wanted, "node", "left_semi").select("node", "first.doc", "first.tie", key.alias("h")), "wanted")
@@ -326,22 +361,25 @@ def _sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
     def write(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [shingle_set(t, words) for t in texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(map(f, found), pa.binary()) for f in (_packed, _map))], ["node", "s", "map"])
+                found = [_packed(shingle_set(t, words)) for t in texts_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], ["node", "s"])
 
-    out = cut(texts.join(of.select("node", "doc", "tie"), ["doc", "tie"]).select("node", "text").mapInArrow(write, "node long, s binary, map binary"), "sets")
+    out = cut(texts.join(of.select("node", "doc", "tie"), ["doc", "tie"]).select("node", "text").mapInArrow(write, "node long, s binary"), "sets")
     drop(of)
     bits.unpersist()
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are alike.  Eager."""
     node = F.xxhash64("node")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    bits = pairs.sparkSession.sparkContext.broadcast(sieve(ends.select(node.alias("h"))))
+    bits = pairs.sparkSession.sparkContext.broadcast(sieve(_ends(pairs).select(node.alias("h"))))
     sets = sifted(sets.select("node", "s", node.alias("h")), "h", bits, True).select("node", "s")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def compare(batches):
         for batch in batches:
@@ -358,6 +396,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return out
 
 
+def _by_parts(pairs: DataFrame, sets: DataFrame, similarity: float, most: int) -> list[DataFrame]:
+    """``_verified`` of ``pairs`` (a, b, n) in parts by b, so that about ``most`` shingles of a are brought together at once."""
+    parts = max(1, -(-(pairs.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // most))
+    return [_verified(pairs.filter(F.pmod(F.xxhash64("b"), F.lit(parts)) == k), sets, similarity) for k in range(parts)]
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int) -> list[DataFrame]:
+    """Links (a, b) that connect what those of ``pairs`` (a, b, n) connect whose sets are alike.  Eager.
+
+    Every text is compared with its smallest partner first; pairs that lie in one group then are not looked at.
+    """
+    sets = _sets(rows, nodes, _ends(pairs).distinct(), words)
+    first = cut(pairs.groupBy("b").agg(F.min(F.struct("a", "n")).alias("least")).select("least.a", "b", "least.n"), "first")
+    found = _by_parts(first, sets, similarity, most)
+    roots = cut(components(_all(found)), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    rest = cut(apart.join(first, ["a", "b"], "left_anti").select("a", "b", "n"), "rest")
+    found += _by_parts(rest, sets, similarity, most)
+    drop(sets, first, roots, rest)
+    return found
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 # groups
 
 
@@ -365,7 +430,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """KEY, node and stays (whether it is its group's) of every row of ``docs`` (doc_id, text and others).  Eager."""
     rows, total = keyed(docs), docs.count()
     marked = cut(_marked(rows, words), "marked")
-    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(*KEY)).alias("first"), F.min("fp").alias("fp")), "nodes")
+    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(*KEY)).alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "map", "wide"))), "nodes")
+    most = max(PART, (nodes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // 4)
 
     met = cut(_first_meeting(_prefixes(rows, words, similarity, total), similarity, crowd), "met")
     of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("node")), "of_fp")
@@ -376,18 +442,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     pairs = cut(pairs, "pairs")
     drop(of_fp, linked)
 
-    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node")))
-    open_ = met.filter("b is null").select(F.col("a").alias("node"), "token", "n", "pos")
-    sets = _sets(rows, nodes, ends(pairs).unionByName(open_.select("node")).distinct(), words)
-    found = _verified(pairs, sets, similarity)
+    likely = _likely(pairs, nodes, similarity)
     drop(pairs)
-    roots = cut(components(found), "roots")
-    late = _second_meeting(open_, roots, sets, similarity)
+    found = _alike(likely, rows, nodes, words, similarity, most)
+    drop(likely)
+    open_ = met.filter("b is null").select(F.col("a").alias("node"), "token", "n", "pos")
+    roots = cut(components(_all(found)), "roots")
+    late = _second_meeting(open_, roots, nodes, similarity)
     drop(met, roots)
-    more = _verified(late, sets, similarity)
-    drop(late, sets)
-    roots = cut(nodes.join(components(found.unionByName(more)), "node"), "roots")
-    drop(found, more)
+    likely = _likely(late, nodes, similarity)
+    drop(late)
+    found += _alike(likely, rows, nodes, words, similarity, most)
+    drop(likely)
+    roots = cut(nodes.select("node", "first").join(components(_all(found)), "node"), "roots")
+    drop(*found)
 
     least = cut(roots.groupBy("root").agg(F.min("first").alias("stays")), "least")
     grouped = roots.join(least, "root").select("node", "stays")

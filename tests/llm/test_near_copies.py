@@ -99,3 +99,56 @@ def test_stage_keeps_one_row_of_each_group(spark):
     rows = [(None, one, "en"), (None, one, "en"), (None, one, None), (4, two, "en"), (4, three, "en"), (4, two, "en"), (None, two, "fr"), (9, two + " tail", "en"), (None, None, None), (None, "", "en"), (11, " \n", None)]
     left = corpus_pipeline.near_dedup(spark, frame_of(spark, [(*r, None, 1, "x", 2) for r in rows]), "").collect()
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in left) == sorted([("None", one[:9]), ("4", two[:9]), ("4", three[:9]), ("11", " \n")])
+
+
+def counted(monkeypatch, name, place):
+    """Rows of the argument at ``place`` of each call of near.``name``."""
+    rows, f = [], getattr(near, name)
+    monkeypatch.setattr(near, name, lambda *a: rows.append(a[place].count()) or f(*a))
+    return rows
+
+
+def test_texts_that_share_a_passage_only_have_no_sets_written(spark, monkeypatch):
+    """They meet by its shingles; sets of all that met were written and brought together pair by pair."""
+    rng = random.Random(8)
+    passages = [prose(rng, EN, 20) for _ in range(20)]
+    rows = {i: f"{passages[i // 3]} {prose(rng, EN, 60)}" for i in range(60)} | {60: prose(rng, EN, 90)}
+    rows[61] = rows[60] + " tail"
+    wanted, compared = counted(monkeypatch, "_sets", 2), counted(monkeypatch, "_verified", 0)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r["doc"]: r["stays"]["doc"] for r in near.near_copies(df).collect()} == brute_components(rows)[0]
+    assert sum(wanted) <= 10 and 1 <= sum(compared) <= 10
+
+
+def test_copies_of_one_group_are_compared_a_few_times(spark, monkeypatch):
+    """Of all pairs that meet, those that the first links have brought into one group are not compared."""
+    rng = random.Random(9)
+    base, rows = prose(rng, EN, 200).split(), {}
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows[i] = " ".join(w)
+    compared = counted(monkeypatch, "_verified", 0)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    label, links = brute_components(rows)
+    assert {r["doc"]: r["stays"]["doc"] for r in near.near_copies(df, crowd=100).collect()} == label
+    assert len(links) > 3000 and sum(compared) < 200
+
+
+def test_wide_maps_and_parts(spark, monkeypatch):
+    """Sets of over 1,024 shingles have wider maps, which are folded to meet narrower ones; pairs are verified in parts."""
+    rng = np.random.default_rng(5)
+    for n in (900, 1030, 2040, 2060, 5000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.r_[a[: n - n // 20], rng.integers(-(2**63), 2**63 - 1, n // 8)])
+        x, y = (near._map(s, max(near.MAP_BITS, 1 << (len(s) - 1).bit_length())) for s in (a, b))
+        assert n // 30 < near._apart(x, y) == near._apart(y, x) <= len(np.setxor1d(a, b))
+    words, rows = random.Random(6), {}
+    for i in range(6):
+        text = prose(words, EN, 1000 + 8 * i).split()
+        rows |= {i: " ".join(text), 10 + i: " ".join(text + ["tail"] * 60), 20 + i: " ".join(text[: 700 + 20 * i])}
+    monkeypatch.setattr(near, "PART", 10)
+    compared = counted(monkeypatch, "_verified", 0)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r["doc"]: r["stays"]["doc"] for r in near.near_copies(df).collect()} == brute_components(rows)[0]
+    assert len(compared) > 3
